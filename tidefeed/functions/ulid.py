@@ -38,8 +38,10 @@ def decode32(text: ColumnOrName) -> Column:
 
 def ulid(ms: ColumnOrName, hi40: ColumnOrName, lo40: ColumnOrName) -> Column:
     """The id; null where the time does not fit 48 bits."""
-    text = F.concat(encode32(ms, 10), encode32(hi40, 8), encode32(lo40, 8))
-    return F.when((_col(ms) >= 0) & (_col(ms) < TIME_LIMIT), text)
+    # The null enters with the time: inside a condition Spark would not share what the two
+    # halves have in common.
+    fits = F.when((_col(ms) >= 0) & (_col(ms) < TIME_LIMIT), _col(ms))
+    return F.concat(encode32(fits, 10), encode32(hi40, 8), encode32(lo40, 8))
 
 
 def random_halves(*seed: Column) -> tuple[Column, Column]:

@@ -203,7 +203,7 @@ def feed_pages(
     sorted table.
     """
     order = ["timestamp", "notify_id", "ingest_seq"]
-    numbered = positions(df, ["user_id"], order, "rank", descending=direction == DESC)
+    numbered = positions(df, "user_id", order, "rank", descending=direction == DESC)
     page_number = F.call_function("div", F.col("rank") - 1, F.lit(limit).cast("bigint"))
     return numbered.select(*COLUMNS, "rank", page_number.alias("page"))
 

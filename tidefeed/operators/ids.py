@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidefeed.functions.ulid import (
     HALF,
+    WELL_FORMED,
     canonical,
     parts,
     problem,
@@ -36,7 +37,7 @@ def assign_monotonic_ulids(
     null from there on, as no greater id is left in that millisecond.
     """
     hi, lo = start or random_halves(F.lit("ms"), F.col(time))
-    step = positions(df, [time], [order], "_step").withColumns({"_hi": hi, "_lo": lo})
+    step = positions(df, time, [order], "_step").withColumns({"_hi": hi, "_lo": lo})
     low = F.col("_lo") + F.col("_step") - 1
     carried = F.col("_hi") + F.call_function("div", low, F.lit(HALF))
     numbered = step.withColumns(
@@ -59,8 +60,8 @@ def ulid_order_violations(
     df: DataFrame, text: str = "ulid", key: str = "user_id", order: str = "ingest_seq"
 ) -> DataFrame:
     """Good ids that are not greater than the good id before them in their user's order."""
-    good = df.where(problem(text) == "").withColumn("_id", canonical(text))
-    paired = previous_value(good, [key], [order], "_id", "_before")
+    good = df.where(F.col(text).rlike(WELL_FORMED)).withColumn("_id", canonical(text))
+    paired = previous_value(good, key, [order], "_id", "_before")
     return paired.where(F.col("_id") <= F.col("_before")).select(
         key, order, F.col("_id").alias("ulid"), F.col("_before").alias("previous")
     )

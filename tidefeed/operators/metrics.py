@@ -59,12 +59,9 @@ def trailing_count_exact(df: DataFrame, interval_ms: int) -> DataFrame:
         (F.col("timestamp") + interval_ms + 1).alias("at"), F.lit(-1).cast("bigint").alias("step")
     )
     changes = df.select("user_id", F.inline(F.array(up, down)))
-    instants = changes.groupBy("user_id", "at").agg(
-        F.sum("step").alias("step"), F.count_if(F.col("step") > 0).alias("n")
-    )
-    totals = running_total_by_time(instants, "user_id", "at", "step", "trailing_count")
-    return totals.where(F.col("n") > 0).select(
-        "user_id", F.col("at").alias("timestamp"), "n", "trailing_count"
+    totals = running_total_by_time(changes, "user_id", "at", "step", "trailing_count")
+    return totals.where(F.col("rises") > 0).select(
+        "user_id", F.col("at").alias("timestamp"), F.col("rises").alias("n"), "trailing_count"
     )
 
 

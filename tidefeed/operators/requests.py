@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidefeed.operators.feed import DESC
 from tidefeed.plans.ordered import SLICE, range_slices, running_total
 from tidefeed.schema import MS_PER_SECOND, PAGE_SIZE
+from tidefeed.session import written
 
 # ---- fixed values -----------------------------------------------------------------
 USER_STEP = 7919          # strides that spread request numbers over users and times
@@ -26,41 +27,49 @@ def gen_requests(
 ) -> DataFrame:
     """Fetch requests, one per row of ``numbers``, from arithmetic on the row's number.
 
-    ``span`` is one row of ``users, min_ms, max_ms``. Even numbers ask for a first page, odd
-    ones continue from a cursor in ``[min_ms, max_ms)``. With a ramp, ``total`` requests are
+    ``span`` is one row of ``users, min_ms, max_ms, total``. Even numbers ask for a first page,
+    odd ones continue from a cursor in ``[min_ms, max_ms)``. With a ramp, ``total`` requests are
     dealt to the threads, the last one taking the remainder, and each thread spaces its own
     evenly over the ramp; ``numbers`` must then count from 0.
     """
-    span = span.withColumn(
-        "_width",
-        F.when(F.col("max_ms") > F.col("min_ms"), F.col("max_ms") - F.col("min_ms")).otherwise(
-            F.raise_error(F.lit("min_ms must be below max_ms")).cast("bigint")
-        ),
+    def whole(n: int) -> Column:
+        return F.lit(n).cast("bigint")
+
+    def checked(good: Column, value: Column, problem: str) -> Column:
+        return F.when(good, value).otherwise(F.raise_error(F.lit(problem)).cast("bigint"))
+
+    base = numbers.select(
+        number.cast("bigint").alias("req_id"),
+        *[span.select(c).scalar().alias(f"_{c}") for c in ("users", "min_ms", "max_ms", "total")],
     )
-    # One row of totals: a cross join with it only attaches constants.
-    base = numbers.select(number.cast("bigint").alias("req_id")).crossJoin(F.broadcast(span))
-    req = F.col("req_id")
-    cursor = F.col("min_ms") + F.pmod(F.pmod(req, F.col("_width")) * CURSOR_STEP, F.col("_width"))
+    req, users, total = F.col("req_id"), F.col("_users"), F.col("_total")
+    low, high = F.col("_min_ms"), F.col("_max_ms")
+    width = checked(high > low, high - low, "min_ms must be below max_ms")
+    base = base.withColumn("_width", width)
+    width = F.col("_width")
     columns = [
         "req_id",
-        F.pmod(F.pmod(req, F.col("users")) * USER_STEP, F.col("users"))
-        .cast("string").alias("user_id"),
-        F.when(req % 2 == 1, cursor).alias("from_time"),
+        F.pmod(F.pmod(req, users) * USER_STEP, users).cast("string").alias("user_id"),
+        F.when(req % 2 == 1, low + F.pmod(F.pmod(req, width) * CURSOR_STEP, width)).alias(
+            "from_time"
+        ),
         F.when(req % 4 < 2, "desc").otherwise("asc").alias("direction"),
         F.when(req % 2 == 1, "more").otherwise("first").alias("phase"),
     ]
-    if ramp_seconds is not None:
-        each = F.call_function("div", F.col("total"), F.lit(threads).cast("bigint"))
-        thread = F.least(
-            F.call_function("div", req, each), F.lit(threads - 1).cast("bigint")
-        )
-        own = F.when(thread == threads - 1, F.col("total") - each * (threads - 1)).otherwise(each)
-        gap = F.call_function("div", F.lit(ramp_seconds * MS_PER_SECOND).cast("bigint"), own)
-        checked = F.when(F.col("total") >= threads, thread).otherwise(
-            F.raise_error(F.lit("fewer requests than threads")).cast("bigint")
-        )
-        columns += [checked.alias("thread"), ((req - thread * each) * gap).alias("due_ms")]
-    return base.select(*columns)
+    if ramp_seconds is None:
+        return base.select(*columns)
+    last = whole(threads - 1)
+    each = checked(
+        total >= threads, F.call_function("div", total, whole(threads)),
+        "fewer requests than threads",
+    )
+    base = base.withColumn("_each", each)
+    each = F.col("_each")
+    base = base.withColumn("thread", F.least(F.call_function("div", req, each), last))
+    own = F.when(F.col("thread") == last, total - each * last).otherwise(each)
+    gap = F.call_function("div", whole(ramp_seconds * MS_PER_SECOND), own)
+    due = (req - F.col("thread") * each) * gap
+    return base.select(*columns, "thread", due.alias("due_ms"))
 
 
 def request_span(df: DataFrame) -> DataFrame:
@@ -117,9 +126,9 @@ def batch_fetch(
         "direction",
     )
     order = ["_at", "_side", "notify_id", "ingest_seq"]
-    sliced = range_slices(rows.unionByName(marks), ["user_id"], order)
+    sliced = range_slices(rows.unionByName(marks), "user_id", order)
     is_row = F.when(F.col("_side") == 1, 1).otherwise(0).cast("bigint")
-    placed = running_total(sliced, ["user_id"], order, is_row, "_place").drop(SLICE)
+    placed = written(running_total(sliced, "user_id", order, is_row, "_place").drop(SLICE))
 
     # Many cursors may stand at the same place; the page there is looked up once.
     marked = placed.where(F.col("_side") != 1).select("user_id", "direction", "_at", "_place")

@@ -30,50 +30,67 @@ def _sort(order: Sequence[str], descending: bool) -> list[Column]:
 
 def range_slices(
     df: DataFrame,
-    keys: Sequence[str],
+    key: str,
     order: Sequence[str],
     descending: bool = False,
     slices: int | None = None,
 ) -> DataFrame:
-    """``df`` with the number of its slice of the sort by keys, then by ``order``.
+    """``df`` with the number of its slice of the sort by ``key``, then by ``order``.
 
     ``order`` should end in a unique column, or copies of one row cannot be told apart and
     stay together. The result is written out: the cut points come from a sample, so a second
     evaluation might cut elsewhere, and every reader has to see the same slices.
     """
     count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(count, *[F.asc(k) for k in keys], *_sort(order, descending))
+    ranged = df.repartitionByRange(count, F.asc(key), *_sort(order, descending))
     return written(ranged.withColumn(SLICE, F.spark_partition_id()), "slices")
 
 
-def _carried(
-    sliced: DataFrame, keys: Sequence[str], summary: Column, carry: Column
-) -> DataFrame:
-    """What each slice receives from the earlier slices of its key.
+def _crossings(sliced: DataFrame, key: str) -> DataFrame:
+    """(slice, key) of each key that goes on into the next slice: at most one per slice.
 
-    The table is sorted by key first, so a slice can share with earlier slices only the key
-    it starts with. Rows with something carried are therefore at most one per slice, which
-    bounds the side that ``_with_carry`` broadcasts by the number of slices.
+    The table is sorted by key first, so a slice can share with the next one only the key it
+    ends with. All other keys, which is nearly all of them, have nothing to carry.
     """
-    per_slice = sliced.groupBy(*keys, SLICE).agg(summary.alias("_summary"))
+    ends = sliced.groupBy(SLICE).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    # One row per slice, so this window over all of them is small.
+    following = F.lead(F.struct(SLICE, "_low")).over(Window.partitionBy(F.lit(0)).orderBy(SLICE))
     return (
-        per_slice.withColumn("_carry", carry)
-        .where(F.col("_carry").isNotNull())
-        .select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
-                F.col(SLICE).alias("_key_slice"), "_carry")
+        ends.where(F.col("_high").isNotNull())
+        .withColumn("_next", following)
+        .where(F.col("_high") == F.col("_next._low"))
+        .select(
+            F.col(SLICE).alias("_cross_slice"),
+            F.col("_high").alias("_cross_key"),
+            F.col(f"_next.{SLICE}").alias("_into_slice"),
+        )
     )
 
 
-def _with_carry(local: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
-    match = F.col(SLICE) == F.col("_key_slice")
-    for i, key in enumerate(keys):
-        match = match & F.col(key).eqNullSafe(F.col(f"_key_{i}"))
-    return local.join(F.broadcast(carried), match, "left")
+def _with_carry(
+    local: DataFrame, sliced: DataFrame, key: str, summary: Column, carry: Column
+) -> DataFrame:
+    """``local`` with ``_carry``, what a slice receives from the earlier slices of its key.
+
+    ``summary`` condenses one crossing (slice, key); ``carry`` is a window expression over the
+    ``_summary`` of a key's slices up to and including the one handed on. Both tables that are
+    broadcast here have at most one row per slice.
+    """
+    crossings = F.broadcast(_crossings(sliced, key))
+    leaving = (F.col(SLICE) == F.col("_cross_slice")) & (F.col(key) == F.col("_cross_key"))
+    handed_on = (
+        sliced.join(crossings, leaving)
+        .groupBy("_cross_slice", "_cross_key", "_into_slice")
+        .agg(summary.alias("_summary"))
+        .select("_into_slice", F.col("_cross_key").alias("_into_key"), carry.alias("_carry"))
+    )
+    arriving = (F.col(SLICE) == F.col("_into_slice")) & (F.col(key) == F.col("_into_key"))
+    return local.join(F.broadcast(handed_on), arriving, "left")
 
 
 def running_total(
     sliced: DataFrame,
-    keys: Sequence[str],
+    key: str,
     order: Sequence[str],
     value: Column,
     out: str,
@@ -81,79 +98,80 @@ def running_total(
 ) -> DataFrame:
     """Sum of ``value`` over this row and all earlier rows of its key.
 
-    ``sliced`` comes from ``range_slices`` with the same keys, order and direction.
+    ``sliced`` comes from ``range_slices`` with the same key, order and direction.
     """
-    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    carried = _carried(
-        sliced, keys, F.sum(value), F.sum("_summary").over(earlier)
-    )
-    inside = Window.partitionBy(SLICE, *keys).orderBy(*_sort(order, descending)).rowsBetween(
+    inside = Window.partitionBy(SLICE, key).orderBy(*_sort(order, descending)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     local = sliced.withColumn("_local", F.sum(value).over(inside))
+    so_far = Window.partitionBy("_cross_key").orderBy("_cross_slice").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    summed = _with_carry(local, sliced, key, F.sum(value), F.sum("_summary").over(so_far))
     total = F.col("_local") + F.coalesce("_carry", F.lit(0).cast("bigint"))
-    return _with_carry(local, carried, keys).select(*sliced.columns, total.alias(out))
+    return summed.select(*sliced.columns, total.alias(out))
 
 
 def positions(
     df: DataFrame,
-    keys: Sequence[str],
+    key: str,
     order: Sequence[str],
     out: str = "position",
     descending: bool = False,
 ) -> DataFrame:
     """Number the rows of each key from 1 in order."""
-    sliced = range_slices(df, keys, order, descending)
+    sliced = range_slices(df, key, order, descending)
     one = F.lit(1).cast("bigint")
-    return running_total(sliced, keys, order, one, out, descending).drop(SLICE)
+    return running_total(sliced, key, order, one, out, descending).drop(SLICE)
 
 
 def previous_value(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str
+    df: DataFrame, key: str, order: Sequence[str], value: str, out: str
 ) -> DataFrame:
     """``value`` of the row before this one in its key; null for the first row."""
-    sliced = range_slices(df, keys, order)
+    sliced = range_slices(df, key, order)
+    inside = Window.partitionBy(SLICE, key).orderBy(*order)
+    local = sliced.withColumns({
+        "_local": F.lag(value).over(inside),
+        "_first": F.row_number().over(inside) == 1,
+    })
     last = F.max_by(value, F.struct(*order))
-    before = F.lag("_summary").over(Window.partitionBy(*keys).orderBy(SLICE))
-    carried = _carried(sliced, keys, last, before)
-    inside = Window.partitionBy(SLICE, *keys).orderBy(*order)
-    local = sliced.withColumn("_local", F.lag(value).over(inside)).withColumn(
-        "_first", F.row_number().over(inside) == 1
-    )
+    paired = _with_carry(local, sliced, key, last, F.col("_summary"))
     previous = F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_local"))
-    return (
-        _with_carry(local, carried, keys)
-        .select(*sliced.columns, previous.alias(out))
-        .drop(SLICE)
-    )
+    return paired.select(*df.columns, previous.alias(out))
 
 
 def running_total_by_time(
-    df: DataFrame,
+    changes: DataFrame,
     key: str,
     time: str,
     value: str,
     out: str,
     slice_ms: int = MS_PER_DAY,
 ) -> DataFrame:
-    """Sum of ``value`` over all rows of the key up to and including this row's time.
+    """Per key and instant, the sum of ``value`` over all rows of the key up to that instant.
 
-    ``df`` has one row per (key, time): sum first, so that copies of one instant meet in the
-    map-side combine. A (key, slice) group then has at most ``slice_ms`` rows, and a key's
-    carry table at most one row per slice of the table's time span.
+    Rows are summed per (key, instant) and per (key, slice), both with a map-side combine, so
+    copies of one instant never travel. A (key, slice) group has at most ``slice_ms`` rows then,
+    and a key's carry table at most one row per slice of the table's time span. ``rises`` counts
+    the rows of the instant with a positive value.
     """
-    sliced = df.withColumn(SLICE, slice_number(time, slice_ms))
+    instants = changes.groupBy(key, time).agg(
+        F.sum(value).alias("_change"), F.count_if(F.col(value) > 0).alias("rises")
+    )
+    local = instants.withColumn(SLICE, slice_number(time, slice_ms)).withColumn(
+        "_local",
+        F.sum("_change").over(
+            Window.partitionBy(key, SLICE).orderBy(time).rowsBetween(
+                Window.unboundedPreceding, Window.currentRow
+            )
+        ),
+    )
     earlier = Window.partitionBy(key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        sliced.groupBy(key, SLICE)
+        changes.groupBy(key, slice_number(time, slice_ms).alias(SLICE))
         .agg(F.sum(value).alias("_summary"))
         .select(key, SLICE, F.sum("_summary").over(earlier).alias("_carry"))
     )
-    inside = Window.partitionBy(key, SLICE).orderBy(time).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    local = sliced.withColumn("_local", F.sum(value).over(inside))
     total = F.col("_local") + F.coalesce("_carry", F.lit(0).cast("bigint"))
-    return local.join(carried, [key, SLICE]).select(*df.columns, total.alias(out))
+    return local.join(carried, [key, SLICE]).select(key, time, "rises", total.alias(out))

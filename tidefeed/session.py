@@ -40,8 +40,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has written to yet."""
-    return f"{shared_folder(spark)}/tidefeed/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has written to yet.
+
+    All paths of one application lie under its id, so they can go together when it has ended.
+    """
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/tidefeed/{application}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str = "stage") -> DataFrame:

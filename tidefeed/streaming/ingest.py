@@ -12,6 +12,10 @@ from tidefeed.operators.identity import BY_TIME, upsert_latest
 from tidefeed.operators.validate import validate_split
 from tidefeed.schema import TTL_SECONDS
 
+# Take in all that is there, in micro-batches, and stop. A service passes its own trigger,
+# such as {"processingTime": "1 second"}.
+AVAILABLE_NOW = {"availableNow": True}
+
 
 def read_files(
     spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 100
@@ -30,7 +34,7 @@ def run_available(query: StreamingQuery) -> StreamingQuery:
     return query
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, *partitions: str) -> None:
     """Write one micro-batch under its own number.
 
     A batch that is run again after a failure replaces exactly its own earlier output.
@@ -45,7 +49,7 @@ def _write_batch(df: DataFrame, path: str, batch_id: int, *partitions: str) -> N
 
 
 def stream_ingest(
-    stream: DataFrame, path: str, rejected_path: str, checkpoint: str
+    stream: DataFrame, path: str, rejected_path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
     """Append valid rows in day chunks and put the others, with their reason, aside.
 
@@ -56,13 +60,13 @@ def stream_ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         valid, rejected = validate_split(batch)
         chunked = valid.withColumn("day", day_of("timestamp")).hint("rebalance", "day")
-        _write_batch(chunked, path, batch_id, "day")
-        _write_batch(rejected, rejected_path, batch_id)
+        write_batch(chunked, path, batch_id, "day")
+        write_batch(rejected, rejected_path, batch_id)
 
     return (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )
 
@@ -100,12 +104,14 @@ def dropped_by_watermark(query: StreamingQuery) -> int:
     )
 
 
-def append_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def append_stream(
+    stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
     """Write a stream to Parquet exactly once."""
     return (
         stream.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )

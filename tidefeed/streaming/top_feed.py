@@ -7,6 +7,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tidefeed.operators.feed import DESC, page
 from tidefeed.schema import INGESTED, PAGE_SIZE
+from tidefeed.streaming.ingest import AVAILABLE_NOW
 
 
 def _numbered_folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
@@ -52,6 +53,7 @@ def stream_top_feed(
     checkpoint: str,
     limit: int = PAGE_SIZE,
     fold_every: int = 32,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Keep each user's newest ``limit`` rows.
 
@@ -73,6 +75,6 @@ def stream_top_feed(
     return (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )

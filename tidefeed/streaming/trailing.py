@@ -8,6 +8,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tidefeed.functions.scalar import event_time
 from tidefeed.schema import COUNTER_SLICES
+from tidefeed.streaming.ingest import AVAILABLE_NOW, write_batch
 
 
 def slice_counts(
@@ -33,23 +34,19 @@ def slice_counts(
     )
 
 
-def stream_trailing_count(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def stream_trailing_count(
+    counts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
     """Store the counts that each micro-batch changed, under the batch's number."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (
-            batch.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(path)
-        )
+        write_batch(batch, path, batch_id)
 
     return (
         counts.writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )
 
