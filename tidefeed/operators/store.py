@@ -134,8 +134,8 @@ def write_salted(df: DataFrame, path: str, buckets: int = SALT_BUCKETS) -> None:
     """
     (
         with_row_key(df, buckets)
-        .repartitionByRange("salt", "user_id", "timestamp", "ingest_seq")
-        .sortWithinPartitions("salt", "user_id", "timestamp")
+        .repartitionByRange("salt", "row_key", "ingest_seq")
+        .sortWithinPartitions("salt", "row_key")
         .write.mode("append")
         .partitionBy("salt")
         .parquet(path)
