@@ -17,12 +17,12 @@ from tidefeed.session import local_session
 from tidefeed.workload.queries import QUERIES
 
 HEADLINE = [
-    "q01_q02_feed_first_desc",
-    "q01_q02_feed_more_asc",
-    "q03_q04_keyrange_first_all_users_desc",
-    "q05_retention_range_more_all_users_desc",
-    "q06_counted_points_all_users_desc",
-    "q07_inclusive_points_all_users_desc",
+    "q01_feed_desc_first",
+    "q02_feed_asc_more",
+    "q03_feed_keyrange_desc_first_all_users",
+    "q05_feed_retention_range_desc_more_all_users",
+    "q06_counted_points_desc_all_users",
+    "q07_inclusive_points_desc_all_users",
     "q08_feed_pages_desc",
     "q09_feed_all_users_desc",
     "q11_batch_fetch",

@@ -18,6 +18,8 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     session = local_session(8, "tests")
     session.sparkContext.setLogLevel("OFF")
+    # Small tables would otherwise be merged into one slice, and no key would cross slices.
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield session
     session.stop()
 

@@ -22,6 +22,15 @@ QUALIFIERS = ("notify_id", "user_id", "timestamp", "data")
 # -----------------------------------------------------------------------------------
 
 
+def _last_write(df: DataFrame) -> Column:
+    """The value written last where the table says in which order, else any one."""
+    return F.max_by("value", "ingest_seq") if "ingest_seq" in df.columns else F.first("value")
+
+
+def _sequence(df: DataFrame) -> list[str]:
+    return ["ingest_seq"] if "ingest_seq" in df.columns else []
+
+
 def to_points(
     df: DataFrame, fields: Sequence[str] = ("data",), measurement: str = MEASUREMENT
 ) -> DataFrame:
@@ -31,19 +40,22 @@ def to_points(
         "user_id",
         "notify_id",
         F.col("timestamp").alias("time"),
+        *_sequence(df),
         *[F.col(f).cast("string").alias(f) for f in fields],
     )
-    return wide.unpivot(list(POINT_KEYS), list(fields), "field", "value").where(
-        F.col("value").isNotNull()
-    )
+    keys = [*POINT_KEYS, *_sequence(df)]
+    return wide.unpivot(keys, list(fields), "field", "value").where(F.col("value").isNotNull())
 
 
 def from_points(points: DataFrame, fields: Sequence[str] = ("data",)) -> DataFrame:
-    """Back to one row per record. Naming the fields saves the pass that would look for them."""
+    """Back to one row per record; a field written twice has its last value.
+
+    Naming the fields saves the pass that would look for them.
+    """
     return (
         points.groupBy(*POINT_KEYS)
         .pivot("field", list(fields))
-        .agg(F.first("value"))
+        .agg(_last_write(points))
         .withColumnRenamed("time", "timestamp")
     )
 
@@ -85,7 +97,7 @@ def encode_record_json(df: DataFrame, metric: str = MEASUREMENT) -> DataFrame:
         "user_id",
         "notify_id",
         "timestamp",
-        *[c for c in ("ingest_seq",) if c in df.columns],
+        *_sequence(df),
         F.to_json(F.struct(*fields)).alias("value"),
     )
 
@@ -108,14 +120,14 @@ def records_to_cells(df: DataFrame, buckets: int = SALT_BUCKETS) -> DataFrame:
             )
         ]
     )
-    return df.select(key.alias("row_key"), F.explode(cells).alias("cell")).select(
-        "row_key", "cell.qualifier", "cell.value"
-    ).where(F.col("value").isNotNull())
+    return df.select(key.alias("row_key"), *_sequence(df), F.inline(cells)).where(
+        F.col("value").isNotNull()
+    )
 
 
 def cells_to_records(cells: DataFrame, strict: bool = False) -> DataFrame:
-    """Back to one typed row per row key; a missing cell is null."""
-    wide = cells.groupBy("row_key").pivot("qualifier", list(QUALIFIERS)).agg(F.first("value"))
+    """Back to one typed row per row key; the last write of a cell counts, a missing one is null."""
+    wide = cells.groupBy("row_key").pivot("qualifier", list(QUALIFIERS)).agg(_last_write(cells))
     data: Column = string_of("data")
     return wide.select(
         string_of("user_id").alias("user_id"),

@@ -40,9 +40,12 @@ def range_slices(
     ``order`` should end in a unique column, or copies of one row cannot be told apart and
     stay together. The result is written out: the cut points come from a sample, so a second
     evaluation might cut elsewhere, and every reader has to see the same slices.
+
+    Without a number of slices Spark starts from ``spark.sql.shuffle.partitions`` and merges
+    neighbours that are small.
     """
-    count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(count, F.asc(key), *_sort(order, descending))
+    sort = [F.asc(key), *_sort(order, descending)]
+    ranged = df.repartitionByRange(slices, *sort) if slices else df.repartitionByRange(*sort)
     return written(ranged.withColumn(SLICE, F.spark_partition_id()), "slices")
 
 

@@ -242,33 +242,33 @@ ORACLE: dict[str, str] = {
       FROM ({FEED})""",
     "w12_decode_record_json": FEED,
     "w13_export_report": REPORT,
-    "q01_q02_feed_first_desc": user_page(FEED, "desc"),
-    "q01_q02_feed_first_asc": user_page(FEED, "asc"),
-    "q01_q02_feed_more_desc": user_page(FEED, "desc", f"timestamp < {CURSOR}"),
-    "q01_q02_feed_more_asc": user_page(FEED, "asc", f"timestamp > {CURSOR}"),
-    "q01_q02_feed_more_all_users_desc": all_pages(FEED, "desc", f"timestamp < {CURSOR}"),
-    "q01_q02_feed_more_all_users_asc": all_pages(FEED, "asc", f"timestamp > {CURSOR}"),
-    "q05_retention_range_first_desc": user_page(merged(
+    "q01_feed_desc_first": user_page(FEED, "desc"),
+    "q02_feed_asc_first": user_page(FEED, "asc"),
+    "q01_feed_desc_more": user_page(FEED, "desc", f"timestamp < {CURSOR}"),
+    "q02_feed_asc_more": user_page(FEED, "asc", f"timestamp > {CURSOR}"),
+    "q01_feed_desc_more_all_users": all_pages(FEED, "desc", f"timestamp < {CURSOR}"),
+    "q02_feed_asc_more_all_users": all_pages(FEED, "asc", f"timestamp > {CURSOR}"),
+    "q05_feed_retention_range_desc_first": user_page(merged(
         SHARED, f"timestamp >= {AS_OF - TTL} AND timestamp < {AS_OF}"), "desc"),
-    "q05_retention_range_first_asc": user_page(merged(
+    "q05_feed_retention_range_asc_first": user_page(merged(
         SHARED, f"timestamp >= {AS_OF - TTL} AND timestamp < {AS_OF}"), "asc"),
-    "q05_retention_range_more_all_users_desc": all_pages(merged(
+    "q05_feed_retention_range_desc_more_all_users": all_pages(merged(
         SHARED, f"timestamp >= {AS_OF - LONG_TTL} AND timestamp < {CURSOR}"), "desc"),
-    "q05_retention_range_more_all_users_asc": all_pages(merged(
+    "q05_feed_retention_range_asc_more_all_users": all_pages(merged(
         SHARED, f"timestamp >= {AS_OF - LONG_TTL} AND timestamp < {CURSOR}"), "asc"),
     "q06_counted_points_desc": counted(f"""user_id IN ('3', '8', '12')
       AND timestamp BETWEEN 0 AND {(CURSOR + 123) // 1000 * 1000}"""),
     "q06_counted_points_asc": counted(f"""user_id IN ('3', '8', '12')
       AND timestamp BETWEEN {(CURSOR + 123) // 1000 * 1000} AND {AS_OF}"""),
-    "q06_counted_points_all_users_desc": counted(f"timestamp BETWEEN 0 AND {AS_OF}"),
-    "q06_counted_points_all_users_asc": counted(f"timestamp BETWEEN 0 AND {AS_OF}"),
+    "q06_counted_points_desc_all_users": counted(f"timestamp BETWEEN 0 AND {AS_OF}"),
+    "q06_counted_points_asc_all_users": counted(f"timestamp BETWEEN 0 AND {AS_OF}"),
     "q07_inclusive_points_desc": f"""SELECT {COLS} FROM ({FEED})
       WHERE user_id = '8' AND timestamp BETWEEN 0 AND {CURSOR}""",
     "q07_inclusive_points_asc": f"""SELECT {COLS} FROM ({FEED})
       WHERE user_id = '8' AND timestamp BETWEEN {CURSOR} AND {AS_OF}""",
-    "q07_inclusive_points_all_users_desc": f"""SELECT {COLS} FROM ({FEED})
+    "q07_inclusive_points_desc_all_users": f"""SELECT {COLS} FROM ({FEED})
       WHERE timestamp BETWEEN 0 AND {CURSOR}""",
-    "q07_inclusive_points_all_users_asc": f"""SELECT {COLS} FROM ({FEED})
+    "q07_inclusive_points_asc_all_users": f"""SELECT {COLS} FROM ({FEED})
       WHERE timestamp BETWEEN {CURSOR} AND {AS_OF}""",
     "q08_feed_pages_desc": pages("desc"),
     "q08_feed_pages_asc": pages("asc"),
@@ -378,8 +378,9 @@ for _d, _first, _more in (
 ):
     _upserted = latest(HOURLY, "user_id, timestamp", ALL)
     _long = f"timestamp >= {AS_OF - LONG_TTL}" if _d == "asc" else _first
-    ORACLE[f"q03_q04_keyrange_first_{_d}"] = user_page(_upserted, _d, _long)
-    ORACLE[f"q03_q04_keyrange_more_{_d}"] = user_page(_upserted, _d, _more)
-    ORACLE[f"q03_q04_keyrange_first_all_users_{_d}"] = all_pages(_upserted, _d, _first)
-    ORACLE[f"q03_q04_keyrange_more_all_users_{_d}"] = all_pages(_upserted, _d, _more)
+    _id = f"q03_feed_keyrange_{_d}" if _d == "desc" else f"q04_feed_keyrange_{_d}"
+    ORACLE[f"{_id}_first"] = user_page(_upserted, _d, _long)
+    ORACLE[f"{_id}_more"] = user_page(_upserted, _d, _more)
+    ORACLE[f"{_id}_first_all_users"] = all_pages(_upserted, _d, _first)
+    ORACLE[f"{_id}_more_all_users"] = all_pages(_upserted, _d, _more)
     ORACLE[f"q16_rowkey_range_scan_{_d}"] = user_page(_upserted, _d, _more)

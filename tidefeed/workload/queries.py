@@ -44,11 +44,16 @@ def query(name: str) -> Callable[[Query], Query]:
     return register
 
 
-def each_direction(name: str, build: Callable[[DataFrame, str], DataFrame],
-                   table: Callable[[SparkSession, str], DataFrame]) -> None:
-    """Register ``<name>_desc`` and ``<name>_asc``."""
-    for direction in (Q.DESC, Q.ASC):
-        QUERIES[f"{name}_{direction}"] = (
+def each_direction(
+    name: str,
+    build: Callable[[DataFrame, str], DataFrame],
+    table: Callable[[SparkSession, str], DataFrame],
+    desc: str = "",
+    asc: str = "",
+) -> None:
+    """Register a query for both directions; ``name`` says where id and direction go."""
+    for direction, number in ((Q.DESC, desc), (Q.ASC, asc)):
+        QUERIES[name.format(id=number, dir=direction)] = (
             lambda spark, folder, d=direction: build(table(spark, folder), d)
         )
 
@@ -253,37 +258,43 @@ def _typed_feed(spark, folder):
 
 # ---- feed pages -------------------------------------------------------------------------
 
-each_direction("q01_q02_feed_first", lambda df, d: Q.feed(df, d, USER), feed_table)
-each_direction("q01_q02_feed_more", lambda df, d: Q.feed(df, d, USER, CURSOR), feed_table)
-each_direction("q01_q02_feed_more_all_users", lambda df, d: Q.feed(df, d, None, CURSOR),
-               feed_table)
-each_direction("q03_q04_keyrange_first",
+FEED_IDS = {"desc": "q01", "asc": "q02"}
+KEYRANGE_IDS = {"desc": "q03", "asc": "q04"}
+
+each_direction("{id}_feed_{dir}_first", lambda df, d: Q.feed(df, d, USER), feed_table, **FEED_IDS)
+each_direction("{id}_feed_{dir}_more", lambda df, d: Q.feed(df, d, USER, CURSOR), feed_table,
+               **FEED_IDS)
+each_direction("{id}_feed_{dir}_more_all_users", lambda df, d: Q.feed(df, d, None, CURSOR),
+               feed_table, **FEED_IDS)
+each_direction("{id}_feed_keyrange_{dir}_first",
                lambda df, d: Q.feed_keyrange(df, d, AS_OF, USER, ttl_seconds=LONG_TTL),
-               hourly_table)
-each_direction("q03_q04_keyrange_more",
-               lambda df, d: Q.feed_keyrange(df, d, AS_OF, USER, CURSOR), hourly_table)
-each_direction("q03_q04_keyrange_first_all_users",
-               lambda df, d: Q.feed_keyrange(df, d, AS_OF), hourly_table)
-each_direction("q03_q04_keyrange_more_all_users",
-               lambda df, d: Q.feed_keyrange(df, d, AS_OF, None, CURSOR), hourly_table)
-each_direction("q05_retention_range_first",
+               hourly_table, **KEYRANGE_IDS)
+each_direction("{id}_feed_keyrange_{dir}_more",
+               lambda df, d: Q.feed_keyrange(df, d, AS_OF, USER, CURSOR), hourly_table,
+               **KEYRANGE_IDS)
+each_direction("{id}_feed_keyrange_{dir}_first_all_users",
+               lambda df, d: Q.feed_keyrange(df, d, AS_OF), hourly_table, **KEYRANGE_IDS)
+each_direction("{id}_feed_keyrange_{dir}_more_all_users",
+               lambda df, d: Q.feed_keyrange(df, d, AS_OF, None, CURSOR), hourly_table,
+               **KEYRANGE_IDS)
+each_direction("q05_feed_retention_range_{dir}_first",
                lambda df, d: Q.feed_retention_range(df, d, AS_OF, USER), shared_table)
-each_direction("q05_retention_range_more_all_users",
+each_direction("q05_feed_retention_range_{dir}_more_all_users",
                lambda df, d: Q.feed_retention_range(df, d, AS_OF, None, CURSOR, LONG_TTL),
                shared_table)
-each_direction("q06_counted_points",
+each_direction("q06_counted_points_{dir}",
                lambda df, d: Q.counted_points(df, d, AS_OF, USERS, CURSOR + 123), hourly_table)
-each_direction("q06_counted_points_all_users",
+each_direction("q06_counted_points_{dir}_all_users",
                lambda df, d: Q.counted_points(df, d, AS_OF), hourly_table)
-each_direction("q07_inclusive_points",
+each_direction("q07_inclusive_points_{dir}",
                lambda df, d: Q.inclusive_points(df, d, AS_OF, USER, CURSOR), json_points)
-each_direction("q07_inclusive_points_all_users",
+each_direction("q07_inclusive_points_{dir}_all_users",
                lambda df, d: Q.inclusive_points(df, d, AS_OF, None, CURSOR), json_points)
-each_direction("q08_feed_pages", lambda df, d: Q.feed_pages(df, d), hourly_table)
-each_direction("q08_page_cursors", lambda df, d: Q.page_cursors(Q.feed_pages(df, d), d),
+each_direction("q08_feed_pages_{dir}", lambda df, d: Q.feed_pages(df, d), hourly_table)
+each_direction("q08_page_cursors_{dir}", lambda df, d: Q.page_cursors(Q.feed_pages(df, d), d),
                hourly_table)
-each_direction("q09_feed_all_users", lambda df, d: Q.feed(df, d), feed_table)
-each_direction("q16_rowkey_range_scan",
+each_direction("q09_feed_all_users_{dir}", lambda df, d: Q.feed(df, d), feed_table)
+each_direction("q16_rowkey_range_scan_{dir}",
                lambda df, d: Q.rowkey_range_scan(store.with_row_key(df), USER, d, AS_OF, CURSOR),
                hourly_table)
 
