@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 
 from tidefeed.operators import feed as Q
 from tidefeed.operators import forms, store
-from tidefeed.operators.requests import batch_fetch, gen_requests, request_span
-from tidefeed.schema import INGESTED
+from tidefeed.operators.requests import (
+    _needed_slices,
+    batch_fetch,
+    gen_requests,
+    request_span,
+)
+from tidefeed.schema import INGESTED, MS_PER_DAY
 
 AS_OF = 1_706_659_200_000
 TTL = 3 * 86_400
@@ -218,11 +223,15 @@ def request_rows():
     return rows
 
 
-def test_batch_fetch_answers_like_single_fetches(spark, skewed):
+@pytest.mark.parametrize(
+    "slice_ms, limit, prune",
+    [(MS_PER_DAY, 20, None), (MS_PER_DAY, 20, False), (700, 20, True), (40, 20, True),
+     (1, 3, True)])
+def test_batch_fetch_answers_like_single_fetches(spark, skewed, slice_ms, limit, prune):
     schema = "req_id bigint, user_id string, from_time bigint, direction string"
     asked = spark.createDataFrame(request_rows(), schema)
     got = {}
-    for r in batch_fetch(skewed, asked, 20).orderBy("req_id", "rank").collect():
+    for r in batch_fetch(skewed, asked, limit, slice_ms, prune).orderBy("req_id", "rank").collect():
         got.setdefault(r.req_id, [])
         if r["rank"] is not None:
             got[r.req_id].append((r.user_id, r.notify_id, r.timestamp, r.data))
@@ -233,7 +242,17 @@ def test_batch_fetch_answers_like_single_fetches(spark, skewed):
                 cursor is None or (r[2] < cursor if direction == "desc" else r[2] > cursor))
         ]
         kept.sort(key=lambda r: (r[2], r[1], r[4]), reverse=direction == "desc")
-        assert got[n] == [tuple(r[:4]) for r in kept[:20]]
+        assert got[n] == [tuple(r[:4]) for r in kept[:limit]]
+
+
+def test_only_slices_near_a_cursor_are_needed(spark):
+    rows = [("u", f"n{i}", i * 10, "{}", i) for i in range(1000)]
+    cursors = spark.createDataFrame(
+        [("u", "desc", 5000), ("u", "asc", 8000), ("u", "desc", 1 << 62)],
+        "user_id string, direction string, _at bigint")
+    needed = _needed_slices(spark.createDataFrame(rows, INGESTED), cursors, 100, 20)
+    # Ten rows in a slice: the cursor's own slice and the two whole ones beyond it.
+    assert sorted(r._part for r in needed.collect()) == [48, 49, 50, 80, 81, 82, 98, 99]
 
 
 def test_generated_requests(spark, edges):

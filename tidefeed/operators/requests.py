@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidefeed.functions.scalar import slice_number
 from tidefeed.operators.feed import DESC
-from tidefeed.plans.ordered import SLICE, range_slices, running_total
-from tidefeed.schema import MS_PER_SECOND, PAGE_SIZE
+from tidefeed.plans.ordered import range_slices, running_total
+from tidefeed.plans.pruning import broadcast_if_few
+from tidefeed.schema import MS_PER_DAY, MS_PER_SECOND, PAGE_SIZE
 from tidefeed.session import written
 
 # ---- fixed values -----------------------------------------------------------------
@@ -15,7 +17,11 @@ USER_STEP = 7919          # strides that spread request numbers over users and t
 CURSOR_STEP = 104729
 # -----------------------------------------------------------------------------------
 
-BEFORE_ALL, AFTER_ALL = -(1 << 63), (1 << 63) - 1
+# Open cursors stand outside all times, and far enough inside bigint for arithmetic.
+BEFORE_ALL, AFTER_ALL = -(1 << 62), 1 << 62
+# Distinct cursors up to which what they ask for is broadcast: each asks for at most
+# ``limit`` + 1 slices.
+FEW_CURSORS = 20_000
 
 
 def gen_requests(
@@ -40,10 +46,10 @@ def gen_requests(
 
     base = numbers.select(
         number.cast("bigint").alias("req_id"),
-        *[span.select(c).scalar().alias(f"_{c}") for c in ("users", "min_ms", "max_ms", "total")],
+        span.select(F.struct("users", "min_ms", "max_ms", "total")).scalar().alias("_span"),
     )
-    req, users, total = F.col("req_id"), F.col("_users"), F.col("_total")
-    low, high = F.col("_min_ms"), F.col("_max_ms")
+    req, users, total = F.col("req_id"), F.col("_span.users"), F.col("_span.total")
+    low, high = F.col("_span.min_ms"), F.col("_span.max_ms")
     width = checked(high > low, high - low, "min_ms must be below max_ms")
     base = base.withColumn("_width", width)
     width = F.col("_width")
@@ -82,56 +88,115 @@ def request_span(df: DataFrame) -> DataFrame:
     )
 
 
+def _needed_slices(
+    df: DataFrame, cursors: DataFrame, slice_ms: int, limit: int
+) -> DataFrame:
+    """(user, slice) pairs of the time line that can hold a row of some page.
+
+    Going back from a cursor, a slice is needed while the whole slices between it and the
+    cursor's own have fewer than ``limit`` rows; the nearest cursor decides. Both directions
+    come from one window over a user's slices, of which there is one per slice of the time
+    span, however many rows or cursors the user has.
+    """
+    wanted = broadcast_if_few(cursors.select("user_id").distinct(), cursors, FEW_CURSORS)
+    zero = F.lit(0).cast("bigint")
+    held = (
+        df.join(wanted, "user_id", "left_semi")
+        .groupBy("user_id", slice_number("timestamp", slice_ms).alias("_part"))
+        .agg(F.count("*").alias("_rows"))
+        .select("*", F.lit(False).alias("_back"), F.lit(False).alias("_forth"))
+    )
+    asked = cursors.groupBy("user_id", slice_number("_at", slice_ms).alias("_part")).agg(
+        zero.alias("_rows"),
+        F.bool_or(F.col("direction") == DESC).alias("_back"),
+        F.bool_or(F.col("direction") != DESC).alias("_forth"),
+    )
+    parts = held.unionByName(asked).groupBy("user_id", "_part").agg(
+        F.sum("_rows").alias("_rows"),
+        F.bool_or("_back").alias("_back"),
+        F.bool_or("_forth").alias("_forth"),
+    )
+    order = Window.partitionBy("user_id").orderBy("_part")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    counted = parts.withColumn("_through", F.sum("_rows").over(so_far))
+    before = F.col("_through") - F.col("_rows")
+    between_back = F.min(F.when(F.col("_back"), before)).over(ahead) - F.col("_through")
+    between_forth = before - F.max(F.when(F.col("_forth"), F.col("_through"))).over(so_far)
+    return (
+        counted.withColumns({"_to_next": between_back, "_from_last": between_forth})
+        .where((F.col("_rows") > 0) & ((F.col("_to_next") < limit) | (F.col("_from_last") < limit)))
+        .select("user_id", "_part")
+    )
+
+
 def batch_fetch(
-    df: DataFrame, requests: DataFrame, limit: int = PAGE_SIZE
+    df: DataFrame,
+    requests: DataFrame,
+    limit: int = PAGE_SIZE,
+    slice_ms: int = MS_PER_DAY,
+    prune: bool | None = None,
 ) -> DataFrame:
     """The page of every request; a request without rows gets one row with a null rank.
 
     Joining requests to rows on the user would pair every request of a busy user with every
-    row of that user. Instead rows and distinct cursors are sorted together once; a running
-    count gives each row its place in the user's feed and each cursor the number of rows
-    before it. A page is then ``limit`` known places, looked up by (user, place).
+    row of that user. Instead the slices of time that any page can touch are found from row
+    counts, and their rows are sorted together with the distinct cursors. A running count then
+    gives each row its place in the user's feed, and each cursor the number of rows before it.
+    A page is ``limit`` known places, looked up by (user, place).
+
+    Finding the slices first (``prune``) takes a pass over users and times. Left open, it is
+    done where the pages have fewer rows than the table.
     """
+    newest_first = F.col("direction") == DESC
     at = F.coalesce(
         F.col("from_time"),
-        F.when(F.col("direction") == DESC, F.lit(AFTER_ALL)).otherwise(F.lit(BEFORE_ALL)),
+        F.when(newest_first, F.lit(AFTER_ALL)).otherwise(F.lit(BEFORE_ALL)),
     )
     asked = requests.withColumn("_at", at)
-    cursors = asked.select("user_id", "direction", "_at").distinct()
-    wanted_users = cursors.select("user_id").distinct()
-
-    # A strict cursor stands before the rows of its own instant when going back in time and
-    # after them when going forward; the open cursors stand outside everything.
-    newest_first = F.col("direction") == DESC
-    side = (
-        F.when(F.col("_at") == AFTER_ALL, 2)
-        .when(F.col("_at") == BEFORE_ALL, 0)
-        .when(newest_first, 0)
-        .otherwise(2)
-    )
-    rows = df.join(wanted_users, "user_id", "left_semi").select(
+    cursors = written(asked.select("user_id", "direction", "_at").distinct(), "cursors")
+
+    if prune is None:
+        prune = cursors.count() * limit < df.count()
+    kept = df
+    if prune:
+        # Between two cursors rows may be missing then, but never one that a page needs: the
+        # rows from a cursor to the end of its page are all there, side by side.
+        needed = broadcast_if_few(
+            _needed_slices(df, cursors, slice_ms, limit), cursors, FEW_CURSORS
+        )
+        part = slice_number("timestamp", slice_ms)
+        kept = df.withColumn("_part", part).join(needed, ["user_id", "_part"], "left_semi")
+    rows = kept.select(
         "user_id",
         F.col("timestamp").alias("_at"),
         F.lit(1).alias("_side"),
         "notify_id",
         "ingest_seq",
         F.lit(None).cast("string").alias("direction"),
+        "data",
     )
+    # A strict cursor stands before the rows of its own instant when going back in time and
+    # after them when going forward.
     marks = cursors.select(
         "user_id",
         "_at",
-        side.alias("_side"),
+        F.when(newest_first, 0).otherwise(2).alias("_side"),
         F.lit("").alias("notify_id"),
         F.lit(0).cast("bigint").alias("ingest_seq"),
         "direction",
+        F.lit(None).cast("string").alias("data"),
     )
     order = ["_at", "_side", "notify_id", "ingest_seq"]
     sliced = range_slices(rows.unionByName(marks), "user_id", order)
     is_row = F.when(F.col("_side") == 1, 1).otherwise(0).cast("bigint")
-    placed = written(running_total(sliced, "user_id", order, is_row, "_place").drop(SLICE))
+    placed = running_total(sliced, "user_id", order, is_row, "_place")
+    marked = written(
+        placed.where(F.col("_side") != 1).select("user_id", "direction", "_at", "_place"),
+        "marks",
+    )
 
     # Many cursors may stand at the same place; the page there is looked up once.
-    marked = placed.where(F.col("_side") != 1).select("user_id", "direction", "_at", "_place")
     spots = marked.select("user_id", "direction", F.col("_place").alias("_spot")).distinct()
     rank = F.explode(F.sequence(F.lit(1), F.lit(limit))).alias("rank")
     place = F.when(newest_first, F.col("_spot") - F.col("rank") + 1).otherwise(
@@ -139,16 +204,9 @@ def batch_fetch(
     )
     places = spots.select("*", rank).withColumn("_place", place).where(F.col("_place") > 0)
     found = placed.where(F.col("_side") == 1).select(
-        "user_id", "_place", F.col("_at").alias("timestamp"), "notify_id", "ingest_seq"
-    )
-    pages = (
-        places.join(found, ["user_id", "_place"])
-        .join(
-            df.select("user_id", "timestamp", "notify_id", "ingest_seq", "data"),
-            ["user_id", "timestamp", "notify_id", "ingest_seq"],
-        )
-        .select("user_id", "direction", "_spot", "rank", "notify_id", "timestamp", "data")
+        "user_id", "_place", "notify_id", F.col("_at").alias("timestamp"), "data"
     )
+    pages = places.join(found, ["user_id", "_place"]).drop("_place")
     return (
         asked.join(marked, ["user_id", "direction", "_at"])
         .withColumnRenamed("_place", "_spot")

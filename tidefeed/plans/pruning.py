@@ -42,3 +42,13 @@ def time_range(
         if has_day:
             df = df.where(F.col("day") <= F.lit(day_literal(upper)))
     return df
+
+
+def broadcast_if_few(df: DataFrame, counted: DataFrame, most: int) -> DataFrame:
+    """``df`` with a broadcast hint where ``counted`` has at most ``most`` rows.
+
+    ``counted`` is a written table, so counting it reads file footers only, and ``df`` must be
+    bounded by it. Without the hint Spark would shuffle the large side before it learns that
+    the other one is small.
+    """
+    return F.broadcast(df) if counted.count() <= most else df

@@ -14,7 +14,7 @@ from tidefeed.operators import forms, ids, metrics, monitor, requests, store
 from tidefeed.operators.identity import BY_POINT, BY_TIME, first_per_id, upsert_latest
 from tidefeed.operators.validate import validate_split, with_reject_reason
 from tidefeed.schema import INGESTED, MS_PER_DAY, MS_PER_HOUR, NOTIFICATIONS
-from tidefeed.session import new_folder
+from tidefeed.session import new_folder, written
 from tidefeed.sources import derived
 from tidefeed.sources.monitor import load_monitor_log
 from tidefeed.sources.notifications import gen_notifications, read_feed
@@ -320,7 +320,7 @@ def _(spark, folder):
 @query("q11_batch_fetch")
 def _(spark, folder):
     asked = _requests(spark, folder).select("req_id", "user_id", "from_time", "direction")
-    return requests.batch_fetch(hourly_table(spark, folder), asked)
+    return requests.batch_fetch(hourly_table(spark, folder), written(asked, "requests"))
 
 
 @query("q12_monitor_search")
