@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tidefeed.operators import forms, store
+from tidefeed.operators import dialects, forms, store
 from tidefeed.operators.identity import BY_POINT, first_per_id, upsert_latest
 from tidefeed.operators.validate import validate_split, validate_strict
 from tidefeed.plans.pruning import time_range
@@ -181,3 +181,40 @@ def test_any_time_type_loads(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+class Unset:
+    """A session that names no shared folder."""
+
+    def __init__(self, master):
+        self.conf = {}
+        self.sparkContext = self
+        self.master = master
+
+
+def test_only_a_local_session_may_go_without_a_shared_folder():
+    assert shared_folder(Unset("local[4]")) == shared_folder(Unset("local[2]"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Unset("yarn"))
+
+
+def test_write_rules_per_dialect(spark):
+    rows = [("a", "n1", 5, "{}", 1), ("a", "n2", 5, "{}", 2), ("a", "n2", 5, '{"v":1}', 3),
+            (None, "n3", 5, "{}", 4), ("a", "n4", 6, None, 5)]
+    df = spark.createDataFrame(rows, INGESTED)
+    kept = {d: sorted(r.ingest_seq for r in dialects.as_stored(df, d).collect())
+            for d in dialects.RULES}
+    assert kept == {
+        "key_range": [3], "append": [1, 2, 3], "retention_range": [1, 3, 4, 5],
+        "counted_points": [1, 3, 4, 5], "inclusive_points": [1, 3, 4, 5]}
+    assert {r.data for r in dialects.as_stored(df, "counted_points").collect()} == {None}
+
+
+def test_retention_per_dialect(spark):
+    day = MS_PER_DAY
+    as_of = D0 + 40 * day + 5
+    rows = [("a", "n", as_of - n * day, "{}", n) for n in range(40)]
+    df = spark.createDataFrame(rows, INGESTED)
+    kept = {d: dialects.retained(df, d, as_of).count() for d in dialects.RULES}
+    assert kept == {"key_range": 4, "append": 31, "retention_range": 4,
+                    "counted_points": 40, "inclusive_points": 40}

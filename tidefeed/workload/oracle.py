@@ -384,3 +384,24 @@ for _d, _first, _more in (
     ORACLE[f"{_id}_first_all_users"] = all_pages(_upserted, _d, _first)
     ORACLE[f"{_id}_more_all_users"] = all_pages(_upserted, _d, _more)
     ORACLE[f"q16_rowkey_range_scan_{_d}"] = user_page(_upserted, _d, _more)
+
+_DIRTY_HOURLY = f"""SELECT user_id, notify_id, timestamp // {HOUR} * {HOUR} AS timestamp, data,
+  ingest_seq, reject_reason FROM ({REASONED})"""
+_VALID = f"SELECT * FROM ({_DIRTY_HOURLY}) WHERE reject_reason = ''"
+_POINTS = latest(_DIRTY_HOURLY, "user_id, notify_id, timestamp", ALL)
+_LATER = AS_OF + 5 * DAY
+_WITHIN_TTL = f"SELECT * FROM ({FEED}) WHERE timestamp >= {_LATER - TTL}"
+ORACLE |= {
+    "w02_w03_stored_key_range": latest(_VALID, "user_id, timestamp", ALL),
+    "w02_w03_stored_append": f"SELECT {ALL} FROM ({_VALID})",
+    "w02_w03_stored_retention_range": _POINTS,
+    "w02_w03_stored_counted_points": f"""SELECT user_id, notify_id, timestamp,
+      CAST(NULL AS VARCHAR) AS data, ingest_seq FROM ({_POINTS})""",
+    "w02_w03_stored_inclusive_points": _POINTS,
+    "w06_w07_retained_key_range": _WITHIN_TTL,
+    "w06_w07_retained_append": f"""SELECT * FROM ({FEED})
+      WHERE (timestamp // {DAY} + 1) * {DAY} > {_LATER - 30 * DAY}""",
+    "w06_w07_retained_retention_range": _WITHIN_TTL,
+    "w06_w07_retained_counted_points": FEED,
+    "w06_w07_retained_inclusive_points": FEED,
+}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidefeed.functions import scalar as S
 from tidefeed.functions import ulid as U
 from tidefeed.operators import feed as Q
-from tidefeed.operators import forms, ids, metrics, monitor, requests, store
+from tidefeed.operators import dialects, forms, ids, metrics, monitor, requests, store
 from tidefeed.operators.identity import BY_POINT, BY_TIME, first_per_id, upsert_latest
 from tidefeed.operators.validate import validate_split, with_reject_reason
 from tidefeed.schema import INGESTED, MS_PER_DAY, MS_PER_HOUR, NOTIFICATIONS
@@ -133,6 +133,15 @@ def _(spark, folder):
     return kept.unionByName(spark.read.parquet(rejected))
 
 
+for _dialect in dialects.RULES:
+    QUERIES[f"w02_w03_stored_{_dialect}"] = lambda spark, folder, d=_dialect: dialects.as_stored(
+        derived.hourly(dirty_table(spark, folder)), d
+    )
+    QUERIES[f"w06_w07_retained_{_dialect}"] = lambda spark, folder, d=_dialect: dialects.retained(
+        feed_table(spark, folder), d, AS_OF + 5 * MS_PER_DAY
+    )
+
+
 @query("w03_upsert_by_time")
 def _(spark, folder):
     return upsert_latest(hourly_table(spark, folder), BY_TIME)
