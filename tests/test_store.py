@@ -45,6 +45,15 @@ def test_append_makes_day_chunks(spark, feed, folder):
     assert days == ["day=2023-12-09", "day=2023-12-10", "day=2023-12-11"]
 
 
+def test_bootstrap_replaces_everything(spark, feed, folder):
+    path = f"{folder}/feed"
+    store.append(feed, path)
+    store.bootstrap(gen_range(spark, 100, D0 + 5 * MS_PER_DAY, users=3), path)
+    stored = read_feed(spark, path)
+    assert stored.count() == 100 and stored.select("day").distinct().count() == 1
+    assert {r.user_id for r in stored.collect()} == {"0", "1", "2"}
+
+
 def test_range_reads_only_its_days(spark, feed, folder):
     path = f"{folder}/feed"
     store.append(feed, path)

@@ -12,10 +12,16 @@ from tidefeed.schema import MS_PER_DAY, MS_PER_HOUR, MS_PER_SECOND, SALT_BUCKETS
 ColumnOrName = Column | str
 
 
-def _col(c: ColumnOrName) -> Column:
+def as_column(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def whole_div(value: ColumnOrName, by: Column | int) -> Column:
+    """The quotient of two whole numbers, cut towards zero."""
+    divisor = F.lit(by).cast("bigint") if isinstance(by, int) else by
+    return F.call_function("div", as_column(value), divisor)
+
+
 # ---- time ---------------------------------------------------------------------------
 
 def epoch_ms(df: DataFrame, name: str) -> Column:
@@ -32,17 +38,17 @@ def epoch_ms(df: DataFrame, name: str) -> Column:
 
 def event_time(ms: ColumnOrName) -> Column:
     """The timestamp of an epoch-millisecond column."""
-    return F.timestamp_millis(_col(ms))
+    return F.timestamp_millis(as_column(ms))
 
 
 def floor_to(ms: ColumnOrName, width: int) -> Column:
     """``ms`` rounded down to a multiple of ``width``; right for negative values too."""
-    return _col(ms) - F.pmod(_col(ms), F.lit(width).cast("bigint"))
+    return as_column(ms) - F.pmod(as_column(ms), F.lit(width).cast("bigint"))
 
 
 def slice_number(ms: ColumnOrName, width: int) -> Column:
     """Number of the ``width``-wide slice of the time line that ``ms`` falls in."""
-    return F.call_function("div", floor_to(ms, width), F.lit(width).cast("bigint"))
+    return whole_div(floor_to(ms, width), width)
 
 
 def day_of(ms: ColumnOrName) -> Column:
@@ -56,15 +62,13 @@ def truncate_to_second(ms: ColumnOrName) -> Column:
 
 def format_duration(ms: ColumnOrName) -> Column:
     """Milliseconds as ``seconds.mmm``."""
-    ms = _col(ms).cast("bigint")
-    return F.format_string(
-        "%d.%03d", F.call_function("div", ms, F.lit(MS_PER_SECOND)), ms % MS_PER_SECOND
-    )
+    ms = as_column(ms).cast("bigint")
+    return F.format_string("%d.%03d", whole_div(ms, MS_PER_SECOND), ms % MS_PER_SECOND)
 
 
 def hours_between(later_ms: ColumnOrName, earlier_ms: ColumnOrName) -> Column:
     """Distance in hours, rounded half up to two decimals."""
-    return F.round((_col(later_ms) - _col(earlier_ms)) / F.lit(float(MS_PER_HOUR)), 2)
+    return F.round((as_column(later_ms) - as_column(earlier_ms)) / F.lit(float(MS_PER_HOUR)), 2)
 
 
 # ---- hashed, salted and binary keys ---------------------------------------------------
@@ -87,7 +91,7 @@ def java_string_hash(text: ColumnOrName) -> Column:
         )
         return F.when(point < 0x10000, add(acc, point)).otherwise(pair)
 
-    points = F.transform(F.split(_col(text), ""), lambda c: F.ascii(c).cast("bigint"))
+    points = F.transform(F.split(as_column(text), ""), lambda c: F.ascii(c).cast("bigint"))
     total = F.aggregate(points, F.lit(0).cast("bigint"), step)
     return F.when(total >= wrap // 2, total - wrap).otherwise(total).cast("int")
 
@@ -100,13 +104,13 @@ def salted_key(key: ColumnOrName, buckets: int = SALT_BUCKETS) -> Column:
     """``<salt>-<key>`` with the salt padded to the width of the largest one."""
     width = len(str(max(buckets - 1, 0)))
     return F.concat(
-        F.lpad(salt_bucket(key, buckets).cast("string"), width, "0"), F.lit("-"), _col(key)
+        F.lpad(salt_bucket(key, buckets).cast("string"), width, "0"), F.lit("-"), as_column(key)
     )
 
 
 def big_endian(value: ColumnOrName) -> Column:
     """A bigint as its 8 big-endian bytes."""
-    return F.unhex(F.lpad(F.hex(_col(value)), 16, "0"))
+    return F.unhex(F.lpad(F.hex(as_column(value)), 16, "0"))
 
 
 def row_key(
@@ -121,42 +125,42 @@ def row_key(
 
 
 def string_of(value: ColumnOrName) -> Column:
-    return F.decode(_col(value), "UTF-8")
+    return F.decode(as_column(value), "UTF-8")
 
 
 def long_of(value: ColumnOrName) -> Column:
     """Signed big-endian bigint; null in, null out."""
-    return F.conv(F.hex(_col(value)), 16, -10).cast("bigint")
+    return F.conv(F.hex(as_column(value)), 16, -10).cast("bigint")
 
 
 def int_of(value: ColumnOrName) -> Column:
     """Signed big-endian 4-byte int; null in, null out."""
-    unsigned = F.conv(F.hex(_col(value)), 16, 10).cast("bigint")
+    unsigned = F.conv(F.hex(as_column(value)), 16, 10).cast("bigint")
     return F.when(unsigned >= 1 << 31, unsigned - (1 << 32)).otherwise(unsigned).cast("int")
 
 
 def bool_of(value: ColumnOrName) -> Column:
     """Any byte but zero is true; null is false."""
-    return F.coalesce(_col(value) != F.lit(b"\x00"), F.lit(False))
+    return F.coalesce(as_column(value) != F.lit(b"\x00"), F.lit(False))
 
 
 # ---- JSON -----------------------------------------------------------------------------
 
 def is_json_object(text: ColumnOrName) -> Column:
     """True for well-formed JSON whose top level is an object; never null."""
-    text = _col(text)
+    text = as_column(text)
     opens = F.ltrim(text, F.lit(" \t\r\n")).startswith("{")
     return F.coalesce(opens & F.try_parse_json(text).isNotNull(), F.lit(False))
 
 
 def lenient_json_object(text: ColumnOrName, default: str | None = "{}") -> Column:
     """The text where it is a JSON object, else ``default``: the row is kept either way."""
-    return F.when(is_json_object(text), _col(text)).otherwise(F.lit(default).cast("string"))
+    return F.when(is_json_object(text), as_column(text)).otherwise(F.lit(default).cast("string"))
 
 
 def strict_json_object(text: ColumnOrName) -> Column:
     """The text where it is a JSON object; anything else fails the query."""
-    text = _col(text)
+    text = as_column(text)
     problem = F.concat(F.lit("not a JSON object: "), F.coalesce(text, F.lit("null")))
     return F.when(is_json_object(text), text).otherwise(F.raise_error(problem).cast("string"))
 
@@ -166,7 +170,7 @@ def json_integer(text: ColumnOrName, path: str) -> Column:
 
     Numeric strings and booleans count as numbers.
     """
-    parsed = F.try_parse_json(_col(text))
+    parsed = F.try_parse_json(as_column(text))
     exact = F.try_variant_get(parsed, path, "bigint")
     through_double = F.try_variant_get(parsed, path, "double").try_cast("bigint")
     return F.coalesce(exact, through_double, F.lit(0).cast("bigint"))
@@ -189,5 +193,5 @@ def or_list_match(value: ColumnOrName, choices: ColumnOrName) -> Column:
     Choices given as a string become an IN list, which reaches the Parquet scan.
     """
     if isinstance(choices, str):
-        return _col(value).isin(choices.split("|"))
-    return F.array_contains(F.split(choices, r"\|"), _col(value))
+        return as_column(value).isin(choices.split("|"))
+    return F.array_contains(F.split(choices, r"\|"), as_column(value))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidefeed.functions.scalar import ColumnOrName, _col
+from tidefeed.functions.scalar import ColumnOrName, as_column
 
 # ---- fixed values -----------------------------------------------------------------
 # Crockford's alphabet leaves out I, L, O and U; conv() counts 0-9A-V straight on.
@@ -26,13 +26,13 @@ HALF = 1 << 40
 
 
 def encode32(value: ColumnOrName, width: int) -> Column:
-    digits = F.conv(_col(value).cast("string"), 10, 32)
+    digits = F.conv(as_column(value).cast("string"), 10, 32)
     return F.lpad(F.translate(digits, CONV_DIGITS, CROCKFORD_DIGITS), width, "0")
 
 
 def decode32(text: ColumnOrName) -> Column:
     """Value of up to 12 characters already known to be in the alphabet."""
-    plain = F.translate(F.upper(_col(text)), "ILO", "110")
+    plain = F.translate(F.upper(as_column(text)), "ILO", "110")
     return F.conv(F.translate(plain, CROCKFORD_DIGITS, CONV_DIGITS), 32, 10).cast("bigint")
 
 
@@ -40,7 +40,7 @@ def ulid(ms: ColumnOrName, hi40: ColumnOrName, lo40: ColumnOrName) -> Column:
     """The id; null where the time does not fit 48 bits."""
     # The null enters with the time: inside a condition Spark would not share what the two
     # halves have in common.
-    fits = F.when((_col(ms) >= 0) & (_col(ms) < TIME_LIMIT), _col(ms))
+    fits = F.when((as_column(ms) >= 0) & (as_column(ms) < TIME_LIMIT), as_column(ms))
     return F.concat(encode32(fits, 10), encode32(hi40, 8), encode32(lo40, 8))
 
 
@@ -58,7 +58,7 @@ def random_halves(*seed: Column) -> tuple[Column, Column]:
 
 def problem(text: ColumnOrName) -> Column:
     """Why the text is not an id: 'null', 'length', 'character' or 'time'; '' when it is one."""
-    text = _col(text)
+    text = as_column(text)
     return (
         F.when(text.isNull(), "null")
         .when(F.length(text) != 26, "length")
@@ -70,7 +70,7 @@ def problem(text: ColumnOrName) -> Column:
 
 def parts(text: ColumnOrName) -> tuple[Column, Column, Column]:
     """(ms, hi40, lo40); all null for text that is not an id."""
-    text = _col(text)
+    text = as_column(text)
     good = text.rlike(WELL_FORMED)
     return tuple(
         F.when(good, decode32(F.substring(text, at, n))) for at, n in ((1, 10), (11, 8), (19, 8))
@@ -79,20 +79,20 @@ def parts(text: ColumnOrName) -> tuple[Column, Column, Column]:
 
 def canonical(text: ColumnOrName) -> Column:
     """Upper case with the look-alikes replaced, so that text order is id order."""
-    return F.translate(F.upper(_col(text)), "ILO", "110")
+    return F.translate(F.upper(as_column(text)), "ILO", "110")
 
 
 def to_bytes(ms: ColumnOrName, hi40: ColumnOrName, lo40: ColumnOrName) -> Column:
     """The 16-byte big-endian form."""
     def padded(value: ColumnOrName, digits: int) -> Column:
-        return F.lpad(F.hex(_col(value)), digits, "0")
+        return F.lpad(F.hex(as_column(value)), digits, "0")
 
     return F.unhex(F.concat(padded(ms, 12), padded(hi40, 10), padded(lo40, 10)))
 
 
 def from_bytes(value: ColumnOrName) -> Column:
     """The id of a 16-byte big-endian value; null for any other length."""
-    value = _col(value)
+    value = as_column(value)
     digits = F.hex(value)
 
     def number(at: int, n: int) -> Column:

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefeed.functions.scalar import or_list_match
+from tidefeed.functions.scalar import or_list_match, whole_div
 from tidefeed.operators.forms import decode_record_json
 from tidefeed.operators.identity import BY_POINT, BY_TIME, first_per_id, upsert_latest
 from tidefeed.plans.ordered import positions
@@ -204,7 +204,7 @@ def feed_pages(
     """
     order = ["timestamp", "notify_id", "ingest_seq"]
     numbered = positions(df, "user_id", order, "rank", descending=direction == DESC)
-    page_number = F.call_function("div", F.col("rank") - 1, F.lit(limit).cast("bigint"))
+    page_number = whole_div(F.col("rank") - 1, limit)
     return numbered.select(*COLUMNS, "rank", page_number.alias("page"))
 
 

@@ -109,16 +109,13 @@ def decode_record_json(points: DataFrame, value: str = "value") -> DataFrame:
 
 def records_to_cells(df: DataFrame, buckets: int = SALT_BUCKETS) -> DataFrame:
     """Cell form: one row per record and column, values as bytes."""
-    text = lambda c: F.col(c).cast("binary")
     key = row_key("user_id", "timestamp", buckets)
+    values = {
+        name: big_endian(name) if name == "timestamp" else F.col(name).cast("binary")
+        for name in QUALIFIERS
+    }
     cells = F.array(
-        *[
-            F.struct(F.lit(name).alias("qualifier"), value.alias("value"))
-            for name, value in zip(
-                QUALIFIERS,
-                (text("notify_id"), text("user_id"), big_endian("timestamp"), text("data")),
-            )
-        ]
+        *[F.struct(F.lit(n).alias("qualifier"), v.alias("value")) for n, v in values.items()]
     )
     return df.select(key.alias("row_key"), *_sequence(df), F.inline(cells)).where(
         F.col("value").isNotNull()

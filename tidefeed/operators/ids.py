@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidefeed.functions.scalar import whole_div
 from tidefeed.functions.ulid import (
     HALF,
     WELL_FORMED,
@@ -39,7 +40,7 @@ def assign_monotonic_ulids(
     hi, lo = start or random_halves(F.lit("ms"), F.col(time))
     step = positions(df, time, [order], "_step").withColumns({"_hi": hi, "_lo": lo})
     low = F.col("_lo") + F.col("_step") - 1
-    carried = F.col("_hi") + F.call_function("div", low, F.lit(HALF))
+    carried = F.col("_hi") + whole_div(low, HALF)
     numbered = step.withColumns(
         {"overflow": carried >= HALF, "hi40": carried % HALF, "lo40": low % HALF}
     ).drop("_step", "_hi", "_lo")

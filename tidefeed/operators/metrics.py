@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefeed.functions.scalar import format_duration, slice_number
+from tidefeed.functions.scalar import format_duration, slice_number, whole_div
 from tidefeed.plans.ordered import running_total_by_time
 from tidefeed.schema import COUNTER_SLICES
 
@@ -28,10 +28,8 @@ def latency_summary(log: DataFrame, *by: str) -> DataFrame:
         .agg(
             F.count("*").alias("attempts"),
             (F.count("*") - good).alias("failures"),
-            F.call_function("div", total, F.count("*")).alias("avg_ms"),
-            F.when(good > 0, F.call_function("div", total, F.greatest(good, F.lit(1)))).alias(
-                "avg_ok_ms"
-            ),
+            whole_div(total, F.count("*")).alias("avg_ms"),
+            F.when(good > 0, whole_div(total, F.greatest(good, F.lit(1)))).alias("avg_ok_ms"),
         )
         .withColumn("avg_text", format_duration("avg_ms"))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefeed.functions.scalar import slice_number
+from tidefeed.functions.scalar import slice_number, whole_div
 from tidefeed.operators.feed import DESC
 from tidefeed.plans.ordered import range_slices, running_total
 from tidefeed.plans.pruning import broadcast_if_few
@@ -38,9 +38,6 @@ def gen_requests(
     dealt to the threads, the last one taking the remainder, and each thread spaces its own
     evenly over the ramp; ``numbers`` must then count from 0.
     """
-    def whole(n: int) -> Column:
-        return F.lit(n).cast("bigint")
-
     def checked(good: Column, value: Column, problem: str) -> Column:
         return F.when(good, value).otherwise(F.raise_error(F.lit(problem)).cast("bigint"))
 
@@ -64,16 +61,13 @@ def gen_requests(
     ]
     if ramp_seconds is None:
         return base.select(*columns)
-    last = whole(threads - 1)
-    each = checked(
-        total >= threads, F.call_function("div", total, whole(threads)),
-        "fewer requests than threads",
-    )
+    last = F.lit(threads - 1).cast("bigint")
+    each = checked(total >= threads, whole_div(total, threads), "fewer requests than threads")
     base = base.withColumn("_each", each)
     each = F.col("_each")
-    base = base.withColumn("thread", F.least(F.call_function("div", req, each), last))
+    base = base.withColumn("thread", F.least(whole_div(req, each), last))
     own = F.when(F.col("thread") == last, total - each * last).otherwise(each)
-    gap = F.call_function("div", whole(ramp_seconds * MS_PER_SECOND), own)
+    gap = whole_div(F.lit(ramp_seconds * MS_PER_SECOND).cast("bigint"), own)
     due = (req - F.col("thread") * each) * gap
     return base.select(*columns, "thread", due.alias("due_ms"))
 

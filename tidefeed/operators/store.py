@@ -39,6 +39,11 @@ def append(df: DataFrame, path: str) -> None:
     with_day(df).hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
 
 
+def bootstrap(df: DataFrame, path: str) -> None:
+    """Empty the stored feed and fill it with these rows."""
+    with_day(df).hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(path)
+
+
 def append_validated(df: DataFrame, path: str, rejected_path: str) -> None:
     """Append the valid rows, and the others with their reason beside them."""
     valid, rejected = validate_split(df)

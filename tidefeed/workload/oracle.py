@@ -182,8 +182,8 @@ BATCH = f"""WITH n AS ({HOURLY}), r AS ({REQUESTS}),
     FROM r JOIN n ON n.user_id = r.user_id AND (r.from_time IS NULL
       OR (r.direction = 'desc' AND n.timestamp < r.from_time)
       OR (r.direction = 'asc' AND n.timestamp > r.from_time)))
-  SELECT r.req_id, r.user_id, r.direction, r.from_time, CAST(j.rank AS INTEGER) AS rank,
-    j.notify_id, j.timestamp, j.data
+  SELECT r.req_id, r.user_id, r.direction, CAST(r.from_time AS VARCHAR) AS from_time,
+    CAST(j.rank AS VARCHAR) AS rank, j.notify_id, CAST(j.timestamp AS VARCHAR) AS timestamp, j.data
   FROM r LEFT JOIN (SELECT * FROM j WHERE rank <= 20) j ON j.req_id = r.req_id"""
 
 WIDTH = DAY // 16
@@ -278,7 +278,8 @@ ORACLE: dict[str, str] = {
         HOURLY, "desc", f"(timestamp < {CURSOR} OR (timestamp = {CURSOR} AND notify_id < '5000'))"),
     "q09_feed_all_users_desc": all_pages(FEED, "desc"),
     "q09_feed_all_users_asc": all_pages(FEED, "asc"),
-    "q10_gen_requests": REQUESTS,
+    "q10_gen_requests": f"""SELECT * REPLACE (CAST(from_time AS VARCHAR) AS from_time)
+      FROM ({REQUESTS})""",
     "q11_batch_fetch": BATCH,
     "q12_monitor_search": f"""SELECT * FROM ({MONITOR}) WHERE step = 'purchase'
       AND timestamp > {CURSOR - 7 * DAY} AND timestamp < {CURSOR}""",

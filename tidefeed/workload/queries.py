@@ -98,7 +98,7 @@ def _(spark, folder):
     path = new_folder(spark, "log")
     day = S.day_of("timestamp").cast("string").alias("day")
     hits = monitor_table(spark, folder).select(day, F.struct("*").alias("_source"))
-    hits.write.partitionBy("day").json(f"{path}/monitor-log")
+    hits.hint("rebalance", "day").write.partitionBy("day").json(f"{path}/monitor-log")
     return load_monitor_log(spark, f"{path}/monitor-*/*", wrapped=True)
 
 
@@ -321,15 +321,21 @@ def _requests(spark, folder):
     )
 
 
+def _as_text(df: DataFrame, *names: str) -> DataFrame:
+    """Whole numbers that may be null as text, so that every client shows them alike."""
+    return df.withColumns({n: F.col(n).cast("string") for n in names})
+
+
 @query("q10_gen_requests")
 def _(spark, folder):
-    return _requests(spark, folder)
+    return _as_text(_requests(spark, folder), "from_time")
 
 
 @query("q11_batch_fetch")
 def _(spark, folder):
     asked = _requests(spark, folder).select("req_id", "user_id", "from_time", "direction")
-    return requests.batch_fetch(hourly_table(spark, folder), written(asked, "requests"))
+    answers = requests.batch_fetch(hourly_table(spark, folder), written(asked, "requests"))
+    return _as_text(answers, "from_time", "rank", "timestamp")
 
 
 @query("q12_monitor_search")
