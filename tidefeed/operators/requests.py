@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidefeed.functions.scalar import slice_number, whole_div
 from tidefeed.operators.feed import DESC
 from tidefeed.plans.ordered import range_slices, running_total
-from tidefeed.plans.pruning import broadcast_if_few
+from tidefeed.plans.pruning import broadcast_if_few, time_range
 from tidefeed.schema import MS_PER_DAY, MS_PER_SECOND, PAGE_SIZE
 from tidefeed.session import written
 
@@ -156,11 +156,14 @@ def batch_fetch(
     if prune:
         # Between two cursors rows may be missing then, but never one that a page needs: the
         # rows from a cursor to the end of its page are all there, side by side.
-        needed = broadcast_if_few(
-            _needed_slices(df, cursors, slice_ms, limit), cursors, FEW_CURSORS
+        needed = written(_needed_slices(df, cursors, slice_ms, limit), "needed")
+        first, last = needed.agg(F.min("_part"), F.max("_part")).first()
+        if first is not None:
+            # Keeps the scan to the days between, and to the row groups that reach into them.
+            kept = time_range(df, first * slice_ms, (last + 1) * slice_ms, upper_inclusive=False)
+        kept = kept.withColumn("_part", slice_number("timestamp", slice_ms)).join(
+            broadcast_if_few(needed, cursors, FEW_CURSORS), ["user_id", "_part"], "left_semi"
         )
-        part = slice_number("timestamp", slice_ms)
-        kept = df.withColumn("_part", part).join(needed, ["user_id", "_part"], "left_semi")
     rows = kept.select(
         "user_id",
         F.col("timestamp").alias("_at"),
