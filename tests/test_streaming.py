@@ -1,5 +1,7 @@
 """Streams over several files: the result must equal the batch result on the same rows."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,11 +128,29 @@ def test_slices_leave_the_state_behind_the_watermark(spark, feed, folder):
     assert spark.read.parquet(f"{folder}/out").agg(F.sum("events")).first()[0] >= feed.count()
 
 
+def test_closed_slices_are_written_once(spark, feed, folder):
+    arrive(feed, F.expr(f"ingest_seq div {feed.count() // 4}"), folder)
+    counts = trailing.slice_counts(source(spark, folder), MS_PER_DAY, delay_seconds=3600)
+    ingest.run_available(trailing.stream_trailing_count(
+        counts, f"{folder}/out", f"{folder}/progress", output_mode="append"))
+    stored = spark.read.parquet(f"{folder}/out")
+    width = MS_PER_DAY // 16
+    batch = feed.groupBy("user_id", F.expr(f"timestamp div {width} * {width}").alias("slice_ms"))
+    both = stored.join(batch.count(), ["user_id", "slice_ms"])
+    assert both.count() == stored.count() == stored.select("user_id", "slice_ms").distinct().count()
+    assert both.where("events <> count").count() == 0
+    assert stored.count() > batch.count().count() * 0.9
+
+
 @pytest.mark.parametrize("fold_every", [2, 32])
 def test_top_feed_equals_batch(spark, feed, arrivals, fold_every):
     path = f"{arrivals}/top"
     ingest.run_available(top_feed.stream_top_feed(
         source(spark, arrivals), path, f"{arrivals}/progress", fold_every=fold_every))
     got = top_feed.read_top_feed(spark, path)
-    expected = Q.feed(derived.hourly(feed), "desc")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+    expected = sorted(map(tuple, Q.feed(derived.hourly(feed), "desc").collect()))
+    assert sorted(map(tuple, got.collect())) == expected
+    top_feed.drop_folded(spark, path)
+    assert sorted(os.listdir(path)) == (
+        ["full-3"] if fold_every == 2 else [f"batch-{n}" for n in range(4)])
+    assert sorted(map(tuple, top_feed.read_top_feed(spark, path).collect())) == expected

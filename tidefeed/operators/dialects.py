@@ -33,17 +33,25 @@ RULES = {
 # -----------------------------------------------------------------------------------
 
 
-def as_stored(df: DataFrame, dialect: str) -> DataFrame:
-    """The rows that are there after these have been written."""
+def accepted(df: DataFrame, dialect: str) -> DataFrame:
+    """The rows that the dialect lets in."""
+    return validate_split(df)[0] if RULES[dialect].validates else df
+
+
+def held(written: DataFrame, dialect: str) -> DataFrame:
+    """The rows that are there after these, already let in, have been written."""
     rules = RULES[dialect]
-    kept = validate_split(df)[0] if rules.validates else df
-    if rules.identity is not None:
-        kept = upsert_latest(kept, rules.identity)
+    kept = written if rules.identity is None else upsert_latest(written, rules.identity)
     if not rules.keeps_payload:
         kept = kept.withColumn("data", F.lit(None).cast("string"))
     return kept
 
 
+def as_stored(df: DataFrame, dialect: str) -> DataFrame:
+    """What is left of ``df`` once it has been let in and written."""
+    return held(accepted(df, dialect), dialect)
+
+
 def retained(df: DataFrame, dialect: str, as_of: int) -> DataFrame:
     """The rows that have not aged out."""
     rules = RULES[dialect]

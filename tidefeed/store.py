@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidefeed.operators import feed as pages
-from tidefeed.operators.dialects import RULES, as_stored, retained
+from tidefeed.operators.dialects import RULES, held, retained
 from tidefeed.operators.forms import encode_record_json
 from tidefeed.operators.requests import batch_fetch
 from tidefeed.operators.store import append
@@ -62,8 +62,8 @@ class FeedStore:
 
     def rows(self, as_of: int | None = None) -> DataFrame:
         """The rows as the dialect holds them; with ``as_of``, those not aged out by then."""
-        held = as_stored(self.written_rows(), self.dialect)
-        return held if as_of is None else retained(held, self.dialect, as_of)
+        kept = held(self.written_rows(), self.dialect)
+        return kept if as_of is None else retained(kept, self.dialect, as_of)
 
     def fetch_desc(
         self, user_id: str | None, from_time: int | None = None, *, as_of: int,
@@ -99,4 +99,4 @@ class FeedStore:
 
     def fetch_all(self, requests: DataFrame, limit: int = PAGE_SIZE) -> DataFrame:
         """Answer a table of ``req_id, user_id, direction, from_time`` at once (strict cursors)."""
-        return batch_fetch(as_stored(self.written_rows(), self.dialect), requests, limit)
+        return batch_fetch(held(self.written_rows(), self.dialect), requests, limit)

@@ -42,6 +42,17 @@ def _current(spark: SparkSession, path: str, as_of_batch: int | None = None) ->
     return spark.read.schema(INGESTED).parquet(*folders)
 
 
+def drop_folded(spark: SparkSession, path: str) -> None:
+    """Delete what the newest full feed has taken in, when no reader is left on it."""
+    full = _numbered_folders(spark, path, "full-")
+    old = [f"full-{n}" for n in full[:-1]]
+    if full:
+        old += [f"batch-{n}" for n in _numbered_folders(spark, path, "batch-") if n <= full[-1]]
+    for name in old:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def read_top_feed(spark: SparkSession, path: str, limit: int = PAGE_SIZE) -> DataFrame:
     """The newest ``limit`` rows of every user."""
     return page(_current(spark, path), DESC, None, limit)

@@ -35,15 +35,23 @@ def slice_counts(
 
 
 def stream_trailing_count(
-    counts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+    counts: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    output_mode: str = "update",
 ) -> StreamingQuery:
-    """Store the counts that each micro-batch changed, under the batch's number."""
+    """Store the counts that each micro-batch changed, under the batch's number.
+
+    A stream that runs for long should set a delay in ``slice_counts`` and use the ``append``
+    mode: each slice is then written once, when the watermark has passed it.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         write_batch(batch, path, batch_id)
 
     return (
-        counts.writeStream.outputMode("update")
+        counts.writeStream.outputMode(output_mode)
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or AVAILABLE_NOW))
