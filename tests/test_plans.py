@@ -70,6 +70,17 @@ def test_carried_side_has_one_row_per_slice_at_most(spark):
     assert ordered._crossings(sliced, "k").count() == 7
 
 
+def test_rows_without_a_key_are_numbered_too(spark):
+    key = F.when(F.col("id") % 4 == 0, "k")
+    rows = spark.range(4000).select(key.alias("k"), "id")
+    got = ordered.positions(rows, "k", ["id"]).groupBy("k").agg(
+        F.max("position"), F.countDistinct("position")).collect()
+    assert sorted(map(tuple, got), key=str) == [("k", 1000, 1000), (None, 3000, 3000)]
+    before = ordered.previous_value(rows, "k", ["id"], "id", "before")
+    assert before.where("before is null").count() == 2
+    assert before.where("k is null and before >= id").count() == 0
+
+
 def test_trailing_count_groups_are_bounded_by_their_width(spark):
     df = spark.range(1000).select(
         F.lit("hot").alias("k"), F.lit(5).alias("t"), F.lit(1).cast("bigint").alias("v"))
@@ -87,12 +98,36 @@ def test_no_python_and_no_pairing_of_everything(spark, name):
         assert operator not in text, operator
 
 
-def test_results_do_not_depend_on_the_number_of_partitions(spark):
+PARTITIONING = [
+    {"spark.sql.shuffle.partitions": "3"},
+    {"spark.sql.shuffle.partitions": "17"},
+    # Neighbouring partitions merged at run time, to one or to several slices.
+    {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "true"},
+    {
+        "spark.sql.shuffle.partitions": "60",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1kb",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4kb",
+    },
+    {"spark.sql.adaptive.enabled": "false"},
+]
+
+
+def test_results_do_not_depend_on_partitioning(spark):
     feed = derived.hourly(derived.notifications(spark, SF_DIR))
-    seen = set()
-    for n in ("3", "17"):
-        spark.conf.set("spark.sql.shuffle.partitions", n)
-        rows = Q.feed_pages(feed).select("user_id", "rank", "notify_id", "page").collect()
+    seen, slices = set(), []
+    for settings in PARTITIONING:
+        before = {k: spark.conf.get(k, None) for k in settings}
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        try:
+            rows = Q.feed_pages(feed).select("user_id", "rank", "notify_id", "page").collect()
+            sliced = ordered.range_slices(feed, "user_id", ["timestamp", "ingest_seq"])
+            slices.append(sliced.select(ordered.SLICE).distinct().count())
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
         seen.add(tuple(sorted(map(tuple, rows))))
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert len(seen) == 1
+    assert slices[:3] == [3, 17, 1] and 1 < slices[3] < 60 and slices[4] == 8

@@ -70,8 +70,9 @@ def trailing_count_sliced(
 
     All full slices in reach, plus the current one so far, less the share of the oldest that
     the current slice has already pushed out, rounded towards zero. Slices start at multiples
-    of their width.
+    of their width. Rows without a user have no counter.
     """
+    df = df.where(F.col("user_id").isNotNull())
     width = interval_ms // slices
     instants = df.groupBy("user_id", "timestamp").agg(F.count("*").alias("n")).withColumn(
         "_slice", slice_number("timestamp", width)

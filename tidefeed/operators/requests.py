@@ -19,9 +19,6 @@ CURSOR_STEP = 104729
 
 # Open cursors stand outside all times, and far enough inside bigint for arithmetic.
 BEFORE_ALL, AFTER_ALL = -(1 << 62), 1 << 62
-# Distinct cursors up to which what they ask for is broadcast: each asks for at most
-# ``limit`` + 1 slices.
-FEW_CURSORS = 20_000
 
 
 def gen_requests(
@@ -92,7 +89,7 @@ def _needed_slices(
     come from one window over a user's slices, of which there is one per slice of the time
     span, however many rows or cursors the user has.
     """
-    wanted = broadcast_if_few(cursors.select("user_id").distinct(), cursors, FEW_CURSORS)
+    wanted = broadcast_if_few(cursors.select("user_id").distinct(), cursors.count())
     zero = F.lit(0).cast("bigint")
     held = (
         df.join(wanted, "user_id", "left_semi")
@@ -162,7 +159,7 @@ def batch_fetch(
             # Keeps the scan to the days between, and to the row groups that reach into them.
             kept = time_range(df, first * slice_ms, (last + 1) * slice_ms, upper_inclusive=False)
         kept = kept.withColumn("_part", slice_number("timestamp", slice_ms)).join(
-            broadcast_if_few(needed, cursors, FEW_CURSORS), ["user_id", "_part"], "left_semi"
+            broadcast_if_few(needed, needed.count()), ["user_id", "_part"], "left_semi"
         )
     rows = kept.select(
         "user_id",

@@ -55,13 +55,14 @@ def _crossings(sliced: DataFrame, key: str) -> DataFrame:
     The table is sorted by key first, so a slice can share with the next one only the key it
     ends with. All other keys, which is nearly all of them, have nothing to carry.
     """
-    ends = sliced.groupBy(SLICE).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    # Null is a key too, and sorts first.
+    low = F.when(F.count_if(F.col(key).isNull()) == 0, F.min(key))
+    ends = sliced.groupBy(SLICE).agg(low.alias("_low"), F.max(key).alias("_high"))
     # One row per slice, so this window over all of them is small.
     following = F.lead(F.struct(SLICE, "_low")).over(Window.partitionBy(F.lit(0)).orderBy(SLICE))
     return (
-        ends.where(F.col("_high").isNotNull())
-        .withColumn("_next", following)
-        .where(F.col("_high") == F.col("_next._low"))
+        ends.withColumn("_next", following)
+        .where(F.col("_next").isNotNull() & F.col("_high").eqNullSafe(F.col("_next._low")))
         .select(
             F.col(SLICE).alias("_cross_slice"),
             F.col("_high").alias("_cross_key"),
@@ -80,14 +81,18 @@ def _with_carry(
     broadcast here have at most one row per slice.
     """
     crossings = F.broadcast(_crossings(sliced, key))
-    leaving = (F.col(SLICE) == F.col("_cross_slice")) & (F.col(key) == F.col("_cross_key"))
+    leaving = (F.col(SLICE) == F.col("_cross_slice")) & F.col(key).eqNullSafe(
+        F.col("_cross_key")
+    )
     handed_on = (
         sliced.join(crossings, leaving)
         .groupBy("_cross_slice", "_cross_key", "_into_slice")
         .agg(summary.alias("_summary"))
         .select("_into_slice", F.col("_cross_key").alias("_into_key"), carry.alias("_carry"))
     )
-    arriving = (F.col(SLICE) == F.col("_into_slice")) & (F.col(key) == F.col("_into_key"))
+    arriving = (F.col(SLICE) == F.col("_into_slice")) & F.col(key).eqNullSafe(
+        F.col("_into_key")
+    )
     return local.join(F.broadcast(handed_on), arriving, "left")
 
 
@@ -157,8 +162,9 @@ def running_total_by_time(
     Rows are summed per (key, instant) and per (key, slice), both with a map-side combine, so
     copies of one instant never travel. A (key, slice) group has at most ``slice_ms`` rows then,
     and a key's carry table at most one row per slice of the table's time span. ``rises`` counts
-    the rows of the instant with a positive value.
+    the rows of the instant with a positive value. Rows without a key have no total.
     """
+    changes = changes.where(F.col(key).isNotNull())
     instants = changes.groupBy(key, time).agg(
         F.sum(value).alias("_change"), F.count_if(F.col(value) > 0).alias("rises")
     )

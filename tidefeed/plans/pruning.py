@@ -11,6 +11,9 @@ from tidefeed.schema import MS_PER_DAY
 
 FIRST_DAY = dt.date(1970, 1, 1)
 
+# Rows of a few narrow columns that every executor may hold, some tens of megabytes.
+BROADCAST_ROWS = 500_000
+
 
 def day_literal(ms: int) -> dt.date:
     """The UTC day of a time, kept inside what a date can say."""
@@ -44,11 +47,10 @@ def time_range(
     return df
 
 
-def broadcast_if_few(df: DataFrame, counted: DataFrame, most: int) -> DataFrame:
-    """``df`` with a broadcast hint where ``counted`` has at most ``most`` rows.
+def broadcast_if_few(df: DataFrame, at_most: int) -> DataFrame:
+    """``df`` with a broadcast hint where it is known to have few rows.
 
-    ``counted`` is a written table, so counting it reads file footers only, and ``df`` must be
-    bounded by it. Without the hint Spark would shuffle the large side before it learns that
-    the other one is small.
+    ``at_most`` is a bound the caller has counted. Without the hint Spark would shuffle the
+    large side before it learns that the other one is small; beyond the limit it has to.
     """
-    return F.broadcast(df) if counted.count() <= most else df
+    return F.broadcast(df) if at_most <= BROADCAST_ROWS else df

@@ -99,4 +99,5 @@ class FeedStore:
 
     def fetch_all(self, requests: DataFrame, limit: int = PAGE_SIZE) -> DataFrame:
         """Answer a table of ``req_id, user_id, direction, from_time`` at once (strict cursors)."""
-        return batch_fetch(held(self.written_rows(), self.dialect), requests, limit)
+        rows = held(self.written_rows(), self.dialect)
+        return batch_fetch(rows, requests, limit, prune=True)
