@@ -60,11 +60,13 @@ def stream_ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         # Kept while both writes read it; a lost part is read from its files again.
         batch.persist()
-        valid, rejected = validate_split(batch)
-        chunked = valid.withColumn("day", day_of("timestamp")).hint("rebalance", "day")
-        write_batch(chunked, path, batch_id, "day")
-        write_batch(rejected, rejected_path, batch_id)
-        batch.unpersist()
+        try:
+            valid, rejected = validate_split(batch)
+            chunked = valid.withColumn("day", day_of("timestamp")).hint("rebalance", "day")
+            write_batch(chunked, path, batch_id, "day")
+            write_batch(rejected, rejected_path, batch_id)
+        finally:
+            batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write)
