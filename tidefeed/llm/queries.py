@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefeed.llm import decontaminate, hostrules, langid, mixture
+from tidefeed.llm import decontaminate, hostrules, langid, mixture, tokenstore
 from tidefeed.llm.text import remainder, table
+from tidefeed.session import new_folder
 
 
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,6 +18,18 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_token_store(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    docs, store = table(spark, folder, "documents"), new_folder(spark, "tokens")
+    tokenstore.write_shards(docs, store, tokenizer)
+    tokenstore.write_index(spark, store)
+    return tokenstore.keyed(spark, store, docs).select(
+        "doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc32").alias("ids_crc32"))
+
+
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.mix(table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
@@ -37,6 +50,7 @@ def op8_host_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op4_decontaminate": op4_decontaminate,
+    "op5_token_store": op5_token_store,
     "op6_mix_sources": op6_mix_sources,
     "op7_language_id": op7_language_id,
     "op8_host_rules": op8_host_rules,
