@@ -5,11 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefeed.llm import decontaminate, hostrules, langid, mixture, tokenstore
+from tidefeed.llm import decontaminate, hostrules, langid, mixture, personal, secrets, tokenstore
 from tidefeed.llm.text import remainder, table
 from tidefeed.session import new_folder
 
 
+def _spans(spark: SparkSession, folder: str, scan, base: tuple[str, ...]) -> DataFrame:
+    """Counts of the base kinds, the hash of the base spans and all spans as text."""
+    docs = table(spark, folder, "documents")
+    found = docs.select("doc_id", scan.find(docs).alias("_spans"))
+    line = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    plain = "filter(_spans, s -> s.kind IN ({}))".format(", ".join(f"'{kind}'" for kind in base))
+    return found.select(
+        "doc_id",
+        *[F.expr(f"size(filter(_spans, s -> s.kind = '{kind}'))").cast("long").alias(f"n_{kind}") for kind in base],
+        F.sha2(F.expr(line.format(plain)), 256).alias("base_sha256"),
+        F.expr(line.format("_spans")).alias("spans"),
+    )
+
+
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return _spans(spark, folder, secrets, secrets.KINDS[:3])
+
+
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -48,11 +66,17 @@ def op8_host_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return _spans(spark, folder, personal, personal.KINDS[:4])
+
+
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_store": op5_token_store,
     "op6_mix_sources": op6_mix_sources,
     "op7_language_id": op7_language_id,
     "op8_host_rules": op8_host_rules,
+    "op10_personal_data": op10_personal_data,
 }
 ORACLE: dict[str, str] = {}
