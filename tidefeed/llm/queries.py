@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefeed.llm import decontaminate, hostrules, langid, mixture, personal, secrets, tokenstore
+from tidefeed.llm import decontaminate, hostrules, langid, mixture, personal, ppm, secrets, tokenstore
 from tidefeed.llm.text import remainder, table
 from tidefeed.session import new_folder
 
@@ -28,6 +28,13 @@ def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return _spans(spark, folder, secrets, secrets.KINDS[:3])
 
 
+def op3_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    docs = docs.select("doc_id", "text", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"))
+    counts = ppm.count(docs, ~F.col("held_out"))
+    return ppm.score(docs, counts, columns=("doc_id", "held_out"))
+
+
 def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select(
@@ -72,6 +79,7 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_language_model": op3_language_model,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_store": op5_token_store,
     "op6_mix_sources": op6_mix_sources,
