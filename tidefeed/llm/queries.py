@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefeed.llm import decontaminate, hostrules, langid, mixture, personal, ppm, secrets, tokenstore
+from tidefeed.llm import decontaminate, hostrules, langid, mixture, personal, ppm, secretscan, tokenstore
 from tidefeed.llm.text import remainder, table
 from tidefeed.session import new_folder
 
@@ -25,7 +25,7 @@ def _spans(spark: SparkSession, folder: str, scan, base: tuple[str, ...]) -> Dat
 
 
 def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return _spans(spark, folder, secrets, secrets.KINDS[:3])
+    return _spans(spark, folder, secretscan, secretscan.KINDS[:3])
 
 
 def op3_language_model(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,6 +14,7 @@ A store is two Parquet folders under one path, so any file system that Spark rea
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -37,9 +38,21 @@ BUCKET_KEYS = 4096
 #: Slots of a level for each key that is still without one.
 SPREAD = 1.5
 #: Pieces of text whose ids a worker remembers (about 200 bytes each), twice.
-REMEMBERED = 150_000
+REMEMBERED = 120_000
 SEGMENTS = ("shard int, segment int, first long, payload binary, doc_ids array<long>, lengths array<long>")
 
+#: The pre-tokenizer, as the library prints it, whose cuts ``SIMPLE`` knows.
+BYTE_LEVEL = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
+#: Latin letters; every character of the ranges is one.
+LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: Words with single full stops, commas and line ends between them: a token never spans two of these.
+SIMPLE = re.compile(f" ?[{LATIN}]+(?:(?:[.,]\n?|\n)[{LATIN}]+)*[.,]?")
+PART = re.compile(f" ?[{LATIN}]+|[.,\n]")
+#: How the byte-level alphabet writes the bytes of UTF-8: printable Latin-1 as itself, others moved up.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_MOVED = [byte for byte in range(256) if byte not in _PRINTED]
+BYTE_LETTERS = {byte: chr(byte) for byte in _PRINTED} | {byte: chr(256 + i) for i, byte in enumerate(_MOVED)}
+
 
 class PieceEncoder:
     """Ids of whole texts, by the tokenizers library, which sees each frequent piece once.
@@ -54,7 +67,11 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        model = type(self.tokenizer.model).__name__
+        steps = [str(step) for step in (self.tokenizer.pre_tokenizer, self.tokenizer.normalizer)]
+        self.cuts_words = model == "BPE" and steps == [BYTE_LEVEL, "None"]
         self.young: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -62,16 +79,53 @@ class PieceEncoder:
         return [array("I", one.ids).tobytes() for one in found]
 
     def _learn(self, pieces: list[str]) -> None:
-        for first in range(0, len(pieces), 10_000):
-            part = pieces[first : first + 10_000]
-            for piece, ids in zip(part, self._whole(part), strict=True):
-                self.young[piece] = ids
+        """Ids of new pieces: word by word where the pre-tokenizer surely cuts so, else whole."""
+        other = []
+        tokenize, young = self.tokenizer.model.tokenize, self.young
+        for piece in pieces:
+            if not self.cuts_words:
+                other.append(piece)
+            elif piece.isascii() and piece[1:].isalpha():
+                # The alphabet writes ASCII letters as themselves.
+                plain = "\u0120" + piece[1:] if piece[0] == " " else piece
+                if plain.isalpha():
+                    young[piece] = array("I", [token.id for token in tokenize(plain)]).tobytes()
+                else:
+                    other.append(piece)
+            elif SIMPLE.fullmatch(piece):
+                young[piece] = b"".join(map(self._word, PART.findall(piece)))
+            else:
+                other.append(piece)
+        for first in range(0, len(other), 10_000):
+            part = other[first : first + 10_000]
+            self.young.update(zip(part, self._whole(part), strict=True))
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one word of Latin letters, maybe after a space, or of one mark."""
+        ids = self.words.get(word)
+        if ids is None:
+            plain = word if word.isascii() else "".join(map(BYTE_LETTERS.__getitem__, word.encode()))
+            found = self.tokenizer.model.tokenize(plain.replace(" ", "\u0120").replace("\n", "\u010a"))
+            ids = self.words[word] = array("I", [token.id for token in found]).tobytes()
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [text.replace(" ", "\0 ").split("\0") if "\0" not in text else None for text in texts]
+        """The ids of each text, four bytes each."""
         if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        missing = set().union(*(pieces for pieces in cut if pieces)).difference(self.young)
+            self.old, self.young, self.words = self.young, {}, {}
+        get = self.young.get
+        out: list[bytes] = []
+        late, whole, missing = [], [], set()
+        for i, text in enumerate(texts):
+            pieces = text.replace(" ", "\0 ").split("\0")
+            ids = list(map(get, pieces))
+            if "\0" in text:
+                whole.append(i)
+            elif None in ids:
+                gaps = [k for k, known in enumerate(ids) if known is None]
+                missing.update([pieces[k] for k in gaps])
+                late.append((i, pieces, ids, gaps))
+            out.append(b"" if None in ids else b"".join(ids))
         odd, new = set(), []
         for piece in missing:
             if piece in self.old:
@@ -82,12 +136,17 @@ class PieceEncoder:
                     odd.add(piece)
                 else:
                     new.append(piece)
-        if new:
-            self._learn(new)
-        whole = [i for i, pieces in enumerate(cut) if pieces is None or odd and not odd.isdisjoint(pieces)]
-        late = dict(zip(whole, self._whole([texts[i] for i in whole]), strict=True))
-        get = self.young.__getitem__
-        return [late[i] if i in late else b"".join(map(get, pieces)) for i, pieces in enumerate(cut)]
+        self._learn(new)
+        for i, pieces, ids, gaps in late:
+            if odd and not odd.isdisjoint([pieces[k] for k in gaps]):
+                whole.append(i)
+            else:
+                for k in gaps:
+                    ids[k] = self.young[pieces[k]]
+                out[i] = b"".join(ids)
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        return out
 
 
 @cache
