@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefeed.llm import decontaminate, hostrules, langid, mixture, personal, ppm, secretscan, tokenstore
+from tidefeed.llm import decontaminate, hostrules, langid, mixture, nearcopies, personal, ppm, secretscan, tokenstore
 from tidefeed.llm.text import remainder, table
 from tidefeed.session import new_folder
 
@@ -24,6 +24,10 @@ def _spans(spark: SparkSession, folder: str, scan, base: tuple[str, ...]) -> Dat
     )
 
 
+def op1_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return nearcopies.near_copies(table(spark, folder, "documents"), size=2)
+
+
 def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return _spans(spark, folder, secretscan, secretscan.KINDS[:3])
 
@@ -78,6 +82,7 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_copies": op1_near_copies,
     "op2_secret_scan": op2_secret_scan,
     "op3_language_model": op3_language_model,
     "op4_decontaminate": op4_decontaminate,
