@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefeed.llm import decontaminate, hostrules, langid, mixture, nearcopies, personal, ppm, secretscan, tokenstore
+from tidefeed.llm import decontaminate, hostrules, langid, mixture, nearcopies, personal, ppm, rulequality, secretscan, tokenstore
 from tidefeed.llm.text import remainder, table
 from tidefeed.session import new_folder
 
@@ -77,6 +77,14 @@ def op8_host_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_rule_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    model = rulequality.fit(docs, table(spark, folder, "labels").where(~held_out))
+    return rulequality.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return _spans(spark, folder, personal, personal.KINDS[:4])
 
@@ -90,6 +98,7 @@ QUERIES = {
     "op6_mix_sources": op6_mix_sources,
     "op7_language_id": op7_language_id,
     "op8_host_rules": op8_host_rules,
+    "op9_rule_quality": op9_rule_quality,
     "op10_personal_data": op10_personal_data,
 }
 ORACLE: dict[str, str] = {}
