@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefeed.llm import decontaminate, langid, mixture
+from tidefeed.llm import decontaminate, langid, mixture, nearcopies, tokenstore
 from tidefeed.llm.text import table
-from tidefeed.session import written
+from tidefeed.llm.tokenstore import default_tokenizer
+from tidefeed.session import new_folder, written
 
-#: No SQL can express the learned and hashed stages; tests hold the result against plain Python.
+#: No SQL can express the learned, hashed and encoded stages; tests hold them against plain Python.
 ORACLE_SQL = None
 
 
@@ -17,7 +18,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> Data
     """Documents in a learned language; those without a letter go."""
     model = langid.fit(docs)
     marked = docs.withColumn("_got", langid.language(docs, model))
-    return marked.where(F.col("_got.lang") != langid.UNKNOWN).drop("_got")
+    return marked.where(F.col("_got.lang") != langid.UNKNOWN).select(docs.columns)
+
+
+def remove_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near copies: shingles of five words, similarity 0.8."""
+    return nearcopies.one_of_each(docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -25,9 +31,26 @@ def remove_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> Da
     return decontaminate.clean_documents(docs, table(spark, folder, "benchmark"))
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents as often as the mix of sources has them."""
+    return mixture.mixed(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Token ids of all documents in a keyed store, and where each document's ids are in it."""
+    store = new_folder(spark, "corpus-tokens")
+    tokenstore.write_shards(docs, store, default_tokenizer())
+    tokenstore.write_index(spark, store)
+    return tokenstore.keyed(spark, store, docs).select(
+        "doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc32").alias("ids_crc32"), "shard", "segment", "offset")
+
+
 STAGES = [
     ("language_id", identify_language),
+    ("near_copies", remove_near_copies),
     ("decontamination", remove_contaminated),
+    ("mixture", mix_sources),
+    ("token_store", write_tokens),
 ]
 
 

@@ -69,18 +69,18 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
 
 def mix(
     docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
-    weights=WEIGHTS, share: float = SHARE, most: float = MOST,
+    weights=WEIGHTS, share: float = SHARE, most: float = MOST, columns: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, epochs and taken.
+    """One row per document: doc_id, size, source_size, target, epochs, taken and ``columns``.
 
     ``epochs`` is how often the mix has the document, ``taken`` = size * epochs. Documents without
     words are in no epoch's sum; they go with the complete epochs. A null source is a source, the
     last by name. Repeated rows are documents of their own with one key, so they are taken together
-    or not at all; with equal keys the smaller id comes first. Columns beside the three are not read.
+    or not at all; with equal keys the smaller id comes first. Other columns are not read.
     """
     sized = written(
         docs.select(
-            F.col(key).alias("doc_id"), F.col(source).alias("source"),
+            *columns, F.col(key).alias("doc_id"), F.col(source).alias("source"),
             F.size(spaced_words(F.col(text))).cast("long").alias("size"),
             unit(F.col(key), F.md5(F.coalesce(F.col(text), F.lit("")))).alias("_u"),
             quality_weight(F.coalesce(F.col(text), F.lit(""))).alias("_w"),
@@ -118,7 +118,7 @@ def mix(
     # Only one cell of each source is ordered.
     running = Window.partitionBy("_source", "_cell").orderBy("_rank", "doc_id").rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
-    out = ["doc_id", "size", "source_size", "target",
+    out = [*columns, "doc_id", "size", "source_size", "target",
            (F.col("_whole") + F.col("_more")).cast("long").alias("epochs")]
     split = (
         known.where("_place = 'split'")
@@ -128,3 +128,16 @@ def mix(
     )
     rest = known.where("_place <> 'split'").withColumn("_more", (F.col("_place") == "in").cast("int")).select(out)
     return split.unionByName(rest).withColumn("taken", F.col("size") * F.col("epochs"))
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """``docs`` with every row as often as the mix has it; all columns as they are.
+
+    Rows with equal id, source and text are taken alike.
+    """
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in (key, source, text)]
+    named = docs.withColumn("_row", F.md5(F.concat_ws("\u0001", *parts)))
+    plan = mix(named, key, source, text, columns=("_row",), **options)
+    times = written(plan.where("epochs > 0").groupBy("_row").agg(F.max("epochs").alias("_epochs")), "epochs")
+    joined = named.join(checked_broadcast(times), "_row")
+    return joined.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_epochs").cast("int")))).select(docs.columns)

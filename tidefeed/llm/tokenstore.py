@@ -149,6 +149,13 @@ class PieceEncoder:
         return out
 
 
+def default_tokenizer() -> str:
+    """Path of the public byte-level BPE vocabulary with 50 thousand entries."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 @cache
 def _encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
