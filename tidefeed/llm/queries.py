@@ -1,4 +1,4 @@
-"""The registered queries of the operators and the SQL that checks them."""
+"""The registered queries of the operators."""
 
 from __future__ import annotations
 
@@ -97,4 +97,3 @@ QUERIES = {
     "op9_rule_quality": op9_rule_quality,
     "op10_personal_data": op10_personal_data,
 }
-ORACLE: dict[str, str] = {}
