@@ -38,7 +38,7 @@ BUCKET_KEYS = 4096
 #: Slots of a level for each key that is still without one.
 SPREAD = 1.5
 #: Pieces of text whose ids a worker remembers (about 200 bytes each), twice.
-REMEMBERED = 120_000
+REMEMBERED = 300_000
 SEGMENTS = ("shard int, segment int, first long, payload binary, doc_ids array<long>, lengths array<long>")
 
 #: The pre-tokenizer, as the library prints it, whose cuts ``SIMPLE`` knows.
