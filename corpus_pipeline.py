@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefeed.llm import decontaminate, langid, mixture, nearcopies, tokenstore
-from tidefeed.llm.text import table
+from tidefeed.llm.text import boxed, table
 from tidefeed.llm.tokenstore import default_tokenizer
 from tidefeed.session import new_folder, written
 
@@ -17,8 +17,9 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents in a learned language; those without a letter go."""
     model = langid.fit(docs)
-    marked = docs.withColumn("_got", langid.language(docs, model))
-    return marked.where(F.col("_got.lang") != langid.UNKNOWN).select(docs.columns)
+    marked = boxed(docs, "text")
+    marked = marked.select("_row", langid.language(marked, model, "_text").alias("_got"))
+    return marked.where(F.col("_got.lang") != langid.UNKNOWN).select("_row.*")
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefeed.llm.text import lower_ascii
+from tidefeed.llm.text import boxed, lower_ascii
 from tidefeed.session import written
 
 WINDOW = 13
@@ -47,7 +47,7 @@ def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", siz
 
 
 def with_hits(docs: DataFrame, known: DataFrame, text: str = "text", set_limit: int = SET_LIMIT) -> DataFrame:
-    """Add ``_words`` (array) and ``_hits`` (array of place, n, gram) to every row.
+    """Add ``_words`` (array) and ``_hits`` (array of place, n, gram) to every row of ``boxed`` ones.
 
     A null or wordless text has no words and no hits. Repeated rows get the same hits each.
     """
@@ -142,10 +142,10 @@ def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", set_limit: int = SET_LIMIT) -> DataFrame:
     """``docs`` without its contaminated rows; all columns as they are."""
-    marked = with_hits(docs, windows(benchmark), text, set_limit).withColumn("_bad", contaminated())
+    marked = with_hits(boxed(docs, text), windows(benchmark), "_text", set_limit).withColumn("_bad", contaminated())
     # A filter is not pushed below a row number, so the hits are looked for once per row.
     numbered = marked.withColumn("_number", F.monotonically_increasing_id())
-    return numbered.where(~F.col("_bad") & (F.col("_number") >= 0)).select(*docs.columns)
+    return numbered.where(~F.col("_bad") & (F.col("_number") >= 0)).select("_row.*")
 
 
 def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", set_limit: int = SET_LIMIT) -> DataFrame:
@@ -154,11 +154,11 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", set
     Pieces of a text alternate between words and what separates them; a separator goes with the hit
     word before it. Rows without a hit keep their text as it is.
     """
-    marked = with_hits(docs, windows(benchmark), text, set_limit).withColumn("_gone", hit_places())
+    marked = with_hits(boxed(docs, text), windows(benchmark), "_text", set_limit).withColumn("_gone", hit_places())
     edge = f"(?<=[{NOT_WORD}])(?=[^{NOT_WORD}])|(?<=[^{NOT_WORD}])(?=[{NOT_WORD}])"
-    pieces = marked.withColumn("_pieces", F.when(F.size("_gone") > 0, F.split(F.col(text), edge)))
+    pieces = marked.withColumn("_pieces", F.when(F.size("_gone") > 0, F.split("_text", edge)))
     lead = F.when(F.element_at("_pieces", 1).rlike(f"^[{NOT_WORD}]"), 1).otherwise(0)
     kept = pieces.withColumn("_lead", F.when(F.size("_gone") > 0, lead)).withColumn("_kept", F.expr(
         "filter(_pieces, (p, i) -> i < _lead or not array_contains(_gone, cast(floor((i - _lead) / 2) as int)))"))
-    out = F.when(F.size("_gone") > 0, F.array_join("_kept", "")).otherwise(F.col(text))
-    return kept.select(*[out.alias(c) if c == text else F.col(c) for c in docs.columns])
+    out = F.when(F.size("_gone") > 0, F.array_join("_kept", "")).otherwise(F.col("_text"))
+    return kept.select(*[out.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])

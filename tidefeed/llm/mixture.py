@@ -136,8 +136,9 @@ def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: st
     Rows with equal id, source and text are taken alike.
     """
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in (key, source, text)]
-    named = docs.withColumn("_row", F.md5(F.concat_ws("\u0001", *parts)))
-    plan = mix(named, key, source, text, columns=("_row",), **options)
-    times = written(plan.where("epochs > 0").groupBy("_row").agg(F.max("epochs").alias("_epochs")), "epochs")
-    joined = named.join(checked_broadcast(times), "_row")
-    return joined.withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_epochs").cast("int")))).select(docs.columns)
+    named = docs.select(F.struct("*").alias("_row"), F.md5(F.concat_ws("\u0001", *parts)).alias("_name"),
+                        F.col(key).alias("_key"), F.col(source).alias("_from"), F.col(text).alias("_text"))
+    plan = mix(named, "_key", "_from", "_text", columns=("_name",), **options)
+    times = written(plan.where("epochs > 0").groupBy("_name").agg(F.max("epochs").alias("_epochs")), "epochs")
+    joined = named.select("_row", "_name").join(checked_broadcast(times), "_name")
+    return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("_epochs").cast("int"))).alias("_turn")).select("_row.*")

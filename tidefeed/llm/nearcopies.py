@@ -249,7 +249,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     """
     found = near_copies(docs, key, text, size, percent).where("kept and doc_id is not null")
     kept = written(found.groupBy("doc_id").agg(F.count("*").alias("_rows")).withColumnRenamed("doc_id", "_kept"), "kept")
-    joined = docs.join(checked_broadcast(kept), F.col(key).cast("long") == F.col("_kept"))
-    once = joined.where("_rows = 1").select(docs.columns)
-    twice = joined.where("_rows > 1").dropDuplicates(["_kept"]).select(docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(key).cast("long").alias("_kept"))
+    joined = rows.join(checked_broadcast(kept), "_kept")
+    once = joined.where("_rows = 1").select("_row.*")
+    twice = joined.where("_rows > 1").dropDuplicates(["_kept"]).select("_row.*")
     return once.unionByName(twice).unionByName(docs.where(F.col(key).isNull()))

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefeed.llm.text import spaced_words
+from tidefeed.llm.text import boxed, spaced_words
 
 #: Most labelled rows that are learned from, chosen by a hash of their ids.
 SAMPLE = 12_000
@@ -180,6 +180,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def score(docs: DataFrame, model: RuleEnsemble, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the probability of label 1 in column ``name``; null and empty texts too."""
-    kept = [c for c in docs.columns if c != name]
-    return statistics(docs, text).withColumn("_score", model.column()).select(*kept, F.col("_score").alias(name))
+    """``docs`` with the probability of label 1 in column ``name``; null and empty texts too.
+
+    A column of that name is replaced; no other column matters.
+    """
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c != name]
+    return statistics(boxed(docs, text), "_text").select(*kept, model.column().alias(name))

@@ -43,6 +43,11 @@ def checked_broadcast(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
+def boxed(docs: DataFrame, text: str) -> DataFrame:
+    """``_row``, the whole row as a struct, and ``_text``: added columns clash with none of a row's."""
+    return docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case; every other letter stays."""
     return F.translate(text, UPPER, LOWER)
