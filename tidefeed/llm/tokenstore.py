@@ -38,16 +38,20 @@ BUCKET_KEYS = 4096
 #: Slots of a level for each key that is still without one.
 SPREAD = 1.5
 #: Pieces of text whose ids a worker remembers (about 200 bytes each), twice.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 SEGMENTS = ("shard int, segment int, first long, payload binary, doc_ids array<long>, lengths array<long>")
 
 #: The pre-tokenizer, as the library prints it, whose cuts ``SIMPLE`` knows.
 BYTE_LEVEL = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
 #: Latin letters; every character of the ranges is one.
 LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-#: Words with single full stops, commas and line ends between them: a token never spans two of these.
-SIMPLE = re.compile(f" ?[{LATIN}]+(?:(?:[.,]\n?|\n)[{LATIN}]+)*[.,]?")
-PART = re.compile(f" ?[{LATIN}]+|[.,\n]")
+#: Signs that are neither white space, letters, digits nor the apostrophe of contractions.
+SIGNS = r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
+#: Runs of Latin letters, of digits, of signs, and single line ends: a token never spans two of
+#: these, and a space before the first run belongs to it.
+SIMPLE = re.compile(f" ?(?:[{LATIN}]+|[0-9]+|[{SIGNS}]+)(?:[{LATIN}]+|[0-9]+|[{SIGNS}]+|\n(?![\\s]|$))*")
+WORD = re.compile(f" ?[{LATIN}]+")
+PART = re.compile(f" ?[{LATIN}]+| ?[0-9]+| ?[{SIGNS}]+|\n")
 #: How the byte-level alphabet writes the bytes of UTF-8: printable Latin-1 as itself, others moved up.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _MOVED = [byte for byte in range(256) if byte not in _PRINTED]
@@ -70,6 +74,7 @@ class PieceEncoder:
         model = type(self.tokenizer.model).__name__
         steps = [str(step) for step in (self.tokenizer.pre_tokenizer, self.tokenizer.normalizer)]
         self.cuts_words = model == "BPE" and steps == [BYTE_LEVEL, "None"]
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.young: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -81,32 +86,29 @@ class PieceEncoder:
     def _learn(self, pieces: list[str]) -> None:
         """Ids of new pieces: word by word where the pre-tokenizer surely cuts so, else whole."""
         other = []
-        tokenize, young = self.tokenizer.model.tokenize, self.young
+        young, word = self.young, self._word
         for piece in pieces:
             if not self.cuts_words:
                 other.append(piece)
-            elif piece.isascii() and piece[1:].isalpha():
-                # The alphabet writes ASCII letters as themselves.
-                plain = "\u0120" + piece[1:] if piece[0] == " " else piece
-                if plain.isalpha():
-                    young[piece] = array("I", [token.id for token in tokenize(plain)]).tobytes()
-                else:
-                    other.append(piece)
-            elif SIMPLE.fullmatch(piece):
-                young[piece] = b"".join(map(self._word, PART.findall(piece)))
+            elif WORD.fullmatch(piece):
+                young[piece] = self._ids(piece)
+            elif SIMPLE.fullmatch(piece) and not any(token in piece for token in self.added):
+                young[piece] = b"".join(map(word, PART.findall(piece)))
             else:
                 other.append(piece)
         for first in range(0, len(other), 10_000):
             part = other[first : first + 10_000]
             self.young.update(zip(part, self._whole(part), strict=True))
 
-    def _word(self, word: str) -> bytes:
-        """Ids of one word of Latin letters, maybe after a space, or of one mark."""
-        ids = self.words.get(word)
+    def _ids(self, run: str) -> bytes:
+        plain = run.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [token.id for token in self.tokenizer.model.tokenize(plain)]).tobytes()
+
+    def _word(self, run: str) -> bytes:
+        """Ids of one run of a piece, maybe after a space."""
+        ids = self.young.get(run) or self.words.get(run)
         if ids is None:
-            plain = word if word.isascii() else "".join(map(BYTE_LETTERS.__getitem__, word.encode()))
-            found = self.tokenizer.model.tokenize(plain.replace(" ", "\u0120").replace("\n", "\u010a"))
-            ids = self.words[word] = array("I", [token.id for token in found]).tobytes()
+            ids = self.words[run] = self._ids(run)
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
