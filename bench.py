@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -55,7 +56,7 @@ def main() -> None:
     cores = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "2"))
     chosen = sys.argv[1:] or HEADLINE
-    spark = local_session(cores, "bench")
+    spark = local_session(cores, "bench", shared=tempfile.mkdtemp(prefix="tidefeed-bench-"))
     spark.sparkContext.setLogLevel("OFF")
     timed(spark, "w08_day_chunks", folder)
     seconds = {

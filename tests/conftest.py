@@ -16,7 +16,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "tests")
+    session = local_session(8, "tests", shared=tempfile.mkdtemp(prefix="tidefeed-shared-"))
     session.sparkContext.setLogLevel("OFF")
     # Small tables would otherwise be merged into one slice, and no key would cross slices.
     session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")

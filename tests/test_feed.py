@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidefeed.operators import feed as Q
 from tidefeed.operators import forms, store
+from tidefeed.operators import requests
 from tidefeed.operators.requests import (
     _needed_slices,
     batch_fetch,
@@ -224,14 +225,12 @@ def request_rows():
 
 
 @pytest.mark.parametrize(
-    "slice_ms, limit, prune",
-    [(MS_PER_DAY, 20, None), (MS_PER_DAY, 20, False), (700, 20, True), (40, 20, True),
-     (1, 3, True)])
-def test_batch_fetch_answers_like_single_fetches(spark, skewed, slice_ms, limit, prune):
+    "slice_ms, limit", [(MS_PER_DAY, 20), (700, 20), (40, 20), (1, 3)])
+def test_batch_fetch_answers_like_single_fetches(spark, skewed, slice_ms, limit):
     schema = "req_id bigint, user_id string, from_time bigint, direction string"
     asked = spark.createDataFrame(request_rows(), schema)
     got = {}
-    for r in batch_fetch(skewed, asked, limit, slice_ms, prune).orderBy("req_id", "rank").collect():
+    for r in batch_fetch(skewed, asked, limit, slice_ms).orderBy("req_id", "rank").collect():
         got.setdefault(r.req_id, [])
         if r["rank"] is not None:
             got[r.req_id].append((r.user_id, r.notify_id, r.timestamp, r.data))
@@ -255,21 +254,51 @@ def test_only_slices_near_a_cursor_are_needed(spark):
     assert sorted(r._part for r in needed.collect()) == [48, 49, 50, 80, 81, 82, 98, 99]
 
 
+def test_requests_without_user_or_direction_stay(spark, skewed):
+    schema = "req_id bigint, user_id string, from_time bigint, direction string"
+    asked = spark.createDataFrame([(1, None, None, "desc"), (2, "hot", None, None), (3, "none", 5, "asc")], schema)
+    assert [(r.req_id, r["rank"]) for r in batch_fetch(skewed, asked).orderBy("req_id").collect()] == [
+        (1, None), (2, None), (3, None)]
+    wrong = spark.createDataFrame([(1, "hot", None, "DESC")], schema)
+    with pytest.raises(Exception, match="unknown direction: DESC"):
+        batch_fetch(skewed, wrong).count()
+
+
+def test_batch_fetch_numbers_without_payload(spark, skewed, monkeypatch):
+    """The payload is in no slice: it is fetched for the rows of pages alone."""
+    seen = []
+    original = requests.range_slices
+    monkeypatch.setattr(requests, "range_slices", lambda df, *a: seen.append(df.columns) or original(df, *a))
+    asked = spark.createDataFrame(
+        [(1, "hot", None, "desc")], "req_id bigint, user_id string, from_time bigint, direction string")
+    assert batch_fetch(skewed, asked).where("data is not null").count() == 20
+    assert seen and all("data" not in columns for columns in seen)
+
+
 def test_generated_requests(spark, edges):
-    span = spark.createDataFrame([(1000, 50, 90, 10)],
-                                 "users bigint, min_ms bigint, max_ms bigint, total bigint")
-    rows = gen_requests(spark.range(10), F.col("id"), span, 3, 10).orderBy("req_id").collect()
-    assert [r.thread for r in rows] == [0, 0, 0, 1, 1, 1, 2, 2, 2, 2]
-    assert [r.due_ms for r in rows] == [0, 3333, 6666, 0, 3333, 6666, 0, 2500, 5000, 7500]
+    span = spark.createDataFrame([(7919, 50, 90)], "users bigint, min_ms bigint, max_ms bigint")
+    rows = gen_requests(spark.range(4000), F.col("id"), span).collect()
     assert all(r.from_time is None or 50 <= r.from_time < 90 for r in rows)
-    assert all(0 <= int(r.user_id) < 1000 for r in rows)
+    assert all((r.from_time is None) == (r.phase == "first") for r in rows)
+    assert len({r.user_id for r in rows}) > 2000
+    # Every phase and direction goes to even and odd users alike.
+    kinds = {(int(r.user_id) % 2, r.phase, r.direction) for r in rows}
+    assert len(kinds) == 8
     assert request_span(edges.where("user_id = '8'")).first().users == 9
 
 
-@pytest.mark.parametrize("span, threads, problem", [
-    ((10, 5, 5, 10), 1, "min_ms must be below max_ms"), ((10, 0, 5, 2), 3, "fewer requests")])
-def test_bad_request_settings_fail(spark, span, threads, problem):
-    table = spark.createDataFrame(
-        [span], "users bigint, min_ms bigint, max_ms bigint, total bigint")
-    with pytest.raises(Exception, match=problem):
-        gen_requests(spark.range(2), F.col("id"), table, threads, 10).collect()
+def test_bad_request_settings_fail(spark):
+    table = spark.createDataFrame([(10, 5, 5)], "users bigint, min_ms bigint, max_ms bigint")
+    with pytest.raises(Exception, match="min_ms must be below max_ms"):
+        gen_requests(spark.range(2), F.col("id"), table).collect()
+
+
+def test_keyset_walk_keeps_rows_of_one_time_and_id(spark):
+    rows = [("u", "n", 5, f'{{"k":{i}}}', i) for i in range(3)] + [("u", "m", 4, "{}", 9)]
+    table = spark.createDataFrame(rows, INGESTED)
+    first = Q.feed_after(table, "desc", "u", 9, "", limit=2).collect()
+    assert [r.data for r in first] == ['{"k":2}', '{"k":1}']
+    after = Q.feed_after(table, "desc", "u", 5, "n", cursor_seq=1).collect()
+    assert [r.data for r in after] == ['{"k":0}', "{}"]
+    back = Q.feed_after(table, "asc", "u", 5, "n", cursor_seq=0).collect()
+    assert [r.data for r in back] == ['{"k":1}', '{"k":2}']

@@ -49,14 +49,63 @@ def test_insert_rejects_invalid_rows(spark, folder):
     assert loose.rows().count() == 1
 
 
-def test_fetch_all_equals_single_fetches(spark, ten, folder):
-    store = FeedStore(spark, folder + "/feed", "key_range")
+@pytest.mark.parametrize("dialect", RULES)
+def test_fetch_all_equals_single_fetches(spark, folder, dialect):
+    """Daily rows of two users, ids written at several times, some written twice."""
+    day = 86_400_000
+    rows = [(u, f"n{i % 5}", NOW - i * day + k, f'{{"k":{i}}}', 100 - i)
+            for u in ("1", "2") for i in range(-1, 8) for k in (0, 5)]
+    store = FeedStore(spark, folder + "/feed", dialect)
+    store.insert(spark.createDataFrame(rows, INGESTED))
+    store.insert(spark.createDataFrame([r for r in rows if r[4] % 2], INGESTED))
+    asked = [(n, u, d, f) for n, (u, d, f) in enumerate(
+        (u, d, f) for u in ("1", "2", "9") for d in ("desc", "asc")
+        for f in (None, NOW - 2 * day, NOW - 2 * day + 5, NOW - 20 * day, NOW + 9 * day))]
+    frame = spark.createDataFrame(asked, "req_id bigint, user_id string, direction string, from_time bigint")
+    got: dict = {}
+    for r in store.fetch_all(frame, as_of=NOW, limit=4).collect():
+        own = got.setdefault(r.req_id, [])
+        if r.timestamp is not None:
+            own.append((r.timestamp, r.notify_id, r.n if dialect == "counted_points" else r.data))
+    for n, user, direction, cursor in asked:
+        fetch = store.fetch_desc if direction == "desc" else store.fetch_asc
+        single = fetch(user, cursor, as_of=NOW, limit=4).collect()
+        want = [(r.timestamp, r.notify_id, r.n if dialect == "counted_points" else r.data) for r in single]
+        assert sorted(got[n], key=str) == sorted(want, key=str), (user, direction, cursor)
+
+
+@pytest.mark.parametrize("dialect", ["key_range", "inclusive_points", "retention_range"])
+def test_the_later_write_stays(spark, folder, dialect):
+    """Two inserts and two micro-batches; each later write has the smaller sequence."""
+    store = FeedStore(spark, folder + "/feed", dialect)
+
+    def row(value, sequence):
+        return spark.createDataFrame([("a", "n", NOW - 5, f'{{"v":{value}}}', sequence)], INGESTED)
+
+    def shown():
+        return [r.data for r in store.fetch_desc("a", as_of=NOW).collect()]
+
+    store.insert(row(1, 90))
+    store.insert(row(2, 80))
+    assert shown() == ['{"v":2}'] and [r.data for r in store.rows().collect()] == ['{"v":2}']
+    for value, sequence in ((3, 70), (4, 60)):
+        row(value, sequence).write.mode("append").parquet(folder + "/in")
+        run_available(store.insert_stream(
+            read_files(spark, folder + "/in", INGESTED), folder + "/progress"))
+        assert shown() == [f'{{"v":{value}}}']
+    store.insert(row(5, 1))
+    assert shown() == ['{"v":5}']
+
+
+def test_flush_under_dynamic_overwrite(spark, ten, folder):
+    store = FeedStore(spark, folder + "/feed")
     store.insert(ten)
-    asked = spark.createDataFrame(
-        [(1, "1", "desc", None), (2, "3", "asc", NOW - 97), (3, "9", "asc", None)],
-        "req_id bigint, user_id string, direction string, from_time bigint")
-    got = store.fetch_all(asked).orderBy("req_id", "rank").collect()
-    assert [(r.req_id, r.notify_id) for r in got] == [(1, "6"), (1, "1"), (2, "8"), (3, None)]
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        store.flush()
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert store.rows().count() == 0
 
 
 def test_unknown_dialect(spark, folder):

@@ -85,6 +85,14 @@ def test_monotonic_ids_carry_and_wrap(spark):
     assert all(r.ulid == text_of(r.timestamp, r.hi40, r.lo40) for r in got)
 
 
+def test_strict_ids_never_go_back(spark):
+    times = [100, 100, 90, 100, 101, 50, 51]
+    frame = spark.createDataFrame([(t, n) for n, t in enumerate(times)], "timestamp bigint, ingest_seq bigint")
+    got = ids.assign_monotonic_ulids(frame).orderBy("ingest_seq").collect()
+    assert [r.strict_ulid is None for r in got] == [False, False, True, False, False, True, False]
+    assert all(r.ulid is not None for r in got)
+
+
 def test_ids_are_the_same_on_every_run(spark):
     frame = spark.range(100).select(F.col("id").alias("ingest_seq"), F.lit(5).alias("timestamp"))
     first = {r.ulid for r in ids.assign_ulids(frame).collect()}

@@ -4,11 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_DIR
+from tidefeed.functions.scalar import day_of
+from tidefeed.operators import dialects, metrics, monitor, store
 from tidefeed.operators import feed as Q
-from tidefeed.operators import store
 from tidefeed.plans import ordered
 from tidefeed.schema import INGESTED, MS_PER_DAY
 from tidefeed.sources import derived
+from tidefeed.sources.monitor import load_monitor_log
 from tidefeed.sources.notifications import gen_range, read_feed
 from tidefeed.workload.queries import QUERIES
 
@@ -54,6 +56,39 @@ def test_row_key_bounds_reach_the_scan(spark, stored, tmp_path):
     assert "GreaterThan(row_key" in text and "LessThanOrEqual(row_key" in text
 
 
+def test_salt_and_day_reach_the_directories(spark, stored, tmp_path):
+    store.write_salted(stored.drop("day"), str(tmp_path / "salted"))
+    salted = spark.read.parquet(str(tmp_path / "salted"))
+    text = plan(Q.rowkey_range_scan(salted, "8", "desc", 1_706_659_200_000))
+    assert "PartitionFilters: [isnotnull(salt" in text
+    ttl = plan(store.retain_ttl(stored, 1_706_659_200_000))
+    assert "PartitionFilters: [isnotnull(day" in ttl
+    held = plan(dialects.held(store.retain_ttl(stored, 1_706_659_200_000), "key_range"))
+    assert "PartitionFilters: [isnotnull(day" in held
+
+
+def test_log_search_skips_days(spark, tmp_path):
+    rows = spark.createDataFrame([("r1", 5), ("r2", 90_000_000)], "requestID string, timestamp bigint")
+    days = rows.select(day_of("timestamp").cast("string").alias("day"), F.struct("*").alias("_source"))
+    days.write.partitionBy("day").json(str(tmp_path / "log"))
+    log = load_monitor_log(spark, str(tmp_path / "log"), wrapped=True)
+    found = monitor.monitor_search(log, min_time=86_400_000)
+    assert [r.requestID for r in found.collect()] == ["r2"]
+    assert "PartitionFilters: [isnotnull(day" in plan(found)
+
+
+def test_trailing_counts_split_a_hot_user(spark):
+    rows = spark.range(20_000).select(F.lit("hot").alias("user_id"), (F.col("id") * 62).alias("timestamp"))
+    counts = metrics.trailing_count_sliced(rows, 1000)
+    assert "_block" in plan(counts)
+    assert {r.trailing_count for r in counts.where("timestamp > 2000").collect()} <= {16, 17, 18}
+    for bad in (0, -16_000, 10):
+        with pytest.raises(ValueError, match="interval"):
+            metrics.trailing_count_sliced(rows, bad)
+    with pytest.raises(ValueError, match="interval"):
+        metrics.trailing_count_exact(rows, 0)
+
+
 def test_slices_split_a_hot_key_and_a_hot_instant(spark):
     rows = spark.range(8000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string"))

@@ -126,3 +126,25 @@ def test_or_list(spark):
     got = values(spark, "v string, l string", rows,
                  S.or_list_match("v", "a|b"), S.or_list_match("v", F.col("l")))
     assert got == [(True, True), (True, True), (False, False), (False, False)]
+
+
+@pytest.mark.parametrize("text, good", [
+    ("{}", True), (' {"a": [1, {"b": "}"}]}\n', True), ('{"a":1,"a":2}', True), ('{"a":"it\'s"}', True), ('{"a\\"\'":1}', True),
+    ('{"a":1', False), ('{"a":1} x', False), ('{"a":1}]', False), ('{"a":1}}', False), ('{"a":1},{"b":2}', False),
+    ('{"a":1}],[{}', False), ('{"a":1}} , {"b":{}', False), ('{"a":1},"b":2', False), ("{'a':1}", False), ("{bad", False),
+    ("[1]", False), ("1", False), ("null", False), ("", False), (None, False)])
+def test_json_objects(spark, text, good):
+    frame = spark.createDataFrame([(text,)], "t string")
+    assert frame.select(S.is_json_object("t")).first()[0] is good
+
+
+def test_long_json_is_kept(spark):
+    long = spark.range(1).select(F.concat(F.lit('{"a":"'), F.expr("repeat('x', 104857600)"), F.lit('","b":7}')).alias("t"))
+    got = long.select(S.is_json_object("t").alias("good"), F.length(S.lenient_json_object("t")).alias("n")).first()
+    assert got.good and got.n == 104857600 + 14
+
+
+def test_json_integers_of_repeated_names(spark):
+    frame = spark.createDataFrame([('{"size":3,"size":"12.9","at":{"x":true}}',), ('{"size":3',), (None,)], "t string")
+    assert [tuple(r) for r in frame.select(S.json_integer("t", "$.size"), S.json_integer("t", "$.at.x")).collect()] == [
+        (12, 1), (0, 0), (0, 0)]

@@ -108,7 +108,7 @@ def test_dedup_reports_what_came_too_late(spark, feed, folder):
 
 def test_trailing_windows_equal_batch(spark, feed, arrivals):
     interval = 16 * 3_600_000
-    counts = trailing.slice_counts(source(spark, arrivals), interval)
+    counts = trailing.slice_counts(source(spark, arrivals), interval, delay_seconds=None)
     ingest.run_available(trailing.stream_trailing_count(
         counts, f"{arrivals}/out", f"{arrivals}/progress"))
     got = trailing.trailing_windows(spark, f"{arrivals}/out", interval)

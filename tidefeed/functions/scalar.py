@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tidefeed.schema import MS_PER_DAY, MS_PER_HOUR, MS_PER_SECOND, SALT_BUCKETS
 
@@ -147,10 +147,19 @@ def bool_of(value: ColumnOrName) -> Column:
 # ---- JSON -----------------------------------------------------------------------------
 
 def is_json_object(text: ColumnOrName) -> Column:
-    """True for well-formed JSON whose top level is an object; never null."""
+    """True for text that is one well-formed JSON object and nothing else; never null.
+
+    Repeated names are allowed, the last of them counts, and no text is too long. The text is
+    read as the only member of an array and of an object, so that no bracket in it can close
+    more than it opened; names and strings need double quotes.
+    """
     text = as_column(text)
     opens = F.ltrim(text, F.lit(" \t\r\n")).startswith("{")
-    return F.coalesce(opens & F.try_parse_json(text).isNotNull(), F.lit(False))
+    listed = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
+    named = F.size(F.json_object_keys(F.concat(F.lit('{"_":'), text, F.lit("}")))) == 1
+    bare = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    quoted = F.when(F.contains(text, F.lit("'")), F.contains(bare, F.lit("'"))).otherwise(False)
+    return F.coalesce(opens & listed & named & ~quoted, F.lit(False))
 
 
 def lenient_json_object(text: ColumnOrName, default: str | None = "{}") -> Column:
@@ -166,14 +175,21 @@ def strict_json_object(text: ColumnOrName) -> Column:
 
 
 def json_integer(text: ColumnOrName, path: str) -> Column:
-    """The number at ``path``, fractions cut off; 0 where it is missing or not a number.
+    """The number at ``path`` ($.name, or $.name.name), fractions cut off.
 
-    Numeric strings and booleans count as numbers.
+    0 where it is missing or not a number, and where the text is not a JSON object. Numeric
+    strings and booleans count as numbers; of a repeated name the last counts.
     """
-    parsed = F.try_parse_json(as_column(text))
-    exact = F.try_variant_get(parsed, path, "bigint")
-    through_double = F.try_variant_get(parsed, path, "double").try_cast("bigint")
-    return F.coalesce(exact, through_double, F.lit(0).cast("bigint"))
+    names = path.removeprefix("$.").split(".")
+    schema: StructType | StringType = StringType()
+    for name in reversed(names):
+        schema = StructType([StructField(name, schema)])
+    value = F.from_json(F.when(is_json_object(text), as_column(text)), schema)
+    for name in names:
+        value = value[name]
+    flag = F.when(value == "true", 1).when(value == "false", 0).cast("bigint")
+    through_double = value.try_cast("double").try_cast("bigint")
+    return F.coalesce(flag, value.try_cast("bigint"), through_double, F.lit(0).cast("bigint"))
 
 
 def normalize_record(df: DataFrame, schema: StructType, *keep: str) -> DataFrame:

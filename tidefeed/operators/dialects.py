@@ -41,7 +41,9 @@ def accepted(df: DataFrame, dialect: str) -> DataFrame:
 def held(written: DataFrame, dialect: str) -> DataFrame:
     """The rows that are there after these, already let in, have been written."""
     rules = RULES[dialect]
-    kept = written if rules.identity is None else upsert_latest(written, rules.identity)
+    # The day follows from the time: with it in the key, bounds on it still reach the scan.
+    day = [c for c in written.columns if c == "day"]
+    kept = written if rules.identity is None else upsert_latest(written, [*rules.identity, *day])
     if not rules.keeps_payload:
         kept = kept.withColumn("data", F.lit(None).cast("string"))
     return kept

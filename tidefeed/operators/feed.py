@@ -205,19 +205,20 @@ def feed_pages(
     order = ["timestamp", "notify_id", "ingest_seq"]
     numbered = positions(df, "user_id", order, "rank", descending=direction == DESC)
     page_number = whole_div(F.col("rank") - 1, limit)
-    return numbered.select(*COLUMNS, "rank", page_number.alias("page"))
+    return numbered.select(*COLUMNS, "ingest_seq", "rank", page_number.alias("page"))
 
 
 def page_cursors(pages: DataFrame, direction: str = DESC) -> DataFrame:
     """Per user and page, the cursor that continues after it."""
     pick = F.min if direction == DESC else F.max
-    last = pick(F.struct("timestamp", "notify_id")).alias("last")
+    last = pick(F.struct("timestamp", "notify_id", "ingest_seq")).alias("last")
     return pages.groupBy("user_id", "page").agg(F.count("*").alias("rows"), last).select(
         "user_id",
         "page",
         "rows",
         F.col("last.timestamp").alias("cursor_ms"),
         F.col("last.notify_id").alias("cursor_id"),
+        F.col("last.ingest_seq").alias("cursor_seq"),
     )
 
 
@@ -228,15 +229,22 @@ def feed_after(
     cursor_ms: int,
     cursor_id: str,
     limit: int = PAGE_SIZE,
+    cursor_seq: int | None = None,
 ) -> DataFrame:
-    """The page after a (time, id) cursor; rows tied in time with the cursor are not lost."""
-    time, ident = F.col("timestamp"), F.col("notify_id")
+    """The page after a (time, id, sequence) cursor; rows tied with the cursor are not lost.
+
+    Without a sequence the page begins after all rows of the cursor's time and id.
+    """
+    time, ident, written_as = F.col("timestamp"), F.col("notify_id"), F.col("ingest_seq")
     if direction == DESC:
         kept = time_range(df, upper=cursor_ms)
         beyond = (time < cursor_ms) | (ident < cursor_id)
+        later = written_as < cursor_seq if cursor_seq is not None else F.lit(False)
     else:
         kept = time_range(df, lower=cursor_ms)
         beyond = (time > cursor_ms) | (ident > cursor_id)
+        later = written_as > cursor_seq if cursor_seq is not None else F.lit(False)
+    beyond = beyond | ((ident == cursor_id) & later)
     return page(kept.where(beyond), direction, user_id, limit)
 
 
@@ -282,6 +290,9 @@ def rowkey_range_scan(
         stop = F.lit(prefix + b"\xff" * 8)
         bounds = (key >= F.lit(at(start)) if first else key > F.lit(at(start))) & (key <= stop)
     whole = F.octet_length(key) == len(prefix) + 8
+    if "salt" in df.columns:
+        # On a stored salted layout only the user's directory is read.
+        df = df.where(F.col("salt") == int(prefix.split(b"-")[0]))
     kept = upsert_latest(df.where(bounds & whole), ("row_key",))
     order = F.desc("row_key") if direction == DESC else F.asc("row_key")
     return kept.orderBy(order).limit(limit).select(*COLUMNS)

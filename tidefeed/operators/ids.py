@@ -17,6 +17,8 @@ from tidefeed.functions.ulid import (
     ulid,
 )
 from tidefeed.plans.ordered import positions, previous_value
+from tidefeed.plans.pruning import broadcast_if_few
+from tidefeed.session import written
 
 
 def assign_ulids(df: DataFrame, time: str = "timestamp", seed: str = "ingest_seq") -> DataFrame:
@@ -35,19 +37,26 @@ def assign_monotonic_ulids(
 
     The first row of a millisecond gets a random part (``start`` replaces it), each next row
     one more. ``ulid`` wraps to a zero random part past the last value; ``strict_ulid`` is
-    null from there on, as no greater id is left in that millisecond.
+    null from there on, as no greater id is left in that millisecond, and where the time is
+    earlier than that of the row before in ``order``.
     """
     hi, lo = start or random_halves(F.lit("ms"), F.col(time))
-    step = positions(df, time, [order], "_step").withColumns({"_hi": hi, "_lo": lo})
+    times = df.select(F.lit(0).alias("_all"), F.col(order).alias("_order"), F.col(time).alias("_time"))
+    # Only the rows that go back, by their place in the order, which is unique.
+    back = previous_value(times, "_all", ["_order"], "_time", "_earlier").where("_time < _earlier")
+    back = written(back.select("_order", F.lit(True).alias("_back")), "back")
+    marked = df.join(broadcast_if_few(back, back.count()), F.col(order) == F.col("_order"), "left").drop("_order")
+    step = positions(marked, time, [order], "_step").withColumns({"_hi": hi, "_lo": lo})
     low = F.col("_lo") + F.col("_step") - 1
     carried = F.col("_hi") + whole_div(low, HALF)
     numbered = step.withColumns(
         {"overflow": carried >= HALF, "hi40": carried % HALF, "lo40": low % HALF}
     ).drop("_step", "_hi", "_lo")
+    strict = ~F.col("overflow") & F.col("_back").isNull()
     text = ulid(time, F.col("hi40"), F.col("lo40"))
     return numbered.withColumns(
-        {"ulid": text, "strict_ulid": F.when(~F.col("overflow"), text)}
-    )
+        {"ulid": text, "strict_ulid": F.when(strict, text)}
+    ).drop("_back")
 
 
 def audit_ulids(df: DataFrame, text: str = "ulid") -> DataFrame:

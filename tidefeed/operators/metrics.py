@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefeed.functions.scalar import format_duration, slice_number, whole_div
@@ -10,16 +10,30 @@ from tidefeed.plans.ordered import running_total_by_time
 from tidefeed.schema import COUNTER_SLICES
 
 
+# Slices of one user that are counted together.
+SLICES_IN_BLOCK = 4096
+
+
 def points_per_timestamp(df: DataFrame) -> DataFrame:
     """Number of rows per user and millisecond."""
     return df.groupBy("user_id", "timestamp").agg(F.count("*").alias("n"))
 
 
+def _least_covering(percent: int) -> Column:
+    """The least success latency that ``percent`` of 100 successes do not exceed.
+
+    Spark keeps a count per distinct latency, which is partly summed before the shuffle.
+    """
+    successes = "CASE WHEN ok THEN latency_ms END"
+    return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {successes})").cast("bigint")
+
+
 def latency_summary(log: DataFrame, *by: str) -> DataFrame:
     """Average latency per group, in whole milliseconds.
 
     ``avg_ms`` divides the time of the successes by all attempts; ``avg_ok_ms`` divides it by
-    the successes alone, and is null where there are none.
+    the successes alone, and is null where there are none. ``p50_ok_ms`` and ``p95_ok_ms`` are
+    the least latencies that half and 95 of 100 successes do not exceed.
     """
     total = F.sum(F.when(F.col("ok"), F.col("latency_ms")).otherwise(F.lit(0).cast("bigint")))
     good = F.count_if("ok")
@@ -30,6 +44,7 @@ def latency_summary(log: DataFrame, *by: str) -> DataFrame:
             (F.count("*") - good).alias("failures"),
             whole_div(total, F.count("*")).alias("avg_ms"),
             F.when(good > 0, whole_div(total, F.greatest(good, F.lit(1)))).alias("avg_ok_ms"),
+            *[_least_covering(share).alias(f"p{share}_ok_ms") for share in (50, 95)],
         )
         .withColumn("avg_text", format_duration("avg_ms"))
     )
@@ -52,6 +67,8 @@ def trailing_count_exact(df: DataFrame, interval_ms: int) -> DataFrame:
     count is a running total. A sliding window frame would go over the whole interval again
     for every row.
     """
+    if interval_ms <= 0:
+        raise ValueError("the interval must be positive")
     up = F.struct(F.col("timestamp").alias("at"), F.lit(1).cast("bigint").alias("step"))
     down = F.struct(
         (F.col("timestamp") + interval_ms + 1).alias("at"), F.lit(-1).cast("bigint").alias("step")
@@ -72,6 +89,8 @@ def trailing_count_sliced(
     the current slice has already pushed out, rounded towards zero. Slices start at multiples
     of their width. Rows without a user have no counter.
     """
+    if interval_ms < slices or slices < 1:
+        raise ValueError("the interval must be positive and have at least a millisecond per slice")
     df = df.where(F.col("user_id").isNotNull())
     width = interval_ms // slices
     instants = df.groupBy("user_id", "timestamp").agg(F.count("*").alias("n")).withColumn(
@@ -82,17 +101,24 @@ def trailing_count_sliced(
     )
     current = instants.withColumn("_current", F.sum("n").over(so_far))
 
-    # A user has one row per slice of the time span here, however many events it has.
-    per_slice = df.groupBy("user_id", slice_number("timestamp", width).alias("_slice")).agg(
-        F.count("*").alias("_events")
+    # A user has one row per slice of the time span here, however many events it has. Slices are
+    # dealt to blocks of time, with those that reach into the next block in both.
+    number = F.col("_slice")
+    block = slice_number("_slice", SLICES_IN_BLOCK)
+    reaching = slice_number(number + slices, SLICES_IN_BLOCK)
+    per_slice = (
+        df.groupBy("user_id", slice_number("timestamp", width).alias("_slice"))
+        .agg(F.count("*").alias("_events"))
+        .withColumn("_block", F.explode(F.sequence(block, reaching)))
     )
-    history = Window.partitionBy("user_id").orderBy("_slice")
+    history = Window.partitionBy("user_id", "_block").orderBy("_slice")
     past = per_slice.select(
         "user_id",
         "_slice",
+        "_block",
         F.sum("_events").over(history.rangeBetween(-slices, -1)).alias("_full"),
         F.sum("_events").over(history.rangeBetween(-slices, -slices)).alias("_oldest"),
-    )
+    ).where(F.col("_block") == block).drop("_block")
     zero = F.lit(0).cast("bigint")
     full, oldest = F.coalesce("_full", zero), F.coalesce("_oldest", zero)
     gone = (F.col("timestamp") - F.col("_slice") * width) * slices / F.lit(float(interval_ms))

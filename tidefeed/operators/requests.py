@@ -5,68 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefeed.functions.scalar import slice_number, whole_div
-from tidefeed.operators.feed import DESC
+from tidefeed.functions.scalar import floor_to, slice_number
+from tidefeed.functions.ulid import random_halves
+from tidefeed.operators.feed import ASC, DESC
+from tidefeed.operators.identity import BY_POINT, BY_TIME, upsert_latest
 from tidefeed.plans.ordered import range_slices, running_total
 from tidefeed.plans.pruning import broadcast_if_few, time_range
-from tidefeed.schema import MS_PER_DAY, MS_PER_SECOND, PAGE_SIZE
+from tidefeed.schema import MS_PER_DAY, MS_PER_SECOND, PAGE_SIZE, TTL_SECONDS
 from tidefeed.session import written
 
-# ---- fixed values -----------------------------------------------------------------
-USER_STEP = 7919          # strides that spread request numbers over users and times
-CURSOR_STEP = 104729
-# -----------------------------------------------------------------------------------
-
 # Open cursors stand outside all times, and far enough inside bigint for arithmetic.
 BEFORE_ALL, AFTER_ALL = -(1 << 62), 1 << 62
 
 
-def gen_requests(
-    numbers: DataFrame,
-    number: Column,
-    span: DataFrame,
-    threads: int = 1,
-    ramp_seconds: int | None = None,
-) -> DataFrame:
-    """Fetch requests, one per row of ``numbers``, from arithmetic on the row's number.
+def gen_requests(numbers: DataFrame, number: Column, span: DataFrame) -> DataFrame:
+    """Fetch requests, one per row of ``numbers``, drawn from digests of the row's number.
 
-    ``span`` is one row of ``users, min_ms, max_ms, total``. Even numbers ask for a first page,
-    odd ones continue from a cursor in ``[min_ms, max_ms)``. With a ramp, ``total`` requests are
-    dealt to the threads, the last one taking the remainder, and each thread spaces its own
-    evenly over the ramp; ``numbers`` must then count from 0.
+    ``span`` is one row of ``users, min_ms, max_ms``. User, direction, phase and cursor are
+    independent of each other and uniform: a first page has no cursor, a further one has one
+    in ``[min_ms, max_ms)``.
     """
     def checked(good: Column, value: Column, problem: str) -> Column:
         return F.when(good, value).otherwise(F.raise_error(F.lit(problem)).cast("bigint"))
 
+    def drawn(name: str) -> Column:
+        return random_halves(F.lit(name), F.col("req_id"))[0]
+
     base = numbers.select(
         number.cast("bigint").alias("req_id"),
-        span.select(F.struct("users", "min_ms", "max_ms", "total")).scalar().alias("_span"),
+        span.select(F.struct("users", "min_ms", "max_ms")).scalar().alias("_span"),
     )
-    req, users, total = F.col("req_id"), F.col("_span.users"), F.col("_span.total")
     low, high = F.col("_span.min_ms"), F.col("_span.max_ms")
-    width = checked(high > low, high - low, "min_ms must be below max_ms")
-    base = base.withColumn("_width", width)
-    width = F.col("_width")
-    columns = [
+    base = base.withColumn("_width", checked(high > low, high - low, "min_ms must be below max_ms"))
+    more = drawn("request phase") % 2 == 1
+    return base.select(
         "req_id",
-        F.pmod(F.pmod(req, users) * USER_STEP, users).cast("string").alias("user_id"),
-        F.when(req % 2 == 1, low + F.pmod(F.pmod(req, width) * CURSOR_STEP, width)).alias(
-            "from_time"
-        ),
-        F.when(req % 4 < 2, "desc").otherwise("asc").alias("direction"),
-        F.when(req % 2 == 1, "more").otherwise("first").alias("phase"),
-    ]
-    if ramp_seconds is None:
-        return base.select(*columns)
-    last = F.lit(threads - 1).cast("bigint")
-    each = checked(total >= threads, whole_div(total, threads), "fewer requests than threads")
-    base = base.withColumn("_each", each)
-    each = F.col("_each")
-    base = base.withColumn("thread", F.least(whole_div(req, each), last))
-    own = F.when(F.col("thread") == last, total - each * last).otherwise(each)
-    gap = whole_div(F.lit(ramp_seconds * MS_PER_SECOND).cast("bigint"), own)
-    due = (req - F.col("thread") * each) * gap
-    return base.select(*columns, "thread", due.alias("due_ms"))
+        (drawn("request user") % F.col("_span.users")).cast("string").alias("user_id"),
+        F.when(more, low + drawn("request time") % F.col("_width")).alias("from_time"),
+        F.when(drawn("request direction") % 2 == 0, DESC).otherwise(ASC).alias("direction"),
+        F.when(more, "more").otherwise("first").alias("phase"),
+    )
 
 
 def request_span(df: DataFrame) -> DataFrame:
@@ -75,7 +53,6 @@ def request_span(df: DataFrame) -> DataFrame:
         (F.max(F.col("user_id").cast("bigint")) + 1).alias("users"),
         F.min("timestamp").alias("min_ms"),
         F.max("timestamp").alias("max_ms"),
-        F.count("*").alias("total"),
     )
 
 
@@ -121,46 +98,44 @@ def _needed_slices(
     )
 
 
-def batch_fetch(
-    df: DataFrame,
-    requests: DataFrame,
-    limit: int = PAGE_SIZE,
-    slice_ms: int = MS_PER_DAY,
-    prune: bool | None = None,
-) -> DataFrame:
-    """The page of every request; a request without rows gets one row with a null rank.
+KEY = ("user_id", "timestamp", "notify_id", "ingest_seq")
+ANSWER = ("req_id", "user_id", "direction", "from_time", "rank", "notify_id", "timestamp")
+
+
+def _checked(requests: DataFrame) -> DataFrame:
+    """The requests; a direction that is neither null nor known fails the query."""
+    direction = F.col("direction")
+    problem = F.raise_error(F.concat(F.lit("unknown direction: "), direction)).cast("boolean")
+    known = direction.isNull() | direction.isin(DESC, ASC)
+    return requests.where(F.when(known, F.lit(True)).otherwise(problem))
+
+
+def _pages(df: DataFrame, asked: DataFrame, limit: int, slice_ms: int) -> DataFrame:
+    """``asked`` with the rank, id, time and sequence of every row of its page.
+
+    ``asked`` has ``user_id``, ``direction`` and the strict cursor ``_at``; ``df`` has the
+    columns of ``KEY``. A request without rows stays, with a null rank.
 
     Joining requests to rows on the user would pair every request of a busy user with every
     row of that user. Instead the slices of time that any page can touch are found from row
     counts, and their rows are sorted together with the distinct cursors. A running count then
     gives each row its place in the user's feed, and each cursor the number of rows before it.
     A page is ``limit`` known places, looked up by (user, place).
-
-    Finding the slices first (``prune``) takes a pass over users and times. Left open, it is
-    done where the pages have fewer rows than the table.
     """
     newest_first = F.col("direction") == DESC
-    at = F.coalesce(
-        F.col("from_time"),
-        F.when(newest_first, F.lit(AFTER_ALL)).otherwise(F.lit(BEFORE_ALL)),
-    )
-    asked = requests.withColumn("_at", at)
-    cursors = written(asked.select("user_id", "direction", "_at").distinct(), "cursors")
-
-    if prune is None:
-        prune = cursors.count() * limit < df.count()
-    kept = df
-    if prune:
-        # Between two cursors rows may be missing then, but never one that a page needs: the
-        # rows from a cursor to the end of its page are all there, side by side.
-        needed = written(_needed_slices(df, cursors, slice_ms, limit), "needed")
-        first, last = needed.agg(F.min("_part"), F.max("_part")).first()
-        if first is not None:
-            # Keeps the scan to the days between, and to the row groups that reach into them.
-            kept = time_range(df, first * slice_ms, (last + 1) * slice_ms, upper_inclusive=False)
-        kept = kept.withColumn("_part", slice_number("timestamp", slice_ms)).join(
-            broadcast_if_few(needed, needed.count()), ["user_id", "_part"], "left_semi"
-        )
+    cursors = written(asked.select("user_id", "direction", "_at").dropna().distinct(), "cursors")
+
+    # Between two cursors rows may be missing then, but never one that a page needs: the rows
+    # from a cursor to the end of its page are all there, side by side.
+    needed = written(_needed_slices(df, cursors, slice_ms, limit), "needed")
+    first, last = needed.agg(F.min("_part"), F.max("_part")).first()
+    if first is not None:
+        # Keeps the scan to the days between, and to the row groups that reach into them.
+        df = time_range(df, first * slice_ms, (last + 1) * slice_ms, upper_inclusive=False)
+    kept = df.withColumn("_part", slice_number("timestamp", slice_ms)).join(
+        broadcast_if_few(needed, needed.count()), ["user_id", "_part"], "left_semi"
+    )
+    sequence = df.schema["ingest_seq"].dataType
     rows = kept.select(
         "user_id",
         F.col("timestamp").alias("_at"),
@@ -168,7 +143,6 @@ def batch_fetch(
         "notify_id",
         "ingest_seq",
         F.lit(None).cast("string").alias("direction"),
-        "data",
     )
     # A strict cursor stands before the rows of its own instant when going back in time and
     # after them when going forward.
@@ -177,9 +151,8 @@ def batch_fetch(
         "_at",
         F.when(newest_first, 0).otherwise(2).alias("_side"),
         F.lit("").alias("notify_id"),
-        F.lit(0).cast("bigint").alias("ingest_seq"),
+        F.lit(None).cast(sequence).alias("ingest_seq"),
         "direction",
-        F.lit(None).cast("string").alias("data"),
     )
     order = ["_at", "_side", "notify_id", "ingest_seq"]
     sliced = range_slices(rows.unionByName(marks), "user_id", order)
@@ -198,15 +171,128 @@ def batch_fetch(
     )
     places = spots.select("*", rank).withColumn("_place", place).where(F.col("_place") > 0)
     found = placed.where(F.col("_side") == 1).select(
-        "user_id", "_place", "notify_id", F.col("_at").alias("timestamp"), "data"
+        "user_id", "_place", "notify_id", F.col("_at").alias("timestamp"), "ingest_seq"
     )
-    pages = places.join(found, ["user_id", "_place"]).drop("_place")
+    pages = written(places.join(found, ["user_id", "_place"]).drop("_place"), "pages")
     return (
-        asked.join(marked, ["user_id", "direction", "_at"])
+        asked.join(marked, ["user_id", "direction", "_at"], "left")
         .withColumnRenamed("_place", "_spot")
         .join(pages, ["user_id", "direction", "_spot"], "left")
-        .select(
-            "req_id", "user_id", "direction", "from_time",
-            "rank", "notify_id", "timestamp", "data",
-        )
     )
+
+
+def _with_payload(pages: DataFrame, df: DataFrame) -> DataFrame:
+    """Adds ``data``: pages are numbered without it, and only their rows fetch it."""
+    pages = written(pages, "answers")
+    keys = written(pages.where("rank is not null").select(*KEY).distinct(), "keys")
+    first, last = keys.agg(F.min("timestamp"), F.max("timestamp")).first()
+    inside = df if first is None else time_range(df, first, last)
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"r.{c}")) for c in KEY]
+    few = broadcast_if_few(keys, keys.count())
+    found = (
+        inside.select(*KEY, "data").alias("r").join(few.alias("k"), same)
+        .groupBy(*[F.col(f"k.{c}").alias(c) for c in KEY]).agg(F.max("r.data").alias("data"))
+    )
+    both = [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in KEY]
+    return pages.alias("p").join(found.alias("f"), both, "left").select("p.*", "f.data")
+
+
+def batch_fetch(
+    df: DataFrame, requests: DataFrame, limit: int = PAGE_SIZE, slice_ms: int = MS_PER_DAY
+) -> DataFrame:
+    """The page of every request by strict cursors; a request without rows has a null rank.
+
+    A request without a user or a direction has no rows. An unknown direction fails the query.
+    """
+    at = F.coalesce(
+        F.col("from_time"),
+        F.when(F.col("direction") == DESC, F.lit(AFTER_ALL)).otherwise(F.lit(BEFORE_ALL)),
+    )
+    asked = _checked(requests).select("req_id", "user_id", "direction", "from_time", at.alias("_at"))
+    narrow = df.select(*KEY, *[c for c in df.columns if c == "day"])
+    return _with_payload(_pages(narrow, asked, limit, slice_ms), df).select(*ANSWER, "data")
+
+
+def batch_fetch_dialect(
+    df: DataFrame,
+    requests: DataFrame,
+    dialect: str,
+    as_of: int,
+    ttl_seconds: int = TTL_SECONDS,
+    limit: int = PAGE_SIZE,
+    slice_ms: int = MS_PER_DAY,
+) -> DataFrame:
+    """The answers to all requests by a dialect's read rules, from all rows ever written.
+
+    Three dialects answer with a page. ``counted_points`` and ``inclusive_points`` answer with
+    every row of a range and have no rank; the first has ``n`` in place of ``data``.
+    """
+    going_back, first = F.col("direction") == DESC, F.col("from_time").isNull()
+    cursor, oldest = F.col("from_time"), as_of - ttl_seconds * MS_PER_SECOND
+    asked = _checked(requests).select("req_id", "user_id", "direction", "from_time")
+    day = [c for c in df.columns if c == "day"]
+    if dialect == "append":
+        return batch_fetch(df, requests, limit, slice_ms)
+    if dialect == "key_range":
+        # As strict cursors: up to as_of, or from the oldest instant that is kept.
+        at = F.when(going_back, F.when(first, as_of + 1).otherwise(cursor)).otherwise(
+            F.when(first, oldest - 1).otherwise(cursor))
+        latest = upsert_latest(df.select(*KEY, *day), [*BY_TIME, *day])
+        pages = _pages(latest, asked.withColumn("_at", at), limit, slice_ms)
+        out = going_back & (F.col("timestamp") < 0)
+        return _with_payload(_blanked(pages, out), df).select(*ANSWER, "data")
+    if dialect == "retention_range":
+        # An id stands at its first time within the retention, whatever the cursor, and shows
+        # the last payload before the cursor.
+        end = F.coalesce(cursor, F.lit(as_of))
+        kept = time_range(df, lower=oldest)
+        times = kept.groupBy("user_id", "notify_id").agg(F.min("timestamp").alias("timestamp"))
+        times = times.withColumn("ingest_seq", F.lit(0).cast("bigint"))
+        at = F.when(going_back, end).otherwise(F.lit(BEFORE_ALL))
+        pages = _pages(times, asked.withColumns({"_at": at, "_end": end}), limit, slice_ms)
+        pages = written(_blanked(pages, F.col("timestamp") >= F.col("_end")), "pages")
+        name = F.to_json(F.struct("user_id", "notify_id")).alias("user_id")
+        lookups = pages.where("rank is not null").select(
+            name, "_end").distinct().select(
+            F.lit(None).cast("bigint").alias("req_id"), "user_id",
+            F.lit(DESC).alias("direction"), F.col("_end").alias("from_time"))
+        named = kept.select(name, *[c for c in df.columns if c != "user_id"])
+        last = batch_fetch(named, lookups, 1, slice_ms).select(
+            F.col("user_id").alias("_name"), F.col("from_time").alias("_end"), "data")
+        return pages.withColumn("_name", name).join(last, ["_name", "_end"], "left").select(*ANSWER, "data")
+    if dialect == "counted_points":
+        low = F.when(going_back, F.lit(0)).otherwise(F.coalesce(cursor, F.lit(0)))
+        high = F.when(going_back, F.coalesce(cursor, F.lit(as_of))).otherwise(F.lit(as_of))
+        once = df.select(*BY_POINT).distinct().groupBy("user_id", "timestamp").agg(
+            F.count("*").alias("n"), F.when(F.count("*") == 1, F.min("notify_id")).alias("notify_id"))
+        bounds = asked.withColumns({"_low": low, "_high": high})
+        bounds = bounds.withColumns({c: floor_to(c, MS_PER_SECOND) for c in ("_low", "_high")})
+        return _within(bounds, once, "notify_id", "timestamp", "n")
+    if dialect == "inclusive_points":
+        low = F.when(going_back, F.lit(0)).otherwise(F.coalesce(cursor, F.lit(0)))
+        high = F.when(going_back, F.coalesce(cursor, F.lit(as_of))).otherwise(F.lit(as_of))
+        latest = upsert_latest(df.select(*KEY, "data", *day), [*BY_POINT, *day])
+        return _within(asked.withColumns({"_low": low, "_high": high}), latest, "notify_id", "timestamp", "data")
+    raise ValueError(f"unknown dialect: {dialect}")
+
+
+def _blanked(pages: DataFrame, out: Column) -> DataFrame:
+    """Pages without the rows that are ``out``; a request that has none left keeps one blank row.
+
+    Such rows are at the end of a page, so the others keep their ranks.
+    """
+    gone = F.coalesce(out, F.lit(False))
+    columns = ("rank", "notify_id", "timestamp", "ingest_seq")
+    blank = pages.withColumns({c: F.when(~gone, F.col(c)) for c in columns})
+    return blank.where(F.col("rank").isNotNull() | (F.coalesce(pages["rank"], F.lit(1)) == 1))
+
+
+def _within(asked: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """Every row of a request's user from ``_low`` to ``_high``; requests without rows stay.
+
+    The answer itself has a row per request and row, so this is a plain join.
+    """
+    r = rows.select(F.col("user_id").alias("_user"), *[F.col(c) for c in columns])
+    inside = (F.col("user_id") == F.col("_user")) & F.col("direction").isNotNull() & F.col("timestamp").between(
+        F.col("_low"), F.col("_high"))
+    return asked.join(r, inside, "left").select("req_id", "user_id", "direction", "from_time", *columns)

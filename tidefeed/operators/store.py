@@ -14,15 +14,15 @@ from pyspark.sql import functions as F
 from tidefeed.functions.scalar import day_of, row_key, salt_bucket
 from tidefeed.operators.identity import BY_TIME, upsert_latest
 from tidefeed.operators.validate import validate_split
-from tidefeed.plans.pruning import FIRST_DAY
+from tidefeed.plans.pruning import FIRST_DAY, time_range
 from tidefeed.schema import (
     CHUNK_RETENTION_DAYS,
     MS_PER_DAY,
     MS_PER_SECOND,
     SALT_BUCKETS,
+    STORED,
     TTL_SECONDS,
 )
-from tidefeed.sources.notifications import read_feed
 
 
 def with_day(df: DataFrame) -> DataFrame:
@@ -41,7 +41,8 @@ def append(df: DataFrame, path: str) -> None:
 
 def bootstrap(df: DataFrame, path: str) -> None:
     """Empty the stored feed and fill it with these rows."""
-    with_day(df).hint("rebalance", "day").write.mode("overwrite").partitionBy("day").parquet(path)
+    whole = with_day(df).hint("rebalance", "day").write.mode("overwrite")
+    whole.option("partitionOverwriteMode", "static").partitionBy("day").parquet(path)
 
 
 def append_validated(df: DataFrame, path: str, rejected_path: str) -> None:
@@ -55,31 +56,46 @@ def compact_days(spark: SparkSession, path: str, days: Sequence[dt.date],
                  identity: Sequence[str] = BY_TIME) -> None:
     """Keep only the last write per identity in the given day chunks.
 
-    The identity includes the time, so copies always share a day. Dynamic overwrite stages
-    the new files and swaps in just the touched days at commit.
+    The identity includes the time, so copies always share a day. The kept rows are appended
+    first, and then exactly the files that were read are deleted: what others append meanwhile
+    stays, and after a failure in between some rows are there twice, which the next run mends.
     """
-    chosen = read_feed(spark, path).where(F.col("day").isin(list(days)))
+    folders = [f"{path}/day={day.isoformat()}" for day in days]
+    present = [folder for folder in folders if _exists(spark, folder)]
+    if not present:
+        return
+    chosen = spark.read.schema(STORED).option("basePath", path).parquet(*present)
+    read = chosen.inputFiles()
     kept = upsert_latest(chosen, [*identity, "day"])
-    (
-        kept.hint("rebalance", "day")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day")
-        .parquet(path)
-    )
+    kept.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
+    for name in read:
+        file = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, False)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
 def truncate(spark: SparkSession, path: str) -> None:
     """Remove all rows; the empty table keeps its columns."""
     schema = spark.read.parquet(path).schema
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    empty = spark.createDataFrame([], schema).write.mode("overwrite")
+    empty.option("partitionOverwriteMode", "static").parquet(path)
 
 
 def retain_ttl(
     df: DataFrame, as_of: int, ttl_seconds: int = TTL_SECONDS, basis: str = "timestamp"
 ) -> DataFrame:
-    """Rows no older than the TTL; ``basis`` names the time that ages, event or ingest."""
-    return df.where(F.col(basis) >= as_of - ttl_seconds * MS_PER_SECOND)
+    """Rows no older than the TTL; ``basis`` names the time that ages, event or ingest.
+
+    On a table in day chunks only the chunks that the TTL reaches are read.
+    """
+    oldest = as_of - ttl_seconds * MS_PER_SECOND
+    if basis == "timestamp":
+        return time_range(df, lower=oldest)
+    return df.where(F.col(basis) >= oldest)
 
 
 def first_kept_day(as_of: int, keep_days: int = CHUNK_RETENTION_DAYS) -> dt.date:

@@ -27,6 +27,11 @@ INGESTED = StructType(NOTIFICATIONS.fields + [StructField("ingest_seq", LongType
 # A stored feed: one directory per day.
 STORED = StructType(INGESTED.fields + [StructField("day", DateType())])
 
+# A feed behind the store interface: the number of the write that a row came with.
+WRITTEN = StructType(
+    INGESTED.fields + [StructField("write_no", LongType()), StructField("day", DateType())]
+)
+
 MONITOR_LOG = StructType([
     StructField("requestID", StringType()),
     StructField("userID", StringType()),

@@ -9,10 +9,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = 8, app: str = "tidefeed", memory: str = "16g") -> SparkSession:
+def local_session(
+    cores: int | str = 8, app: str = "tidefeed", memory: str = "16g", shared: str | None = None
+) -> SparkSession:
     """A local session for tests and the bench. A cluster brings its own settings."""
+    builder = SparkSession.builder
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     return (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)

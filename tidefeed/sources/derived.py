@@ -42,6 +42,10 @@ def dirty(source: DataFrame) -> DataFrame:
         "ts",
         F.when(F.col("event_id") % 89 == 1, "{bad")
         .when(F.col("event_id") % 89 == 2, "[1]")
+        .when(F.col("event_id") % 89 == 3, '{"k": 1, "k": 2}')
+        .when(F.col("event_id") % 89 == 4, "{}")
+        .when(F.col("event_id") % 89 == 5, '{"k": 1')
+        .when(F.col("event_id") % 89 == 6, '{"k": 1} and more')
         .when(F.col("event_id") % 89 != 0, F.col("props"))
         .alias("data"),
         F.col("event_id").alias("ingest_seq"),

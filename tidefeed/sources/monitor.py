@@ -14,9 +14,11 @@ def load_monitor_log(
     """Log documents under a path or glob, in the fixed schema.
 
     The schema is given, so nothing is read to infer it; ``extension`` stays JSON text.
-    ``wrapped`` reads search hits, with the document under ``_source``.
+    ``wrapped`` reads search hits, with the document under ``_source``. A folder of one directory
+    per day, named whole and not by a glob, adds ``day``, by which a time search skips directories.
     """
     if not wrapped:
         return spark.read.schema(MONITOR_LOG).format(file_format).load(path)
     hit = StructType([StructField("_source", MONITOR_LOG)])
-    return spark.read.schema(hit).format(file_format).load(path).select("_source.*")
+    hits = spark.read.schema(hit).format(file_format).load(path)
+    return hits.select("_source.*", *[c for c in hits.columns if c != "_source"])

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidefeed.operators import feed as pages
 from tidefeed.operators.dialects import RULES, held, retained
 from tidefeed.operators.forms import encode_record_json
-from tidefeed.operators.requests import batch_fetch
+from tidefeed.operators.requests import batch_fetch_dialect
 from tidefeed.operators.store import append
 from tidefeed.operators.validate import validate_strict
-from tidefeed.schema import INGESTED, PAGE_SIZE, STORED, TTL_SECONDS
+from tidefeed.schema import INGESTED, PAGE_SIZE, TTL_SECONDS, WRITTEN
 from tidefeed.streaming.ingest import stream_ingest
 
 
@@ -30,40 +31,72 @@ class FeedStore:
         self.batches = f"{path}/batches"
         self.streams = f"{path}/streams"
         self.rejected = f"{path}/rejected"
+        self.writes = f"{path}/writes"
         self._empty(mode="ignore")
 
     def _empty(self, mode: str) -> None:
         for folder in (self.batches, self.streams, self.rejected):
-            empty = self.spark.createDataFrame([], STORED)
-            empty.write.mode(mode).partitionBy("day").parquet(folder)
+            empty = self.spark.createDataFrame([], WRITTEN)
+            # All partitions go, whatever the session says of overwriting.
+            empty.write.mode(mode).option("partitionOverwriteMode", "static").partitionBy("day").parquet(folder)
 
     def flush(self) -> None:
         """Remove all rows."""
         self._empty(mode="overwrite")
 
+    def _next_write(self) -> int:
+        """A number greater than those of all writes before; two writers never share one.
+
+        A number is taken by creating its file, which only one writer can do.
+        """
+        jvm = self.spark._jvm.org.apache.hadoop.fs
+        folder = jvm.Path(self.writes)
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        taken = [int(status.getPath().getName()) for status in files.listStatus(folder)]
+        number = max(taken, default=0) + 1
+        while not files.createNewFile(jvm.Path(folder, str(number))):
+            number += 1
+        for old in taken:
+            files.delete(jvm.Path(folder, str(old)), False)
+        return number
+
+    def _stamped(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*INGESTED.names, F.lit(self._next_write()).cast("bigint").alias("write_no"))
+
     def insert(self, rows: DataFrame) -> None:
-        """Write rows; where the dialect validates, one invalid row fails the insert."""
+        """Write rows; where the dialect validates, one invalid row fails the insert.
+
+        A later insert or micro-batch counts as written later, whatever its ``ingest_seq``, which
+        only orders the rows of one write.
+        """
         checked = validate_strict(rows) if RULES[self.dialect].validates else rows
-        append(checked.select(*INGESTED.names), self.batches)
+        append(self._stamped(checked), self.batches)
 
     def insert_stream(
         self, stream: DataFrame, progress: str, trigger: dict | None = None
     ) -> StreamingQuery:
         """Write a stream's valid rows in micro-batches, and the others to ``rejected``."""
         return stream_ingest(
-            stream.select(*INGESTED.names), self.streams, self.rejected, progress, trigger
+            stream.select(*INGESTED.names), self.streams, self.rejected, progress, trigger,
+            self._stamped,
         )
 
     def written_rows(self) -> DataFrame:
-        """Every write that is still there, with its day."""
-        read = self.spark.read.schema(STORED)
-        streamed = read.parquet(self.streams).select(*STORED.names)
-        return read.parquet(self.batches).unionByName(streamed)
+        """Every write that is still there, with its day.
+
+        ``ingest_seq`` is here the pair of the write's number and the row's own sequence.
+        """
+        read = self.spark.read.schema(WRITTEN)
+        streamed = read.parquet(self.streams).select(*WRITTEN.names)
+        every = read.parquet(self.batches).unionByName(streamed)
+        return every.withColumn("ingest_seq", F.struct("write_no", "ingest_seq")).drop("write_no")
 
     def rows(self, as_of: int | None = None) -> DataFrame:
         """The rows as the dialect holds them; with ``as_of``, those not aged out by then."""
-        kept = held(self.written_rows(), self.dialect)
-        return kept if as_of is None else retained(kept, self.dialect, as_of)
+        rows = self.written_rows()
+        rows = rows if as_of is None else retained(rows, self.dialect, as_of)
+        return held(rows, self.dialect).withColumn("ingest_seq", F.col("ingest_seq.ingest_seq"))
 
     def fetch_desc(
         self, user_id: str | None, from_time: int | None = None, *, as_of: int,
@@ -97,7 +130,11 @@ class FeedStore:
             encode_record_json(table), direction, as_of, user_id, from_time
         )
 
-    def fetch_all(self, requests: DataFrame, limit: int = PAGE_SIZE) -> DataFrame:
-        """Answer a table of ``req_id, user_id, direction, from_time`` at once (strict cursors)."""
-        rows = held(self.written_rows(), self.dialect)
-        return batch_fetch(rows, requests, limit, prune=True)
+    def fetch_all(
+        self, requests: DataFrame, *, as_of: int, ttl_seconds: int = TTL_SECONDS,
+        limit: int = PAGE_SIZE,
+    ) -> DataFrame:
+        """Answer a table of ``req_id, user_id, direction, from_time`` at once."""
+        return batch_fetch_dialect(
+            self.written_rows(), requests, self.dialect, as_of, ttl_seconds, limit
+        )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -49,17 +51,18 @@ def write_batch(df: DataFrame, path: str, batch_id: int, *partitions: str) -> No
 
 
 def stream_ingest(
-    stream: DataFrame, path: str, rejected_path: str, checkpoint: str, trigger: dict | None = None
+    stream: DataFrame, path: str, rejected_path: str, checkpoint: str, trigger: dict | None = None,
+    stamp: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Append valid rows in day chunks and put the others, with their reason, aside.
 
     The commit of a micro-batch is the acknowledgement of its rows. No watermark is set:
-    a late write is still a write.
+    a late write is still a write. ``stamp`` may add columns to each micro-batch.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # Kept while both writes read it; a lost part is read from its files again.
-        batch.persist()
+        batch = (stamp(batch) if stamp else batch).persist()
         try:
             valid, rejected = validate_split(batch)
             chunked = valid.withColumn("day", day_of("timestamp")).hint("rebalance", "day")

@@ -15,14 +15,18 @@ def slice_counts(
     stream: DataFrame,
     interval_ms: int,
     slices: int = COUNTER_SLICES,
-    delay_seconds: int | None = None,
+    *,
+    delay_seconds: int | None,
 ) -> DataFrame:
     """Events per user and slice of the interval.
 
     The state holds one number per user and slice. Sliding windows over the raw events would
     hold and update ``slices`` of them per event; ``trailing_windows`` adds them up on read.
-    With a delay, slices that far behind the newest event leave the state.
+    Slices that far behind the newest event leave the state; None, for a bounded stream, keeps
+    them all.
     """
+    if interval_ms < slices:
+        raise ValueError("the interval needs at least a millisecond per slice")
     timed = stream.select("user_id", event_time("timestamp").alias("event_time"))
     if delay_seconds is not None:
         timed = timed.withWatermark("event_time", f"{delay_seconds} seconds")
@@ -43,7 +47,7 @@ def stream_trailing_count(
 ) -> StreamingQuery:
     """Store the counts that each micro-batch changed, under the batch's number.
 
-    A stream that runs for long should set a delay in ``slice_counts`` and use the ``append``
+    A stream that runs for long sets a delay in ``slice_counts`` and uses the ``append``
     mode: each slice is then written once, when the watermark has passed it.
     """
 

@@ -21,7 +21,8 @@ REPLAYED = f"""SELECT * FROM ({FEED}) UNION ALL
 DIRTY = """SELECT CASE WHEN event_type <> 'error' THEN CAST(user_id AS VARCHAR) END AS user_id,
   CASE WHEN event_id % 97 <> 0 THEN CAST(event_id AS VARCHAR) END AS notify_id,
   epoch_us(ts) // 1000 AS timestamp,
-  CASE event_id % 89 WHEN 0 THEN NULL WHEN 1 THEN '{bad' WHEN 2 THEN '[1]' ELSE props END AS data,
+  CASE event_id % 89 WHEN 0 THEN NULL WHEN 1 THEN '{bad' WHEN 2 THEN '[1]' WHEN 3 THEN '{"k": 1, "k": 2}'
+    WHEN 4 THEN '{}' WHEN 5 THEN '{"k": 1' WHEN 6 THEN '{"k": 1} and more' ELSE props END AS data,
   event_id AS ingest_seq FROM events"""
 IS_OBJECT = "coalesce(json_valid(data) AND data LIKE '{%', false)"
 REASONED = f"""SELECT *, CASE WHEN user_id IS NULL THEN 'user_id'
@@ -102,7 +103,8 @@ def pages(direction: str) -> str:
 def page_cursors(direction: str, pick: str) -> str:
     return f"""SELECT user_id, page, count(*) AS "rows",
       {pick}({{'t': timestamp, 'i': notify_id}}).t AS cursor_ms,
-      {pick}({{'t': timestamp, 'i': notify_id}}).i AS cursor_id
+      {pick}({{'t': timestamp, 'i': notify_id}}).i AS cursor_id,
+      CAST({pick}({{'t': timestamp, 'i': notify_id}}).i AS BIGINT) AS cursor_seq
       FROM ({pages(direction)}) GROUP BY user_id, page"""
 
 
@@ -161,17 +163,19 @@ MONOTONIC = f"""SELECT ingest_seq, timestamp, hi40 + low // {HALF} AS carried, l
     FROM ({with_halves(HOURLY, "'ms|' || CAST(timestamp AS VARCHAR)")}))"""
 
 SPAN = f"""SELECT max(CAST(user_id AS BIGINT)) + 1 AS users, min(timestamp) AS lo,
-  max(timestamp) AS hi, count(*) AS total FROM ({FEED})"""
+  max(timestamp) AS hi FROM ({FEED})"""
+
+
+def drawn(name: str) -> str:
+    return half(f"'{name}|' || ingest_seq", 1)
+
+
 REQUESTS = f"""SELECT ingest_seq AS req_id,
-  CAST(ingest_seq % users * 7919 % users AS VARCHAR) AS user_id,
-  CASE WHEN ingest_seq % 2 = 1 THEN lo + ingest_seq % (hi - lo) * 104729 % (hi - lo) END
+  CAST({drawn('request user')} % users AS VARCHAR) AS user_id,
+  CASE WHEN {drawn('request phase')} % 2 = 1 THEN lo + {drawn('request time')} % (hi - lo) END
     AS from_time,
-  CASE WHEN ingest_seq % 4 < 2 THEN 'desc' ELSE 'asc' END AS direction,
-  CASE WHEN ingest_seq % 2 = 1 THEN 'more' ELSE 'first' END AS phase,
-  least(ingest_seq // (total // 7), 6) AS thread,
-  (ingest_seq - least(ingest_seq // (total // 7), 6) * (total // 7)) * (10000 //
-    CASE WHEN ingest_seq // (total // 7) >= 6 THEN total - total // 7 * 6 ELSE total // 7 END)
-    AS due_ms
+  CASE WHEN {drawn('request direction')} % 2 = 0 THEN 'desc' ELSE 'asc' END AS direction,
+  CASE WHEN {drawn('request phase')} % 2 = 1 THEN 'more' ELSE 'first' END AS phase
   FROM ({FEED}), ({SPAN})"""
 
 
@@ -186,6 +190,51 @@ BATCH = f"""WITH n AS ({HOURLY}), r AS ({REQUESTS}),
     CAST(j.rank AS VARCHAR) AS rank, j.notify_id, CAST(j.timestamp AS VARCHAR) AS timestamp, j.data
   FROM r LEFT JOIN (SELECT * FROM j WHERE rank <= 20) j ON j.req_id = r.req_id"""
 
+BATCH_AT = AS_OF - DAY
+SHARED_TWICE = f"""SELECT * FROM ({SHARED}) UNION ALL SELECT * FROM ({SHARED}) WHERE ingest_seq % 10 = 0"""
+
+
+def _answers(rows: str, inside: str, columns: str) -> str:
+    """Requests with every row of their user that lies inside; requests without rows stay."""
+    return f"""WITH n AS ({rows}), r AS ({REQUESTS})
+      SELECT r.req_id, r.user_id, r.direction, CAST(r.from_time AS VARCHAR) AS from_time, {columns}
+      FROM r LEFT JOIN n ON n.user_id = r.user_id AND {inside}"""
+
+
+def _ranked(rows: str) -> str:
+    """The first 20 of (req_id, direction, notify_id, timestamp, data) rows per request."""
+    return f"""SELECT r.req_id, r.user_id, r.direction, CAST(r.from_time AS VARCHAR) AS from_time,
+        CAST(j.rank AS VARCHAR) AS rank, j.notify_id, CAST(j.timestamp AS VARCHAR) AS timestamp, j.data
+      FROM ({REQUESTS}) r LEFT JOIN (SELECT * FROM (SELECT *, CASE WHEN direction = 'desc'
+          THEN row_number() OVER (PARTITION BY req_id ORDER BY timestamp DESC, notify_id DESC)
+          ELSE row_number() OVER (PARTITION BY req_id ORDER BY timestamp, notify_id) END AS rank
+        FROM ({rows})) WHERE rank <= 20) j ON j.req_id = r.req_id"""
+
+
+BATCH_KEY_RANGE = _ranked(f"""SELECT r.req_id, r.direction, n.* FROM ({REQUESTS}) r JOIN (
+    SELECT user_id, timestamp, arg_max(notify_id, ingest_seq) AS notify_id, arg_max(data, ingest_seq) AS data
+    FROM (SELECT * REPLACE (timestamp // {HOUR} * {HOUR} AS timestamp) FROM ({SHARED_TWICE}))
+    GROUP BY user_id, timestamp) n ON n.user_id = r.user_id AND CASE
+      WHEN direction = 'desc' THEN timestamp >= 0 AND CASE WHEN from_time IS NULL THEN timestamp <= {BATCH_AT}
+        ELSE timestamp < from_time END
+      WHEN from_time IS NULL THEN timestamp >= {BATCH_AT - 10 * TTL} ELSE timestamp > from_time END""")
+BATCH_RETENTION = _ranked(f"""SELECT r.req_id, r.direction, n.notify_id, min(timestamp) AS timestamp,
+    arg_max(data, timestamp * 1000000 + ingest_seq) AS data
+  FROM ({REQUESTS}) r JOIN ({SHARED_TWICE}) n ON n.user_id = r.user_id
+    AND timestamp >= {BATCH_AT - 4 * TTL} AND timestamp < coalesce(from_time, {BATCH_AT})
+  GROUP BY r.req_id, r.direction, n.notify_id""")
+_LOW = "CASE WHEN direction = 'desc' THEN 0 ELSE coalesce(from_time, 0) END"
+_HIGH = f"CASE WHEN direction = 'desc' THEN coalesce(from_time, {BATCH_AT}) ELSE {BATCH_AT} END"
+BATCH_COUNTED = _answers(
+    f"""SELECT user_id, timestamp, count(*) AS n, CASE WHEN count(*) = 1 THEN min(notify_id) END AS notify_id
+      FROM (SELECT DISTINCT user_id, notify_id, timestamp FROM ({SHARED_TWICE})) GROUP BY user_id, timestamp""",
+    f"timestamp BETWEEN ({_LOW}) // 1000 * 1000 AND ({_HIGH}) // 1000 * 1000",
+    "notify_id, CAST(timestamp AS VARCHAR) AS timestamp, CAST(n AS VARCHAR) AS n")
+BATCH_INCLUSIVE = _answers(
+    f"""SELECT user_id, notify_id, timestamp, arg_max(data, ingest_seq) AS data FROM ({SHARED_TWICE})
+      GROUP BY user_id, notify_id, timestamp""",
+    f"timestamp BETWEEN {_LOW} AND {_HIGH}", "notify_id, CAST(timestamp AS VARCHAR) AS timestamp, data")
+
 WIDTH = DAY // 16
 SLICED = f"""WITH e AS (SELECT user_id, timestamp, count(*) AS n, timestamp // {WIDTH} AS s
     FROM ({FEED}) GROUP BY user_id, timestamp),
@@ -281,6 +330,10 @@ ORACLE: dict[str, str] = {
     "q10_gen_requests": f"""SELECT * REPLACE (CAST(from_time AS VARCHAR) AS from_time)
       FROM ({REQUESTS})""",
     "q11_batch_fetch": BATCH,
+    "q11_batch_fetch_key_range": BATCH_KEY_RANGE,
+    "q11_batch_fetch_retention_range": BATCH_RETENTION,
+    "q11_batch_fetch_counted_points": BATCH_COUNTED,
+    "q11_batch_fetch_inclusive_points": BATCH_INCLUSIVE,
     "q12_monitor_search": f"""SELECT * FROM ({MONITOR}) WHERE step = 'purchase'
       AND timestamp > {CURSOR - 7 * DAY} AND timestamp < {CURSOR}""",
     "q13_monitor_node_filter": f"""SELECT * FROM ({MONITOR})
@@ -295,7 +348,9 @@ ORACLE: dict[str, str] = {
       || lpad(CAST(avg_ms % 1000 AS VARCHAR), 3, '0') AS avg_text FROM (
       SELECT backend, phase, count(*) AS attempts, count(*) FILTER (NOT ok) AS failures,
         CAST(coalesce(sum(latency_ms) FILTER (ok), 0) // count(*) AS BIGINT) AS avg_ms,
-        CAST(sum(latency_ms) FILTER (ok) // nullif(count(*) FILTER (ok), 0) AS BIGINT) AS avg_ok_ms
+        CAST(sum(latency_ms) FILTER (ok) // nullif(count(*) FILTER (ok), 0) AS BIGINT) AS avg_ok_ms,
+        CAST(quantile_disc(latency_ms, 0.5) FILTER (ok) AS BIGINT) AS p50_ok_ms,
+        CAST(quantile_disc(latency_ms, 0.95) FILTER (ok) AS BIGINT) AS p95_ok_ms
       FROM ({LOG}) GROUP BY backend, phase)""",
     "a03_elapsed_summary": f"""SELECT *, CAST(elapsed_ms // 1000 AS VARCHAR) || '.'
       || lpad(CAST(elapsed_ms % 1000 AS VARCHAR), 3, '0') AS elapsed_text FROM (
@@ -391,7 +446,7 @@ _DIRTY_HOURLY = f"""SELECT user_id, notify_id, timestamp // {HOUR} * {HOUR} AS t
 _VALID = f"SELECT * FROM ({_DIRTY_HOURLY}) WHERE reject_reason = ''"
 _POINTS = latest(_DIRTY_HOURLY, "user_id, notify_id, timestamp", ALL)
 _LATER = AS_OF + 5 * DAY
-_WITHIN_TTL = f"SELECT * FROM ({FEED}) WHERE timestamp >= {_LATER - TTL}"
+_WITHIN_TTL = f"SELECT * FROM ({FEED}) WHERE timestamp >= {AS_OF - TTL}"
 ORACLE |= {
     "w02_w03_stored_key_range": latest(_VALID, "user_id, timestamp", ALL),
     "w02_w03_stored_append": f"SELECT {ALL} FROM ({_VALID})",

@@ -13,7 +13,7 @@ from tidefeed.operators import feed as Q
 from tidefeed.operators import dialects, forms, ids, metrics, monitor, requests, store
 from tidefeed.operators.identity import BY_POINT, BY_TIME, first_per_id, upsert_latest
 from tidefeed.operators.validate import validate_split, with_reject_reason
-from tidefeed.schema import INGESTED, MS_PER_DAY, MS_PER_HOUR, NOTIFICATIONS
+from tidefeed.schema import INGESTED, MS_PER_DAY, MS_PER_HOUR, NOTIFICATIONS, TTL_SECONDS
 from tidefeed.session import new_folder, written
 from tidefeed.sources import derived
 from tidefeed.sources.monitor import load_monitor_log
@@ -99,7 +99,7 @@ def _(spark, folder):
     day = S.day_of("timestamp").cast("string").alias("day")
     hits = monitor_table(spark, folder).select(day, F.struct("*").alias("_source"))
     hits.hint("rebalance", "day").write.partitionBy("day").json(f"{path}/monitor-log")
-    return load_monitor_log(spark, f"{path}/monitor-*/*", wrapped=True)
+    return load_monitor_log(spark, f"{path}/monitor-log", wrapped=True).drop("day")
 
 
 @query("s03_gen_notifications")
@@ -133,12 +133,17 @@ def _(spark, folder):
     return kept.unionByName(spark.read.parquet(rejected))
 
 
+def _ages_at(dialect: str) -> int:
+    """A time at which some rows of the dialect have aged out and some have not."""
+    return AS_OF + (5 * MS_PER_DAY if dialects.RULES[dialect].retention == "chunks" else 0)
+
+
 for _dialect in dialects.RULES:
     QUERIES[f"w02_w03_stored_{_dialect}"] = lambda spark, folder, d=_dialect: dialects.as_stored(
         derived.hourly(dirty_table(spark, folder)), d
     )
     QUERIES[f"w06_w07_retained_{_dialect}"] = lambda spark, folder, d=_dialect: dialects.retained(
-        feed_table(spark, folder), d, AS_OF + 5 * MS_PER_DAY
+        feed_table(spark, folder), d, _ages_at(d)
     )
 
 
@@ -299,13 +304,21 @@ each_direction("q07_inclusive_points_{dir}",
                lambda df, d: Q.inclusive_points(df, d, AS_OF, USER, CURSOR), json_points)
 each_direction("q07_inclusive_points_{dir}_all_users",
                lambda df, d: Q.inclusive_points(df, d, AS_OF, None, CURSOR), json_points)
-each_direction("q08_feed_pages_{dir}", lambda df, d: Q.feed_pages(df, d), hourly_table)
+each_direction("q08_feed_pages_{dir}", lambda df, d: Q.feed_pages(df, d).drop("ingest_seq"),
+               hourly_table)
 each_direction("q08_page_cursors_{dir}", lambda df, d: Q.page_cursors(Q.feed_pages(df, d), d),
                hourly_table)
 each_direction("q09_feed_all_users_{dir}", lambda df, d: Q.feed(df, d), feed_table)
+
+
+def _salted(spark, folder):
+    path = new_folder(spark, "salted")
+    store.write_salted(hourly_table(spark, folder), path)
+    return spark.read.parquet(path)
+
+
 each_direction("q16_rowkey_range_scan_{dir}",
-               lambda df, d: Q.rowkey_range_scan(store.with_row_key(df), USER, d, AS_OF, CURSOR),
-               hourly_table)
+               lambda df, d: Q.rowkey_range_scan(df, USER, d, AS_OF, CURSOR), _salted)
 
 
 @query("q08_feed_after")
@@ -315,10 +328,7 @@ def _(spark, folder):
 
 def _requests(spark, folder):
     feed = feed_table(spark, folder)
-    numbers = feed.select("ingest_seq")
-    return requests.gen_requests(
-        numbers, F.col("ingest_seq"), requests.request_span(feed), threads=7, ramp_seconds=10
-    )
+    return requests.gen_requests(feed, F.col("ingest_seq"), requests.request_span(feed))
 
 
 def _as_text(df: DataFrame, *names: str) -> DataFrame:
@@ -333,11 +343,30 @@ def _(spark, folder):
 
 @query("q11_batch_fetch")
 def _(spark, folder):
-    asked = _requests(spark, folder).select("req_id", "user_id", "from_time", "direction")
-    answers = requests.batch_fetch(hourly_table(spark, folder), written(asked, "requests"))
+    answers = requests.batch_fetch(hourly_table(spark, folder), _asked(spark, folder))
     return _as_text(answers, "from_time", "rank", "timestamp")
 
 
+def _asked(spark, folder):
+    asked = _requests(spark, folder).select("req_id", "user_id", "from_time", "direction")
+    return written(asked, "requests")
+
+
+def _batch(dialect: str):
+    def run(spark, folder):
+        rows = derived.replayed(shared_table(spark, folder))
+        rows = derived.hourly(rows) if dialect == "key_range" else rows
+        ttl = TTL_SECONDS * 10 if dialect == "key_range" else TTL_SECONDS * 4
+        found = requests.batch_fetch_dialect(
+            rows, _asked(spark, folder), dialect, AS_OF - MS_PER_DAY, ttl)
+        return _as_text(found, *[c for c in ("from_time", "rank", "timestamp", "n") if c in found.columns])
+    return run
+
+
+for _dialect in ("key_range", "retention_range", "counted_points", "inclusive_points"):
+    QUERIES[f"q11_batch_fetch_{_dialect}"] = _batch(_dialect)
+
+
 @query("q12_monitor_search")
 def _(spark, folder):
     log = monitor_table(spark, folder)
@@ -602,7 +631,7 @@ def _(spark, folder):
 @query("st04_stream_trailing_count")
 def _(spark, folder):
     path = new_folder(spark, "slices")
-    counts = trailing.slice_counts(stream_feed(spark, folder), STREAM_INTERVAL)
+    counts = trailing.slice_counts(stream_feed(spark, folder), STREAM_INTERVAL, delay_seconds=None)
     ingest.run_available(
         trailing.stream_trailing_count(counts, path, new_folder(spark, "progress"))
     )
