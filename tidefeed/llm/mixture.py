@@ -20,6 +20,8 @@ SHARE = 1.5
 MOST = 2.0
 #: Documents in a cell of the key, about.
 CELL = 2000
+#: Times that the documents of a source's last cell are gone over.
+PASSES = 5
 
 
 def quality_weight(text: Column) -> Column:
@@ -115,17 +117,20 @@ def mix(
                 (F.col("_rest") - F.col("_upto") + F.col("_words")).alias("_room"))
     )
     known = placed.join(before, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c")))
-    # Only one cell of each source is ordered.
-    running = Window.partitionBy("_source", "_cell").orderBy("_rank", "doc_id").rangeBetween(
-        Window.unboundedPreceding, Window.currentRow)
+    # Only one cell of each source is ordered. Its documents are taken while they fit; a long one
+    # that does not is passed over, and the passes after the first fill what it left.
+    cell_of = Window.partitionBy("_source", "_cell")
+    running = cell_of.orderBy("_rank", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    split = known.where("_place = 'split'").withColumn("_more", F.lit(False))
+    for _ in range(PASSES):
+        split = split.withColumn("_fits", ~F.col("_more") & (F.col("size") <= F.col("_room")))
+        split = split.withColumn("_sum", F.sum(F.when(F.col("_fits"), F.col("size"))).over(running))
+        split = split.withColumn("_now", F.col("_fits") & (F.col("_sum") <= F.col("_room")))
+        used = F.sum(F.when(F.col("_now"), F.col("size")).otherwise(0)).over(cell_of)
+        split = split.withColumn("_room", F.col("_room") - used).withColumn("_more", F.col("_more") | F.col("_now"))
     out = [*columns, "doc_id", "size", "source_size", "target",
            (F.col("_whole") + F.col("_more")).cast("long").alias("epochs")]
-    split = (
-        known.where("_place = 'split'")
-        # The document at the edge is in if that comes nearer to the target.
-        .withColumn("_more", (F.sum("size").over(running) - F.col("size") / 2 <= F.col("_room")).cast("int"))
-        .select(out)
-    )
+    split = split.withColumn("_more", F.col("_more").cast("int")).select(out)
     rest = known.where("_place <> 'split'").withColumn("_more", (F.col("_place") == "in").cast("int")).select(out)
     return split.unionByName(rest).withColumn("taken", F.col("size") * F.col("epochs"))
 

@@ -47,6 +47,17 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+def _pass(k: int) -> str:
+    """Documents of a source by rank, while those that fit fill what is left."""
+    return f"""pass{k} AS (
+  SELECT * EXCLUDE (fits, upto, now) REPLACE (more OR now AS more,
+    room - sum(CASE WHEN now THEN size ELSE 0 END) OVER (PARTITION BY source) AS room)
+  FROM (SELECT *, fits AND upto <= room AS now FROM (
+    SELECT *, sum(CASE WHEN fits THEN size END) OVER (PARTITION BY source ORDER BY place, doc_id
+      RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+    FROM (SELECT *, NOT more AND size <= room AS fits FROM pass{k - 1}))))"""
+
+
 MIX = f"""
 WITH sized AS (
   SELECT doc_id, source, len({SPACED.format("coalesce(text, '')")}) AS size,
@@ -72,13 +83,12 @@ goals AS (
     SELECT level FROM levels WHERE ratio > level ORDER BY ratio, source NULLS LAST LIMIT 1)), cap) AS target FROM levels),
 goal AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM goals),
-taken AS (
-  SELECT r.doc_id, r.size, g.source_size, g.target, g.epochs, target - epochs * source_size AS rest,
-    sum(r.size) OVER (PARTITION BY r.source ORDER BY place, doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM ranked r JOIN goal g ON r.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-  (size * (epochs + CASE WHEN upto - size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM taken
+pass0 AS (
+  SELECT r.doc_id, r.source, r.place, r.size, g.source_size, g.target, g.epochs, target - epochs * source_size AS room, false AS more
+  FROM ranked r JOIN goal g ON r.source IS NOT DISTINCT FROM g.source),
+{', '.join(_pass(k) for k in range(1, 6))}
+SELECT doc_id, size, source_size, target, (size * (epochs + more::INT))::BIGINT AS taken
+FROM pass5
 """
 
 HOST_RULES = f"""
