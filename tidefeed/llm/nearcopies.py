@@ -138,14 +138,17 @@ def confirm(docs: DataFrame, pairs: DataFrame, key: str, text: str, size: int, p
     return written(right.join(left, "a").mapInArrow(compare, "a long, b long").distinct(), "links")
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Stored members (table, cid) of buckets that fall into several components, with the component."""
-    parts = checked_broadcast(written(
-        components(links).select(F.col("id").alias("cid"), F.col("component").alias("part")), "parts"))
-    placed = members.join(parts, "cid", "left").withColumn("part", F.coalesce("part", "cid"))
+def _parts(links: DataFrame) -> DataFrame:
+    """Stored (cid, part): the component of every class that has a link."""
+    return written(components(links).select(F.col("id").alias("cid"), F.col("component").alias("part")), "parts")
+
+
+def _unsettled(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Stored members of buckets that fall into several components, with the component."""
+    placed = members.join(checked_broadcast(parts), "cid", "left").withColumn("part", F.coalesce("part", "cid"))
     open_ = written(
-        placed.groupBy("table").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-        .where("low < high").select("table"), "open")
+        placed.groupBy("table").agg(F.min("part").alias("least"), F.max("part").alias("most"))
+        .where("least < most").select("table"), "open")
     return written(placed.join(checked_broadcast(open_), "table"), "unsettled")
 
 
@@ -184,11 +187,13 @@ def _rest(docs: DataFrame, unsettled: DataFrame, key: str, text: str, size: int,
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     rare = written(
         exploded.join(often, "shingle").withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= first)
-        .select("id", "part", "minor", "n", "shingle"), "rare")
+        .select("id", "part", "minor", "n", "shingle", (F.col("n") - F.col("_at") + 1).alias("left")), "rare")
     x, y = rare.where("minor").alias("x"), rare.alias("y")
     near = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
+    # At the first shingle that two sets share, what is left of both must be enough.
+    enough = F.least("x.left", "y.left") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
     return (
-        x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") != F.col("y.part")) & near)
+        x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.part") != F.col("y.part")) & near & enough)
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     )
 
@@ -220,19 +225,20 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     two = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
     star = members.where("cid > low").select(F.col("low").alias("a"), F.col("cid").alias("b"))
     links = confirm(docs, two.unionByName(star).distinct(), key, text, size, percent)
-    unsettled = _labelled(members, links)
+    parts = _parts(links)
+    unsettled = _unsettled(members, parts)
     if not unsettled.isEmpty():
         # A second hub for what the first did not join.
         second = unsettled.where("cid < high").select(F.col("high").alias("a"), F.col("cid").alias("b")).distinct()
         links = links.unionByName(confirm(docs, second, key, text, size, percent))
-        unsettled = _labelled(unsettled.drop("part"), links)
+        parts = _parts(links)
+        unsettled = _unsettled(unsettled.drop("part"), parts)
         if not unsettled.isEmpty():
             rest = _rest(docs, unsettled, key, text, size, percent)
-            links = links.unionByName(confirm(docs, rest, key, text, size, percent))
-    parts = components(links).select(F.col("id").alias("cid"), F.col("component").alias("_part"))
+            parts = _parts(links.unionByName(confirm(docs, rest, key, text, size, percent)))
     named = written(
-        classes.select("n", "d1", "d2", "cid").join(parts, "cid", "left")
-        .select("n", "d1", "d2", F.coalesce("_part", "cid").alias("_least")), "named")
+        classes.select("n", "d1", "d2", "cid").join(checked_broadcast(parts), "cid", "left")
+        .select("n", "d1", "d2", F.coalesce("part", "cid").alias("_least")), "named")
     placed = drawn.select("doc_id", "n", "d1", "d2").join(checked_broadcast(named), ["n", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_least", "doc_id"))
     return placed.select(
