@@ -4,12 +4,16 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 SPACED = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 PLAIN = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-NEAR_COPIES = f"""
+
+def near_copies(size: int) -> str:
+    """Groups of documents by shingles of ``size`` words; of all words if there are fewer."""
+    return f"""
 WITH RECURSIVE words AS (SELECT doc_id, {SPACED.format(LOWER)} AS w FROM documents),
 sets AS (
-  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) > 1
-    THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)) AS shingle
-  FROM words),
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= {size}
+    THEN list_transform(range(1, len(w) - {size - 2}), lambda i: array_to_string(w[i:i + {size - 1}], ' '))
+    ELSE [array_to_string(w, ' ')] END)) AS shingle
+  FROM words WHERE len(w) > 0),
 sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 shared AS (
   SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM sets x JOIN sets y USING (shingle)
@@ -26,6 +30,7 @@ SELECT doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, min(other) AS comp
 FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
 """
 
+
 DECONTAMINATE = f"""
 WITH items AS (
   SELECT item_id, w, least(len(w), 13) AS n FROM (SELECT item_id, {PLAIN.format(LOWER)} AS w FROM benchmark) WHERE len(w) > 0),
@@ -127,7 +132,7 @@ FROM failing f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source, strength
 """
 
 ORACLE = {
-    "op1_near_copies": NEAR_COPIES,
+    "op1_near_copies": near_copies(2),
     "op4_decontaminate": DECONTAMINATE,
     "op6_mix_sources": MIX,
     "op8_host_rules": HOST_RULES,
