@@ -152,6 +152,16 @@ def test_language_model(docs, none):
     assert untrained.train_tokens == 0 and untrained.score == pytest.approx(5 * math.log10(1 / 256))
 
 
+def test_byte_model_keeps_every_context(docs):
+    """Contexts without a node in the broadcast model go another way to the same scores."""
+    counts = ppm.count(docs, F.col("doc_id") != 7)
+    whole = {r.doc_id: r.score for r in ppm.score(docs, counts, columns=("doc_id",)).collect()}
+    for contexts in (0, 30):
+        found = ppm.score(docs, counts, columns=("doc_id",), contexts=contexts).collect()
+        assert len(found) == len(TEXTS) + 3
+        assert all(row.score == pytest.approx(whole[row.doc_id], rel=1e-9) for row in found)
+
+
 def test_byte_model_is_a_distribution(docs):
     model = ppm.build(ppm.count(docs, F.lit(True)), contexts=50)
     seen = len(np.unique(model.classes)) - 1

@@ -9,8 +9,9 @@ worked out once per context, and scoring a text is a few look-ups per byte in nu
 The byte 0xFF, which no UTF-8 text holds, stands before and after every text.
 
 Sizes: contexts of two bytes are at most 65,536; of three bytes the ``CONTEXTS`` most frequent have
-nodes of their own, the others are met by their last two bytes. So the model is bounded, whatever
-the corpus. The word counts are not: scoring looks up the ``FREQUENT`` most frequent words from a
+nodes in the broadcast model, and symbols after any other trained context go through a shuffle join
+with that context's own probabilities. So what is broadcast is bounded, whatever the corpus, and the
+scores are those of the whole trie. Words go the same two ways: the ``FREQUENT`` most frequent from a
 broadcast table and all others by a shuffle join, so every word is scored by its count.
 """
 
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,25 +129,6 @@ def most_frequent(rows: DataFrame, n: str, most: int) -> DataFrame:
     return rows.where(F.floor(F.log2(F.col(n)) * 8) >= least) if least is not None else rows.where(F.lit(False))
 
 
-@dataclass
-class ByteModel:
-    """Log10 probabilities: ``logs[node[context], symbol]`` over the classes of seen bytes."""
-
-    classes: np.ndarray
-    node: np.ndarray
-    logs: np.ndarray
-
-    def score(self, texts: pa.Array) -> np.ndarray:
-        """Log10 probability of each text with its end."""
-        symbols, row = _stream(texts)
-        seen = self.classes[symbols].astype(np.int64)
-        base = self.logs.shape[1]
-        context = (seen[:-3] * base + seen[1:-2]) * base + seen[2:-1]
-        real = row[3:] >= 0
-        cost = self.logs[self.node[context[real]], seen[3:][real]]
-        return np.bincount(row[3:][real], cost, len(texts))
-
-
 def _probabilities(levels: list[np.ndarray]) -> np.ndarray:
     """Of each symbol for each row; ``levels``: counts in the contexts from the longest to none.
 
@@ -168,11 +151,92 @@ def _probabilities(levels: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+@dataclass
+class Shorter:
+    """Counts in the contexts of two symbols (rows as in ``two``), of one and of none."""
+
+    two: np.ndarray
+    counts2: np.ndarray
+    counts1: np.ndarray
+    counts0: np.ndarray
+
+    def logs(self, first: np.ndarray, suffix2: np.ndarray | None, suffix1: np.ndarray | None) -> Iterator[np.ndarray]:
+        """Log10 probabilities after contexts with the counts ``first`` and these shorter ones."""
+        for at in range(0, len(first), 4096):
+            part = slice(at, min(at + 4096, len(first)))
+            levels = [first[part]]
+            if suffix2 is not None:
+                levels.append(self.counts2[suffix2[part]])
+            if suffix1 is not None:
+                levels.append(self.counts1[suffix1[part]])
+            levels.append(np.repeat(self.counts0, len(levels[0]), 0))
+            yield np.log10(_probabilities(levels)).astype(np.float32)
+
+
+@dataclass
+class ByteModel:
+    """Log10 probabilities: ``logs[node[context], symbol]`` over the classes of seen bytes.
+
+    ``shorter`` is there if trained contexts were left out; the nodes that stand for them are those
+    of two symbols, ``nodes2``.
+    """
+
+    classes: np.ndarray
+    node: np.ndarray
+    logs: np.ndarray
+    nodes2: range = range(0)
+    shorter: Shorter | None = None
+
+    def score(self, texts: pa.Array) -> np.ndarray:
+        """Log10 probability of each text with its end, by the nodes here."""
+        return self.scored(texts)[0]
+
+    def scored(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """``score``; each text's symbols after contexts that may have been left out, and how often.
+
+        Such a symbol is one integer: ``context << 9 | symbol``, in classes.
+        """
+        symbols, row = _stream(texts)
+        seen = self.classes[symbols].astype(np.int64)
+        base = self.logs.shape[1]
+        real = row[3:] >= 0
+        context = ((seen[:-3] * base + seen[1:-2]) * base + seen[2:-1])[real]
+        at, own, symbol = self.node[context], row[3:][real], seen[3:][real]
+        total = np.bincount(own, self.logs[at, symbol], len(texts))
+        if self.shorter is None:
+            return total, pa.nulls(len(texts), pa.list_(pa.int64())), pa.nulls(len(texts), pa.list_(pa.int32()))
+        open_ = (at >= self.nodes2.start) & (at < self.nodes2.stop) & (context // base**2 < base - 1)
+        coded = own[open_].astype(np.int64) << 34 | context[open_] << 9 | symbol[open_]
+        codes, times = np.unique(coded, return_counts=True)
+        ends = pa.array(np.searchsorted(codes, np.arange(len(texts) + 1) << 34), pa.int32())
+        return (total, pa.ListArray.from_arrays(ends, pa.array(codes & (1 << 34) - 1)),
+                pa.ListArray.from_arrays(ends, pa.array(times, pa.int32())))
+
+    def gains(self, grams: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts (in classes) of left-out grams, and what each symbol's log gains over ``score``."""
+        base, width = self.logs.shape[1], self.logs.shape[1] - 1
+        codes, place = np.unique(grams >> 8, return_inverse=True)
+        counts3 = np.zeros((len(codes), width), np.float32)
+        counts3[place, self.classes[grams & 255]] = times
+        p, q, r = (self.classes[codes >> shift & 255].astype(np.int64) for shift in (16, 8, 0))
+        suffix2 = np.searchsorted(self.shorter.two, q * width + r)
+        exact = np.concatenate(list(self.shorter.logs(counts3, suffix2, r)))
+        context = (p * base + q) * base + r
+        return context, exact.astype(np.float64) - self.logs[self.node[context]]
+
+
+def _contexts(counts: DataFrame, contexts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Trained grams with their context; all contexts with their counts, and those with nodes."""
+    whole = counts.where("gram is not null and trained > 0").select(
+        "gram", "trained", F.shiftright("gram", 8).alias("context"))
+    every = whole.groupBy("context").agg(F.sum("trained").alias("n"))
+    return whole, every, most_frequent(every, "n", contexts)
+
+
 def build(counts: DataFrame, contexts: int = CONTEXTS) -> ByteModel:
     """The model from the grams of ``count``."""
-    grams = counts.where("gram is not null and trained > 0").select("gram", "trained")
-    whole = grams.withColumn("context", F.shiftright("gram", 8))
-    kept = most_frequent(whole.groupBy("context").agg(F.sum("trained").alias("n")), "n", contexts)
+    whole, every, kept = _contexts(counts, contexts)
+    grams = whole.select("gram", "trained")
     long = whole.join(F.broadcast(kept.select("context")), "context").select("gram", "trained").toArrow()
     short = grams.groupBy(F.col("gram").bitwiseAND(0xFFFFFF).alias("gram")).agg(F.sum("trained").alias("n")).toArrow()
     g4, n4 = long.column(0).to_numpy(), long.column(1).to_numpy()
@@ -194,31 +258,42 @@ def build(counts: DataFrame, contexts: int = CONTEXTS) -> ByteModel:
     counts3[place, classes[g4 & 255]] = n4
     p, q, r = (classes[long_codes >> shift & 255].astype(np.int64) for shift in (16, 8, 0))
 
-    def with_shorter(first: np.ndarray, suffix2: np.ndarray | None, suffix1: np.ndarray | None) -> Iterator[np.ndarray]:
-        for at in range(0, len(first), 4096):
-            part = slice(at, min(at + 4096, len(first)))
-            levels = [first[part]]
-            if suffix2 is not None:
-                levels.append(counts2[suffix2[part]])
-            if suffix1 is not None:
-                levels.append(counts1[suffix1[part]])
-            levels.append(np.repeat(counts0, len(levels[0]), 0))
-            yield np.log10(_probabilities(levels)).astype(np.float32)
-
     if not width:
         return ByteModel(classes, np.zeros(1, np.int32), np.full((1, 1), math.log10(1 / 256), np.float32))
     suffix2 = np.searchsorted(two, q * width + r) if len(p) else np.zeros(0, np.int64)
     parts = [np.log10(_probabilities([counts0])).astype(np.float32)]
-    parts += with_shorter(counts1, None, None)
-    parts += with_shorter(counts2, None, two % width)
-    parts += with_shorter(counts3, suffix2, r)
+    shorter = Shorter(two, counts2, counts1, counts0)
+    parts += shorter.logs(counts1, None, None)
+    parts += shorter.logs(counts2, None, two % width)
+    parts += shorter.logs(counts3, suffix2, r)
     # Where each context of three symbols is met: by all of it, its last two, its last one or none.
     node = np.zeros((base, base, base), np.int32)
     used = np.flatnonzero(counts1.sum(1) > 0)
     node[:, :, used] = 1 + used
     node[:, two // width, two % width] = 1 + width + np.arange(len(two))
     node[p, q, r] = 1 + width + len(two) + np.arange(len(p))
-    return ByteModel(classes, node.reshape(-1), np.concatenate(parts))
+    nodes2 = range(1 + width, 1 + width + len(two))
+    cut = every.count() > len(long_codes)
+    return ByteModel(classes, node.reshape(-1), np.concatenate(parts), nodes2, shorter if cut else None)
+
+
+def _left_out(counts: DataFrame, contexts: int, shared: Broadcast) -> DataFrame:
+    """(context, gains) of each trained context without a node; ``shared`` starts with the model."""
+    whole, _, kept = _contexts(counts, contexts)
+    grouped = (whole.join(F.broadcast(kept.select("context")), "context", "left_anti")
+               .groupBy("context").agg(F.collect_list(F.struct("gram", "trained")).alias("_grams")).select("_grams"))
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value[0]
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                grams = batch.column(0).slice(at, 1024).flatten()
+                context, more = model.gains(grams.field(0).to_numpy(), grams.field(1).to_numpy())
+                ends = pa.array(np.arange(len(context) + 1) * more.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(context), pa.ListArray.from_arrays(ends, pa.array(more.reshape(-1)))], names=["context", "gains"])
+
+    return grouped.mapInArrow(gains, "context long, gains array<double>")
 
 
 def score(docs: DataFrame, counts: DataFrame, text: str = "text", columns: tuple[str, ...] = (),
@@ -258,30 +333,40 @@ def score(docs: DataFrame, counts: DataFrame, text: str = "text", columns: tuple
                 rare = np.flatnonzero(where < 0)
                 for i, row in zip(rare.tolist(), owner[rare].tolist(), strict=True):
                     others[row][every[i]] += 1
+                total, symbols, seen = model.scored(texts)
                 yield pa.RecordBatch.from_arrays([
                     *[column.slice(at, len(texts)) for column in kept],
                     pa.array(np.arange(rid, rid + len(lists))), pa.array(sizes.astype(np.int64)),
                     pa.array(np.bincount(owner, hit[where], len(lists)).astype(np.int64)),
-                    pa.array(np.bincount(owner, logs[where], len(lists))), pa.array(model.score(texts)),
+                    pa.array(np.bincount(owner, logs[where], len(lists))), pa.array(total),
                     pa.array([list(c) for c in others], pa.list_(pa.binary())),
-                    pa.array([list(c.values()) for c in others], pa.list_(pa.int32())),
-                ], names=[*columns, "_rid", "n_tokens", "_known", "_logs", "score", "_rare", "_times"])
+                    pa.array([list(c.values()) for c in others], pa.list_(pa.int32())), symbols, seen,
+                ], names=[*columns, "_rid", "n_tokens", "_known", "_logs", "score", "_rare", "_times", "_symbols", "_seen"])
                 rid += len(lists)
 
     kinds_of = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*columns).schema) if columns else ""
     measured = written(docs.select(*columns, F.col(text).alias("_text")).mapInArrow(
         measure, kinds_of + "_rid long, n_tokens long, _known long, _logs double, score double, "
-        "_rare array<binary>, _times array<int>"), "scores")
+        "_rare array<binary>, _times array<int>, _symbols array<long>, _seen array<int>"), "scores")
     rare = (
         measured.select("_rid", F.explode(F.arrays_zip("_rare", "_times")).alias("_w"))
         .select("_rid", F.col("_w._rare").alias("word"), F.col("_w._times").alias("_times"))
         .join(words.where("trained > 0").select("word", "trained"), "word")
-        .groupBy("_rid").agg(F.sum("_times").alias("_more_known"),
-                             F.sum(F.col("_times") * F.log10(F.col("trained") + 1)).alias("_more_logs"))
+        .select("_rid", F.col("_times").cast("long").alias("_more_known"),
+                (F.col("_times") * F.log10(F.col("trained") + 1)).alias("_more_logs"), F.lit(0.0).alias("_gain"))
     )
+    if shared.value[0].shorter is not None:
+        gain = F.element_at("gains", (F.col("_w._symbols").bitwiseAND(511) + 1).cast("int"))
+        rare = rare.unionByName(
+            measured.select("_rid", F.explode(F.arrays_zip("_symbols", "_seen")).alias("_w"))
+            .withColumn("context", F.shiftright("_w._symbols", 9))
+            .join(_left_out(counts, contexts, shared), "context")
+            .select("_rid", F.lit(0).cast("long").alias("_more_known"), F.lit(0.0).alias("_more_logs"),
+                    (F.col("_w._seen") * gain).alias("_gain")))
+    rare = rare.groupBy("_rid").agg(*[F.sum(c).alias(c) for c in ("_more_known", "_more_logs", "_gain")])
     scale = math.log10(tokens + kinds + 1)
     known = F.col("_known") + F.coalesce("_more_known", F.lit(0))
-    return measured.drop("_rare", "_times").join(rare, "_rid", "left").select(
+    return measured.drop("_rare", "_times", "_symbols", "_seen").join(rare, "_rid", "left").select(
         *columns, "n_tokens", known.cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("_logs") + F.coalesce("_more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(scale)).alias("base_score"),
-        "score")
+        (F.col("score") + F.coalesce("_gain", F.lit(0.0))).alias("score"))
