@@ -3,9 +3,11 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from compare import difference
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -13,6 +15,7 @@ from tidefeed.llm import (
     components, crf, decontaminate, hostrules, langid, mixture, nearcopies, personal, ppm, rulequality, secretscan,
     tokenstore,
 )
+from tidefeed.llm.oracle import MIX
 from tidefeed.llm.tokenstore import default_tokenizer
 from tidefeed.session import new_folder
 
@@ -281,6 +284,18 @@ def test_mixture_comes_near_its_targets(spark):
     assert len(got) == 3 and all(abs(r.taken - r.target) <= 60 for r in got)
 
 
+def test_mixture_of_large_sources_equals_its_sql(spark):
+    """Sources of several cells, each with one document longer than a cell."""
+    pick = random.Random(6)
+    rows = [(i, "w " * pick.randint(1, 40), "abcdef"[i % 6]) for i in range(30_000)]
+    rows += [(30_000 + i, f"long{i} " * 60_000, source) for i, source in enumerate("abcdef")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    documents = frame.toArrow()
+    con.register("documents", documents)
+    assert difference(mixture.mix(frame).drop("epochs"), con, MIX) is None
+
+
 def test_language(docs, none):
     model = langid.fit(docs)
     assert model.languages == ["en", "fr"]

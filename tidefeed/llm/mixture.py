@@ -2,8 +2,10 @@
 
 A document's key is -ln(u) / w: u is uniform, made of the document's id and text, and w its quality
 weight; the smallest keys come first. Complete epochs of a source precede the fractional one, which
-takes documents by key until the source's words are used up. The sums run over narrow cells of the
-key, so a source with a third of all documents is ordered in many small pieces.
+takes documents by key until the source's words are used up: a document that does not fit is passed
+over, and further passes over the whole source fill what it left. The sums run over narrow cells of
+the key, so a source with a third of all documents is ordered in many small pieces; what is taken
+does not depend on the cells.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ SHARE = 1.5
 MOST = 2.0
 #: Documents in a cell of the key, about.
 CELL = 2000
-#: Times that the documents of a source's last cell are gone over.
+#: Times that the documents of a source are gone over.
 PASSES = 5
 
 
@@ -69,6 +71,48 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
     return dealt.select("source", "source_size", target.alias("target"))
 
 
+def _place() -> Column:
+    """A document's place in its source: equal keys by id, a null id last."""
+    return F.struct(F.col("_rank"), F.col("doc_id").isNull().alias("_no_id"), F.col("doc_id"))
+
+
+def _pass(sized: DataFrame, state: DataFrame) -> DataFrame:
+    """``state`` after one more pass over the documents of each source.
+
+    A pass takes the documents that fit alone, by place, while their sum fits. So it takes all that
+    fit up to some place, its end, and of those before the end none that is left fits later: the
+    next pass starts there.
+    """
+    left = sized.join(checked_broadcast(state), F.col("source").eqNullSafe(F.col("_source"))).where(
+        (F.col("size") <= F.col("_room")) & (F.col("_end").isNull() | (_place() > F.col("_end")))
+    ).select("_source", "_room", "size", _place().alias("_place"), F.floor(F.col("_rank") * F.col("_cells")).alias("_cell"))
+    cells = written(
+        left.groupBy("_source", "_room", "_cell").agg(F.sum("size").alias("_words"), F.max("_place").alias("_last"))
+        .withColumn("_upto", F.sum("_words").over(Window.partitionBy("_source").orderBy("_cell"))),
+        "cells")
+    # Only the cell in which the room ends is ordered.
+    before = F.col("_upto") - F.col("_words")
+    split = cells.where((F.col("_upto") > F.col("_room")) & (before <= F.col("_room"))).select(
+        F.col("_source").alias("_s"), F.col("_cell").alias("_c"), before.alias("_before"))
+    running = Window.partitionBy("_source").orderBy("_place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = (
+        left.join(checked_broadcast(split), F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c")))
+        .withColumn("_sum", F.col("_before") + F.sum("size").over(running)).where(F.col("_sum") <= F.col("_room"))
+    )
+    taken = (
+        cells.where(F.col("_upto") <= F.col("_room")).select("_source", "_words", "_last")
+        .unionByName(ordered.select("_source", F.col("size").alias("_words"), F.col("_place").alias("_last")))
+        .groupBy(F.col("_source").alias("_s")).agg(F.sum("_words").alias("_used"), F.max("_last").alias("_new"))
+    )
+    after = state.drop("_used").join(taken, F.col("_source").eqNullSafe(F.col("_s")), "left")
+    return written(after.select(
+        *[c for c in state.columns if c not in ("_room", "_end", "_passes", "_used")],
+        (F.col("_room") - F.coalesce("_used", F.lit(0))).alias("_room"), F.coalesce("_new", "_end").alias("_end"),
+        F.concat("_passes", F.array(F.struct(F.col("_room").alias("room"), F.col("_new").alias("end")))).alias("_passes"),
+        F.coalesce("_used", F.lit(0)).alias("_used"),
+    ), "passes")
+
+
 def mix(
     docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text",
     weights=WEIGHTS, share: float = SHARE, most: float = MOST, columns: tuple[str, ...] = (),
@@ -93,7 +137,8 @@ def mix(
         "mix",
     )
     total = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
-    budgets = checked_broadcast(written(
+    kind = sized.select(_place().alias("_place")).schema[0].dataType.simpleString()
+    state = written(
         targets(total.select("source", "source_size"), weights, share, most)
         .withColumnRenamed("source", "_source")
         .join(total.select(F.col("source").alias("_name"), "_n"), F.col("_source").eqNullSafe(F.col("_name")))
@@ -101,38 +146,20 @@ def mix(
                                      F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
         .withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
         .withColumn("_cells", F.ceil(F.col("_n") / F.lit(CELL)))
-        .select("_source", "source_size", "target", "_whole", "_rest", "_cells"),
+        .select("_source", "source_size", "target", "_whole", "_cells", F.col("_rest").alias("_room"),
+                F.lit(None).cast(kind).alias("_end"), F.array().cast(f"array<struct<room:double,end:{kind}>>").alias("_passes"),
+                F.lit(0).cast("long").alias("_used")),
         "budgets",
-    ))
-    placed = sized.join(budgets, F.col("source").eqNullSafe(F.col("_source"))).withColumn(
-        "_cell", F.floor(F.col("_rank") * F.col("_cells"))
-    )
-    cell = Window.partitionBy("_source").orderBy("_cell")
-    before = (
-        placed.groupBy("_source", "_cell", "_rest").agg(F.sum("size").alias("_words"))
-        .withColumn("_upto", F.sum("_words").over(cell))
-        .withColumn("_place", F.when(F.col("_upto") <= F.col("_rest"), "in")
-                    .when(F.col("_upto") - F.col("_words") >= F.col("_rest"), "out").otherwise("split"))
-        .select(F.col("_source").alias("_s"), F.col("_cell").alias("_c"), "_place",
-                (F.col("_rest") - F.col("_upto") + F.col("_words")).alias("_room"))
     )
-    known = placed.join(before, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_cell") == F.col("_c")))
-    # Only one cell of each source is ordered. Its documents are taken while they fit; a long one
-    # that does not is passed over, and the passes after the first fill what it left.
-    cell_of = Window.partitionBy("_source", "_cell")
-    running = cell_of.orderBy("_rank", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    split = known.where("_place = 'split'").withColumn("_more", F.lit(False))
     for _ in range(PASSES):
-        split = split.withColumn("_fits", ~F.col("_more") & (F.col("size") <= F.col("_room")))
-        split = split.withColumn("_sum", F.sum(F.when(F.col("_fits"), F.col("size"))).over(running))
-        split = split.withColumn("_now", F.col("_fits") & (F.col("_sum") <= F.col("_room")))
-        used = F.sum(F.when(F.col("_now"), F.col("size")).otherwise(0)).over(cell_of)
-        split = split.withColumn("_room", F.col("_room") - used).withColumn("_more", F.col("_more") | F.col("_now"))
-    out = [*columns, "doc_id", "size", "source_size", "target",
-           (F.col("_whole") + F.col("_more")).cast("long").alias("epochs")]
-    split = split.withColumn("_more", F.col("_more").cast("int")).select(out)
-    rest = known.where("_place <> 'split'").withColumn("_more", (F.col("_place") == "in").cast("int")).select(out)
-    return split.unionByName(rest).withColumn("taken", F.col("size") * F.col("epochs"))
+        state = _pass(sized, state)
+        if state.where("_used > 0").isEmpty():
+            break
+    more = F.coalesce(F.exists("_passes", lambda p: (F.col("size") <= p["room"]) & (_place() <= p["end"])), F.lit(False))
+    return sized.join(checked_broadcast(state), F.col("source").eqNullSafe(F.col("_source"))).select(
+        *columns, "doc_id", "size", "source_size", "target",
+        (F.col("_whole") + more.cast("int")).cast("long").alias("epochs"),
+    ).withColumn("taken", F.col("size") * F.col("epochs"))
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
