@@ -15,11 +15,13 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents in a learned language; those without a letter go."""
+    """Documents with a letter; if no row has a language to learn from, all letters count as one."""
     model = langid.fit(docs)
+    if not model.languages:
+        model = langid.any_language()
     marked = boxed(docs, "text")
     marked = marked.select("_row", langid.language(marked, model, "_text").alias("_got"))
-    return marked.where(F.col("_got.lang") != langid.UNKNOWN).select("_row.*")
+    return marked.where(F.col("_got.score") > 0).select("_row.*")
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

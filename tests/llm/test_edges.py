@@ -307,6 +307,12 @@ def test_language(docs, none):
     assert none.select(langid.language(none, model).alias("got")).count() == 0
 
 
+def test_pipeline_keeps_texts_without_a_known_language(spark, docs):
+    for label in (None, "und"):
+        kept = corpus_pipeline.identify_language(spark, docs.withColumn("lang", F.lit(label).cast("string")), "")
+        assert kept.columns == docs.columns and kept.count() == len(TEXTS)
+
+
 def test_host_rules(spark, docs, none):
     found = hostrules.judge(docs).collect()
     assert len(found) == len(TEXTS) + 3 and {r.host for r in found} == {None, "a", "b"}

@@ -34,6 +34,11 @@ class LanguageModel:
     log_prior: np.ndarray
 
 
+def any_language() -> LanguageModel:
+    """A model with one language for every text that has a letter."""
+    return LanguageModel(["any"], np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
+
+
 @cache
 def _folded() -> np.ndarray:
     """Code point to its lower case; everything that is no letter to a space."""
