@@ -241,6 +241,23 @@ def test_token_store(spark, docs, none):
     assert got == {i: [*encoder.encode(TEXTS[i], add_special_tokens=False).ids, 2] for i in (5, 12)}
 
 
+@pytest.mark.parametrize("change", [
+    lambda found: found.where("doc_id <> 5"),
+    lambda found: found.withColumn("offset", F.col("offset") + (F.col("doc_id") == 5).cast("int")),
+    lambda found: found.withColumn("segment", F.col("segment") + (F.col("doc_id") == 5).cast("int") * 1000),
+    lambda found: found.withColumn("n", F.col("n") - (F.col("doc_id") == 7).cast("int")),
+])
+def test_token_store_shows_a_wrong_index(spark, docs, monkeypatch, change):
+    store, right = new_folder(spark, "test-tokens"), tokenstore.lookup
+    tokenstore.write_shards(docs, store, default_tokenizer())
+    tokenstore.write_index(spark, store)
+    assert sorted(tokenstore.keyed(spark, store, docs).select("doc_id", "start", "n", "crc32").collect(), key=str) == sorted(
+        tokenstore.read_back(spark, store).select("doc_id", "start", "n", "crc32").collect(), key=str)
+    monkeypatch.setattr(tokenstore, "lookup", lambda *given: change(right(*given)))
+    with pytest.raises(Exception, match="the index"):
+        tokenstore.keyed(spark, store, docs).collect()
+
+
 def test_encoder_equals_the_library():
     encoder, pick = tokenstore.PieceEncoder(default_tokenizer()), random.Random(3)
     bits = [" ", "  ", "\n", "\t", " \n", "a", "word", "Word,", "é", "ñandú.", "'s", "don't", "12", "3.5", "<|endoftext|>", "\0",

@@ -343,32 +343,44 @@ def fetch(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id")
     return asked.join(shards, ["shard", "segment"]).mapInArrow(cut, "doc_id long, ids array<long>")
 
 
-def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """Every stored document from the payload: doc_id, shard, segment, offset, n, start, crc32.
-
-    ``start`` counts the ids of all documents before it, ``crc32`` is over its ids' bytes.
-    """
-    ship(spark)
-    stored = spark.read.parquet(f"{path}/shards")
+READ = "doc_id long, shard int, segment int, offset long, n long, _at long, crc32 long"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of each segment: those in ``_asked`` at the places there, the others by the lengths."""
+    for batch in batches:
+        for i in range(len(batch)):
+            row = {name: batch.column(name)[i] for name in batch.schema.names}
+            if not row["payload"].is_valid:
+                raise ValueError(f"the index leads to a segment that is not stored: {row['shard']}, {row['segment']}")
+            payload = memoryview(row["payload"].as_buffer())
+            keys, n = row["doc_ids"].values, row["lengths"].values.to_numpy(zero_copy_only=False)
+            at = np.cumsum(n) - n
+            if "_asked" in row and row["_asked"].is_valid:
+                asked = row["_asked"].values
+                key, offset, long = (asked.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                place = np.minimum(np.searchsorted(at, offset), len(at) - 1)
+                same = keys.take(pa.array(place)).fill_null(0).to_numpy(zero_copy_only=False) == key
+                same &= keys.take(pa.array(place)).is_valid().to_numpy(zero_copy_only=False)
+                if not np.all(same & (at[place] == offset) & (n[place] == long)):
+                    raise ValueError(f"the index leads keys to other places than theirs, in {row['shard']}, {row['segment']}")
+                rest = np.ones(len(at), bool)
+                rest[place] = False
+                keys = pa.concat_arrays([pa.array(key, pa.int64()), keys.filter(pa.array(rest))])
+                at, n = np.concatenate([offset, at[rest]]), np.concatenate([long, n[rest]])
+            crc = [zlib.crc32(payload[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": keys,
+                "shard": pa.array(np.full(len(n), row["shard"].as_py(), np.int32)),
+                "segment": pa.array(np.full(len(n), row["segment"].as_py(), np.int32)),
+                "offset": pa.array(at), "n": pa.array(n),
+                "_at": pa.array(at + row["first"].as_py()),
+                "crc32": pa.array(crc, pa.int64()),
+            })
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                payload = memoryview(batch.column("payload")[i].as_buffer())
-                n = batch.column("lengths")[i].values.to_numpy(zero_copy_only=False)
-                at = np.cumsum(n) - n
-                crc = [zlib.crc32(payload[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_ids")[i].values,
-                    "shard": pa.array(np.full(len(n), batch.column("shard")[i].as_py(), np.int32)),
-                    "segment": pa.array(np.full(len(n), batch.column("segment")[i].as_py(), np.int32)),
-                    "offset": pa.array(at), "n": pa.array(n),
-                    "_at": pa.array(at + batch.column("first")[i].as_py()),
-                    "crc32": pa.array(crc, pa.int64()),
-                })
 
-    slices = stored.mapInArrow(
-        scan, "doc_id long, shard int, segment int, offset long, n long, _at long, crc32 long")
+def _with_start(stored: DataFrame, slices: DataFrame) -> DataFrame:
+    """``slices`` with the number of ids before each document."""
     lengths = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n)
     total = stored.select("shard", lengths.alias("_n")).groupBy("shard").agg(F.sum("_n").alias("_n"))
     # One row per shard.
@@ -378,12 +390,30 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
         "_base", "_at")
 
 
+def read_back(spark: SparkSession, path: str) -> DataFrame:
+    """Every stored document from the payload: doc_id, shard, segment, offset, n, start, crc32.
+
+    ``start`` counts the ids of all documents before it, ``crc32`` is over its ids' bytes.
+    """
+    ship(spark)
+    stored = spark.read.parquet(f"{path}/shards")
+    return _with_start(stored, stored.mapInArrow(_cut, READ))
+
+
 def keyed(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``read_back`` with the key by which the index leads to each document.
+    """As ``read_back``, with the place and length of each key from the index, and its ids cut there.
 
-    A stored document that no key leads to (a null key, or a later one of equal keys) has the key
-    that the shard holds.
+    Only a stored document that no key leads to (a null key, a later one of equal keys, a key that
+    ``keys`` does not have) is read by the lengths in the shard. A stored key that is asked for and
+    that the index does not find, or finds at a place that is not the key's, is an error.
     """
-    found = lookup(spark, path, keys, key).select(F.col("doc_id").alias("_key"), "shard", "segment", "offset")
-    return read_back(spark, path).join(found, ["shard", "segment", "offset"], "left").withColumn(
-        "doc_id", F.coalesce("_key", "doc_id")).drop("_key")
+    ship(spark)
+    found = written(lookup(spark, path, keys, key), "found")
+    stored = spark.read.parquet(f"{path}/shards")
+    asked = keys.select(F.col(key).cast("long").alias("doc_id")).dropna()
+    lost = (stored.select(F.explode("doc_ids").alias("doc_id")).join(found, "doc_id", "left_anti")
+            .join(asked, "doc_id", "left_semi").limit(1).collect())
+    if lost:
+        raise ValueError(f"the index does not find a stored key: {lost[0].doc_id}")
+    places = found.groupBy("shard", "segment").agg(F.collect_list(F.struct("doc_id", "offset", "n")).alias("_asked"))
+    return _with_start(stored, stored.join(places, ["shard", "segment"], "full").mapInArrow(_cut, READ))
