@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -222,8 +223,7 @@ def test_token_store(spark, docs, none):
     for frame in (docs, none):
         store = new_folder(spark, "test-tokens")
         tokenstore.write_shards(frame, store, default_tokenizer())
-        tokenstore.write_index(spark, store)
-        found = tokenstore.keyed(spark, store, frame).collect()
+        found = tokenstore.read_back(spark, store).collect()
         assert len(found) == frame.count()
         if found:
             at = 0
@@ -234,28 +234,51 @@ def test_token_store(spark, docs, none):
                 (r.doc_id for r in found), key=lambda x: (x is not None, x))
     store = new_folder(spark, "test-tokens")
     tokenstore.write_shards(docs, store, default_tokenizer())
-    tokenstore.write_index(spark, store)
     asked = spark.createDataFrame([(5,), (5,), (12,), (99,), (-1,), (None,)], "doc_id long")
     got = {r.doc_id: r.ids for r in tokenstore.fetch(spark, store, asked).collect()}
     encoder = tokenstore.PieceEncoder(default_tokenizer()).tokenizer
     assert got == {i: [*encoder.encode(TEXTS[i], add_special_tokens=False).ids, 2] for i in (5, 12)}
 
 
-@pytest.mark.parametrize("change", [
-    lambda found: found.where("doc_id <> 5"),
-    lambda found: found.withColumn("offset", F.col("offset") + (F.col("doc_id") == 5).cast("int")),
-    lambda found: found.withColumn("segment", F.col("segment") + (F.col("doc_id") == 5).cast("int") * 1000),
-    lambda found: found.withColumn("n", F.col("n") - (F.col("doc_id") == 7).cast("int")),
+@pytest.mark.parametrize("column,change", [
+    ("prints", lambda data: bytes(b ^ 1 for b in data)),
+    ("bits", lambda data: bytes(len(data))),
+    ("offsets", lambda data: b"".join(int.to_bytes(int.from_bytes(data[i : i + 8], "little") + 1, 8, "little") for i in range(0, len(data), 8))),
+    ("counts", lambda data: data[8:] + data[:8]),
 ])
-def test_token_store_shows_a_wrong_index(spark, docs, monkeypatch, change):
-    store, right = new_folder(spark, "test-tokens"), tokenstore.lookup
+def test_token_store_shows_a_wrong_index(spark, docs, column, change):
+    store, other = new_folder(spark, "test-tokens"), new_folder(spark, "test-tokens")
     tokenstore.write_shards(docs, store, default_tokenizer())
-    tokenstore.write_index(spark, store)
-    assert sorted(tokenstore.keyed(spark, store, docs).select("doc_id", "start", "n", "crc32").collect(), key=str) == sorted(
-        tokenstore.read_back(spark, store).select("doc_id", "start", "n", "crc32").collect(), key=str)
-    monkeypatch.setattr(tokenstore, "lookup", lambda *given: change(right(*given)))
+    assert tokenstore.read_back(spark, store).count() == docs.count()
+    changed = spark.read.parquet(f"{store}/shards").withColumn(column, F.udf(lambda data: change(bytes(data)), "binary")(column))
+    changed.write.parquet(f"{other}/shards")
     with pytest.raises(Exception, match="the index"):
-        tokenstore.keyed(spark, store, docs).collect()
+        tokenstore.read_back(spark, other).collect()
+
+
+def test_token_store_fetch_equals_all_ids(spark, monkeypatch):
+    """Every key of many segments, twice asked, and more absent keys than are looked up together."""
+    monkeypatch.setattr(tokenstore, "SEGMENT_IDS", 64)
+    monkeypatch.setattr(tokenstore, "ASKED_KEYS", 16)
+    frame = spark.range(0, 2000, 2).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("word"), F.col("id")).alias("text"))
+    store = new_folder(spark, "test-tokens")
+    tokenstore.write_shards(frame.repartition(3), store, default_tokenizer())
+    assert spark.read.parquet(f"{store}/shards").count() > 50
+    encoder = tokenstore.PieceEncoder(default_tokenizer()).tokenizer
+    asked = spark.range(-500, 3000).union(spark.range(0, 2000)).withColumnRenamed("id", "doc_id")
+    got = tokenstore.fetch(spark, store, asked).collect()
+    assert sorted(r.doc_id for r in got) == list(range(0, 2000, 2))
+    assert all(r.ids == [*encoder.encode(f"word {r.doc_id}", add_special_tokens=False).ids, 2] for r in got)
+
+
+@pytest.mark.parametrize("sign", list("’…—漢'“😀") + ["\u0301"])
+def test_encoder_ends_on_long_runs(sign):
+    encoder = tokenstore.PieceEncoder(default_tokenizer())
+    texts = ["a" * 100 + sign, "7" * 5000 + sign, "é1." * 2000 + sign + "b" * 100, " " + "x" * 100 + sign + " y"]
+    begun = time.perf_counter()
+    whole = [tokenstore.array("I", e.ids).tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoder.encode(texts) == whole
+    assert time.perf_counter() - begun < 1
 
 
 def test_encoder_equals_the_library():

@@ -50,8 +50,7 @@ def op4_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def op5_token_store(spark: SparkSession, folder: str) -> DataFrame:
     docs, store = table(spark, folder, "documents"), new_folder(spark, "tokens")
     tokenstore.write_shards(docs, store, tokenstore.default_tokenizer())
-    tokenstore.write_index(spark, store)
-    return tokenstore.keyed(spark, store, docs).select(
+    return tokenstore.read_back(spark, store).select(
         "doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc32").alias("ids_crc32"))
 
 

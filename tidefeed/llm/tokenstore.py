@@ -1,14 +1,16 @@
 """Token ids on disk with keyed access.
 
-A store is two Parquet folders under one path, so any file system that Spark reaches can hold it:
-
-* ``shards``: documents in ascending key order. A row is a segment: ``payload`` holds the raw ids as
-  little-endian unsigned 32-bit integers, one document after another, with the keys and lengths of
-  its documents beside it. A segment ends with the document that fills it.
-* ``index``: keys are dealt by hash to small buckets, and each bucket's row is a minimal perfect
-  hash: every key has its own slot, and a slot stores a 32-bit fingerprint, shard, segment, offset
-  and length. A look-up reads one slot, whatever the store's size; a key that is not in the store
-  is refused by its fingerprint but for one in four billion.
+A store is one Parquet folder, ``shards``, so any file system that Spark reaches can hold it. A row is
+a segment: documents in ascending key order, up to the one that fills it.
+
+* ``payload`` holds the raw ids as little-endian unsigned 32-bit integers, one document after another;
+  ``doc_ids`` and ``lengths`` are the keys and lengths of its documents.
+* ``low`` and ``high`` bound its keys, and a minimal perfect hash gives every key its own slot, which
+  stores a 32-bit fingerprint, the offset in the payload and the length. As keys ascend, the bounds
+  lead a key to its segment, and one slot there to its ids, whatever the store's size; a key that is
+  not in the store is refused by its fingerprint but for one in four billion.
+
+The columns are read apart: a look-up never reads a payload.
 """
 
 from __future__ import annotations
@@ -21,9 +23,8 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidefeed.llm.text import blocks, checked_broadcast, ship
@@ -33,13 +34,18 @@ END_ID = 2
 #: Ids in a segment, about; one long document may exceed it.
 SEGMENT_IDS = 1 << 18
 ROW_GROUP_BYTES = 16 << 20
-#: Keys in a bucket of the index, about.
-BUCKET_KEYS = 4096
+#: Asked keys of one segment that are looked up or cut together.
+ASKED_KEYS = 4096
 #: Slots of a level for each key that is still without one.
 SPREAD = 1.5
-#: Pieces of text whose ids a worker remembers (about 200 bytes each), twice.
+#: Pieces and runs whose ids a task remembers, twice, and the most bytes of all of them.
 REMEMBERED = 200_000
-SEGMENTS = ("shard int, segment int, first long, payload binary, doc_ids array<long>, lengths array<long>")
+REMEMBERED_BYTES = 48 << 20
+#: Bytes of a remembered entry besides its text and ids.
+ENTRY_BYTES = 160
+INDEX = {"sizes": "array<int>", "bits": "binary", "prints": "binary", "offsets": "binary", "counts": "binary"}
+SEGMENTS = ("shard int, segment int, first long, payload binary, doc_ids array<long>, lengths array<long>, "
+            "low long, high long, " + ", ".join(f"{name} {kind}" for name, kind in INDEX.items()))
 
 #: The pre-tokenizer, as the library prints it, whose cuts ``SIMPLE`` knows.
 BYTE_LEVEL = "ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=True)"
@@ -49,7 +55,9 @@ LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 SIGNS = r"!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~"
 #: Runs of Latin letters, of digits, of signs, and single line ends: a token never spans two of
 #: these, and a space before the first run belongs to it.
-SIMPLE = re.compile(f" ?(?:[{LATIN}]+|[0-9]+|[{SIGNS}]+)(?:[{LATIN}]+|[0-9]+|[{SIGNS}]+|\n(?![\\s]|$))*")
+#: Possessive: runs of one class cannot be cut otherwise, and a long run before a character of no class
+#: must not be tried at every length.
+SIMPLE = re.compile(f" ?(?:[{LATIN}]++|[0-9]++|[{SIGNS}]++)(?:[{LATIN}]++|[0-9]++|[{SIGNS}]++|\n(?![\\s]|$))*+")
 WORD = re.compile(f" ?[{LATIN}]+")
 PART = re.compile(f" ?[{LATIN}]+| ?[0-9]+| ?[{SIGNS}]+|\n")
 #: How the byte-level alphabet writes the bytes of UTF-8: printable Latin-1 as itself, others moved up.
@@ -78,6 +86,10 @@ class PieceEncoder:
         self.young: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.bytes = 0
+
+    def forget(self) -> None:
+        self.young, self.words, self.old, self.bytes = {}, {}, {}, 0
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -87,11 +99,12 @@ class PieceEncoder:
         """Ids of new pieces: word by word where the pre-tokenizer surely cuts so, else whole."""
         other = []
         young, word = self.young, self._word
+        self.bytes += sum(map(len, pieces)) * 5 + len(pieces) * ENTRY_BYTES
         for piece in pieces:
             if not self.cuts_words:
                 other.append(piece)
             elif WORD.fullmatch(piece):
-                young[piece] = self._ids(piece)
+                young[piece] = word(piece, False)
             elif SIMPLE.fullmatch(piece) and not any(token in piece for token in self.added):
                 young[piece] = b"".join(map(word, PART.findall(piece)))
             else:
@@ -104,17 +117,20 @@ class PieceEncoder:
         plain = run.encode().decode("latin-1").translate(BYTE_LETTERS)
         return array("I", [token.id for token in self.tokenizer.model.tokenize(plain)]).tobytes()
 
-    def _word(self, run: str) -> bytes:
+    def _word(self, run: str, keep: bool = True) -> bytes:
         """Ids of one run of a piece, maybe after a space."""
-        ids = self.young.get(run) or self.words.get(run)
+        ids = self.young.get(run) or self.words.get(run) or self.old.get(run)
         if ids is None:
-            ids = self.words[run] = self._ids(run)
+            ids = self._ids(run)
+            if keep:
+                self.words[run] = ids
+                self.bytes += len(run) * 5 + ENTRY_BYTES
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each."""
-        if len(self.young) > REMEMBERED:
-            self.old, self.young, self.words = self.young, {}, {}
+        if len(self.young) + len(self.words) > REMEMBERED or self.bytes > REMEMBERED_BYTES // 2:
+            self.old, self.young, self.words, self.bytes = self.young, {}, {}, 0
         get = self.young.get
         out: list[bytes] = []
         late, whole, missing = [], [], set()
@@ -179,16 +195,22 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
         lengths: list[int] = []
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({
+            row = {
                 "shard": pa.array([shard], pa.int32()), "segment": pa.array([segment], pa.int32()),
                 "first": pa.array([first], pa.int64()), "payload": pa.array([b"".join(parts)], pa.binary()),
                 "doc_ids": pa.array([keys], pa.list_(pa.int64())),
                 "lengths": pa.array([lengths], pa.list_(pa.int64())),
-            })
+            }
+            known = [key for key in keys if key is not None]
+            row |= {name: pa.array([bound(known, default=None)], pa.int64()) for name, bound in (("low", min), ("high", max))}
+            sizes, *rest = index_of(keys, lengths)
+            row["sizes"] = pa.array([sizes], pa.list_(pa.int32()))
+            row |= {name: pa.array([data], pa.binary()) for name, data in zip(list(INDEX)[1:], rest, strict=True)}
+            return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
             shard = batch.column("_shard")[0].as_py() if len(batch) else shard
-            for at, texts in blocks(batch.column("_text"), 2 << 20):
+            for at, texts in blocks(batch.column("_text"), 1 << 20):
                 own = batch.column("_key").slice(at, len(texts)).to_pylist()
                 for doc, ids in zip(own, encoder.encode([t or "" for t in texts.to_pylist()]), strict=True):
                     parts.append(ids + end)
@@ -199,6 +221,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
                         yield done()
                         segment, first, held = segment + 1, first + held, 0
                         parts, keys, lengths = [], [], []
+        # The worker's next task may be of another stage.
+        encoder.forget()
         if keys:
             yield done()
 
@@ -255,122 +279,131 @@ def slots(keys: np.ndarray, sizes: list[int], bits: np.ndarray) -> np.ndarray:
     return out
 
 
-COLUMNS = {"shard": "<i4", "segment": "<i4", "offset": "<i8", "n": "<i8"}
+def index_of(keys: list[int | None], lengths: list[int]) -> tuple[list[int], bytes, bytes, bytes, bytes]:
+    """(sizes, bits, prints, offsets, counts) of a segment; of equal keys the first has the slot."""
+    n = np.array(lengths, np.int64)
+    at = np.cumsum(n) - n
+    known = np.array([i for i, key in enumerate(keys) if key is not None], np.int64)
+    distinct, first = np.unique(np.array([keys[i] for i in known], np.int64), return_index=True)
+    sizes, bits = perfect_hash(distinct)
+    order = np.empty(len(distinct), np.int64)
+    order[slots(distinct, sizes, bits)] = np.arange(len(distinct))
+    place = known[first[order]]
+    return (sizes, np.packbits(bits).tobytes(), _print(distinct[order]).tobytes(),
+            at[place].astype("<i8").tobytes(), n[place].astype("<i8").tobytes())
+
+
+def _places(row: dict, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether it is there, offset, length) of each key, by one slot of the segment's index."""
+    sizes = [int(size) for size in row["sizes"]]
+    bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: sum(sizes)].astype(bool)
+    prints, offsets, counts = (np.frombuffer(row[name], kind) for name, kind in (
+        ("prints", "<u4"), ("offsets", "<i8"), ("counts", "<i8")))
+    if not len(prints):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+    slot = slots(keys, sizes, bits)
+    there = (slot >= 0) & (prints[slot] == _print(keys))
+    return there, offsets[slot], counts[slot]
+
+
+def _in_parts(rows: DataFrame, value: Column) -> DataFrame:
+    """(shard, segment, _asked): lists of at most about ``ASKED_KEYS`` values, however many a segment has."""
+    sized = rows.groupBy("shard", "segment").agg(F.count("*").alias("_n"))
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("_n") / ASKED_KEYS)).alias("_part")
+    return (rows.join(sized, ["shard", "segment"]).select("shard", "segment", part, value.alias("_value"))
+            .groupBy("shard", "segment", "_part").agg(F.collect_list("_value").alias("_asked")).drop("_part"))
 
 
-def write_index(spark: SparkSession, path: str) -> None:
-    """Build the index from the keys that the shards hold; of equal keys the first has the slot."""
-    ship(spark)
-    listed = spark.read.parquet(f"{path}/shards").select("shard", "segment", "doc_ids", "lengths")
+def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(doc_id, shard, segment, offset, n) of each distinct key that is in the store.
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A key goes to the first segment whose highest key is not below it: first by the bounds of the
+    shards, one number for each task that wrote, then by those of the shard's segments.
+    """
+    ship(spark)
+    stored = spark.read.parquet(f"{path}/shards")
+    bounds = stored.where("high is not null").select("shard", "segment", "low", "high")
+    shards = sorted((row.high, row.shard) for row in bounds.groupBy("shard").agg(F.max("high").alias("high")).collect())
+    highs = spark.sparkContext.broadcast((np.array([h for h, _ in shards], np.int64), np.array([s for _, s in shards], np.int32)))
+
+    @F.arrow_udf("int")
+    def shard_of(column: pa.Array) -> pa.Array:
+        high, shard = highs.value
+        at = np.searchsorted(high, column.to_numpy(zero_copy_only=False))
+        inside = at < len(high)
+        return pa.array(np.append(shard, -1)[np.where(inside, at, -1)], pa.int32(), mask=~inside)
+
+    asked = keys.select(F.col(key).cast("long").alias("doc_id")).dropna().distinct()
+    asked = asked.withColumn("shard", shard_of("doc_id")).dropna()
+    lists = bounds.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("high", "low", "segment"))).alias("_bounds"))
+    at = F.expr("element_at(_bounds, 1 + size(filter(_bounds, b -> b.high < doc_id)))").alias("_at")
+    led = asked.join(lists, "shard").select("doc_id", "shard", at).where("_at.low <= doc_id").select(
+        "doc_id", "shard", "_at.segment")
+    found = _in_parts(led, F.col("doc_id")).join(stored.select("shard", "segment", *INDEX), ["shard", "segment"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                n = np.array(row["lengths"], np.int64)
+                own = np.array(row["_asked"], np.int64)
+                there, offset, n = _places(row, own)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array(row["doc_ids"], pa.int64()),
-                    "shard": pa.array(np.full(len(n), row["shard"], np.int32)),
-                    "segment": pa.array(np.full(len(n), row["segment"], np.int32)),
-                    "offset": pa.array(np.cumsum(n) - n), "n": pa.array(n),
+                    "doc_id": pa.array(own[there]),
+                    "shard": pa.array(np.full(there.sum(), row["shard"], np.int32)),
+                    "segment": pa.array(np.full(there.sum(), row["segment"], np.int32)),
+                    "offset": pa.array(offset[there]), "n": pa.array(n[there]),
                 })
 
-    entries = (
-        listed.mapInArrow(places, "doc_id long, shard int, segment int, offset long, n long")
-        .where("doc_id is not null")
-        .groupBy("doc_id").agg(F.min(F.struct("shard", "segment", "offset", "n")).alias("_at"))
-        .select("doc_id", "_at.*")
-    )
-    entries = written(entries, "entries")
-    count = max(1, -(-entries.count() // BUCKET_KEYS))
-
-    def build(group: pd.DataFrame) -> pd.DataFrame:
-        keys = group["doc_id"].to_numpy(np.int64)
-        sizes, bits = perfect_hash(keys)
-        order = np.empty(len(keys), np.int64)
-        order[slots(keys, sizes, bits)] = np.arange(len(keys))
-        row = {"bucket": int(group["bucket"].iloc[0]), "buckets": count, "sizes": sizes,
-               "bits": np.packbits(bits).tobytes(), "prints": _print(keys[order]).tobytes()}
-        row |= {name: group[name].to_numpy(kind)[order].tobytes() for name, kind in COLUMNS.items()}
-        return pd.DataFrame([row])
-
-    schema = "bucket int, buckets int, sizes array<int>, bits binary, prints binary, " + ", ".join(
-        f"{name} binary" for name in COLUMNS)
-    bucketed = entries.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int"))
-    bucketed.groupBy("bucket").applyInPandas(build, schema).write.parquet(f"{path}/index")
-
-
-def lookup(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(doc_id, shard, segment, offset, n) of each distinct key that is in the store."""
-    ship(spark)
-    index = spark.read.parquet(f"{path}/index")
-    counted = index.select("buckets").limit(1).collect()
-    out = "doc_id long, shard int, segment int, offset long, n long"
-    if not counted:
-        return spark.createDataFrame([], out)
-    wanted = keys.select(F.col(key).cast("long").alias("doc_id")).dropna().distinct().withColumn(
-        "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(counted[0].buckets)).cast("int"))
-
-    def find(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        own = asked["doc_id"].to_numpy(np.int64) if len(asked) else np.zeros(0, np.int64)
-        if not len(own) or not len(rows):
-            return pd.DataFrame({name: np.zeros(0, np.int64) for name in ["doc_id", *COLUMNS]})
-        row = rows.iloc[0]
-        sizes = [int(size) for size in row["sizes"]]
-        bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: sum(sizes)].astype(bool)
-        slot = slots(own, sizes, bits)
-        good = slot >= 0
-        good[good] = np.frombuffer(row["prints"], "<u4")[slot[good]] == _print(own[good])
-        found = {name: np.frombuffer(row[name], kind)[slot[good]] for name, kind in COLUMNS.items()}
-        return pd.DataFrame({"doc_id": own[good]} | found)
-
-    return wanted.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(find, out)
+    return found.mapInArrow(find, "doc_id long, shard int, segment int, offset long, n long")
 
 
 def fetch(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(doc_id, ids) of each distinct key in the store: the end id is the last of ids."""
+    """(doc_id, ids) of each distinct key in the store: the end id is the last of ids.
+
+    A segment's payload is read once for some thousands of its keys, and no payload without a key.
+    """
     ship(spark)
-    asked = lookup(spark, path, keys, key)
-    shards = spark.read.parquet(f"{path}/shards").select("shard", "segment", "payload")
+    asked = _in_parts(lookup(spark, path, keys, key), F.struct("doc_id", "offset", "n"))
+    payloads = spark.read.parquet(f"{path}/shards").select("shard", "segment", "payload")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["payload"], "<u4", count=row["n"], offset=4 * row["offset"])
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array([row["doc_id"]], pa.int64()),
-                    "ids": pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))})
+            for i in range(len(batch)):
+                payload = batch.column("payload")[i].as_buffer()
+                for place in batch.column("_asked")[i].as_py():
+                    ids = np.frombuffer(payload, "<u4", count=place["n"], offset=4 * place["offset"])
+                    yield pa.RecordBatch.from_pydict({
+                        "doc_id": pa.array([place["doc_id"]], pa.int64()),
+                        "ids": pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))})
 
-    return asked.join(shards, ["shard", "segment"]).mapInArrow(cut, "doc_id long, ids array<long>")
+    return asked.join(payloads, ["shard", "segment"]).mapInArrow(cut, "doc_id long, ids array<long>")
 
 
 READ = "doc_id long, shard int, segment int, offset long, n long, _at long, crc32 long"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents of each segment: those in ``_asked`` at the places there, the others by the lengths."""
+    """The documents of each segment, each key's at the place that the index names."""
     for batch in batches:
         for i in range(len(batch)):
             row = {name: batch.column(name)[i] for name in batch.schema.names}
-            if not row["payload"].is_valid:
-                raise ValueError(f"the index leads to a segment that is not stored: {row['shard']}, {row['segment']}")
+            where = f"in {row['shard']}, {row['segment']}"
             payload = memoryview(row["payload"].as_buffer())
-            keys, n = row["doc_ids"].values, row["lengths"].values.to_numpy(zero_copy_only=False)
+            listed = row["doc_ids"].values
+            n = row["lengths"].values.to_numpy(zero_copy_only=False).copy()
             at = np.cumsum(n) - n
-            if "_asked" in row and row["_asked"].is_valid:
-                asked = row["_asked"].values
-                key, offset, long = (asked.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                place = np.minimum(np.searchsorted(at, offset), len(at) - 1)
-                same = keys.take(pa.array(place)).fill_null(0).to_numpy(zero_copy_only=False) == key
-                same &= keys.take(pa.array(place)).is_valid().to_numpy(zero_copy_only=False)
-                if not np.all(same & (at[place] == offset) & (n[place] == long)):
-                    raise ValueError(f"the index leads keys to other places than theirs, in {row['shard']}, {row['segment']}")
-                rest = np.ones(len(at), bool)
-                rest[place] = False
-                keys = pa.concat_arrays([pa.array(key, pa.int64()), keys.filter(pa.array(rest))])
-                at, n = np.concatenate([offset, at[rest]]), np.concatenate([long, n[rest]])
+            known = np.flatnonzero(listed.is_valid().to_numpy(zero_copy_only=False))
+            distinct, first = np.unique(listed.drop_null().to_numpy(zero_copy_only=False), return_index=True)
+            place = known[first]
+            there, offset, long = _places({name: row[name].as_py() for name in INDEX}, distinct)
+            if not there.all():
+                raise ValueError(f"the index does not find a stored key: {distinct[~there][0]}, {where}")
+            if not np.all((at[place] == offset) & (n[place] == long)):
+                raise ValueError(f"the index leads keys to other places than theirs, {where}")
+            # Null keys and later ones of equal keys have no slot: they are read by the lengths.
+            at[place], n[place] = offset, long
             crc = [zlib.crc32(payload[4 * a : 4 * (a + k)]) for a, k in zip(at.tolist(), n.tolist(), strict=True)]
             yield pa.RecordBatch.from_pydict({
-                "doc_id": keys,
+                "doc_id": listed,
                 "shard": pa.array(np.full(len(n), row["shard"].as_py(), np.int32)),
                 "segment": pa.array(np.full(len(n), row["segment"].as_py(), np.int32)),
                 "offset": pa.array(at), "n": pa.array(n),
@@ -379,41 +412,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
-def _with_start(stored: DataFrame, slices: DataFrame) -> DataFrame:
-    """``slices`` with the number of ids before each document."""
+def read_back(spark: SparkSession, path: str) -> DataFrame:
+    """Every stored document from the payload: doc_id, shard, segment, offset, n, start, crc32.
+
+    One scan: each key is looked up in its segment's index and its ids are cut where the slot says; a
+    stored key that the index does not find, or finds at a place that is not the key's, is an error.
+    Only null keys and later ones of equal keys, which have no slot, are read by the lengths beside
+    the payload. ``start`` counts the ids of all documents before it, ``crc32`` is over its ids' bytes.
+    """
+    ship(spark)
+    stored = spark.read.parquet(f"{path}/shards")
     lengths = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n)
     total = stored.select("shard", lengths.alias("_n")).groupBy("shard").agg(F.sum("_n").alias("_n"))
     # One row per shard.
     before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = written(total.select("shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")), "bases")
+    slices = stored.drop("low", "high").mapInArrow(_cut, READ)
     return slices.join(checked_broadcast(bases), "shard").withColumn("start", F.col("_base") + F.col("_at")).drop(
         "_base", "_at")
-
-
-def read_back(spark: SparkSession, path: str) -> DataFrame:
-    """Every stored document from the payload: doc_id, shard, segment, offset, n, start, crc32.
-
-    ``start`` counts the ids of all documents before it, ``crc32`` is over its ids' bytes.
-    """
-    ship(spark)
-    stored = spark.read.parquet(f"{path}/shards")
-    return _with_start(stored, stored.mapInArrow(_cut, READ))
-
-
-def keyed(spark: SparkSession, path: str, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """As ``read_back``, with the place and length of each key from the index, and its ids cut there.
-
-    Only a stored document that no key leads to (a null key, a later one of equal keys, a key that
-    ``keys`` does not have) is read by the lengths in the shard. A stored key that is asked for and
-    that the index does not find, or finds at a place that is not the key's, is an error.
-    """
-    ship(spark)
-    found = written(lookup(spark, path, keys, key), "found")
-    stored = spark.read.parquet(f"{path}/shards")
-    asked = keys.select(F.col(key).cast("long").alias("doc_id")).dropna()
-    lost = (stored.select(F.explode("doc_ids").alias("doc_id")).join(found, "doc_id", "left_anti")
-            .join(asked, "doc_id", "left_semi").limit(1).collect())
-    if lost:
-        raise ValueError(f"the index does not find a stored key: {lost[0].doc_id}")
-    places = found.groupBy("shard", "segment").agg(F.collect_list(F.struct("doc_id", "offset", "n")).alias("_asked"))
-    return _with_start(stored, stored.join(places, ["shard", "segment"], "full").mapInArrow(_cut, READ))
