@@ -131,9 +131,99 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM failing f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source, strength
 """
 
+#: Phrases and their counts straight from the pieces.
+PHRASES = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+one AS (SELECT lang, g, count(*) AS f FROM (SELECT lang, unnest(w) AS g FROM words) GROUP BY ALL),
+two AS (SELECT lang, w1, w2, count(*) AS f
+  FROM (SELECT lang, w[i] AS w1, w[i + 1] AS w2 FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM words)) GROUP BY ALL),
+three AS (SELECT lang, w1, w2, w3, count(*) AS f
+  FROM (SELECT lang, w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3 FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM words))
+  GROUP BY ALL),
+longer AS (
+  SELECT lang, w1, w2, max(f) AS f
+  FROM (SELECT lang, w1, w2, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three) WHERE f >= 10 GROUP BY ALL),
+cuts AS (
+  SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, t.f AS a, 1 AS k, x.f AS l, y.f AS r
+  FROM two t LEFT JOIN longer USING (lang, w1, w2) JOIN one x ON x.lang = t.lang AND x.g = w1 JOIN one y ON y.lang = t.lang AND y.g = w2
+  WHERE t.f >= 10 AND (longer.f IS NULL OR 100 * longer.f < 50 * t.f)
+  UNION ALL
+  SELECT t.lang, concat_ws(' ', t.w1, t.w2, t.w3), t.f, 1, x.f, y.f
+  FROM three t JOIN one x ON x.lang = t.lang AND x.g = t.w1 JOIN two y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  WHERE t.f >= 10
+  UNION ALL
+  SELECT t.lang, concat_ws(' ', t.w1, t.w2, t.w3), t.f, 2, x.f, y.f
+  FROM three t JOIN two x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN one y ON y.lang = t.lang AND y.g = t.w3
+  WHERE t.f >= 10),
+scored AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM one GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+#: crc32 of a number's digits, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''),
+  lambda c: ascii(c)::BIGINT)), lambda s, b: list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda z, y: xor(z >> 1, 3988292384 * (z & 1)))))"""
+
+#: Pairs of equal windows of six words one period apart, in a row.
+RUNS = f"""
+WITH hashed AS (
+  SELECT doc_id, {SPACED.format("coalesce(text, '')")} AS w, {CRC32} AS h FROM documents),
+places AS (
+  SELECT *, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, CASE WHEN len(w) > 0
+    THEN 1 + (len(w) - (h // 10) % len(w)) // (3 + (h // 10) % 8) END AS p FROM hashed),
+texts AS (
+  SELECT doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0
+    THEN list_transform(range(0, len(w)), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[1 + a + (i - a) % p] END) ELSE w END AS w
+  FROM places),
+positions AS (SELECT doc_id, i, w[i + 1] AS word FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM texts)),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 5)) AS i FROM texts WHERE len(w) >= 12)),
+equal AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM windows x JOIN windows y ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i),
+stretches AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + 5 + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS origin FROM equal) GROUP BY doc_id, q, origin),
+runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(12, 2 * q) GROUP BY ALL),
+digests AS (
+  SELECT doc_id, count(*) AS n_runs,
+    string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM positions ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM texts t LEFT JOIN digests USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+#: All products.
+VECTORS = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5
+"""
+
 ORACLE = {
     "op1_near_copies": near_copies(2),
     "op4_decontaminate": DECONTAMINATE,
     "op6_mix_sources": MIX,
     "op8_host_rules": HOST_RULES,
+    "op11_phrases": PHRASES,
+    "op12_periodic_runs": RUNS,
+    "op13_vector_search": VECTORS,
 }

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefeed.llm import decontaminate, hostrules, langid, mixture, nearcopies, personal, ppm, rulequality, secretscan, tokenstore
+from tidefeed.llm import (
+    decontaminate, hostrules, langid, mixture, nearcopies, personal, phrases, ppm, rulequality, runs, secretscan,
+    tokenstore, vectors,
+)
 from tidefeed.llm.text import remainder, table
 from tidefeed.session import new_folder
 
@@ -84,6 +87,39 @@ def op10_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return _spans(spark, folder, personal, personal.KINDS[:4])
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+#: A document whose hash ends in 0 repeats its words from the place ``a`` on with the period ``p``.
+PLANTED = """element_at(transform(array(_words), w -> CASE WHEN size(w) = 0 THEN '' ELSE
+  element_at(transform(array(named_struct('a', cast(_g % size(w) as int),
+    'p', cast(1 + floor((size(w) - _g % size(w)) / (3 + _g % 8)) as int))),
+    s -> array_join(transform(sequence(0, size(w) - 1), i -> element_at(w, 1 + if(i < s.a, i, s.a + (i - s.a) % s.p))), ' ')), 1)
+  END), 1)"""
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    hashed = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    numbered = docs.select("doc_id", "text", hashed.alias("_h"), F.floor(hashed / 10).alias("_g"))
+    planted = F.expr(PLANTED.replace("_words", r"array_remove(split(coalesce(text, ''), r'[\x20\x09-\x0D]+'), '')"))
+    # A Python function takes no argument with a lambda in it; a row of its own keeps the text apart.
+    texts = numbered.select("doc_id", F.explode(F.array(F.when(F.col("_h") % 10 == 0, planted).otherwise(F.col("text")))).alias("text"))
+    found = texts.select("doc_id", runs.find(texts).alias("_got")).select("doc_id", "_got.runs", "_got.collapsed")
+    best = F.expr("element_at(array_sort(transform(runs, r -> struct(-r.length as n, r.start, r.period, r.length))), 1)")
+    lines = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"
+    found = found.withColumn("_best", F.when(F.size("runs") > 0, best))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "_best.start", "_best.length", "_best.period",
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        F.sha2(F.expr(lines), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_vector_search(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_near_copies": op1_near_copies,
     "op2_secret_scan": op2_secret_scan,
@@ -95,4 +131,7 @@ QUERIES = {
     "op8_host_rules": op8_host_rules,
     "op9_rule_quality": op9_rule_quality,
     "op10_personal_data": op10_personal_data,
+    "op11_phrases": op11_phrases,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_vector_search": op13_vector_search,
 }
