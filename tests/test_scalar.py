@@ -148,3 +148,23 @@ def test_json_integers_of_repeated_names(spark):
     frame = spark.createDataFrame([('{"size":3,"size":"12.9","at":{"x":true}}',), ('{"size":3',), (None,)], "t string")
     assert [tuple(r) for r in frame.select(S.json_integer("t", "$.size"), S.json_integer("t", "$.at.x")).collect()] == [
         (12, 1), (0, 0), (0, 0)]
+
+
+@pytest.mark.parametrize("text, size", [
+    ('{"size": 7, "a":' + "[" * 1200 + "]" * 1200 + "}", 7),
+    ('{"' + "n" * 60_000 + '": 1, "size": 7}', 7),
+    ('{"x": ' + "9" * 1500 + ', "size": 7}', 7),
+    ('{"a":' * 3000 + "1" + "}" * 3000, 0),
+    ('{"x": -' + "9" * 1500 + '.5e+10, "size": 7, "t": [true, false, null, {"u": "\\u00e9"}]}', 7),
+    ('{"size": 7, "s": "' + "é漢😀[{" * 20_000 + '", "d":' + '[{"k":' * 900 + "[]" + "}]" * 900 + "}", 7),
+], ids=range(6))
+def test_json_beyond_the_limits_of_the_reader(spark, text, size):
+    """Whole objects keep their payload and are read; spoiled ones are still refused."""
+    deep = max(text.rfind("]"), text.rfind("}", 0, -1))
+    spoiled = [text[:-1], text + "}", text[:-1] + ",}", text + " {}", text[:deep] + text[deep + 1 :] if deep > 0 else "{", "[" + text + "]",
+               text.replace('"', "'"), text.replace(":", " ", 1), text.replace("{", "{\x01", 1), '{"x": 0' + "9" * 1500 + "}",
+               '{"x": ' + "9" * 1500 + " 1}", '{"a": "\\x' + "y" * 2000 + '"}', '{"x": ' + "9" * 1500 + "true}", '{": ' + "9" * 1500 + "}"]
+    frame = spark.createDataFrame([(t,) for t in [text, *spoiled]], "t string")
+    got = frame.select(S.is_json_object("t").alias("good"), S.lenient_json_object("t").alias("kept"), S.json_integer("t", "$.size").alias("n")).collect()
+    assert (got[0].good, got[0].kept, got[0].n) == (True, text, size)
+    assert [tuple(r) for r in got[1:]] == [(False, "{}", 0)] * len(spoiled)

@@ -146,12 +146,38 @@ def bool_of(value: ColumnOrName) -> Column:
 
 # ---- JSON -----------------------------------------------------------------------------
 
+#: Spark's JSON reader refuses nesting beyond 1,000, numbers beyond 1,000 digits and names beyond
+#: 50,000 characters; a text of this length or less can hold none of them.
+SURELY_READ = 1_000
+LONGEST_NAME = 50_000
+#: A string token, a scalar token, and an object or array that holds only such tokens, all without
+#: backtracking. Strings are written as \x01 and the others as 0.
+_STRING = r'"(?:[^"\\\x00-\x1F]|\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4}))*+"'
+_SCALAR = r"true|false|null|-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?+[0-9]++)?+"
+_FLAT = r"\{(?:\x01:[\x010](?:,\x01:[\x010])*+)?+\}|\[(?:[\x010](?:,[\x010])*+)?+\]"
+
+
+def _is_json_object_of_any_size(text: Column) -> Column:
+    """Whether the text is a JSON object, by writing every token as one sign and every innermost
+    object or array as a scalar, until one sign is left.
+
+    There are no more rounds than opening brackets, and all but the first few see a short rest
+    unless the nesting is deep.
+    """
+    tokens = F.regexp_replace(F.regexp_replace(text, _STRING, "\x01"), _SCALAR, "0")
+    tokens = F.translate(tokens, " \t\r\n", "")
+    opening = F.length(text) - F.length(F.translate(text, "{[", ""))
+    left = F.aggregate(F.sequence(F.lit(1), opening), tokens, lambda rest, _: F.regexp_replace(rest, _FLAT, "0"))
+    return ~F.contains(text, F.lit("\x01")) & (opening > 0) & (left == "0")
+
+
 def is_json_object(text: ColumnOrName) -> Column:
     """True for text that is one well-formed JSON object and nothing else; never null.
 
-    Repeated names are allowed, the last of them counts, and no text is too long. The text is
-    read as the only member of an array and of an object, so that no bracket in it can close
-    more than it opened; names and strings need double quotes.
+    Repeated names are allowed, the last of them counts. The text is read as the only member of an
+    array and of an object, so that no bracket in it can close more than it opened; names and strings
+    need double quotes. What the reader may have refused for its size is judged by its tokens: no text
+    is too long, too deeply nested, and no name or number in it too long.
     """
     text = as_column(text)
     opens = F.ltrim(text, F.lit(" \t\r\n")).startswith("{")
@@ -159,7 +185,9 @@ def is_json_object(text: ColumnOrName) -> Column:
     named = F.size(F.json_object_keys(F.concat(F.lit('{"_":'), text, F.lit("}")))) == 1
     bare = F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
     quoted = F.when(F.contains(text, F.lit("'")), F.contains(bare, F.lit("'"))).otherwise(False)
-    return F.coalesce(opens & listed & named & ~quoted, F.lit(False))
+    read = F.coalesce(listed & named & ~quoted, F.lit(False))
+    large = F.when(F.length(text) > SURELY_READ, _is_json_object_of_any_size(text)).otherwise(False)
+    return F.when(F.coalesce(opens, F.lit(False)), F.when(read, True).otherwise(large)).otherwise(False)
 
 
 def lenient_json_object(text: ColumnOrName, default: str | None = "{}") -> Column:
@@ -174,6 +202,10 @@ def strict_json_object(text: ColumnOrName) -> Column:
     return F.when(is_json_object(text), text).otherwise(F.raise_error(problem).cast("string"))
 
 
+#: Options of the JSON reader that lift its limits, but for the one on names.
+ANY_SIZE = {option: str((1 << 31) - 1) for option in ("maxNestingDepth", "maxNumLen", "maxStringLen")}
+
+
 def json_integer(text: ColumnOrName, path: str) -> Column:
     """The number at ``path`` ($.name, or $.name.name), fractions cut off.
 
@@ -184,7 +216,11 @@ def json_integer(text: ColumnOrName, path: str) -> Column:
     schema: StructType | StringType = StringType()
     for name in reversed(names):
         schema = StructType([StructField(name, schema)])
-    value = F.from_json(F.when(is_json_object(text), as_column(text)), schema)
+    text = as_column(text)
+    # The reader takes no longer names, and none of those is in the path.
+    named = F.when(F.length(text) > LONGEST_NAME, F.regexp_replace(
+        text, rf'"(?:[^"\\]|\\.){{{LONGEST_NAME},}}+"([ \t\r\n]*+:)', '""$1')).otherwise(text)
+    value = F.from_json(F.when(is_json_object(text), named), schema, ANY_SIZE)
     for name in names:
         value = value[name]
     flag = F.when(value == "true", 1).when(value == "false", 0).cast("bigint")

@@ -6,6 +6,7 @@ A stored feed is a Parquet folder with one directory per day (``day=2024-01-31``
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,8 +70,7 @@ def compact_days(spark: SparkSession, path: str, days: Sequence[dt.date],
     kept = upsert_latest(chosen, [*identity, "day"])
     kept.hint("rebalance", "day").write.mode("append").partitionBy("day").parquet(path)
     for name in read:
-        file = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
-        file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, False)
+        _delete_file(spark, name)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -98,6 +98,71 @@ def retain_ttl(
     return df.where(F.col(basis) >= oldest)
 
 
+def _delete_file(spark: SparkSession, name: str) -> None:
+    file = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+    file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, False)
+
+
+#: Where rows that stay of expiring files wait; Spark's readers pass over such names.
+EXPIRING = "_expiring-"
+
+
+def expire_rows(spark: SparkSession, path: str, as_of: int, ttl_seconds: int = TTL_SECONDS,
+                basis: str = "ingested_ms") -> tuple[list[str], list[str]]:
+    """Remove the rows older than the TTL from a stored feed; ``basis`` is the column that ages.
+
+    Returns (files deleted whole, files rewritten). Each file's least and greatest time say which: only
+    the column ``basis`` is read of all files, other columns only of files with both old and young
+    rows, and a file without old rows is not touched. Rows without a time stay.
+
+    The rows that stay are written aside, then the list of the files they come from; from then on the
+    step is sure to be done. After a failure some rows may be there twice until the next run, which
+    first ends what was begun. Only one expiry of a table may run at a time; writers may go on.
+    """
+    _end_expiry(spark, path)
+    schema = spark.read.parquet(path).schema
+    stored = spark.read.schema(schema).parquet(path)
+    oldest = as_of - ttl_seconds * MS_PER_SECOND
+    old = F.col(basis) < oldest
+    # One row per file that holds old rows.
+    ages = stored.select(F.col("_metadata.file_path").alias("file"), F.coalesce(old, F.lit(False)).alias("old")).groupBy("file").agg(
+        F.bool_and("old").alias("whole"), F.bool_or("old").alias("some"))
+    found = ages.where("some").collect()
+    gone = sorted(row.file for row in found if row.whole)
+    mixed = sorted(row.file for row in found if not row.whole)
+    if not found:
+        return [], []
+    aside = f"{path}/{EXPIRING}{uuid.uuid4().hex}"
+    if mixed:
+        young = spark.read.schema(schema).option("basePath", path).parquet(*mixed).where(~F.coalesce(old, F.lit(False)))
+        young.hint("rebalance", "day").write.partitionBy("day").parquet(f"{aside}/rows")
+    # The marker that this write leaves makes the step sure.
+    spark.createDataFrame([(file,) for file in gone + mixed], "file string").write.parquet(f"{aside}/files")
+    _end_expiry(spark, path)
+    return gone, mixed
+
+
+def _end_expiry(spark: SparkSession, path: str) -> None:
+    """Bring in the rows of every expiry that is sure, delete the files they come from; drop the others."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    folder = fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files.listStatus(folder):
+        aside = status.getPath()
+        if not aside.getName().startswith(EXPIRING):
+            continue
+        if files.exists(fs.Path(aside, "files/_SUCCESS")):
+            rows = fs.Path(aside, "rows")
+            days = [s.getPath() for s in files.listStatus(rows) if s.isDirectory()] if files.exists(rows) else []
+            for day in days:
+                files.mkdirs(fs.Path(folder, day.getName()))
+                for part in files.listStatus(day):
+                    files.rename(part.getPath(), fs.Path(fs.Path(folder, day.getName()), part.getPath().getName()))
+            for row in spark.read.parquet(fs.Path(aside, "files").toString()).collect():
+                _delete_file(spark, row.file)
+        files.delete(aside, True)
+
+
 def first_kept_day(as_of: int, keep_days: int = CHUNK_RETENTION_DAYS) -> dt.date:
     """The oldest day chunk that reaches past ``as_of`` minus the retention."""
     return FIRST_DAY + dt.timedelta(days=(as_of - keep_days * MS_PER_DAY) // MS_PER_DAY)

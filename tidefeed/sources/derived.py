@@ -53,6 +53,25 @@ def dirty(source: DataFrame) -> DataFrame:
     return load_notifications(renamed, "user_id", "notify_id", "ts", "data")
 
 
+def large_payloads(feed: DataFrame) -> DataFrame:
+    """Some payloads with deep nesting, long names and long numbers, whole and spoiled."""
+    rest = F.col("ingest_seq") % 291
+    texts = [
+        """concat('{"k": 7, "a": ', repeat('[', 1200), repeat(']', 1200), '}')""",
+        """concat('{"', repeat('n', 60000), '": 1, "k": 7}')""",
+        """concat('{"x": ', repeat('9', 1500), ', "k": 7}')""",
+        """concat('{"k": 7, "a": ', repeat('{"b":', 1100), '[]', repeat('}', 1100), '}')""",
+        """concat('{"k": 7, "a": ', repeat('[', 1200), repeat(']', 1199), '}')""",
+        """concat('{"', repeat('n', 60000), '": 1, "k": 7')""",
+        """concat('{"x": 0', repeat('9', 1500), ', "k": 7}')""",
+        """concat('{"x": ', repeat('9', 1500), '} {}')""",
+    ]
+    data = F.col("data")
+    for number, text in enumerate(texts):
+        data = F.when(rest == number, F.expr(text)).otherwise(data)
+    return feed.withColumn("data", data)
+
+
 def replayed(feed: DataFrame) -> DataFrame:
     """Every tenth row twice."""
     copies = F.when(F.col("ingest_seq") % 10 == 0, 2).otherwise(1)

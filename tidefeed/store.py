@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -10,10 +14,11 @@ from tidefeed.operators import feed as pages
 from tidefeed.operators.dialects import RULES, held, retained
 from tidefeed.operators.forms import encode_record_json
 from tidefeed.operators.requests import batch_fetch_dialect
-from tidefeed.operators.store import append
+from tidefeed.operators.store import append, drop_chunks
 from tidefeed.operators.validate import validate_strict
 from tidefeed.schema import INGESTED, PAGE_SIZE, TTL_SECONDS, WRITTEN
 from tidefeed.streaming.ingest import stream_ingest
+from tidefeed.streaming.maintain import drop_merged, drop_streamed_chunks, merge_batches, read_streamed
 
 
 class FeedStore:
@@ -47,18 +52,30 @@ class FeedStore:
     def _next_write(self) -> int:
         """A number greater than those of all writes before; two writers never share one.
 
-        A number is taken by creating its file, which only one writer can do.
+        A writer puts a file of its own for a number, lists again, and keeps the number only if no
+        other file has it or a greater one; of two that ask for one number at a time, the later to
+        list sees both. The greatest number that was kept stays until a greater one is kept.
         """
         jvm = self.spark._jvm.org.apache.hadoop.fs
         folder = jvm.Path(self.writes)
         files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
         files.mkdirs(folder)
-        taken = [int(status.getPath().getName()) for status in files.listStatus(folder)]
-        number = max(taken, default=0) + 1
-        while not files.createNewFile(jvm.Path(folder, str(number))):
-            number += 1
-        for old in taken:
-            files.delete(jvm.Path(folder, str(old)), False)
+
+        def asked() -> dict[str, int]:
+            names = [status.getPath().getName() for status in files.listStatus(folder)]
+            return {name: int(name.partition("-")[0]) for name in names}
+
+        while True:
+            number = max(asked().values(), default=0) + 1
+            own = f"{number}-{uuid.uuid4().hex}"
+            files.create(jvm.Path(folder, own), True).close()
+            others = {name: n for name, n in asked().items() if name != own}
+            if all(n < number for n in others.values()):
+                break
+            files.delete(jvm.Path(folder, own), False)
+            time.sleep(random.random() / 20)
+        for name in others:
+            files.delete(jvm.Path(folder, name), False)
         return number
 
     def _stamped(self, rows: DataFrame) -> DataFrame:
@@ -82,13 +99,27 @@ class FeedStore:
             self._stamped,
         )
 
+    def maintain(self, progress: str, as_of: int | None = None) -> None:
+        """Merge the finished micro-batches of the stream with that progress folder into day chunks.
+
+        Where the dialect drops whole chunks, those that have aged out at ``as_of`` go, in what batches
+        wrote too. Rows, as the dialect holds them, stay the same. No reader may be on the folders that
+        go, nor on those merged before.
+        """
+        aged = as_of if RULES[self.dialect].retention == "chunks" else None
+        merge_batches(self.spark, self.streams, progress, WRITTEN, as_of=aged)
+        drop_merged(self.spark, self.streams)
+        if aged is not None:
+            drop_streamed_chunks(self.spark, self.streams, progress, aged)
+            drop_chunks(self.spark, self.batches, aged)
+
     def written_rows(self) -> DataFrame:
         """Every write that is still there, with its day.
 
         ``ingest_seq`` is here the pair of the write's number and the row's own sequence.
         """
         read = self.spark.read.schema(WRITTEN)
-        streamed = read.parquet(self.streams).select(*WRITTEN.names)
+        streamed = read_streamed(self.spark, self.streams, WRITTEN).select(*WRITTEN.names)
         every = read.parquet(self.batches).unionByName(streamed)
         return every.withColumn("ingest_seq", F.struct("write_no", "ingest_seq")).drop("write_no")
 

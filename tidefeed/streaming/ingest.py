@@ -13,6 +13,7 @@ from tidefeed.functions.scalar import day_of, event_time
 from tidefeed.operators.identity import BY_TIME, upsert_latest
 from tidefeed.operators.validate import validate_split
 from tidefeed.schema import TTL_SECONDS
+from tidefeed.streaming.maintain import read_streamed
 
 # Take in all that is there, in micro-batches, and stop. A service passes its own trigger,
 # such as {"processingTime": "1 second"}.
@@ -82,9 +83,10 @@ def stream_ingest(
 def latest_view(spark: SparkSession, path: str, identity: tuple[str, ...] = BY_TIME) -> DataFrame:
     """The rows of an ingested log after the last write per identity has won.
 
-    A later micro-batch wins over an earlier one, and ``ingest_seq`` decides inside a batch.
+    A later micro-batch wins over an earlier one, and ``ingest_seq`` decides inside a batch. Segments
+    that ``maintain.merge_batches`` has made by the same identity hold one row of it each.
     """
-    log = spark.read.parquet(path)
+    log = read_streamed(spark, path)
     ranked = log.withColumn("_write", F.struct("batch_id", "ingest_seq"))
     return upsert_latest(ranked, identity, "_write").drop("_write", "batch_id")
 

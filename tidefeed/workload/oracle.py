@@ -28,6 +28,18 @@ IS_OBJECT = "coalesce(json_valid(data) AND data LIKE '{%', false)"
 REASONED = f"""SELECT *, CASE WHEN user_id IS NULL THEN 'user_id'
   WHEN notify_id IS NULL THEN 'notify_id' WHEN NOT {IS_OBJECT} THEN 'data' ELSE '' END
   AS reject_reason FROM ({DIRTY})"""
+LARGE = f"""SELECT notify_id, CASE WHEN {IS_OBJECT} THEN '' ELSE 'data' END AS reject_reason, length(data) AS n_chars,
+  CASE WHEN {IS_OBJECT} THEN CAST(json_extract(data, '$.k') AS BIGINT) ELSE 0 END AS k,
+  CASE WHEN {IS_OBJECT} THEN length(data) ELSE 2 END AS n_kept
+  FROM (SELECT notify_id, CASE ingest_seq % 291
+    WHEN 0 THEN '{{"k": 7, "a": ' || repeat('[', 1200) || repeat(']', 1200) || '}}'
+    WHEN 1 THEN '{{"' || repeat('n', 60000) || '": 1, "k": 7}}'
+    WHEN 2 THEN '{{"x": ' || repeat('9', 1500) || ', "k": 7}}'
+    WHEN 3 THEN '{{"k": 7, "a": ' || repeat('{{"b":', 1100) || '[]' || repeat('}}', 1100) || '}}'
+    WHEN 4 THEN '{{"k": 7, "a": ' || repeat('[', 1200) || repeat(']', 1199) || '}}'
+    WHEN 5 THEN '{{"' || repeat('n', 60000) || '": 1, "k": 7'
+    WHEN 6 THEN '{{"x": 0' || repeat('9', 1500) || ', "k": 7}}'
+    WHEN 7 THEN '{{"x": ' || repeat('9', 1500) || '}} {{}}' ELSE data END AS data FROM ({FEED}))"""
 TYPED = """SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(event_id AS VARCHAR) AS notify_id,
   epoch_us(ts) // 1000 AS timestamp, props AS data, event_type FROM events"""
 LATENCY = "CAST(round(value * 100) AS BIGINT)"
@@ -267,6 +279,11 @@ ORACLE: dict[str, str] = {
                         'user_id, timestamp', ALL)}""",
     "w04_append_microbatch": FEED,
     "w05_truncate": f"SELECT * FROM ({FEED}) WHERE FALSE",
+    "w06_expire_by_ingest_time": f"""SELECT * FROM (SELECT *, timestamp + ingest_seq % 5 * {DAY} AS ingested_ms FROM ({FEED}))
+      WHERE ingested_ms >= {AS_OF - 12 * DAY}""",
+    "w01_validate_sizes": LARGE,
+    "w07_stream_maintained": f"""SELECT * FROM ({latest(HOURLY, "user_id, timestamp", ALL)})
+      WHERE timestamp // {DAY} >= {AS_OF + 15 * DAY - 30 * DAY} // {DAY}""",
     "w06_retain_ttl": f"SELECT * FROM ({FEED}) WHERE timestamp >= {AS_OF - TTL}",
     "w07_retain_chunks": f"""SELECT * FROM ({FEED})
       WHERE (timestamp // {DAY} + 1) * {DAY} > {AS_OF + 5 * DAY + HOUR - 30 * DAY}""",

@@ -18,7 +18,7 @@ from tidefeed.session import new_folder, written
 from tidefeed.sources import derived
 from tidefeed.sources.monitor import load_monitor_log
 from tidefeed.sources.notifications import gen_notifications, read_feed
-from tidefeed.streaming import ingest, top_feed, trailing
+from tidefeed.streaming import ingest, maintain, top_feed, trailing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,6 +113,13 @@ def _(spark, folder):
     return with_reject_reason(dirty_table(spark, folder))
 
 
+@query("w01_validate_sizes")
+def _(spark, folder):
+    return with_reject_reason(derived.large_payloads(feed_table(spark, folder))).select(
+        "notify_id", "reject_reason", F.length("data").alias("n_chars"), S.json_integer("data", "$.k").alias("k"),
+        F.length(S.lenient_json_object("data")).alias("n_kept"))
+
+
 @query("w01_valid_rows")
 def _(spark, folder):
     return validate_split(dirty_table(spark, folder))[0]
@@ -187,6 +194,16 @@ def _(spark, folder):
     return store.retain_ttl(feed_table(spark, folder), AS_OF)
 
 
+@query("w06_expire_by_ingest_time")
+def _(spark, folder):
+    """Files in which all, some and no rows have aged."""
+    path = new_folder(spark, "feed")
+    late = feed_table(spark, folder).withColumn("ingested_ms", F.col("timestamp") + F.col("ingest_seq") % 5 * MS_PER_DAY)
+    late.withColumn("day", S.day_of("timestamp")).hint("rebalance", "day").write.partitionBy("day").parquet(path)
+    store.expire_rows(spark, path, AS_OF, 12 * 24 * 60 * 60)
+    return spark.read.parquet(path).drop("day")
+
+
 @query("w07_retain_chunks")
 def _(spark, folder):
     path = new_folder(spark, "feed")
@@ -620,6 +637,24 @@ def _(spark, folder):
     return ingest.latest_view(spark, path).select(*INGESTED.names)
 
 
+@query("w07_stream_maintained")
+def _(spark, folder):
+    """Four waves of writes, each merged with what is there, half of the days dropped after the third."""
+    arriving, path, progress = (new_folder(spark, name) for name in ("arriving", "ingest", "progress"))
+    rejected, feed = new_folder(spark, "rejected"), derived.hourly(feed_table(spark, folder))
+    quarter = feed.agg(F.max("ingest_seq")).first()[0] // 4 + 1
+    aged = AS_OF + 15 * MS_PER_DAY
+    for wave in range(4):
+        feed.where(S.whole_div("ingest_seq", quarter) == wave).write.mode("append").parquet(arriving)
+        stream = ingest.read_files(spark, arriving, INGESTED, 100_000)
+        ingest.run_available(ingest.stream_ingest(stream, path, rejected, progress))
+        maintain.merge_batches(spark, path, progress, identity=BY_TIME, as_of=aged if wave == 3 else None)
+        maintain.drop_merged(spark, path)
+        if wave == 2:
+            maintain.drop_streamed_chunks(spark, path, progress, aged)
+    return ingest.latest_view(spark, path).select(*INGESTED.names)
+
+
 @query("st03_stream_dedup")
 def _(spark, folder):
     path = new_folder(spark, "dedup")
