@@ -12,12 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefeed.functions.scalar import or_list_match, whole_div
+from tidefeed.functions.scalar import day_of, or_list_match, whole_div
 from tidefeed.operators.forms import decode_record_json
 from tidefeed.operators.identity import BY_POINT, BY_TIME, first_per_id, upsert_latest
 from tidefeed.plans.ordered import positions
-from tidefeed.plans.pruning import time_range
+from tidefeed.plans.pruning import broadcast_if_few, time_range
 from tidefeed.schema import MS_PER_SECOND, PAGE_SIZE, TTL_SECONDS
+from tidefeed.session import written
 
 DESC, ASC = "desc", "asc"
 COLUMNS = ("user_id", "notify_id", "timestamp", "data")
@@ -134,10 +135,23 @@ def feed_keyrange(
     ttl_seconds: int = TTL_SECONDS,
     limit: int = PAGE_SIZE,
 ) -> DataFrame:
-    """A page where a later write at the same user and time replaces the earlier one."""
+    """A page where a later write at the same user and time replaces the earlier one.
+
+    For every user, the rows of all pages are chosen by user, time and sequence alone; only they fetch
+    their id and payload.
+    """
     kept = admitted("key_range", direction, from_time, as_of, ttl_seconds).apply(df)
-    latest = upsert_latest(_of_user(kept, user_id), BY_TIME)
-    return page(latest, direction, user_id, limit)
+    if user_id is not None:
+        return page(upsert_latest(_of_user(kept, user_id), BY_TIME), direction, user_id, limit)
+    last = kept.groupBy(*BY_TIME).agg(F.max("ingest_seq").alias("ingest_seq"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*_order(direction)))
+    chosen = last.withColumn("rank", place).where(F.col("rank") <= limit)
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*BY_TIME, "ingest_seq")]
+    found = chosen.alias("c").join(kept.alias("r"), same)
+    # A write that is stored twice is there once.
+    return found.groupBy("c.user_id", "rank").agg(
+        F.max(F.struct("r.timestamp", "r.notify_id", "r.data")).alias("_row")
+    ).select("user_id", "_row.notify_id", "_row.timestamp", "_row.data", "rank").select(*COLUMNS, "rank")
 
 
 def feed_retention_range(
@@ -208,6 +222,58 @@ def feed_pages(
     return numbered.select(*COLUMNS, "ingest_seq", "rank", page_number.alias("page"))
 
 
+def page_index(df: DataFrame) -> DataFrame:
+    """(user_id, day, rows, before): how many rows a user has on a day, and before that day.
+
+    It is as large as users times days, and is stored beside the feed, so that any page is found
+    without its predecessors. A later write changes only its own day's count and what follows it.
+    """
+    day = F.col("day") if "day" in df.columns else day_of("timestamp")
+    counts = df.groupBy("user_id", day.alias("day")).agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0).cast("bigint")))
+
+
+def _days_of_page(index: DataFrame, page_number: int, direction: str, limit: int) -> DataFrame:
+    """(user_id, day, _skipped) of the days that hold rows of a page; _skipped rows come before the first of them."""
+    whole = F.sum("rows").over(Window.partitionBy("user_id"))
+    ahead = whole - F.col("before") - F.col("rows") if direction == DESC else F.col("before")
+    first, last = page_number * limit, (page_number + 1) * limit
+    touched = index.withColumn("_ahead", ahead).where((F.col("_ahead") < last) & (F.col("_ahead") + F.col("rows") > first))
+    return touched.select("user_id", "day", F.min("_ahead").over(Window.partitionBy("user_id")).alias("_skipped"))
+
+
+def feed_page(df: DataFrame, index: DataFrame, page_number: int, direction: str = DESC, user_id: str | None = None,
+              limit: int = PAGE_SIZE) -> DataFrame:
+    """Page ``page_number``, from 0, of one user's feed or of every user's, as in ``feed_pages``.
+
+    The index tells the days that hold it, and only their rows are read: of a table in day chunks, one
+    or two directories for a user with enough rows. ``index`` must be that of the rows of ``df``.
+    """
+    if page_number < 0:
+        raise ValueError("pages are numbered from 0")
+    order = ["timestamp", "notify_id", "ingest_seq"]
+    chunked = df if "day" in df.columns else df.withColumn("day", day_of("timestamp"))
+    first, last = page_number * limit, (page_number + 1) * limit
+    columns = (*COLUMNS, "ingest_seq", "rank", "page")
+    if user_id is not None:
+        days = _days_of_page(index.where(F.col("user_id") == user_id), page_number, direction, limit).collect()
+        skipped = days[0]["_skipped"] if days else 0
+        kept = chunked.where((F.col("user_id") == user_id) & F.col("day").isin([row.day for row in days]))
+        place = F.row_number().over(Window.partitionBy("user_id").orderBy(*_order(direction, *order[1:])))
+        # A page's end is a constant here, so tasks keep no more rows than come before it in its days.
+        numbered = kept.withColumn("_place", place).where(F.col("_place") <= last - skipped)
+        ranked = numbered.withColumn("rank", F.col("_place").cast("bigint") + skipped)
+    else:
+        days = written(_days_of_page(index, page_number, direction, limit), "page-days")
+        same = F.col("d.user_id").eqNullSafe(F.col("r.user_id")) & F.col("d.day").eqNullSafe(F.col("r.day"))
+        kept = chunked.alias("r").join(broadcast_if_few(days, days.count()).alias("d"), same).select("r.*", "d._skipped")
+        numbered = positions(kept, "user_id", order, "_place", descending=direction == DESC)
+        ranked = numbered.withColumn("rank", F.col("_place") + F.col("_skipped"))
+    return ranked.where((F.col("rank") > first) & (F.col("rank") <= last)).withColumn(
+        "page", F.lit(page_number).cast("bigint")).select(*columns)
+
+
 def page_cursors(pages: DataFrame, direction: str = DESC) -> DataFrame:
     """Per user and page, the cursor that continues after it."""
     pick = F.min if direction == DESC else F.max

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefeed.functions.scalar import format_duration, slice_number, whole_div
+from tidefeed.operators.percentiles import exact_percentiles
 from tidefeed.plans.ordered import running_total_by_time
 from tidefeed.schema import COUNTER_SLICES
 
@@ -19,35 +20,32 @@ def points_per_timestamp(df: DataFrame) -> DataFrame:
     return df.groupBy("user_id", "timestamp").agg(F.count("*").alias("n"))
 
 
-def _least_covering(percent: int) -> Column:
-    """The least success latency that ``percent`` of 100 successes do not exceed.
-
-    Spark keeps a count per distinct latency, which is partly summed before the shuffle.
-    """
-    successes = "CASE WHEN ok THEN latency_ms END"
-    return F.expr(f"percentile_disc({percent / 100}) WITHIN GROUP (ORDER BY {successes})").cast("bigint")
-
-
 def latency_summary(log: DataFrame, *by: str) -> DataFrame:
     """Average latency per group, in whole milliseconds.
 
     ``avg_ms`` divides the time of the successes by all attempts; ``avg_ok_ms`` divides it by
     the successes alone, and is null where there are none. ``p50_ok_ms`` and ``p95_ok_ms`` are
-    the least latencies that half and 95 of 100 successes do not exceed.
+    the least latencies that half and 95 of 100 successes do not exceed, found by selection, so that
+    no task holds all latencies of a group.
     """
+    tails = exact_percentiles(log.where("ok"), by, "latency_ms", (50, 95))
     total = F.sum(F.when(F.col("ok"), F.col("latency_ms")).otherwise(F.lit(0).cast("bigint")))
     good = F.count_if("ok")
-    return (
+    summed = (
         log.groupBy(*by)
         .agg(
             F.count("*").alias("attempts"),
             (F.count("*") - good).alias("failures"),
             whole_div(total, F.count("*")).alias("avg_ms"),
             F.when(good > 0, whole_div(total, F.greatest(good, F.lit(1)))).alias("avg_ok_ms"),
-            *[_least_covering(share).alias(f"p{share}_ok_ms") for share in (50, 95)],
         )
         .withColumn("avg_text", format_duration("avg_ms"))
     )
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}"))
+    return summed.alias("s").join(tails.alias("t"), same, "left").select(
+        "s.*", F.col("t.p50").alias("p50_ok_ms"), F.col("t.p95").alias("p95_ok_ms"))
 
 
 def elapsed_summary(log: DataFrame, *by: str) -> DataFrame:

@@ -110,8 +110,8 @@ def _checked(requests: DataFrame) -> DataFrame:
     return requests.where(F.when(known, F.lit(True)).otherwise(problem))
 
 
-def _pages(df: DataFrame, asked: DataFrame, limit: int, slice_ms: int) -> DataFrame:
-    """``asked`` with the rank, id, time and sequence of every row of its page.
+def _pages(df: DataFrame, asked: DataFrame, limit: int, slice_ms: int, source: DataFrame | None = None) -> DataFrame:
+    """``asked`` with the rank, id, time and sequence of every row of its page; with ``source``, its payload.
 
     ``asked`` has ``user_id``, ``direction`` and the strict cursor ``_at``; ``df`` has the
     columns of ``KEY``. A request without rows stays, with a null rank.
@@ -120,7 +120,8 @@ def _pages(df: DataFrame, asked: DataFrame, limit: int, slice_ms: int) -> DataFr
     row of that user. Instead the slices of time that any page can touch are found from row
     counts, and their rows are sorted together with the distinct cursors. A running count then
     gives each row its place in the user's feed, and each cursor the number of rows before it.
-    A page is ``limit`` known places, looked up by (user, place).
+    A page is ``limit`` known places, looked up by (user, place). It is kept as one row until all
+    requests for it have found it, and each row on any page fetches its payload once.
     """
     newest_first = F.col("direction") == DESC
     cursors = written(asked.select("user_id", "direction", "_at").dropna().distinct(), "cursors")
@@ -173,28 +174,33 @@ def _pages(df: DataFrame, asked: DataFrame, limit: int, slice_ms: int) -> DataFr
     found = placed.where(F.col("_side") == 1).select(
         "user_id", "_place", "notify_id", F.col("_at").alias("timestamp"), "ingest_seq"
     )
-    pages = written(places.join(found, ["user_id", "_place"]).drop("_place"), "pages")
-    return (
+    entry = ["rank", "notify_id", "timestamp", "ingest_seq"]
+    if source is not None:
+        on_pages = places.select("user_id", "_place").distinct()
+        found = _with_payload(found.join(on_pages, ["user_id", "_place"], "left_semi"), source)
+        entry.append("data")
+    pages = written(
+        places.join(found, ["user_id", "_place"]).groupBy("user_id", "direction", "_spot")
+        .agg(F.collect_list(F.struct(*entry)).alias("_page")), "pages"
+    )
+    answers = (
         asked.join(marked, ["user_id", "direction", "_at"], "left")
         .withColumnRenamed("_place", "_spot")
         .join(pages, ["user_id", "direction", "_spot"], "left")
     )
+    return answers.select(*asked.columns, F.explode_outer("_page").alias("_row")).select(*asked.columns, "_row.*")
 
 
-def _with_payload(pages: DataFrame, df: DataFrame) -> DataFrame:
-    """Adds ``data``: pages are numbered without it, and only their rows fetch it."""
-    pages = written(pages, "answers")
-    keys = written(pages.where("rank is not null").select(*KEY).distinct(), "keys")
-    first, last = keys.agg(F.min("timestamp"), F.max("timestamp")).first()
-    inside = df if first is None else time_range(df, first, last)
+def _with_payload(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """Adds ``data`` to distinct rows, by all their key columns."""
+    keys = written(rows, "keys")
+    first, last, count = keys.agg(F.min("timestamp"), F.max("timestamp"), F.count("*")).first()
+    inside = source if first is None else time_range(source, first, last)
     same = [F.col(f"k.{c}").eqNullSafe(F.col(f"r.{c}")) for c in KEY]
-    few = broadcast_if_few(keys, keys.count())
-    found = (
-        inside.select(*KEY, "data").alias("r").join(few.alias("k"), same)
-        .groupBy(*[F.col(f"k.{c}").alias(c) for c in KEY]).agg(F.max("r.data").alias("data"))
-    )
-    both = [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in KEY]
-    return pages.alias("p").join(found.alias("f"), both, "left").select("p.*", "f.data")
+    few = broadcast_if_few(keys, count).alias("k")
+    found = inside.select(*KEY, "data").alias("r").join(few, same).select("k.*", "r.data")
+    # A row that was written twice is there once.
+    return found.groupBy(*keys.columns).agg(F.max("data").alias("data"))
 
 
 def batch_fetch(
@@ -210,7 +216,7 @@ def batch_fetch(
     )
     asked = _checked(requests).select("req_id", "user_id", "direction", "from_time", at.alias("_at"))
     narrow = df.select(*KEY, *[c for c in df.columns if c == "day"])
-    return _with_payload(_pages(narrow, asked, limit, slice_ms), df).select(*ANSWER, "data")
+    return _pages(narrow, asked, limit, slice_ms, df).select(*ANSWER, "data")
 
 
 def batch_fetch_dialect(
@@ -238,9 +244,9 @@ def batch_fetch_dialect(
         at = F.when(going_back, F.when(first, as_of + 1).otherwise(cursor)).otherwise(
             F.when(first, oldest - 1).otherwise(cursor))
         latest = upsert_latest(df.select(*KEY, *day), [*BY_TIME, *day])
-        pages = _pages(latest, asked.withColumn("_at", at), limit, slice_ms)
+        pages = _pages(latest, asked.withColumn("_at", at), limit, slice_ms, df)
         out = going_back & (F.col("timestamp") < 0)
-        return _with_payload(_blanked(pages, out), df).select(*ANSWER, "data")
+        return _blanked(pages, out).select(*ANSWER, "data")
     if dialect == "retention_range":
         # An id stands at its first time within the retention, whatever the cursor, and shows
         # the last payload before the cursor.
@@ -267,12 +273,13 @@ def batch_fetch_dialect(
             F.count("*").alias("n"), F.when(F.count("*") == 1, F.min("notify_id")).alias("notify_id"))
         bounds = asked.withColumns({"_low": low, "_high": high})
         bounds = bounds.withColumns({c: floor_to(c, MS_PER_SECOND) for c in ("_low", "_high")})
-        return _within(bounds, once, "notify_id", "timestamp", "n")
+        return _within(bounds, df, once, "notify_id", "timestamp", "n", slice_ms=slice_ms)
     if dialect == "inclusive_points":
         low = F.when(going_back, F.lit(0)).otherwise(F.coalesce(cursor, F.lit(0)))
         high = F.when(going_back, F.coalesce(cursor, F.lit(as_of))).otherwise(F.lit(as_of))
         latest = upsert_latest(df.select(*KEY, "data", *day), [*BY_POINT, *day])
-        return _within(asked.withColumns({"_low": low, "_high": high}), latest, "notify_id", "timestamp", "data")
+        bounds = asked.withColumns({"_low": low, "_high": high})
+        return _within(bounds, df, latest, "notify_id", "timestamp", "data", slice_ms=slice_ms)
     raise ValueError(f"unknown dialect: {dialect}")
 
 
@@ -282,17 +289,38 @@ def _blanked(pages: DataFrame, out: Column) -> DataFrame:
     Such rows are at the end of a page, so the others keep their ranks.
     """
     gone = F.coalesce(out, F.lit(False))
-    columns = ("rank", "notify_id", "timestamp", "ingest_seq")
+    columns = [c for c in ("rank", "notify_id", "timestamp", "ingest_seq", "data") if c in pages.columns]
     blank = pages.withColumns({c: F.when(~gone, F.col(c)) for c in columns})
     return blank.where(F.col("rank").isNotNull() | (F.coalesce(pages["rank"], F.lit(1)) == 1))
 
 
-def _within(asked: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+def _within(asked: DataFrame, source: DataFrame, rows: DataFrame, *columns: str, slice_ms: int = MS_PER_DAY) -> DataFrame:
     """Every row of a request's user from ``_low`` to ``_high``; requests without rows stay.
 
-    The answer itself has a row per request and row, so this is a plain join.
+    Requests are dealt to the slices of time that they reach, inside the times of all rows, and meet
+    rows by user and slice: a busy user's rows spread over tasks, and a request meets none of a slice
+    that it does not reach. ``source`` has the users and times that ``rows`` has, in whatever number; it
+    tells which requests have no row, without a payload.
     """
-    r = rows.select(F.col("user_id").alias("_user"), *[F.col(c) for c in columns])
-    inside = (F.col("user_id") == F.col("_user")) & F.col("direction").isNotNull() & F.col("timestamp").between(
+    first, last = source.agg(F.min("timestamp"), F.max("timestamp")).first()
+    known = ["req_id", "user_id", "direction", "from_time"]
+    if first is None:
+        kinds = dict(rows.dtypes)
+        return asked.select(*known, *[F.lit(None).cast(kinds[c]).alias(c) for c in columns])
+    low, high = F.greatest("_low", F.lit(first)), F.least("_high", F.lit(last))
+    reaches = F.col("direction").isNotNull() & F.col("user_id").isNotNull() & (low <= high)
+    slices = F.when(reaches, F.sequence(slice_number(low, slice_ms), slice_number(high, slice_ms)))
+    numbered = asked.select(*known, "_low", "_high", slices.alias("_slices"), F.monotonically_increasing_id().alias("_number"))
+    dealt = numbered.where("_slices IS NOT NULL").select(
+        *known, "_low", "_high", "_number", F.size("_slices").alias("_reached"), F.explode("_slices").alias("_at"))
+
+    def placed(df: DataFrame, *names: str) -> DataFrame:
+        return df.select(F.col("user_id").alias("_user"), F.col("timestamp").alias("_time"),
+                         slice_number("timestamp", slice_ms).alias("_slice"), *names)
+
+    inside = (F.col("user_id") == F.col("_user")) & (F.col("_at") == F.col("_slice")) & F.col("_time").between(
         F.col("_low"), F.col("_high"))
-    return asked.join(r, inside, "left").select("req_id", "user_id", "direction", "from_time", *columns)
+    found = dealt.join(placed(rows, *columns), inside).select(*known, *columns)
+    empty = dealt.join(placed(source), inside, "left_anti").groupBy("_number", *known, "_reached").agg(F.count("*").alias("_empty"))
+    without = empty.where("_empty = _reached").select(*known).unionByName(numbered.where("_slices IS NULL").select(*known))
+    return found.unionByName(without, allowMissingColumns=True)

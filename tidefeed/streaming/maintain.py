@@ -79,7 +79,7 @@ def _current(segments: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _read(spark: SparkSession, path: str, schema: StructType, segments: Sequence[tuple[int, int]],
           batches: Sequence[int]) -> DataFrame:
-    """Rows of segments and micro-batches, with ``batch_id``; day chunks are pruned in both."""
+    """Rows of segments and micro-batches, with ``batch_id``; chunks are pruned in both."""
     numbered = StructType([f for f in schema.fields if f.name != "batch_id"] + [StructField("batch_id", LongType())])
     read = spark.read.schema(numbered)
     parts = [read.parquet(f"{path}/{MERGED}/{first}-{last}") for first, last in segments]
@@ -90,8 +90,13 @@ def _read(spark: SparkSession, path: str, schema: StructType, segments: Sequence
     return reduce(DataFrame.unionByName, [part.select(*numbered.names) for part in parts])
 
 
-def read_streamed(spark: SparkSession, path: str, schema: StructType = STORED) -> DataFrame:
-    """Every row of a streamed folder, with its ``batch_id``, whatever has been merged."""
+def read_streamed(spark: SparkSession, path: str, schema: StructType = STORED, chunk: str = "day") -> DataFrame:
+    """Every row of a streamed folder, with its ``batch_id``, whatever has been merged.
+
+    ``chunk`` is the column that names the directories of a micro-batch.
+    """
+    if chunk not in schema.names:
+        raise ValueError(f"no column {chunk} to find the chunks by")
     segments = _current(_segments(spark, path))
     after = segments[-1][1] if segments else -1
     return _read(spark, path, schema, segments, [n for n in _batches(spark, path) if n > after])
@@ -99,7 +104,7 @@ def read_streamed(spark: SparkSession, path: str, schema: StructType = STORED) -
 
 def merge_batches(spark: SparkSession, path: str, checkpoint: str, schema: StructType = STORED,
                   identity: Sequence[str] | None = None, as_of: int | None = None,
-                  keep_days: int = CHUNK_RETENTION_DAYS) -> str | None:
+                  keep_days: int = CHUNK_RETENTION_DAYS, chunk: str = "day") -> str | None:
     """Merge the finished micro-batches into a segment in day chunks; the stream may go on meanwhile.
 
     With ``identity``, only the last write per identity stays; a later one, in another segment or
@@ -125,11 +130,11 @@ def merge_batches(spark: SparkSession, path: str, checkpoint: str, schema: Struc
         rows = rows.where(F.col("day") >= F.lit(first_kept_day(as_of, keep_days)))
     if identity is not None:
         order = F.struct("batch_id", "ingest_seq")
-        rows = upsert_latest(rows.withColumn("_write", order), [*identity, "day"], "_write").drop("_write")
+        rows = upsert_latest(rows.withColumn("_write", order), [*identity, chunk], "_write").drop("_write")
     target = f"{path}/{MERGED}/{taken[0][0] if taken else after + 1}-{last}"
     # An attempt that did not end is replaced.
-    (rows.hint("rebalance", "day").write.mode("overwrite").option("partitionOverwriteMode", "static")
-     .partitionBy("day").parquet(target))
+    (rows.hint("rebalance", chunk).write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .partitionBy(chunk).parquet(target))
     return target
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidefeed.functions.scalar import event_time
+from tidefeed.operators.rollup import LEVELS, UNIT_MS, add_rollups, dyadic_rollup
 from tidefeed.schema import COUNTER_SLICES
 from tidefeed.streaming.ingest import AVAILABLE_NOW, write_batch
 
@@ -77,3 +78,27 @@ def trailing_windows(
         .groupBy("user_id", (F.col("slice_ms") - F.col("_back") * width).alias("window_ms"))
         .agg(F.sum("events").alias("events"))
     )
+
+
+def stream_rollup(
+    stream: DataFrame, path: str, checkpoint: str, unit_ms: int = UNIT_MS, levels: int = LEVELS, trigger: dict | None = None
+) -> StreamingQuery:
+    """Store the dyadic roll-up of each micro-batch; counts add up, so no batch reads another's.
+
+    Late rows count where they belong, and a repeated micro-batch replaces itself.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        write_batch(dyadic_rollup(batch, unit_ms, levels), path, batch_id)
+
+    return (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or AVAILABLE_NOW))
+        .start()
+    )
+
+
+def read_rollup(spark: SparkSession, path: str) -> DataFrame:
+    """The roll-up of everything the stream has taken in."""
+    return add_rollups(spark.read.parquet(path))

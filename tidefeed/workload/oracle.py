@@ -261,6 +261,17 @@ SLICED = f"""WITH e AS (SELECT user_id, timestamp, count(*) AS n, timestamp // {
     - floor(oldest * ((timestamp - s * {WIDTH}) * 16 / {DAY}.0::DOUBLE)) AS BIGINT) AS trailing_count
   FROM p"""
 
+PERCENTILES = ", ".join(f"quantile_disc(v, {p / 100}) AS p{p}" for p in (0, 1, 50, 95, 100))
+
+
+def trailing_seconds(interval: int, named: bool = False) -> str:
+    """Events of the last interval per user and second with an event, both ends included."""
+    extra = f", CAST({interval} AS BIGINT) AS interval_ms" if named else ""
+    return f"""SELECT user_id, timestamp, n, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY timestamp
+        RANGE BETWEEN {interval} PRECEDING AND CURRENT ROW) AS BIGINT) AS trailing_count{extra} FROM (
+        SELECT user_id, timestamp // 1000 * 1000 AS timestamp, count(*) AS n FROM ({FEED}) GROUP BY ALL)"""
+
+
 ORACLE: dict[str, str] = {
     "s01_load_notifications": FEED,
     "s02_load_monitor_log": MONITOR,
@@ -340,6 +351,9 @@ ORACLE: dict[str, str] = {
     "q08_feed_pages_asc": pages("asc"),
     "q08_page_cursors_desc": page_cursors("desc", "min"),
     "q08_page_cursors_asc": page_cursors("asc", "max"),
+    "q08_jump_to_page": f"""SELECT *, 'desc' AS direction FROM ({pages("desc")}) WHERE user_id = '8' AND page = 2
+      UNION ALL SELECT *, 'asc' FROM ({pages("asc")}) WHERE user_id = '8' AND page = 2""",
+    "q08_jump_to_page_all_users": f"SELECT * FROM ({pages('desc')}) WHERE page = 1",
     "q08_feed_after": user_page(
         HOURLY, "desc", f"(timestamp < {CURSOR} OR (timestamp = {CURSOR} AND notify_id < '5000'))"),
     "q09_feed_all_users_desc": all_pages(FEED, "desc"),
@@ -376,6 +390,15 @@ ORACLE: dict[str, str] = {
     "a04_phase_has_error": f"""SELECT backend, phase, bool_or(NOT ok) AS has_error FROM ({LOG})
       GROUP BY backend, phase""",
     "a05_trailing_count_sliced": SLICED,
+    "a06_trailing_count_any_interval": " UNION ALL ".join(trailing_seconds(ms, True) for ms in (HOUR, 23415000, DAY)),
+    "st03_stream_dedup_any_delay": FEED,
+    "st04_stream_any_interval": trailing_seconds(23415000),
+    "a05_interval_counts": f"""WITH n AS ({FEED}), r AS (SELECT req_id, user_id, from_time AS from_ms,
+        from_time + req_id * 7919 % {20 * DAY} - {DAY} AS to_ms FROM ({REQUESTS}) WHERE from_time IS NOT NULL)
+      SELECT r.*, count(n.user_id) AS events FROM r LEFT JOIN n ON n.user_id = r.user_id
+        AND n.timestamp >= from_ms // 1000 * 1000 AND n.timestamp < to_ms // 1000 * 1000 GROUP BY ALL""",
+    "a02_exact_percentiles": f"""WITH l AS (SELECT phase, latency_ms * 1000003 % 9999999967 - start_ms AS v FROM ({LOG}))
+      SELECT phase, {PERCENTILES} FROM l GROUP BY phase UNION ALL SELECT 'all', {PERCENTILES} FROM l""",
     "a06_trailing_count_exact": f"""SELECT user_id, timestamp, n, trailing_count FROM (
       SELECT user_id, timestamp, n, CAST(sum(n) OVER (PARTITION BY user_id ORDER BY timestamp
         RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW) AS BIGINT) AS trailing_count FROM (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidefeed.functions import scalar as S
 from tidefeed.functions import ulid as U
 from tidefeed.operators import feed as Q
-from tidefeed.operators import dialects, forms, ids, metrics, monitor, requests, store
+from tidefeed.operators import dialects, forms, ids, metrics, monitor, percentiles, requests, rollup, store
 from tidefeed.operators.identity import BY_POINT, BY_TIME, first_per_id, upsert_latest
 from tidefeed.operators.validate import validate_split, with_reject_reason
 from tidefeed.schema import INGESTED, MS_PER_DAY, MS_PER_HOUR, NOTIFICATIONS, TTL_SECONDS
@@ -18,7 +18,7 @@ from tidefeed.session import new_folder, written
 from tidefeed.sources import derived
 from tidefeed.sources.monitor import load_monitor_log
 from tidefeed.sources.notifications import gen_notifications, read_feed
-from tidefeed.streaming import ingest, maintain, top_feed, trailing
+from tidefeed.streaming import ingest, maintain, seen, top_feed, trailing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -338,6 +338,27 @@ each_direction("q16_rowkey_range_scan_{dir}",
                lambda df, d: Q.rowkey_range_scan(df, USER, d, AS_OF, CURSOR), _salted)
 
 
+def _stored_with_index(spark, folder):
+    """A feed in day chunks, and its page index beside it."""
+    path = new_folder(spark, "feed")
+    store.append(hourly_table(spark, folder), path)
+    return read_feed(spark, path), written(Q.page_index(read_feed(spark, path)), "page-index")
+
+
+@query("q08_jump_to_page")
+def _(spark, folder):
+    """The third page of one user, newest first and oldest first."""
+    feed, index = _stored_with_index(spark, folder)
+    both = [Q.feed_page(feed, index, 2, d, USER).withColumn("direction", F.lit(d)) for d in (Q.DESC, Q.ASC)]
+    return both[0].unionByName(both[1]).drop("ingest_seq")
+
+
+@query("q08_jump_to_page_all_users")
+def _(spark, folder):
+    feed, index = _stored_with_index(spark, folder)
+    return Q.feed_page(feed, index, 1, Q.DESC).drop("ingest_seq")
+
+
 @query("q08_feed_after")
 def _(spark, folder):
     return Q.feed_after(hourly_table(spark, folder), Q.DESC, USER, CURSOR, "5000")
@@ -418,6 +439,15 @@ def _(spark, folder):
     return metrics.latency_summary(log_table(spark, folder), "backend", "phase")
 
 
+@query("a02_exact_percentiles")
+def _(spark, folder):
+    """Of one group that holds all rows, and of many."""
+    log = log_table(spark, folder).withColumn("spread", F.col("latency_ms") * 1_000_003 % 9_999_999_967 - F.col("start_ms"))
+    whole = percentiles.exact_percentiles(log, (), "spread", (0, 1, 50, 95, 100)).select(F.lit("all").alias("phase"), "*")
+    each = percentiles.exact_percentiles(log, ("phase",), "spread", (0, 1, 50, 95, 100))
+    return whole.unionByName(each)
+
+
 @query("a03_elapsed_summary")
 def _(spark, folder):
     return metrics.elapsed_summary(log_table(spark, folder), "backend", "phase")
@@ -433,6 +463,27 @@ def _(spark, folder):
     return metrics.trailing_count_sliced(feed_table(spark, folder), INTERVAL)
 
 
+#: An hour, an interval that is no power of two, and a day.
+ANY_INTERVALS = (MS_PER_HOUR, 23_415_000, MS_PER_DAY)
+
+
+@query("a06_trailing_count_any_interval")
+def _(spark, folder):
+    counts = written(rollup.dyadic_rollup(feed_table(spark, folder)), "rollup")
+    every = [rollup.trailing_counts(counts, ms).withColumn("interval_ms", F.lit(ms).cast("bigint")) for ms in ANY_INTERVALS]
+    return every[0].unionByName(every[1]).unionByName(every[2])
+
+
+@query("a05_interval_counts")
+def _(spark, folder):
+    """The events of each user from each request's time on, for a length drawn from its number."""
+    counts = written(rollup.dyadic_rollup(feed_table(spark, folder)), "rollup")
+    asked = _requests(spark, folder).select(
+        "req_id", "user_id", F.col("from_time").alias("from_ms"),
+        (F.col("from_time") + F.col("req_id") * 7919 % (20 * MS_PER_DAY) - MS_PER_DAY).alias("to_ms"))
+    return rollup.interval_counts(counts, asked.where("from_ms IS NOT NULL"))
+
+
 @query("a06_trailing_count_exact")
 def _(spark, folder):
     return metrics.trailing_count_exact(feed_table(spark, folder), INTERVAL)
@@ -663,6 +714,21 @@ def _(spark, folder):
     return spark.read.parquet(path)
 
 
+@query("st03_stream_dedup_any_delay")
+def _(spark, folder):
+    """Waves in no order of time, with replays in the same wave and in later ones."""
+    arriving, path, keys, progress = (new_folder(spark, name) for name in ("arriving", "dedup", "seen", "progress"))
+    feed = feed_table(spark, folder)
+    for wave in range(3):
+        new = feed.where(F.col("ingest_seq") * 7919 % 3 == wave)
+        again = feed.where(F.col("ingest_seq") * 7919 % 3 < wave).where("ingest_seq % 5 = 0")
+        new.unionByName(derived.replayed(again)).write.mode("append").parquet(arriving)
+        stream = ingest.read_files(spark, arriving, INGESTED, 100_000)
+        ingest.run_available(seen.stream_dedup_seen(stream, path, keys, progress, buckets=16))
+        seen.merge_seen(spark, keys, progress)
+    return maintain.read_streamed(spark, path).select(*INGESTED.names)
+
+
 @query("st04_stream_trailing_count")
 def _(spark, folder):
     path = new_folder(spark, "slices")
@@ -673,6 +739,13 @@ def _(spark, folder):
     return trailing.trailing_windows(spark, path, STREAM_INTERVAL)
 
 
+@query("st04_stream_any_interval")
+def _(spark, folder):
+    path = new_folder(spark, "rollup")
+    ingest.run_available(trailing.stream_rollup(stream_feed(spark, folder), path, new_folder(spark, "progress")))
+    return rollup.trailing_counts(trailing.read_rollup(spark, path), 23_415_000)
+
+
 @query("st05_stream_feed_top20")
 def _(spark, folder):
     path = new_folder(spark, "top")
