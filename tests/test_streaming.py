@@ -154,3 +154,15 @@ def test_top_feed_equals_batch(spark, feed, arrivals, fold_every):
     assert sorted(os.listdir(path)) == (
         ["full-3"] if fold_every == 2 else [f"batch-{n}" for n in range(4)])
     assert sorted(map(tuple, top_feed.read_top_feed(spark, path).collect())) == expected
+
+
+def test_folded_batches_go_while_the_stream_runs(spark, feed, folder):
+    """What is listed stays bounded, and every batch, run again or not, finds what it builds on."""
+    path, listed = f"{folder}/top", []
+    for wave in range(9):
+        feed.where(F.col("ingest_seq") % 9 == wave).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        ingest.run_available(top_feed.stream_top_feed(source(spark, folder), path, f"{folder}/progress", fold_every=2))
+        listed.append(len(os.listdir(path)))
+        expected = Q.feed(feed.where(F.col("ingest_seq") % 9 <= wave), "desc")
+        assert sorted(map(tuple, top_feed.read_top_feed(spark, path).collect())) == sorted(map(tuple, expected.collect()))
+    assert max(listed) <= 2 + 4 and listed[8] <= 6

@@ -42,12 +42,14 @@ def _current(spark: SparkSession, path: str, as_of_batch: int | None = None) ->
     return spark.read.schema(INGESTED).parquet(*folders)
 
 
-def drop_folded(spark: SparkSession, path: str) -> None:
-    """Delete what the newest full feed has taken in, when no reader is left on it."""
+def drop_folded(spark: SparkSession, path: str, keep: int = 1) -> None:
+    """Delete what the oldest of the newest ``keep`` full feeds has taken in, when no reader is left on it."""
     full = _numbered_folders(spark, path, "full-")
-    old = [f"full-{n}" for n in full[:-1]]
-    if full:
-        old += [f"batch-{n}" for n in _numbered_folders(spark, path, "batch-") if n <= full[-1]]
+    if len(full) < keep:
+        return
+    base = full[-keep]
+    old = [f"full-{n}" for n in full if n < base]
+    old += [f"batch-{n}" for n in _numbered_folders(spark, path, "batch-") if n <= base]
     for name in old:
         folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
@@ -70,7 +72,9 @@ def stream_top_feed(
 
     A micro-batch stores only its own newest rows, so its cost follows the batch and not the
     number of users. Every ``fold_every`` batches a full feed is written beside the older
-    ones. Nothing is overwritten while it is read, and a repeated batch writes the same folder.
+    ones, and what the full feed before that had taken in goes: readers have ``fold_every`` batches of
+    time, and no more than two full feeds and twice as many batches are ever listed. Nothing is
+    overwritten while it is read, and a repeated batch writes the same folder.
     """
 
     def newest(df: DataFrame) -> DataFrame:
@@ -82,6 +86,7 @@ def stream_top_feed(
         if (batch_id + 1) % fold_every == 0:
             full = newest(_current(spark, path, as_of_batch=batch_id))
             full.write.mode("overwrite").parquet(f"{path}/full-{batch_id}")
+            drop_folded(spark, path, keep=2)
 
     return (
         stream.writeStream.foreachBatch(write)
