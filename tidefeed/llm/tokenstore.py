@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidefeed.llm.text import blocks, checked_broadcast, ship
+from tidefeed.llm.text import blocks, checked_broadcast, hand_back, ship
 from tidefeed.session import written
 
 END_ID = 2
@@ -38,9 +38,8 @@ ROW_GROUP_BYTES = 16 << 20
 ASKED_KEYS = 4096
 #: Slots of a level for each key that is still without one.
 SPREAD = 1.5
-#: Pieces and runs whose ids a task remembers, twice, and the most bytes of all of them.
-REMEMBERED = 200_000
-REMEMBERED_BYTES = 48 << 20
+#: Bytes of the pieces and runs, with their ids, that a worker remembers.
+REMEMBERED_BYTES = 96 << 20
 #: Bytes of a remembered entry besides its text and ids.
 ENTRY_BYTES = 160
 INDEX = {"sizes": "array<int>", "bits": "binary", "prints": "binary", "offsets": "binary", "counts": "binary"}
@@ -82,15 +81,15 @@ class PieceEncoder:
         model = type(self.tokenizer.model).__name__
         steps = [str(step) for step in (self.tokenizer.pre_tokenizer, self.tokenizer.normalizer)]
         self.cuts_words = model == "BPE" and steps == [BYTE_LEVEL, "None"]
-        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [re.escape(token.content) for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
+        # A word alone is given to the model unseen.
+        self.cuts_words = self.cuts_words and not any(WORD.fullmatch(token) for token in added)
         self.young: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.bytes = 0
 
-    def forget(self) -> None:
-        self.young, self.words, self.old, self.bytes = {}, {}, {}, 0
-
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", one.ids).tobytes() for one in found]
@@ -98,14 +97,14 @@ class PieceEncoder:
     def _learn(self, pieces: list[str]) -> None:
         """Ids of new pieces: word by word where the pre-tokenizer surely cuts so, else whole."""
         other = []
-        young, word = self.young, self._word
+        young, word, added = self.young, self._word, self.added
         self.bytes += sum(map(len, pieces)) * 5 + len(pieces) * ENTRY_BYTES
         for piece in pieces:
             if not self.cuts_words:
                 other.append(piece)
             elif WORD.fullmatch(piece):
                 young[piece] = word(piece, False)
-            elif SIMPLE.fullmatch(piece) and not any(token in piece for token in self.added):
+            elif SIMPLE.fullmatch(piece) and not (added and added.search(piece)):
                 young[piece] = b"".join(map(word, PART.findall(piece)))
             else:
                 other.append(piece)
@@ -114,7 +113,11 @@ class PieceEncoder:
             self.young.update(zip(part, self._whole(part), strict=True))
 
     def _ids(self, run: str) -> bytes:
-        plain = run.encode().decode("latin-1").translate(BYTE_LETTERS)
+        if run.isascii():
+            # No other character of a run is written otherwise.
+            plain = run.replace(" ", BYTE_LETTERS[32]).replace("\n", BYTE_LETTERS[10])
+        else:
+            plain = run.encode().decode("latin-1").translate(BYTE_LETTERS)
         return array("I", [token.id for token in self.tokenizer.model.tokenize(plain)]).tobytes()
 
     def _word(self, run: str, keep: bool = True) -> bytes:
@@ -129,7 +132,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each."""
-        if len(self.young) + len(self.words) > REMEMBERED or self.bytes > REMEMBERED_BYTES // 2:
+        if self.bytes > REMEMBERED_BYTES // 2:
             self.old, self.young, self.words, self.bytes = self.young, {}, {}, 0
         get = self.young.get
         out: list[bytes] = []
@@ -221,10 +224,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id"
                         yield done()
                         segment, first, held = segment + 1, first + held, 0
                         parts, keys, lengths = [], [], []
-        # The worker's next task may be of another stage.
-        encoder.forget()
         if keys:
             yield done()
+        hand_back()
 
     ordered = (
         docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
@@ -410,6 +412,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "_at": pa.array(at + row["first"].as_py()),
                 "crc32": pa.array(crc, pa.int64()),
             })
+    hand_back()
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
