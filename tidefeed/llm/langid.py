@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefeed.llm.text import blocks, ship, utf8
+from tidefeed.llm.text import blocks, hand_back, ship, utf8
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -113,6 +113,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", smoothing: flo
                 "bucket": pa.array(np.append(used, -1), pa.int32()),
                 "n": pa.array(np.append(sums[k][used], documents[k]), pa.int64()),
             })
+        hand_back()
 
     counted = (
         labelled.mapInArrow(count, "label string, bucket int, n long")
@@ -163,5 +164,6 @@ def language(docs: DataFrame, model: LanguageModel, text: str = "text") -> Colum
             yield pa.StructArray.from_arrays(
                 [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"]
             )
+        hand_back()
 
     return predicted.asNondeterministic()(F.col(text))

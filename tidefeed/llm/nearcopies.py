@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefeed.llm.components import components
-from tidefeed.llm.text import blocks, checked_broadcast, ship
+from tidefeed.llm.text import blocks, checked_broadcast, hand_back, ship
 from tidefeed.session import written
 
 COLLECTIONS = 16
@@ -98,6 +98,8 @@ def sketches(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                     "d2": pa.array(np.array(second, np.uint64).view(np.int64)),
                     "halves": pa.array(halves, pa.list_(pa.int64())),
                 })
+        _WORDS.clear()
+        hand_back()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("_text"))
     return written(rows.mapInArrow(work, "doc_id long, n long, d1 long, d2 long, halves array<long>"), "sketches")
@@ -134,6 +136,8 @@ def confirm(docs: DataFrame, pairs: DataFrame, key: str, text: str, size: int, p
                     good.append(i)
             yield pa.RecordBatch.from_pydict({
                 "a": pa.array([a[i] for i in good], pa.int64()), "b": pa.array([b[i] for i in good], pa.int64())})
+        _WORDS.clear()
+        hand_back()
 
     return written(right.join(left, "a").mapInArrow(compare, "a long, b long").distinct(), "links")
 
@@ -177,6 +181,8 @@ def _rest(docs: DataFrame, unsettled: DataFrame, key: str, text: str, size: int,
                     "part": pa.array([batch.column("part")[i].as_py()] * count, pa.int64()),
                     "minor": pa.array([batch.column("minor")[i].as_py()] * count, pa.bool_()),
                     "n": pa.array(np.full(count, count)), "shingle": pa.array(own)})
+        _WORDS.clear()
+        hand_back()
 
     exploded = written(
         _texts(docs, every, key, text).select("id", "part", "minor", "text")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
@@ -65,6 +66,19 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.coalesce(crc % by, F.lit(-1).cast("long"))
 
 
+def hand_back() -> None:
+    """Give memory that the ended task has freed back to the system.
+
+    A Python worker goes on to tasks of other stages, and would keep it beside what those need.
+    """
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        # Another C library; it keeps what it keeps.
+        pass
+
+
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, pa.Array]]:
     """Cut a text array into (first row, slice) of about ``limit`` bytes; a longer text is alone."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
