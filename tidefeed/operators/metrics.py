@@ -39,13 +39,12 @@ def latency_summary(log: DataFrame, *by: str) -> DataFrame:
             whole_div(total, F.count("*")).alias("avg_ms"),
             F.when(good > 0, whole_div(total, F.greatest(good, F.lit(1)))).alias("avg_ok_ms"),
         )
-        .withColumn("avg_text", format_duration("avg_ms"))
     )
     same = F.lit(True)
     for c in by:
         same = same & F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}"))
     return summed.alias("s").join(tails.alias("t"), same, "left").select(
-        "s.*", F.col("t.p50").alias("p50_ok_ms"), F.col("t.p95").alias("p95_ok_ms"))
+        "s.*", F.col("t.p50").alias("p50_ok_ms"), F.col("t.p95").alias("p95_ok_ms"), format_duration("avg_ms").alias("avg_text"))
 
 
 def elapsed_summary(log: DataFrame, *by: str) -> DataFrame:
