@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import time
 
 import duckdb
@@ -385,3 +386,18 @@ def test_pipeline(spark, docs, none, folder):
             got.write.parquet(out := new_folder(spark, "test-stage"))
             now = spark.read.parquet(out)
         assert now.count() == 0 if frame is none else now.count() > 0
+
+
+def test_long_contaminated_texts_and_long_digit_runs(spark):
+    """Times that grow with the text, not with its square."""
+    bench = spark.createDataFrame([(1, BENCH)], "item_id long, text string")
+    words = [f"{BENCH} filler{i}, other{i}. " for i in range(6000)]
+    long = spark.createDataFrame([(1, ">> " + "".join(words), "z")], "doc_id long, text string, _gone string")
+    begun = time.perf_counter()
+    got = decontaminate.without_spans(long, bench).first()
+    assert got.text == ">> " + "".join(f"filler{i}, other{i}. " for i in range(6000)) and got._gone == "z"
+    for text in ("1" * 1_000_000 + " x.y", "." + "12" * 300_000 + ".", "1.2.3.4.5.6.7.8 " + "9" * 200_000 + ".1.2.3"):
+        personal.base_spans(text)
+    assert time.perf_counter() - begun < 60
+    plain = [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "1.2.3.4.5.6.7.8 00.1.2.3 a1.2.3.4b 1.2.3. 4.5.6.7.")]
+    assert [m.span() for m in personal.IP.finditer("1.2.3.4.5.6.7.8 00.1.2.3 a1.2.3.4b 1.2.3. 4.5.6.7.")] == plain
