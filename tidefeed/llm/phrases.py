@@ -117,7 +117,7 @@ def count_words(texts: DataFrame, seed: int = 0) -> DataFrame:
     return written(counted.groupBy("lang", "word", "id").agg(F.sum("n").alias("n")), "words")
 
 
-def _short(words: DataFrame) -> list[tuple[str, str]]:
+def _short(words: DataFrame) -> pa.Table:
     """(lang, word) of at most ``SHORT_WORDS`` words, most frequent first.
 
     Words go by the power of two of their count; a power is taken whole or not at all.
@@ -129,10 +129,10 @@ def _short(words: DataFrame) -> list[tuple[str, str]]:
         if room < 0:
             break
         least = row.p
-    if least is None:
-        return []
-    taken = words.where(power >= least).select("lang", "word", "n").collect()
-    return [(r.lang, r.word) for r in sorted(taken, key=lambda r: (-r.n, r.lang, r.word))]
+    taken = words.where(power >= least) if least is not None else words.limit(0)
+    # Some megabytes as Arrow columns.
+    ordered = taken.select("lang", "word", "n").toArrow().sort_by([("n", "descending"), ("lang", "ascending"), ("word", "ascending")])
+    return ordered.select(["lang", "word"]).combine_chunks()
 
 
 @dataclass
@@ -152,14 +152,15 @@ class Graph:
 GRAM = "key long, a long, b long, c long, n long"
 
 
-def _grams(texts: DataFrame, short: list[tuple[str, str]], seed: int) -> DataFrame:
+def _grams(texts: DataFrame, short: pa.Table, seed: int) -> DataFrame:
     """Longest grams and their counts: ``key`` if all words have short numbers, else ``a``, ``b``, ``c``."""
     shared = texts.sparkSession.sparkContext.broadcast(short)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, dict[bytes, int]] = {}
-        for number, (lang, word) in enumerate(shared.value, 1):
-            known.setdefault(lang, {})[word.encode()] = number
+        for part in shared.value.append_column("number", pa.array(np.arange(1, len(shared.value) + 1))).to_batches(BATCH):
+            for lang, word, number in zip(*[column.to_pylist() for column in part.columns], strict=True):
+                known.setdefault(lang, {})[word.encode()] = number
         for lang, own in _by_language(batches):
             numbers, name, mine = _Numbers(), lang.encode(), known.get(lang, {})
             words = pieces(own)
@@ -275,9 +276,7 @@ def build(docs: DataFrame, least: int = 10, text: str = "text", lang: str = "lan
     nodes = parts.where("c IS NULL AND b IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     flow = parts.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     spark = docs.sparkSession
-    numbers = spark.createDataFrame(
-        pa.table({"id": pa.array(np.arange(1, len(short) + 1, dtype=np.int64)), "lang": pa.array([s[0] for s in short], pa.string()),
-                  "word": pa.array([s[1] for s in short], pa.string())}))
+    numbers = spark.createDataFrame(short.append_column("id", pa.array(np.arange(1, len(short) + 1, dtype=np.int64))))
     named = words.where(F.col("n") >= least).select("lang", "word", F.col("id").alias("hash")).join(numbers, ["lang", "word"], "left")
     named = named.select(F.coalesce("id", "hash").alias("id"), "lang", "word")
     return Graph(
