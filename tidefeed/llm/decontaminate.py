@@ -2,9 +2,11 @@
 
 The windows of the benchmark (13 words; an item of fewer words is one window) become a set of
 hashes that is sent with the plan. Every window of every document is looked up in it inside the
-row, without a shuffle, and a hit counts only if its words are in the set of windows too. A
-benchmark with more than ``SET_LIMIT`` windows is matched by a shuffle join instead; the result is
-the same.
+row, without a shuffle, and a hit counts only if its words are in the set of windows too. Of a
+benchmark with more than ``SET_LIMIT`` windows the hashes are broadcast as a table, 8 bytes a window,
+which the hashes of a document's windows meet inside the task that reads it; only what they find is
+confirmed by its words. Beyond ``HASH_LIMIT`` windows the hashes are shuffled, never the words. The
+result is the same.
 """
 
 from __future__ import annotations
@@ -12,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidefeed.llm.text import boxed, lower_ascii
+from tidefeed.llm.text import BROADCAST_ROWS, boxed, lower_ascii
 from tidefeed.session import written
 
 WINDOW = 13
 #: Most distinct windows that are sent as a set; a window is about 100 bytes.
 SET_LIMIT = 50_000
+#: Most distinct windows whose hashes are broadcast; each takes about 60 bytes of an executor.
+HASH_LIMIT = 4_000_000
 #: A document is contaminated if its hit words are at least 1 / SHARE of its words.
 SHARE = 20
 NOT_WORD = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
@@ -46,7 +50,8 @@ def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", siz
     )
 
 
-def with_hits(docs: DataFrame, known: DataFrame, text: str = "text", set_limit: int = SET_LIMIT) -> DataFrame:
+def with_hits(docs: DataFrame, known: DataFrame, text: str = "text", set_limit: int = SET_LIMIT,
+              hash_limit: int = HASH_LIMIT) -> DataFrame:
     """Add ``_words`` (array) and ``_hits`` (array of place, n, gram) to every row of ``boxed`` ones.
 
     A null or wordless text has no words and no hits. Repeated rows get the same hits each.
@@ -54,7 +59,7 @@ def with_hits(docs: DataFrame, known: DataFrame, text: str = "text", set_limit:
     own = docs.withColumn("_words", plain_words(F.col(text)))
     grams = known.select("n", "gram").distinct()
     if grams.limit(set_limit + 1).count() > set_limit:
-        return _by_join(own, grams)
+        return _by_hash(own, written(grams, "grams"), hash_limit)
     lists: dict[int, list[str]] = {}
     for row in grams.collect():
         lists.setdefault(row.n, []).append(row.gram)
@@ -78,28 +83,54 @@ def with_hits(docs: DataFrame, known: DataFrame, text: str = "text", set_limit:
     return own.withColumn("_hits", F.expr(f"concat({every})")).drop("_hashes")
 
 
-def _by_join(own: DataFrame, grams: DataFrame) -> DataFrame:
-    """``with_hits`` for any number of windows; equal word lists are matched once."""
-    keyed = own.withColumn("_digest", F.md5(F.array_join("_words", " ")))
-    texts = keyed.select("_digest", "_words").dropDuplicates(["_digest"])
-    found = None
-    for row in grams.select("n").distinct().collect():
-        places = F.explode(F.sequence(F.lit(0), F.size("_words") - row.n)).alias("place")
-        gram = F.expr(f"array_join(slice(_words, place + 1, {row.n}), ' ')").alias("gram")
-        part = (
-            texts.where(F.size("_words") >= row.n).select("_digest", "_words", places)
-            .select("_digest", "place", F.lit(row.n).alias("n"), gram)
+def _code(words: Column, n: Column | int) -> Column:
+    """A 64-bit hash of ``n`` words; windows of different lengths have codes of their own."""
+    return F.xxhash64(F.lit(n) if isinstance(n, int) else n, F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def _by_hash(own: DataFrame, grams: DataFrame, hash_limit: int) -> DataFrame:
+    """``with_hits`` for any number of windows, from the stored table of (n, gram).
+
+    The hashes of all windows of a text meet the known hashes, then the few places found are
+    confirmed by their words. Equal word lists share their places.
+    """
+    keyed = own.withColumn("_digest", F.unhex(F.md5(F.array_join("_words", " "))))
+    codes = grams.select(_code(F.split("gram", " "), F.col("n")).alias("_code")).distinct()
+    if grams.limit(hash_limit + 1).count() <= hash_limit:
+        codes = F.broadcast(codes)
+    else:
+        codes = codes.hint("shuffle_hash")
+    places = []
+    for row in grams.select("n").distinct().collect():  # At most one row per length up to a window's.
+        n = row.n
+        at = F.explode(F.expr(
+            f"transform(sequence(0, size(_hashes) - {n}), i -> struct(i as place, xxhash64({n}, slice(_hashes, i + 1, {n})) as _code))"))
+        places.append(
+            keyed.where(F.size("_words") >= n)
+            .select("_digest", F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
+            .select("_digest", at.alias("_at")).select("_digest", "_at.place", F.lit(n).alias("n"), "_at._code")
         )
-        found = part if found is None else found.unionByName(part)
-    # A document's hits: at most one for each of its words and window lengths.
-    hits = (
-        found.join(grams, ["n", "gram"]).groupBy("_digest")
-        .agg(F.sort_array(F.collect_list(F.struct("place", "n", "gram"))).cast(HITS).alias("_hits"))
-    )
-    return keyed.join(hits, "_digest", "left").drop("_digest").withColumn(
+    found = places[0]
+    for part in places[1:]:
+        found = found.unionByName(part)
+    found = written(found.join(codes, "_code", "left_semi").select("_digest", "place", "n").distinct(), "places")
+    gram = F.expr("inline(transform(_found, f -> struct(f.place, f.n, array_join(slice(_words, f.place + 1, f.n), ' ') as gram)))")
+    texts = keyed.select("_digest", "_words").join(_per_text(found, ["place", "n"], "_found"), "_digest").dropDuplicates(["_digest"])
+    # Hashes may collide; words may not.
+    hits = written(texts.select("_digest", gram).join(grams, ["n", "gram"], "left_semi"), "confirmed")
+    return keyed.join(_per_text(hits, ["place", "n", "gram"], "_hits"), "_digest", "left").drop("_digest").withColumn(
         "_hits", F.coalesce("_hits", F.array().cast(HITS)))
 
 
+def _per_text(places: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Stored places as one sorted array for each text, at most one for each word and length.
+
+    Broadcast if there are few places in all, so that texts need no shuffle to meet theirs.
+    """
+    lists = places.groupBy("_digest").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+    return F.broadcast(lists) if places.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lists
+
+
 def hit_places() -> Column:
     """The places (from 0) of the words inside any hit, of a row made by ``with_hits``."""
     return F.expr("array_distinct(flatten(transform(_hits, h -> sequence(h.place, h.place + h.n - 1))))")
@@ -111,7 +142,8 @@ def contaminated(share: int = SHARE) -> Column:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
-           item: str = "item_id", item_text: str = "text", set_limit: int = SET_LIMIT) -> DataFrame:
+           item: str = "item_id", item_text: str = "text", set_limit: int = SET_LIMIT,
+           hash_limit: int = HASH_LIMIT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, items (sorted as text), contaminated.
 
     Items are found once for each distinct set of hit windows. Columns beside those named are not
@@ -119,7 +151,7 @@ def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     """
     known = windows(benchmark, item, item_text)
     scanned = written(
-        with_hits(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")), known, "_text", set_limit)
+        with_hits(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("_text")), known, "_text", set_limit, hash_limit)
         .select(
             "doc_id", F.size("_words").cast("long").alias("n_words"),
             F.size(hit_places()).cast("long").alias("n_hit"),

@@ -27,7 +27,8 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long) to every row.
 
     Null and empty texts have zeros. Windows are compared by a 64-bit hash of their three words.
-    Columns of these names are replaced.
+    Columns of these names are replaced; columns ``_words``, ``_lines``, ``_windows``, ``_sorted`` and
+    ``_twice`` of ``docs`` are left out.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))

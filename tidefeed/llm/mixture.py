@@ -24,6 +24,8 @@ MOST = 2.0
 CELL = 2000
 #: Times that the documents of a source are gone over.
 PASSES = 5
+#: The columns of a mix.
+RESULT = ("doc_id", "size", "source_size", "target", "epochs", "taken")
 
 
 def quality_weight(text: Column) -> Column:
@@ -122,11 +124,14 @@ def mix(
     ``epochs`` is how often the mix has the document, ``taken`` = size * epochs. Documents without
     words are in no epoch's sum; they go with the complete epochs. A null source is a source, the
     last by name. Repeated rows are documents of their own with one key, so they are taken together
-    or not at all; with equal keys the smaller id comes first. Other columns are not read.
+    or not at all; with equal keys the smaller id comes first. Other columns are not read. Of ``columns``
+    those are left out whose names the result has already.
     """
+    named = {f"_kept{i}": c for i, c in enumerate(columns) if c.lower() not in RESULT}
     sized = written(
         docs.select(
-            *columns, F.col(key).alias("doc_id"), F.col(source).alias("source"),
+            *[F.col(c).alias(name) for name, c in named.items()],
+            F.col(key).alias("doc_id"), F.col(source).alias("source"),
             F.size(spaced_words(F.col(text))).cast("long").alias("size"),
             unit(F.col(key), F.md5(F.coalesce(F.col(text), F.lit("")))).alias("_u"),
             quality_weight(F.coalesce(F.col(text), F.lit(""))).alias("_w"),
@@ -157,7 +162,7 @@ def mix(
             break
     more = F.coalesce(F.exists("_passes", lambda p: (F.col("size") <= p["room"]) & (_place() <= p["end"])), F.lit(False))
     return sized.join(checked_broadcast(state), F.col("source").eqNullSafe(F.col("_source"))).select(
-        *columns, "doc_id", "size", "source_size", "target",
+        *[F.col(name).alias(c) for name, c in named.items()], "doc_id", "size", "source_size", "target",
         (F.col("_whole") + more.cast("int")).cast("long").alias("epochs"),
     ).withColumn("taken", F.col("size") * F.col("epochs"))
 

@@ -35,6 +35,8 @@ from tidefeed.session import written
 EDGE = 0xFF
 CONTEXTS = 1 << 16
 FREQUENT = 150_000
+#: The columns of a score.
+RESULT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 #: Distinct words and grams that a counting task holds before it hands them on.
 HELD_WORDS, HELD_GRAMS = 200_000, 1 << 20
 
@@ -301,10 +303,13 @@ def score(docs: DataFrame, counts: DataFrame, text: str = "text", columns: tuple
     """Score every whole text (null: empty): n_tokens, n_known, train_tokens, base_score, score.
 
     ``score`` is the byte model's log10 probability of the text and its end; ``base_score`` that of
-    the word model with one added to every count. ``columns`` of ``docs`` are kept. Repeated rows
-    are scored each.
+    the word model with one added to every count. ``columns`` of ``docs`` are kept, but for those whose
+    names the result has already. Repeated rows are scored each.
     """
     spark = docs.sparkSession
+    given = [c for c in columns if c.lower() not in RESULT]
+    docs = docs.select(*[F.col(c).alias(f"_kept{i}") for i, c in enumerate(given)], F.col(text).alias("_text"))
+    text, columns = "_text", tuple(f"_kept{i}" for i in range(len(given)))
     ship(spark)
     words = counts.where("word is not null").select("word", "n", "trained")
     totals = words.agg(F.sum("trained").alias("tokens"), F.sum((F.col("trained") > 0).cast("long")).alias("kinds")).first()
@@ -367,6 +372,6 @@ def score(docs: DataFrame, counts: DataFrame, text: str = "text", columns: tuple
     scale = math.log10(tokens + kinds + 1)
     known = F.col("_known") + F.coalesce("_more_known", F.lit(0))
     return measured.drop("_rare", "_times", "_symbols", "_seen").join(rare, "_rid", "left").select(
-        *columns, "n_tokens", known.cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        *[F.col(name).alias(c) for name, c in zip(columns, given, strict=True)], "n_tokens", known.cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("_logs") + F.coalesce("_more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(scale)).alias("base_score"),
         (F.col("score") + F.coalesce("_gain", F.lit(0.0))).alias("score"))

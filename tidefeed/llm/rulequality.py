@@ -103,8 +103,8 @@ def _grow(bins: np.ndarray, pull: np.ndarray, curve: np.ndarray, rows: np.ndarra
             _grow(bins, pull, curve, part, (*path, (k, above, at)), depth - 1, found, out)
 
 
-def learn(values: np.ndarray, labels: np.ndarray, seed: int = 5) -> RuleEnsemble:
-    """Fit an ensemble to rows of ``STATISTICS`` and their labels (0 or 1)."""
+def learn(values: np.ndarray, labels: np.ndarray, seed: int = 5, rounds: int = ROUNDS) -> RuleEnsemble:
+    """Fit an ensemble to rows of ``STATISTICS`` and their labels (0 or 1); the weights in ``rounds`` steps."""
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     prior = float(np.log(share / (1 - share)))
     if len(labels) < 2 or labels.min() == labels.max():
@@ -143,7 +143,7 @@ def learn(values: np.ndarray, labels: np.ndarray, seed: int = 5) -> RuleEnsemble
         vector /= np.linalg.norm(vector)
     rate = 1 / (0.25 * float(np.linalg.norm(x @ vector)) ** 2 / len(labels) + 0.25)
     weight, ahead, base, base_ahead, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), prior, prior, 1.0
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         off = (1 / (1 + np.exp(-(x @ ahead.astype(np.float32) + base_ahead))) - labels) / len(labels)
         new = ahead - rate * (x.T @ off.astype(np.float32))
         new = np.sign(new) * np.maximum(np.abs(new) - rate * PENALTY, 0)
