@@ -66,3 +66,18 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered_folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the completely written ``<prefix><number>`` folders under ``path``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    done = []
+    for status in files.listStatus(folder):
+        name = status.getPath().getName()
+        marker = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+        if name.startswith(prefix) and files.exists(marker):
+            done.append(int(name[len(prefix):]))
+    return sorted(done)

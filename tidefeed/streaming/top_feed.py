@@ -7,32 +7,18 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tidefeed.operators.feed import DESC, page
 from tidefeed.schema import INGESTED, PAGE_SIZE
+from tidefeed.session import numbered_folders
 from tidefeed.streaming.ingest import AVAILABLE_NOW
 
 
-def _numbered_folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
-    """Numbers of the completed ``<prefix><number>`` folders under ``path``."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    done = []
-    for status in files.listStatus(folder):
-        name = status.getPath().getName()
-        marker = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith(prefix) and files.exists(marker):
-            done.append(int(name[len(prefix):]))
-    return sorted(done)
-
-
 def _current(spark: SparkSession, path: str, as_of_batch: int | None = None) -> DataFrame:
     """Rows of the newest full feed and of the batches after it.
 
     With ``as_of_batch``, what that batch may build on: full feeds of earlier batches only,
     so that a repeated batch does not read the full feed it is about to replace.
     """
-    full = _numbered_folders(spark, path, "full-")
-    batches = _numbered_folders(spark, path, "batch-")
+    full = numbered_folders(spark, path, "full-")
+    batches = numbered_folders(spark, path, "batch-")
     if as_of_batch is not None:
         full = [n for n in full if n < as_of_batch]
         batches = [n for n in batches if n <= as_of_batch]
@@ -44,12 +30,12 @@ def _current(spark: SparkSession, path: str, as_of_batch: int | None = None) ->
 
 def drop_folded(spark: SparkSession, path: str, keep: int = 1) -> None:
     """Delete what the oldest of the newest ``keep`` full feeds has taken in, when no reader is left on it."""
-    full = _numbered_folders(spark, path, "full-")
+    full = numbered_folders(spark, path, "full-")
     if len(full) < keep:
         return
     base = full[-keep]
     old = [f"full-{n}" for n in full if n < base]
-    old += [f"batch-{n}" for n in _numbered_folders(spark, path, "batch-") if n <= base]
+    old += [f"batch-{n}" for n in numbered_folders(spark, path, "batch-") if n <= base]
     for name in old:
         folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -40,6 +40,11 @@ LARGE = f"""SELECT notify_id, CASE WHEN {IS_OBJECT} THEN '' ELSE 'data' END AS r
     WHEN 5 THEN '{{"' || repeat('n', 60000) || '": 1, "k": 7'
     WHEN 6 THEN '{{"x": 0' || repeat('9', 1500) || ', "k": 7}}'
     WHEN 7 THEN '{{"x": ' || repeat('9', 1500) || '}} {{}}' ELSE data END AS data FROM ({FEED}))"""
+SHARED_POINTS = f"""SELECT 'notifications' AS measurement, user_id, notify_id, timestamp AS time,
+  ingest_seq, 'data' AS field, data AS value FROM ({SHARED}) WHERE data IS NOT NULL"""
+SERIES = f"""SELECT row_number() OVER (ORDER BY later, measurement, user_id, notify_id) AS series_id, measurement, user_id, notify_id
+  FROM (SELECT measurement, user_id, notify_id, min(time) >= {CURSOR} AS later
+  FROM ({SHARED_POINTS}) GROUP BY measurement, user_id, notify_id)"""
 TYPED = """SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(event_id AS VARCHAR) AS notify_id,
   epoch_us(ts) // 1000 AS timestamp, props AS data, event_type FROM events"""
 LATENCY = "CAST(round(value * 100) AS BIGINT)"
@@ -309,6 +314,11 @@ ORACLE: dict[str, str] = {
       timestamp AS time, field, value FROM ({TYPED})
       UNPIVOT (value FOR field IN (data, event_type))""",
     "w10_from_points": f"SELECT 'notifications' AS measurement, * FROM ({TYPED})",
+    "w10_series_dictionary": SERIES,
+    "w10_series_points": f"""SELECT series_id, time, ingest_seq, field, value FROM ({SHARED_POINTS})
+      JOIN ({SERIES}) USING (measurement, user_id, notify_id)""",
+    "w10_from_series": SHARED_POINTS,
+    "w10_series_of_user": f"SELECT * FROM ({SHARED_POINTS}) WHERE user_id = '8'",
     "w11_to_tagged_metric": f"""SELECT 'notifications' AS metric, timestamp, timestamp AS value,
       user_id AS tag_user, notify_id AS tag_notify, 2::BIGINT AS tag_count FROM ({FEED})""",
     "w11_from_tagged_metric": f"""SELECT user_id, notify_id, timestamp,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidefeed.functions import scalar as S
 from tidefeed.functions import ulid as U
 from tidefeed.operators import feed as Q
-from tidefeed.operators import dialects, forms, ids, metrics, monitor, percentiles, requests, rollup, store
+from tidefeed.operators import dialects, forms, ids, metrics, monitor, percentiles, requests, rollup, series, store
 from tidefeed.operators.identity import BY_POINT, BY_TIME, first_per_id, upsert_latest
 from tidefeed.operators.validate import validate_split, with_reject_reason
 from tidefeed.schema import INGESTED, MS_PER_DAY, MS_PER_HOUR, NOTIFICATIONS, TTL_SECONDS
@@ -242,6 +242,34 @@ def _(spark, folder):
     return forms.from_points(forms.to_points(_typed_feed(spark, folder), fields), fields)
 
 
+def _series_store(spark, folder):
+    """Points in two loads; the day of the cut has series in both."""
+    path, points = new_folder(spark, "series-store"), forms.to_points(shared_table(spark, folder))
+    series.append_points(points.where(F.col("time") < CURSOR), path)
+    series.append_points(points.where(F.col("time") >= CURSOR), path)
+    return path
+
+
+@query("w10_series_dictionary")
+def _(spark, folder):
+    return series.read_series(spark, _series_store(spark, folder))
+
+
+@query("w10_series_points")
+def _(spark, folder):
+    return spark.read.parquet(f"{_series_store(spark, folder)}/points")
+
+
+@query("w10_from_series")
+def _(spark, folder):
+    return series.points_of(spark, _series_store(spark, folder))
+
+
+@query("w10_series_of_user")
+def _(spark, folder):
+    return series.points_of(spark, _series_store(spark, folder), user_id=USER)
+
+
 @query("w11_to_tagged_metric")
 def _(spark, folder):
     points = forms.to_tagged_metric(feed_table(spark, folder))
