@@ -26,6 +26,13 @@ EDGES = (0.02, 0.1)
 #: Words that a worker remembers, about 100 bytes each.
 REMEMBERED = 200_000
 TRAILING = ".,;:!?"
+#: Ordinary words for the filler of training rows.
+PROSE = """about after again all also an and are around as at back be because been before between both but by can come could
+day der des die do down each el en est et every few first for from gave get give go good great had has have he her here him his
+how if in into is it its just know large last les like little long look made make many may men mit more most much must my new no
+not now of off on one only or other our out over people por que right said same see she should since small so some state still
+such take than that the their them then there these they this those three through time to too two un under und une until up use
+used very von was way we well were what when where which while who will with work would year years you your""".split()
 
 
 class _Shape(dict):

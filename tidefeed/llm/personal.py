@@ -33,7 +33,7 @@ WORD = re.compile(r"\S+")
 SYLLABLES = ("th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve "
              "ción ado eau ê oir ung schtz keit ß ü").split()
 #: Words that say nothing of their neighbours.
-COMMON = (*SYLLABLES, "the", "and", "page", "no")
+COMMON = (*SYLLABLES, *crf.PROSE, "page")
 CORE = re.compile(r"\w.*\w|\w", re.DOTALL)
 
 
@@ -75,11 +75,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def labelled_rows(n: int = 800, seed: int = 11) -> list[tuple[list[str], list[str]]]:
+def labelled_rows(n: int = 1000, seed: int = 11) -> list[tuple[list[str], list[str]]]:
     """The small training table: invented lines with and without personal data, word by word."""
     pick = random.Random(seed)
 
     def word() -> str:
+        if pick.random() < 0.5:
+            return pick.choice(crf.PROSE)
         made = "".join(pick.choice(SYLLABLES) for _ in range(pick.randint(1, 5)))
         return pick.choice([made] * 6 + [made.capitalize(), made.upper(), made + ",", made + "."])
 
@@ -105,7 +107,15 @@ def labelled_rows(n: int = 800, seed: int = 11) -> list[tuple[list[str], list[st
                     ["Apache", "License,", "Version", "2.0."], [name() + ".", name()], [name(), word()], [f"{digits(2)}:{digits(2)}"],
                     ["+" + digits(1), f"({digits(3)})", f"{digits(3)}-{digits(4)}"], ["the", name()], [f"{digits(1)}%"],
                     [word().rstrip(",.") + ".", name()], [pick.choice(COMMON) + ".", name()], [pick.choice(COMMON), name()],
-                    [pick.choice(COMMON) + ".", name(), name()], [f"v{digits(1)}.{digits(1)}"], ["page", digits(3)], [name(), name(), word()],
+                    [pick.choice(COMMON) + ".", name(), name()],
+                    # Headings and nouns in capitals, and signs after words that often announce something personal.
+                    [word(), name(), name()], [word(), name(), name(), name()], [word(), word().title(), name(), word().title()],
+                    ["call", word() + "):", name()], ["phone", word() + ")"], ["name", "=", word() + "()"], [f"({name()[:2]}{digits(2)};", name(), word()],
+                    [f"{name()}/{digits(1)}.0"], [name() + ",", digits(2)], ["name:", word() + ","], ["at", word() + ".py:" + digits(2)],
+                    [f"{digits(3)}-{digits(1)}-{digits(2)}-{digits(6)}-{digits(1)}"],
+                    [f"{digits(4)}-{digits(4)}"], [f"#{digits(6)}"], ["call", "for", word()], ["contact", "the", word()], ["lives", "in", name()],
+                    ["born", "in", f"19{digits(2)}"], ["order", digits(8)], ["phone", "the", word()], [f"{digits(2)}/{digits(2)}/20{digits(2)}"],
+                    [digits(2), name(), word()], ["at", digits(2) + ":" + digits(2)], ["patient", word()], ["number", digits(3)], [f"v{digits(1)}.{digits(1)}"], ["page", digits(3)], [name(), name(), word()],
                 ])
         return out
 
@@ -114,8 +124,12 @@ def labelled_rows(n: int = 800, seed: int = 11) -> list[tuple[list[str], list[st
         return pick.choice([
             lambda: ([pick.choice(["Mr.", "Mrs.", "Ms.", "Dr.", "Dear", "Herr", "Frau", "Señor", "Madame"])], [name(), name()]),
             lambda: ([pick.choice(["Mr.", "Mrs.", "Ms.", "Dr.", "Herr", "Frau"])], [name()]),
+            lambda: ([pick.choice(["Mr.", "Mrs.", "Ms.", "Dr.", "Herr", "Frau", "Prof.", "Señora"])], [name(), name()]),
             lambda: (["my", "name", "is"], [name(), name()]),
-            lambda: (["contact"], [name(), name()]),
+            lambda: ([pick.choice(["patient", "employee", "customer", "client", "contact"])], [name(), name()]),
+            lambda: ([pick.choice(["contact", "patient", "employee", "customer", "Sincerely,", "Regards,", "colleague", "Patient:",
+                                   "Name:", "name:"])], [name(), name()]),
+            lambda: ([pick.choice(["at", "reach", "on", "number", "number:", "cell"])], [f"{digits(3)}-{digits(3)}-{digits(4)}"]),
             lambda: ([pick.choice(["SSN", "SSN:", "ssn", "social"])], [f"{digits(3)}-{digits(2)}-{digits(4)}"]),
             lambda: (["SSN", "is"], [f"{digits(3)}-{digits(2)}-{digits(4)}"]),
             lambda: ([pick.choice(["call", "phone", "tel", "Tel:", "phone:", "at", "mobile"])], [f"({digits(3)})", f"{digits(3)}-{digits(4)}"]),
@@ -161,7 +175,8 @@ ARROW = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end"
 def find(docs: DataFrame, text: str = "text", field: crf.Field | None = None) -> Column:
     """A column of spans (start, kind, end), by start and then kind as in ``KINDS``.
 
-    Offsets are code points, ends exclusive. Null and empty texts have none.
+    Offsets are code points, ends exclusive. Null and empty texts have none. A text is taken whole, in
+    time that grows with its length; one longer than a block is a block of its own.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(field or default_field())
