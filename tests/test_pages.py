@@ -124,3 +124,27 @@ def test_schema_of_answers(spark, skewed):
     got = requests.batch_fetch(skewed, asked(spark))
     assert got.columns == ["req_id", "user_id", "direction", "from_time", "rank", "notify_id", "timestamp", "data"]
     assert set(INGESTED.names) >= {"notify_id", "timestamp", "data"}
+
+
+@pytest.mark.parametrize("together", [1, 3, 10**6])
+def test_ranges_of_busy_users(spark, skewed, monkeypatch, together):
+    """However few rows are kept together, and with slices that a request reaches without a row inside."""
+    monkeypatch.setattr(requests, "ROWS_TOGETHER", together)
+    got = requests.batch_fetch_dialect(skewed, asked(spark), "inclusive_points", AS_OF)
+    latest = upsert_latest(skewed, BY_POINT).collect()
+    low = lambda q: 0 if q.direction == Q.DESC or q.from_time is None else q.from_time
+    high = lambda q: q.from_time if q.direction == Q.DESC and q.from_time is not None else AS_OF
+    assert sorted(map(tuple, got.collect()), key=str) == plain(
+        asked(spark).collect(), latest, low, high, ["notify_id", "timestamp", "data"])
+
+
+@pytest.mark.parametrize("dialect", ["counted_points", "inclusive_points"])
+def test_ranges_broadcast_no_requests(spark, skewed, dialect):
+    """Dealt requests have another size than their file: neither they nor the rows are broadcast."""
+    asked_in_file = written(asked(spark), "asked")
+    got = requests.batch_fetch_dialect(skewed, asked_in_file, dialect, AS_OF)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_chunk" in line]
+    assert joins and all("strategy=merge" in line for line in joins)
+    physical = got._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in physical.splitlines() if "BroadcastHashJoin" in line and "_chunk" in line]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefeed.functions.scalar import floor_to, slice_number
+from tidefeed.functions.scalar import floor_to, slice_number, whole_div
 from tidefeed.functions.ulid import random_halves
 from tidefeed.operators.feed import ASC, DESC
 from tidefeed.operators.identity import BY_POINT, BY_TIME, upsert_latest
@@ -17,6 +17,9 @@ from tidefeed.session import written
 # Open cursors stand outside all times, and far enough inside bigint for arithmetic.
 BEFORE_ALL, AFTER_ALL = -(1 << 62), 1 << 62
 
+# Rows of one user that a request for a range meets at once.
+ROWS_TOGETHER = 256
+
 
 def gen_requests(numbers: DataFrame, number: Column, span: DataFrame) -> DataFrame:
     """Fetch requests, one per row of ``numbers``, drawn from digests of the row's number.
@@ -294,33 +297,73 @@ def _blanked(pages: DataFrame, out: Column) -> DataFrame:
     return blank.where(F.col("rank").isNotNull() | (F.coalesce(pages["rank"], F.lit(1)) == 1))
 
 
+def _busy_slices(source: DataFrame, slice_ms: int) -> DataFrame:
+    """(user, slice of time) of every user with more than ``ROWS_TOGETHER`` rows, with the slice of rows it is in.
+
+    Neighbours in time make up a slice of rows until it has so many; one with more is kept in ``_chunks``
+    chunks. There is one row per user and ``slice_ms``, however many rows the user has.
+    """
+    user = Window.partitionBy("user_id")
+    so_far = user.orderBy("_time_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = source.where(F.col("user_id").isNotNull() & F.col("timestamp").isNotNull())
+    parts = known.groupBy("user_id", slice_number("timestamp", slice_ms).alias("_time_slice")).agg(
+        F.count("*").alias("_rows"), F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
+    counted = parts.select("*", F.sum("_rows").over(user).alias("_all"), F.sum("_rows").over(so_far).alias("_through"))
+    sliced = counted.where(F.col("_all") > ROWS_TOGETHER).withColumn(
+        "_slice", whole_div(F.col("_through") - F.col("_rows"), ROWS_TOGETHER))
+    held = F.sum("_rows").over(Window.partitionBy("user_id", "_slice"))
+    return sliced.select("user_id", "_time_slice", "_slice", "_first", "_last", whole_div(held + (ROWS_TOGETHER - 1), ROWS_TOGETHER).alias("_chunks"))
+
+
 def _within(asked: DataFrame, source: DataFrame, rows: DataFrame, *columns: str, slice_ms: int = MS_PER_DAY) -> DataFrame:
     """Every row of a request's user from ``_low`` to ``_high``; requests without rows stay.
 
-    Requests are dealt to the slices of time that they reach, inside the times of all rows, and meet
-    rows by user and slice: a busy user's rows spread over tasks, and a request meets none of a slice
-    that it does not reach. ``source`` has the users and times that ``rows`` has, in whatever number; it
-    tells which requests have no row, without a payload.
+    A user's rows are kept together in one row, those of a busy user in one per slice of time and chunk
+    of some hundred rows. Requests meet them by user, slice and chunk and take out what lies inside: a
+    busy user's rows spread over tasks, and a request travels once for some hundred rows of its answer,
+    not once for each slice of time. ``source`` has the users and times that ``rows`` has, in whatever
+    number.
+
+    Dealt requests and kept rows are sorted and merged: their size is not known from the files they come
+    from, and a broadcast of them would go through the driver.
     """
-    first, last = source.agg(F.min("timestamp"), F.max("timestamp")).first()
     known = ["req_id", "user_id", "direction", "from_time"]
-    if first is None:
-        kinds = dict(rows.dtypes)
-        return asked.select(*known, *[F.lit(None).cast(kinds[c]).alias(c) for c in columns])
-    low, high = F.greatest("_low", F.lit(first)), F.least("_high", F.lit(last))
-    reaches = F.col("direction").isNotNull() & F.col("user_id").isNotNull() & (low <= high)
-    slices = F.when(reaches, F.sequence(slice_number(low, slice_ms), slice_number(high, slice_ms)))
-    numbered = asked.select(*known, "_low", "_high", slices.alias("_slices"), F.monotonically_increasing_id().alias("_number"))
-    dealt = numbered.where("_slices IS NOT NULL").select(
-        *known, "_low", "_high", "_number", F.size("_slices").alias("_reached"), F.explode("_slices").alias("_at"))
-
-    def placed(df: DataFrame, *names: str) -> DataFrame:
-        return df.select(F.col("user_id").alias("_user"), F.col("timestamp").alias("_time"),
-                         slice_number("timestamp", slice_ms).alias("_slice"), *names)
-
-    inside = (F.col("user_id") == F.col("_user")) & (F.col("_at") == F.col("_slice")) & F.col("_time").between(
-        F.col("_low"), F.col("_high"))
-    found = dealt.join(placed(rows, *columns), inside).select(*known, *columns)
-    empty = dealt.join(placed(source), inside, "left_anti").groupBy("_number", *known, "_reached").agg(F.count("*").alias("_empty"))
-    without = empty.where("_empty = _reached").select(*known).unionByName(numbered.where("_slices IS NULL").select(*known))
-    return found.unionByName(without, allowMissingColumns=True)
+    busy = written(_busy_slices(source, slice_ms), "busy")
+    count = busy.count()
+    of_user = busy.groupBy("user_id", "_slice", "_chunks").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last")).groupBy(
+        F.col("user_id").alias("_busy")).agg(F.collect_list(F.struct("_slice", "_chunks", "_first", "_last")).alias("_slices"))
+
+    zero = F.lit(0).cast("bigint")
+    dealt_to = broadcast_if_few(busy.select("user_id", "_time_slice", "_slice", "_chunks"), count)
+    chunk = F.pmod(F.xxhash64(*columns), F.coalesce("_chunks", F.lit(1).cast("bigint")))
+    kept = (
+        rows.where(F.col("user_id").isNotNull() & F.col("timestamp").isNotNull())
+        .withColumn("_time_slice", slice_number("timestamp", slice_ms)).join(dealt_to, ["user_id", "_time_slice"], "left")
+        .select("user_id", F.coalesce("_slice", zero).alias("_slice"), chunk.alias("_chunk"), F.struct(*columns).alias("_row"))
+        .groupBy("user_id", "_slice", "_chunk").agg(F.collect_list("_row").alias("_rows"))
+    )
+
+    def chunks(s: Column) -> Column:
+        return F.transform(F.sequence(zero, s["_chunks"] - 1), lambda c: F.struct(s["_slice"].alias("_slice"), c.alias("_chunk")))
+
+    low, high = F.col("_low"), F.col("_high")
+    inside = F.filter("_slices", lambda s: (s["_first"] <= high) & (s["_last"] >= low))
+    deals = F.when(F.col("_busy").isNull(), F.array(F.struct(zero.alias("_slice"), zero.alias("_chunk")))).otherwise(
+        F.flatten(F.transform(inside, chunks)))
+    reaches = F.col("direction").isNotNull() & F.col("_user").isNotNull() & (low <= high)
+    numbered = asked.select("req_id", F.col("user_id").alias("_user"), "direction", "from_time", "_low", "_high",
+                            F.monotonically_increasing_id().alias("_number"))
+    dealt = numbered.join(broadcast_if_few(of_user, count), F.col("_user") == F.col("_busy"), "left").withColumn(
+        "_deals", F.when(reaches, deals)).select(
+        "req_id", F.col("_user").alias("user_id"), "direction", "from_time", "_low", "_high", "_number",
+        (F.coalesce(F.size("_deals"), F.lit(0)) > 1).alias("_many"), F.explode_outer("_deals").alias("_deal")).select(
+        "*", "_deal._slice", "_deal._chunk").drop("_deal")
+    met = dealt.join(kept.hint("merge"), ["user_id", "_slice", "_chunk"], "left").select(
+        *known, "_number", "_many", F.filter("_rows", lambda r: r["timestamp"].between(low, high)).alias("_found"))
+    some = F.coalesce(F.size("_found") > 0, F.lit(False))
+    found = met.where(~F.col("_many") | some).select(*known, F.explode_outer("_found").alias("_row")).select(*known, "_row.*")
+    if not count:
+        return found
+    # A request that reaches one chunk has its blank row from there.
+    empty = met.where("_many").groupBy("_number", *known).agg(F.bool_or(some).alias("_some")).where("NOT _some").select(*known)
+    return found.unionByName(empty, allowMissingColumns=True)
