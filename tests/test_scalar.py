@@ -1,6 +1,7 @@
 """Scalar expressions on literal edge values."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,13 @@ def test_json_beyond_the_limits_of_the_reader(spark, text, size):
     got = frame.select(S.is_json_object("t").alias("good"), S.lenient_json_object("t").alias("kept"), S.json_integer("t", "$.size").alias("n")).collect()
     assert (got[0].good, got[0].kept, got[0].n) == (True, text, size)
     assert [tuple(r) for r in got[1:]] == [(False, "{}", 0)] * len(spoiled)
+
+
+def test_deep_json_is_walked_over_once(spark):
+    """Not once for each level, which would take hours here."""
+    deep = '{"a":' * 100_000 + "[]" + "}" * 100_000
+    name = '{"' + "n" * 60_000 + '": ' + deep + "}"
+    frame = spark.createDataFrame([(t,) for t in (deep, name, deep[:-1], deep + ",5", name + "}", name[:-1] + ',"_":1', name.replace(":", "", 1))], "t string")
+    began = time.time()
+    assert [r[0] for r in frame.select(S.is_json_object("t")).collect()] == [True, True, False, False, False, False, False]
+    assert time.time() - began < 60
