@@ -172,3 +172,22 @@ def test_no_payload_before_the_limit(spark, feed):
     assert narrow and all("data" not in line and "notify_id" not in line for line in narrow)
     physical = got._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in physical
+
+
+def test_levels_do_not_travel(spark, feed):
+    """Units and blocks are shuffled, and grow into a row per level where they arrive."""
+    plan = rollup.dyadic_rollup(feed)._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(shuffled) >= 4 and not [line for line in shuffled if "level" in line or "slot" in line]
+
+
+def test_lower_and_upper_levels_of_a_hot_user(spark):
+    """Every level sums the units itself, on both sides of a block's edge and of zero."""
+    rows = spark.range(40_000).select(F.lit("hot").alias("user_id"), ((F.col("id") - 17_000) * 3001).alias("timestamp"))
+    got = rollup.dyadic_rollup(rows).collect()
+    want = {}
+    for i in range(40_000):
+        for level in range(rollup.LEVELS + 1):
+            key = ("hot", level, (i - 17_000) * 3001 // 1000 >> level)
+            want[key] = want.get(key, 0) + 1
+    assert len(got) == len(want) and {(r.user_id, r.level, r.slot): r.events for r in got} == want

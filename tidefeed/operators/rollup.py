@@ -16,22 +16,39 @@ from tidefeed.functions.scalar import slice_number
 #: Units are seconds unless said otherwise, and the widest slot of 2 ** 22 of them is 48 days.
 UNIT_MS = 1000
 LEVELS = 22
+#: Slots up to this level are summed among the units of a slot of this level, 4.5 hours, and wider ones from those.
+LOWER = 14
 
 
 def dyadic_rollup(df: DataFrame, unit_ms: int = UNIT_MS, levels: int = LEVELS) -> DataFrame:
     """(user_id, level, slot, events) of all rows with a user and a time.
 
-    Rows are summed per user and unit before they are summed up the levels, both with a map-side
-    combine, so a hot user's events do not travel one by one.
+    Rows are summed per user and unit, and units per user and block of ``2 ** LOWER`` of them, both with
+    a map-side combine, so a hot user's events do not travel one by one. A block's units go to one task
+    and up the lower levels there; a user's blocks, at most one for each of the time span, go up the
+    upper ones. What travels is units and blocks, not a row for each of their levels.
     """
     known = df.where(F.col("user_id").isNotNull() & F.col("timestamp").isNotNull())
     units = known.groupBy("user_id", slice_number("timestamp", unit_ms).alias("_unit")).agg(F.count("*").alias("events"))
-    level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
-    return (
-        units.select("user_id", "_unit", "events", level)
-        .groupBy("user_id", "level", F.expr("shiftright(_unit, level)").alias("slot"))
-        .agg(F.sum("events").alias("events"))
-    )
+    lower = min(levels, LOWER)
+    block = F.shiftright("_unit", lower).alias("_block")
+    # A number of tasks that is kept, however small their input: each unit grows into a row per level.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def up(rows: DataFrame, at: str, on: int, first: int, last: int, *key: str) -> DataFrame:
+        """Slots of the levels from ``first`` to ``last``, of rows that are slots ``at`` of level ``on``."""
+        level = F.explode(F.sequence(F.lit(first), F.lit(last))).alias("level")
+        return (
+            rows.repartition(tasks, *key).select(*key, at, "events", level)
+            .groupBy(*key, "level", F.expr(f"shiftright({at}, level - {on})").alias("slot"))
+            .agg(F.sum("events").alias("events")).select("user_id", "level", "slot", "events")
+        )
+
+    low = up(units.select("user_id", "_unit", block, "events"), "_unit", 0, 0, lower, "user_id", "_block")
+    if levels == lower:
+        return low
+    blocks = units.groupBy("user_id", block).agg(F.sum("events").alias("events"))
+    return low.unionByName(up(blocks, "_block", lower, lower + 1, levels, "user_id"))
 
 
 def add_rollups(*rollups: DataFrame) -> DataFrame:
