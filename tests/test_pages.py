@@ -148,3 +148,51 @@ def test_ranges_broadcast_no_requests(spark, skewed, dialect):
     assert joins and all("strategy=merge" in line for line in joins)
     physical = got._jdf.queryExecution().executedPlan().toString()
     assert not [line for line in physical.splitlines() if "BroadcastHashJoin" in line and "_chunk" in line]
+
+
+# ---- pages cut from blocks ------------------------------------------------------------------
+
+def long_feed(spark):
+    """Two users with 400 rows each, rows without an id or a sequence, and one row written four times."""
+    rows = [(u, None if i % 7 == 0 else f"n{i:04d}", i // 3, f'{{"k":{i}}}', None if i % 11 == 0 else i) for u in ("u", "v") for i in range(400)]
+    return spark.createDataFrame(rows + [("v", "n0200", 66, '{"k":200}', 200)] * 3, "user_id string, notify_id string, timestamp long, data string, ingest_seq long")
+
+
+@pytest.mark.parametrize("pages_together, limit", [(1, 1), (1, 20), (4, 20), (4, 7)])
+def test_pages_are_cut_from_blocks(spark, monkeypatch, pages_together, limit):
+    """Few cursors far apart leave gaps between pages; pages begin at every place of a block and end in the next."""
+    monkeypatch.setattr(requests, "BLOCK_PAGES", pages_together)
+    feed = written(long_feed(spark), "feed")
+    cursors = [None, -5, 0, 1, 20, 21, 22, 26, 27, 66, 67, 90, 133, 500]
+    rows = [(n * 2 + k, "uv"[n % 2], (Q.DESC, Q.ASC)[k], c) for n, c in enumerate(cursors * 2) for k in (0, 1)]
+    got = {}
+    asked_now = spark.createDataFrame(rows, "req_id long, user_id string, direction string, from_time long")
+    for r in requests.batch_fetch(feed, asked_now, limit, 5).collect():
+        got.setdefault(r.req_id, []).append((r["rank"], r.timestamp, r.notify_id, r.data))
+    lowest = lambda r: (r.timestamp, r.notify_id is not None, r.notify_id or "", -1 if r.ingest_seq is None else r.ingest_seq)
+    everything = feed.collect()
+    for n, user, direction, c in rows:
+        kept = sorted((r for r in everything if r.user_id == user and (
+            c is None or (r.timestamp < c if direction == Q.DESC else r.timestamp > c))), key=lowest, reverse=direction == Q.DESC)
+        page = [(k, r.timestamp, r.notify_id, r.data) for k, r in enumerate(kept[:limit], 1)]
+        assert sorted(got[n], key=str) == sorted(page or [(None,) * 4], key=str)
+
+
+def test_a_request_meets_one_block(spark, skewed):
+    """A page is one lookup, not one for each of its rows."""
+    plan = requests.batch_fetch(skewed, asked(spark))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert any("_block" in line for line in joins) and not any("_spot" in line or "_place" in line for line in joins)
+
+
+def test_slices_are_looked_for_only_where_some_can_be_left_out(spark, skewed, monkeypatch):
+    looked = []
+    original = requests._near_cursors
+    monkeypatch.setattr(requests, "_near_cursors", lambda *a: looked.append(1) or original(*a))
+    few = asked(spark).where("req_id < 3")
+    expected = sum(Q.feed(skewed, r.direction, r.user_id, r.from_time).count() for r in few.collect())
+    assert requests.batch_fetch(skewed, few).where("rank is not null").count() == expected > 20
+    assert looked
+    looked.clear()
+    assert requests.batch_fetch(skewed, asked(spark)).where("req_id = 0").count() == 20
+    assert not looked

@@ -10,7 +10,7 @@ from tidefeed.functions.ulid import random_halves
 from tidefeed.operators.feed import ASC, DESC
 from tidefeed.operators.identity import BY_POINT, BY_TIME, upsert_latest
 from tidefeed.plans.ordered import range_slices, running_total
-from tidefeed.plans.pruning import broadcast_if_few, time_range
+from tidefeed.plans.pruning import BROADCAST_ROWS, broadcast_if_few, time_range
 from tidefeed.schema import MS_PER_DAY, MS_PER_SECOND, PAGE_SIZE, TTL_SECONDS
 from tidefeed.session import written
 
@@ -20,6 +20,9 @@ BEFORE_ALL, AFTER_ALL = -(1 << 62), 1 << 62
 # Rows of one user that a request for a range meets at once.
 ROWS_TOGETHER = 256
 
+# Pages' worth of rows that lie together in one block, where pages are cut out.
+BLOCK_PAGES = 4
+
 
 def gen_requests(numbers: DataFrame, number: Column, span: DataFrame) -> DataFrame:
     """Fetch requests, one per row of ``numbers``, drawn from digests of the row's number.
@@ -113,34 +116,33 @@ def _checked(requests: DataFrame) -> DataFrame:
     return requests.where(F.when(known, F.lit(True)).otherwise(problem))
 
 
-def _pages(df: DataFrame, asked: DataFrame, limit: int, slice_ms: int, source: DataFrame | None = None) -> DataFrame:
+def _pages(
+    df: DataFrame, asked: DataFrame, limit: int, slice_ms: int, source: DataFrame | None = None, stored: DataFrame | None = None
+) -> DataFrame:
     """``asked`` with the rank, id, time and sequence of every row of its page; with ``source``, its payload.
 
     ``asked`` has ``user_id``, ``direction`` and the strict cursor ``_at``; ``df`` has the
-    columns of ``KEY``. A request without rows stays, with a null rank.
+    columns of ``KEY``, and no more rows than ``stored``, by default ``df`` itself, which is
+    counted. A request without rows stays, with a null rank.
 
     Joining requests to rows on the user would pair every request of a busy user with every
     row of that user. Instead the slices of time that any page can touch are found from row
     counts, and their rows are sorted together with the distinct cursors. A running count then
     gives each row its place in the user's feed, and each cursor the number of rows before it.
-    A page is ``limit`` known places, looked up by (user, place). It is kept as one row until all
-    requests for it have found it, and each row on any page fetches its payload once.
+    A page is up to ``limit`` known places side by side. Rows lie in blocks of a few pages, each
+    with the rows after it that a page beginning in it may reach: a request meets the one block
+    of its user in which its page begins, and cuts the page out. Each row on any page fetches its
+    payload once, before blocks are made.
     """
     newest_first = F.col("direction") == DESC
     cursors = written(asked.select("user_id", "direction", "_at").dropna().distinct(), "cursors")
 
-    # Between two cursors rows may be missing then, but never one that a page needs: the rows
-    # from a cursor to the end of its page are all there, side by side.
-    needed = written(_needed_slices(df, cursors, slice_ms, limit), "needed")
-    first, last = needed.agg(F.min("_part"), F.max("_part")).first()
-    if first is not None:
-        # Keeps the scan to the days between, and to the row groups that reach into them.
-        df = time_range(df, first * slice_ms, (last + 1) * slice_ms, upper_inclusive=False)
-    kept = df.withColumn("_part", slice_number("timestamp", slice_ms)).join(
-        broadcast_if_few(needed, needed.count()), ["user_id", "_part"], "left_semi"
-    )
+    # So many cursors that their pages have room for all rows leave hardly a slice out.
+    if cursors.count() * limit < (df if stored is None else stored).count():
+        df = _near_cursors(df, cursors, slice_ms, limit)
     sequence = df.schema["ingest_seq"].dataType
-    rows = kept.select(
+    known = df.where(F.col("user_id").isNotNull() & F.col("timestamp").isNotNull())
+    rows = known.select(
         "user_id",
         F.col("timestamp").alias("_at"),
         F.lit(1).alias("_side"),
@@ -161,49 +163,76 @@ def _pages(df: DataFrame, asked: DataFrame, limit: int, slice_ms: int, source: D
     order = ["_at", "_side", "notify_id", "ingest_seq"]
     sliced = range_slices(rows.unionByName(marks), "user_id", order)
     is_row = F.when(F.col("_side") == 1, 1).otherwise(0).cast("bigint")
-    placed = running_total(sliced, "user_id", order, is_row, "_place")
-    marked = written(
-        placed.where(F.col("_side") != 1).select("user_id", "direction", "_at", "_place"),
-        "marks",
-    )
-
-    # Many cursors may stand at the same place; the page there is looked up once.
-    spots = marked.select("user_id", "direction", F.col("_place").alias("_spot")).distinct()
-    rank = F.explode(F.sequence(F.lit(1), F.lit(limit))).alias("rank")
-    place = F.when(newest_first, F.col("_spot") - F.col("rank") + 1).otherwise(
-        F.col("_spot") + F.col("rank")
-    )
-    places = spots.select("*", rank).withColumn("_place", place).where(F.col("_place") > 0)
+    placed = written(running_total(sliced, "user_id", order, is_row, "_place"), "placed")
+
+    spot = F.col("_place")
+    marked = placed.where(F.col("_side") != 1).select(
+        "user_id", "direction", "_at", spot.alias("_spot"),
+        F.when(newest_first, F.greatest(spot - (limit - 1), F.lit(1))).otherwise(spot + 1).alias("_first"),
+        F.when(newest_first, spot).otherwise(spot + limit).alias("_last"),
+    ).where("_first <= _last")
+
+    wide = BLOCK_PAGES * limit
+    first_block, last_block = whole_div(F.col("_first") - 1, wide), whole_div(F.col("_last") - 1, wide)
+    # A page reaches into one more block at most. What pages cover of a block is taken as one
+    # range, so all rows from the first to the last place of each page are there, side by side.
+    touched = marked.select("user_id", "_first", "_last", F.explode(F.sequence(first_block, last_block)).alias("_block"))
+    covered = touched.groupBy("user_id", "_block").agg(F.min("_first").alias("_from"), F.max("_last").alias("_to"))
     found = placed.where(F.col("_side") == 1).select(
-        "user_id", "_place", "notify_id", F.col("_at").alias("timestamp"), "ingest_seq"
-    )
-    entry = ["rank", "notify_id", "timestamp", "ingest_seq"]
+        "user_id", "_place", "notify_id", F.col("_at").alias("timestamp"), "ingest_seq",
+        whole_div(spot - 1, wide).alias("_block"),
+    ).join(covered, ["user_id", "_block"]).where(spot.between(F.col("_from"), F.col("_to"))).drop("_from", "_to")
+    entry = ["_place", "notify_id", "timestamp", "ingest_seq"]
     if source is not None:
-        on_pages = places.select("user_id", "_place").distinct()
-        found = _with_payload(found.join(on_pages, ["user_id", "_place"], "left_semi"), source)
+        found = _with_payload(found, source)
         entry.append("data")
-    pages = written(
-        places.join(found, ["user_id", "_place"]).groupBy("user_id", "direction", "_spot")
-        .agg(F.collect_list(F.struct(*entry)).alias("_page")), "pages"
+    begins_before = (F.col("_block") > 0) & ((spot - 1) % wide < limit - 1)
+    in_blocks = F.when(begins_before, F.array(F.col("_block") - 1, F.col("_block"))).otherwise(F.array("_block"))
+    blocks = (
+        found.select("user_id", F.explode(in_blocks).alias("_block"), F.struct(*entry).alias("_row"))
+        .groupBy("user_id", "_block").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
     )
-    answers = (
-        asked.join(marked, ["user_id", "direction", "_at"], "left")
-        .withColumnRenamed("_place", "_spot")
-        .join(pages, ["user_id", "direction", "_spot"], "left")
+    met = (
+        asked.join(marked, ["user_id", "direction", "_at"], "left").withColumn("_block", first_block)
+        .join(blocks, ["user_id", "_block"], "left")
     )
-    return answers.select(*asked.columns, F.explode_outer("_page").alias("_row")).select(*asked.columns, "_row.*")
+    begin = (F.col("_first") - F.element_at("_rows", 1)["_place"] + 1).cast("int")
+    page = F.slice("_rows", begin, (F.col("_last") - F.col("_first") + 1).cast("int"))
+    place = F.col("_row._place")
+    rank = F.when(newest_first, F.col("_spot") - place + 1).otherwise(place - F.col("_spot")).cast("int")
+    return met.select(*asked.columns, "_spot", F.explode_outer(page).alias("_row")).select(
+        *asked.columns, rank.alias("rank"), *[F.col(f"_row.{c}") for c in entry[1:]])
+
+
+def _near_cursors(df: DataFrame, cursors: DataFrame, slice_ms: int, limit: int) -> DataFrame:
+    """The rows in slices of time that a page can touch.
+
+    Between two cursors rows may be missing then, but never one that a page needs: the rows
+    from a cursor to the end of its page are all there, side by side.
+    """
+    needed = written(_needed_slices(df, cursors, slice_ms, limit), "needed")
+    first, last = needed.agg(F.min("_part"), F.max("_part")).first()
+    if first is not None:
+        # Keeps the scan to the days between, and to the row groups that reach into them.
+        df = time_range(df, first * slice_ms, (last + 1) * slice_ms, upper_inclusive=False)
+    few = broadcast_if_few(needed, needed.count())
+    return df.withColumn("_part", slice_number("timestamp", slice_ms)).join(few, ["user_id", "_part"], "left_semi")
 
 
 def _with_payload(rows: DataFrame, source: DataFrame) -> DataFrame:
-    """Adds ``data`` to distinct rows, by all their key columns."""
+    """Adds ``data`` to rows that have a user and a time, by all their key columns."""
     keys = written(rows, "keys")
     first, last, count = keys.agg(F.min("timestamp"), F.max("timestamp"), F.count("*")).first()
     inside = source if first is None else time_range(source, first, last)
-    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"r.{c}")) for c in KEY]
-    few = broadcast_if_few(keys, count).alias("k")
-    found = inside.select(*KEY, "data").alias("r").join(few, same).select("k.*", "r.data")
+    # Structs compare nulls as equal, so an id or a sequence may be missing.
+    name = F.struct("notify_id", "ingest_seq").alias("_name")
+    same = ["user_id", "timestamp", "_name"]
+    named = inside.select("user_id", "timestamp", name, "data")
+    if count <= BROADCAST_ROWS:
+        named = named.join(F.broadcast(keys.select("user_id", "timestamp", name)), same, "left_semi")
     # A row that was written twice is there once.
-    return found.groupBy(*keys.columns).agg(F.max("data").alias("data"))
+    payloads = named.groupBy(*same).agg(F.max("data").alias("data"))
+    return keys.withColumn("_name", name).join(payloads, same).select(*keys.columns, "data")
 
 
 def batch_fetch(
@@ -247,7 +276,7 @@ def batch_fetch_dialect(
         at = F.when(going_back, F.when(first, as_of + 1).otherwise(cursor)).otherwise(
             F.when(first, oldest - 1).otherwise(cursor))
         latest = upsert_latest(df.select(*KEY, *day), [*BY_TIME, *day])
-        pages = _pages(latest, asked.withColumn("_at", at), limit, slice_ms, df)
+        pages = _pages(latest, asked.withColumn("_at", at), limit, slice_ms, df, df)
         out = going_back & (F.col("timestamp") < 0)
         return _blanked(pages, out).select(*ANSWER, "data")
     if dialect == "retention_range":
