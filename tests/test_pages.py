@@ -196,3 +196,42 @@ def test_slices_are_looked_for_only_where_some_can_be_left_out(spark, skewed, mo
     looked.clear()
     assert requests.batch_fetch(skewed, asked(spark)).where("req_id = 0").count() == 20
     assert not looked
+
+
+# ---- last payloads within the retention -----------------------------------------------------
+
+def test_only_ids_that_reach_a_cursor_are_looked_up(spark, monkeypatch):
+    """Ids with several rows, ties, missing payloads, ids and sequences, against the plain form."""
+    day = MS_PER_DAY
+    rows = [("u", f"n{i // 4}", AS_OF - 10 * day + i * 1000, None if i % 9 == 0 else f'{{"k":{i}}}', i) for i in range(160)]
+    rows += [("u", None, AS_OF - 9 * day + i, f'{{"none":{i}}}', i) for i in range(3)]
+    rows += [("u", "tie", AS_OF - 8 * day, f'{{"t":{i}}}', None if i == 2 else i) for i in range(3)]
+    rows += [("v", "old", AS_OF - 40 * day, "{}", 1), ("v", "old", AS_OF - day, '{"new":1}', 2), ("v", "ahead", AS_OF + day, "{}", 3)] * 2
+    feed = spark.createDataFrame(rows, INGESTED)
+    ends = [None, AS_OF - 10 * day + 1, AS_OF - 10 * day + 50_000, AS_OF - 10 * day + 81_500, AS_OF - 9 * day + 2, AS_OF - 8 * day, AS_OF - 50 * day, AS_OF + 2 * day]
+    wanted = [(n * 4 + k, "uv"[k // 2], (Q.DESC, Q.ASC)[k % 2], c) for n, c in enumerate(ends) for k in range(4)] + [(90, "w", Q.ASC, None), (91, None, Q.ASC, None)]
+    sizes = []
+    original = requests.batch_fetch
+    monkeypatch.setattr(requests, "batch_fetch", lambda df, asked, *a: sizes.append(asked.count()) or original(df, asked, *a))
+    got = {}
+    found = requests.batch_fetch_dialect(
+        feed, spark.createDataFrame(wanted, "req_id long, user_id string, direction string, from_time long"), "retention_range", AS_OF, 30 * 24 * 3600)
+    for r in found.collect():
+        got.setdefault(r.req_id, []).append((r["rank"], r.notify_id, r.timestamp, r.data))
+    looked_up = set()
+    for req, user, direction, c in wanted:
+        end, by_id = AS_OF if c is None else c, {}
+        for r in rows:
+            if r[0] == user and AS_OF - 30 * day <= r[2]:
+                by_id.setdefault(r[1], []).append(r)
+        page = []
+        for ident, versions in by_id.items():
+            before = [r for r in versions if r[2] < end]
+            if before:
+                newest = max(before, key=lambda r: (r[2], -1 if r[4] is None else r[4]))
+                page.append((min(r[2] for r in versions), ident is not None, ident or "", ident, newest[3], len(before) < len(versions)))
+        page = sorted(page, key=lambda r: r[:3], reverse=direction == Q.DESC)[:20]
+        looked_up |= {(user, p[3], end) for p in page if p[5]}
+        expected = [(k, p[3], p[0], p[4]) for k, p in enumerate(page, 1)]
+        assert sorted(got[req], key=str) == sorted(expected or [(None,) * 4], key=str)
+    assert sizes == [len(looked_up)] and 0 < len(looked_up) < 10

@@ -281,23 +281,27 @@ def batch_fetch_dialect(
         return _blanked(pages, out).select(*ANSWER, "data")
     if dialect == "retention_range":
         # An id stands at its first time within the retention, whatever the cursor, and shows
-        # the last payload before the cursor.
+        # the last payload before the cursor: its newest one, unless its rows reach the cursor.
+        # Only for those ids on a page is the row before the cursor looked up.
         end = F.coalesce(cursor, F.lit(as_of))
         kept = time_range(df, lower=oldest)
-        times = kept.groupBy("user_id", "notify_id").agg(F.min("timestamp").alias("timestamp"))
-        times = times.withColumn("ingest_seq", F.lit(0).cast("bigint"))
+        times = written(kept.groupBy("user_id", "notify_id").agg(
+            F.min("timestamp").alias("timestamp"), F.max(F.struct("timestamp", "ingest_seq", "data")).alias("data"),
+        ).withColumn("ingest_seq", F.lit(0).cast("bigint")), "times")
         at = F.when(going_back, end).otherwise(F.lit(BEFORE_ALL))
-        pages = _pages(times, asked.withColumns({"_at": at, "_end": end}), limit, slice_ms)
+        pages = _pages(times.select(*KEY), asked.withColumns({"_at": at, "_end": end}), limit, slice_ms, times)
         pages = written(_blanked(pages, F.col("timestamp") >= F.col("_end")), "pages")
-        name = F.to_json(F.struct("user_id", "notify_id")).alias("user_id")
-        lookups = pages.where("rank is not null").select(
-            name, "_end").distinct().select(
-            F.lit(None).cast("bigint").alias("req_id"), "user_id",
+        reaching = F.coalesce(F.col("data.timestamp") >= F.col("_end"), F.lit(False))
+        settled = pages.where(~reaching).select(*ANSWER, "data.data")
+        name = F.to_json(F.struct("user_id", "notify_id"))
+        looked_up = pages.where(reaching).withColumn("_name", name).drop("data")
+        lookups = looked_up.select("_name", "_end").distinct().select(
+            F.lit(None).cast("bigint").alias("req_id"), F.col("_name").alias("user_id"),
             F.lit(DESC).alias("direction"), F.col("_end").alias("from_time"))
-        named = kept.select(name, *[c for c in df.columns if c != "user_id"])
+        named = kept.select(name.alias("user_id"), *[c for c in df.columns if c != "user_id"])
         last = batch_fetch(named, lookups, 1, slice_ms).select(
             F.col("user_id").alias("_name"), F.col("from_time").alias("_end"), "data")
-        return pages.withColumn("_name", name).join(last, ["_name", "_end"], "left").select(*ANSWER, "data")
+        return settled.unionByName(looked_up.join(last, ["_name", "_end"], "left").select(*ANSWER, "data"))
     if dialect == "counted_points":
         low = F.when(going_back, F.lit(0)).otherwise(F.coalesce(cursor, F.lit(0)))
         high = F.when(going_back, F.coalesce(cursor, F.lit(as_of))).otherwise(F.lit(as_of))
